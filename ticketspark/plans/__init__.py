@@ -1 +1,10 @@
+"""Registered queries of the ticket operators and the SQL each is compared with."""
 
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
