@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from .chat import OP3_SQL, op3_chat_format
 from .decontamination import OP8_SQL, op8_decontamination
+from .language_id import op4_language_id
+from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
+    "op3_chat_format": op3_chat_format,
+    "op4_language_id": op4_language_id,
     "op8_decontamination": op8_decontamination,
+    "op9_url_filter": op9_url_filter,
 }
 
 ORACLE_SQL = {
+    "op3_chat_format": OP3_SQL,
     "op8_decontamination": OP8_SQL,
+    "op9_url_filter": OP9_SQL,
 }
