@@ -112,10 +112,11 @@ class Words:
         start = np.flatnonzero(self.text[:n] == self.text[k - 1 :])
         return start, self.window_hash(start, k)
 
-    def window_hash(self, start: np.ndarray, k: int) -> np.ndarray:
-        """Hash of the k words from each start; the starts must leave k words."""
+    def window_hash(self, start: np.ndarray, k: int, other: int = 0) -> np.ndarray:
+        """Hash of the k words from each start, which must leave k words; other picks an independent hash."""
         h = np.full(len(start), U64(k))
+        multiplier = U64(0xD6E8FEB86659FD93 if not other else 0xA0761D6478BD642F)
         for j in range(k):
-            h *= U64(0xD6E8FEB86659FD93)
+            h *= multiplier
             h += self.hash[start + j]
         return mix(h)
