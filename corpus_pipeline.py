@@ -1,10 +1,74 @@
-"""The corpus pipeline: language ID, near-duplicates, decontamination, personal data, packing."""
+"""The corpus pipeline: language ID, near-duplicates, decontamination, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) with docs like documents (doc_id, text,
+lang, source, n_chars), is written as Parquet and read again as the next one's
+docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ticketspark.llm.decontamination import drop_contaminated
+from ticketspark.llm.language_id import fit, predict
+from ticketspark.llm.near_duplicates import Plan, near_duplicates
+from ticketspark.llm.packing import count_words, pack
+from ticketspark.llm.pii import pseudonymise
+from ticketspark.llm.scratch import keep
+
+#: Share of a document's n-grams that its language must contain.
+MIN_LANGUAGE_SCORE = 0.1
+PII_KEY = "key of the production pipeline"
+BATCH_WORDS, BUCKETS = 16_384, 16
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without letters and ones that hardly have n-grams of any language; fill in a missing lang."""
+    third = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = fit(docs.where(third != 1).select(F.col("doc_id").alias("key"), "text", "lang"))
+    known = predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of each near-duplicate group (five words, similarity 0.8); rows that repeat a doc_id count as one."""
+    ids = near_duplicates(docs, Plan(shingle=5)).where("kept").select("doc_id").distinct()
+    one = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of ten words of a benchmark item."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
+
+
+def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data; n_chars is that of the new text."""
+    return pseudonymise(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bucket, batch and slot of each document."""
+    counted = keep(docs.select("doc_id", count_words(F.col("text")).alias("n_words")), "lengths")
+    return pack(counted, "n_words", BATCH_WORDS, BUCKETS)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("replace_pii", replace_pii),
+    ("packing", packing),
+]
+
+#: Language ID and the pseudonyms have no form in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

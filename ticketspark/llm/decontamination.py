@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 #: Bytes that are part of a word once A-Z are lower-cased: 0-9, a-z and everything beyond ASCII.
 WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -19,7 +20,13 @@ NORMAL = bytes(b if b in WORD_BYTES else b + 32 if 0x41 <= b <= 0x5A else 0x20 f
 #: Item texts of at most so many bytes go into one broadcast automaton; more items take several scans.
 AUTOMATON_BYTES = 16 << 20
 
-HITS = "doc_id long, n_words long, hit_words array<int>, item_ids array<long>, spans array<struct<first:int,last:int>>"
+#: What a scan says of a row: words, indexes of hit words, items with a window there, hit runs as bytes of the text as given.
+HITS = StructType([
+    StructField("__n_words", LongType()),
+    StructField("__hit_words", ArrayType(IntegerType())),
+    StructField("__item_ids", ArrayType(LongType())),
+    StructField("__spans", ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType())]))),
+])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -73,25 +80,54 @@ def scan(text: bytes, matcher) -> tuple[int, np.ndarray, list[int], list[tuple[i
     return len(words), hit, sorted(items), [(int(starts[r[0]]), int(ends[r[-1]])) for r in runs]
 
 
-def _scanner(shared: Broadcast, size: int):
+def _scanner(shared: Broadcast, size: int, text: int, earlier: int | None, carried: list[int], names: list[str]):
+    """Scans column number text; hits of an earlier scan, from column number earlier on, are merged."""
+
     def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = automaton(shared.value, size)
         for batch in batches:
-            rows = [scan(text.encode("utf-8", "surrogatepass") if text else b"", matcher) for text in (x.as_py() for x in batch.column(1))]
+            rows = [scan(x.encode("utf-8", "surrogatepass") if x else b"", matcher) for x in (x.as_py() for x in batch.column(text))]
+            if earlier is not None:
+                before = [batch.column(earlier + i).to_pylist() for i in range(1, 4)]
+                rows = [
+                    (n, sorted({*hit, *h}), sorted({*ids, *i}), sorted({*spans, *((x["first"], x["last"]) for x in s)}))
+                    for (n, hit, ids, spans), h, i, s in zip(rows, *before, strict=True)
+                ]
             yield pa.record_batch(
                 [
-                    batch.column(0),
+                    *(batch.column(i) for i in carried),
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.list_(pa.int32())),
                     pa.array([r[2] for r in rows], pa.list_(pa.int64())),
                     pa.array([[{"first": a, "last": b} for a, b in r[3]] for r in rows], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
                 ],
-                ["doc_id", "n_words", "hit_words", "item_ids", "spans"],
+                [*names, *HITS.names],
             )
 
     return scan_batches
 
 
+def _parts(items: DataFrame, automaton_bytes: int) -> list[DataFrame]:
+    """The items (item_id, text) with text, each once, in parts of about automaton_bytes."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.where("item_id is not null and length(text) > 0").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-total // automaton_bytes))
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) for i in range(parts)]
+
+
+def _annotate(docs: DataFrame, items: DataFrame, size: int, automaton_bytes: int, carried: list[str]) -> DataFrame:
+    """The carried columns of docs and the columns HITS. docs has text as its last column, under the name __text."""
+    parts = _parts(items, automaton_bytes)
+    for i, part in enumerate(parts):
+        shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
+        names = carried if i == len(parts) - 1 else [*carried, "__text"]
+        earlier = docs.columns.index("__n_words") if i else None
+        schema = StructType([*docs.select(*[F.col(f"`{c}`") for c in names]).schema.fields, *HITS.fields])
+        docs = docs.mapInArrow(_scanner(shared, size, docs.columns.index("__text"), earlier, [docs.columns.index(c) for c in names], names), schema)
+    return docs
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """Words of docs (doc_id, text) inside windows of size words of items (item_id, text).
 
@@ -105,29 +141,17 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, automa
 
     Item texts of up to automaton_bytes are broadcast to one automaton. Larger
     item tables are cut by hash into parts of that size: each part is scanned
-    with its own automaton, and hits are merged by document.
+    with its own automaton, and hits are merged row by row.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("item_id is not null and length(text) > 0").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // automaton_bytes))
-    if parts == 1:
-        found = spark.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])
-        return docs.mapInArrow(_scanner(found, size), HITS)
-    # a row is named by its id and its text, as ids may repeat
-    docs = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("row"), "doc_id", "text")
-    passes = []
-    for part in range(parts):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        found = spark.sparkContext.broadcast([(r[0], r[1]) for r in some.collect()])
-        passes.append(docs.select("doc_id", "text").mapInArrow(_scanner(found, size), HITS).withColumn("part", F.lit(part)))
-    merged = passes[0]
-    for more in passes[1:]:
-        merged = merged.unionByName(more)
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return merged.groupBy("doc_id", "n_words").agg(union("hit_words"), union("item_ids"), union("spans"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("__text"))
+    return _annotate(docs, items, size, automaton_bytes, ["doc_id"]).withColumnsRenamed({x: x[2:] for x in HITS.names})
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of docs without a hit word, with all their columns, in the scan that finds the hits. Rows with null text stay."""
+    columns = docs.columns
+    found = _annotate(docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("string").alias("__text")), items, size, automaton_bytes, columns)
+    return found.where(F.size("__hit_words") == 0).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ PATTERNS = {
     "international": r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\d{2,4}){2,5}(?!\w|-\d)",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w|-\d)",
 }
-# groups are numbered anew inside the alternation
+# only the pattern of dates has groups, so their numbers hold in the alternation too
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 #: The first day of the permuted range of dates, and its length as 270 * 271 days: to 2100-05-02.
@@ -170,16 +170,13 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     repeat, and texts are read whole. A column named n_pii is replaced. An empty
     table stays empty.
     """
-    numbered = _ANY
-    for group in (r"\1", r"\2"):  # the groups of the date pattern are the only ones
-        numbered = numbered.replace(group, group)
     text = F.col("text").cast("string")
     some = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
-    found = F.when(some, F.regexp_extract_all(text, F.lit(numbered), F.lit(0)))
+    found = F.when(some, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
     changed = F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
     held = docs.withColumn("__changed", changed)
     any_new = F.exists("__changed", lambda x: x["new"].isNotNull())
-    pieces = F.zip_with(F.split(text, numbered, -1), F.col("__changed"), lambda p, x: F.concat(p, F.coalesce(x["new"], x["old"], F.lit(""))))
+    pieces = F.zip_with(F.split(text, _ANY, -1), F.col("__changed"), lambda p, x: F.concat(p, F.coalesce(x["new"], x["old"], F.lit(""))))
     count = F.coalesce(F.size(F.filter("__changed", lambda x: x["new"].isNotNull())), F.lit(0)).cast("long")
     return held.withColumns({"n_pii": F.when(F.col("__changed").isNull(), F.lit(0)).otherwise(count).cast("long"), "text": F.when(any_new, F.array_join(pieces, "")).otherwise(text)}).drop("__changed")
 

@@ -70,7 +70,9 @@ def _binary(x: list) -> pa.Array:
 def _by_document(h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(doc, kind="stable")
     h, doc = h[order], doc[order]
-    begins = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else []
+    if not len(doc):
+        return
+    begins = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1))
     for lo, hi in zip(begins, [*begins[1:], len(doc)], strict=True):
         yield int(doc[lo]), h[lo:hi].tobytes()
 

@@ -69,8 +69,8 @@ def _tiles(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         yield queries, some, score
 
 
-def _histogram(k: int):
-    """Counts by bin within each query's [low, low + BINS * width), from the top down to the task's own kth score.
+def _histogram(bins_used: int):
+    """Counts by bin within each query's [low, low + bins_used * width), from the top down to the task's own kth score.
 
     A score below the task's own kth best can't be among the best k of all, so
     its bin need not be known; a task sends at most as many bins as scores asked.
@@ -87,7 +87,7 @@ def _histogram(k: int):
                 total = held[row["q_ids"]][0]
                 for _, _, score in _tiles(row):
                     bins = np.floor((score - low[:, None]) / width[:, None])
-                    inside = (bins >= 0) & (bins < BINS)
+                    inside = (bins >= 0) & (bins < bins_used)
                     which, _ = np.nonzero(inside)
                     total += np.bincount(which * BINS + bins[inside].astype(np.int64), minlength=n * BINS).reshape(n, BINS)
         for ids, (total, need) in held.items():
@@ -149,11 +149,11 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 6
         q = q.mapInArrow(_pack(QUERY_ROWS, True), f"{PACKED}, low binary, width binary, need binary").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors", "dim": "q_dim"})
         return packed.crossJoin(F.broadcast(q) if size <= BROADCAST_BYTES else q).where("dim = q_dim").drop("q_dim")
 
-    width = -(-(2 * bound + 1) // BINS)
+    width, bins_used = -(-(2 * bound + 1) // BINS), BINS
     state = keep(asked.select("vec_id", F.lit(-bound).cast("long").alias("low"), F.lit(width).cast("long").alias("width"), F.lit(k).cast("long").alias("need")), "state")
     down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
     while True:
-        counts = blocks(state).mapInArrow(_histogram(k), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        counts = blocks(state).mapInArrow(_histogram(bins_used), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         counts = counts.withColumn("upto", F.sum("n").over(down)).join(state.withColumnRenamed("vec_id", "query_id"), "query_id")
         hit = counts.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
         narrower = max(1, -(-width // BINS))
@@ -163,7 +163,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 6
             "vec_id", F.coalesce("cut", "low").alias("low"), F.lit(narrower).cast("long").alias("width"), F.coalesce("need", "was").alias("need")), "state")
         if width == 1:
             break
-        width = narrower
+        width, bins_used = narrower, -(-width // narrower)
     best = blocks(state).mapInArrow(_select(), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -18,7 +18,7 @@ from .textops import U64, Words, chunks
 #: Labelled rows that are learned from, as expected under hash sampling.
 TRAINING_ROWS = 20_000
 #: A term is in this share of the toxic training texts, and in three of them, and so many times as often as in others.
-MIN_SHARE, MIN_TEXTS, MIN_RATIO = 0.01, 3, 20.0
+MIN_SHARE, MIN_TEXTS, MIN_RATIO = 0.02, 3, 20.0
 #: Lengths of word beginnings that may become terms.
 STEMS = range(4, 9)
 #: A beginning becomes a term if so many times as many toxic texts have it as any one word with it.
@@ -178,20 +178,29 @@ class Judge:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, toxic) with the least hash of the text's runs of three words: near copies mostly share it, other texts seldom do."""
+    for batch in batches:
+        keys = []
+        for lo, hi, raw, at in chunks(batch.column(0)):
+            words = Words(raw, at, WORD_TABLE, lower=True)
+            start, h = words.windows(3)
+            edge = np.searchsorted(start, words.offsets)
+            for i in range(hi - lo):
+                here = h[edge[i] : edge[i + 1]] if edge[i] < edge[i + 1] else words.hash[words.offsets[i] : words.offsets[i + 1]]
+                keys.append(int(here.min().astype(np.int64)) if len(here) else 0)
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], ["text", "toxic", "key"])
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Toxic and other texts with each word and each beginning of (text, toxic) rows, of equal texts of a batch one."""
+    """Numbers of toxic and of other texts, of rows (text, toxic), with each word and each beginning."""
     for batch in batches:
         counts: Counter = Counter()
         toxic = batch.column(1).to_pylist()
-        seen = set()
         for lo, hi, raw, at in chunks(batch.column(0)):
             words = Words(raw, at, WORD_TABLE, lower=True, hashes=False)
             lowered = words.raw.tobytes()
             for i in range(hi - lo):
-                text = lowered[at[i] : at[i + 1]]
-                if text in seen:
-                    continue
-                seen.add(text)
                 a, b = words.offsets[i], words.offsets[i + 1]
                 own = {lowered[s:e].decode("utf-8", "replace") for s, e in zip(words.starts[a:b], words.ends[a:b], strict=True)}
                 t = bool(toxic[lo + i])
@@ -234,13 +243,15 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
     the largest counts. Of more than training_rows labels, those with a small
     hash of doc_id are taken, training_rows on average, so the joined ids, the
     candidate terms and the features that reach the driver are bounded.
-    Without both kinds of label the model has no terms and scores 0.
+    Near copies count mostly once, as a group of them would make all its words
+    terms. Without both kinds of label the model has no terms and scores 0.
     """
     asked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = asked.count()
     if total > training_rows:
         asked = asked.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)) < int(training_rows / total * (1 << 30)))
-    rows = docs.where("text is not null").join(F.broadcast(asked), "doc_id").select(F.col("text").cast("string").alias("text"), "toxic").persist()
+    rows = docs.where("text is not null").join(F.broadcast(asked), "doc_id").select(F.col("text").cast("string").alias("text"), "toxic")
+    rows = rows.mapInArrow(_keyed, "text string, toxic int, key long").dropDuplicates(["key", "toxic"]).select("text", "toxic").persist()
     by_label = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, other = by_label.get(1, 0), by_label.get(0, 0)
     model = Model(weights=np.concatenate(([-30.0], np.zeros(FEATURES))))
