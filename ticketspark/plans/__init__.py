@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import q_recurrence  # noqa: F401
+from .bindings import profiles
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Profiles of recurring events, with their measures."""
+    return profiles(spark, sf_dir)
