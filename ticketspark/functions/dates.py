@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pack_zh as zh
-from .text import strip
+from .text import let, strip
 
 #: Formats of submit times, tried in turn.
 FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "yyyy-MM-dd'T'HH:mm:ss"]
@@ -35,7 +35,10 @@ def time_from_id(c: Column) -> Column:
 
 def parse_datetime(c: Column) -> Column:
     """struct<iso, raw, confidence> of the first pattern (not place) whose first match is in range; without a year iso is --MM-DD."""
+    return let(c, _datetime)
 
+
+def _datetime(c: Column) -> Column:
     def found(pattern: str, year: bool, time: bool, confidence: float) -> Column:
         part = lambda i: F.coalesce(F.regexp_extract(c, pattern, i).try_cast("int"), F.lit(0))
         ok = F.regexp_extract(c, pattern, 0) != ""
@@ -52,17 +55,25 @@ def parse_datetime(c: Column) -> Column:
 
 def extract_time(c: Column) -> Column:
     """struct<start, end, pattern, confidence>: a range, else one date, else a recurring time."""
+    return let(c, _time)
+
+
+def _time(c: Column) -> Column:
     clock = r"日\s*\d{1,2}:\d{1,2}(?::\d{1,2})?"
     to = r"\s*[至到\-~]\s*"
 
     def span(day: str, factor: float) -> Column:
         pattern = f"({day}{clock}){to}({day}{clock})"
-        a, b = (parse_datetime(F.regexp_extract(c, pattern, i)) for i in (1, 2))
-        sure = F.greatest(a["confidence"], b["confidence"]) * factor
-        return F.when((a["iso"] != "") & (b["iso"] != ""), F.struct(a["iso"].alias("start"), b["iso"].alias("end"), F.lit("").alias("pattern"), sure.alias("confidence")))
+        both = F.struct(*[parse_datetime(F.regexp_extract(c, pattern, i)).alias(n) for i, n in ((1, "a"), (2, "b"))])
+
+        def of(x: Column) -> Column:
+            a, b = x["a"], x["b"]
+            sure = F.greatest(a["confidence"], b["confidence"]) * factor
+            return F.when((a["iso"] != "") & (b["iso"] != ""), F.struct(a["iso"].alias("start"), b["iso"].alias("end"), F.lit("").alias("pattern"), sure.alias("confidence")))
+
+        return let(both, of)
 
-    one = parse_datetime(c)
-    single = F.when(one["iso"] != "", F.struct(one["iso"].alias("start"), F.lit("").alias("end"), F.lit("").alias("pattern"), one["confidence"].alias("confidence")))
+    single = let(parse_datetime(c), lambda one: F.when(one["iso"] != "", F.struct(one["iso"].alias("start"), F.lit("").alias("end"), F.lit("").alias("pattern"), one["confidence"].alias("confidence"))))
     word = F.coalesce(*[F.when(F.contains(c, F.lit(w)), F.lit(p)) for w, p in zh.TIME_WORDS])
     again = F.when(word.isNotNull(), F.struct(F.lit("").alias("start"), F.lit("").alias("end"), word.alias("pattern"), F.lit(0.5).alias("confidence")))
     none = F.struct(F.lit("").alias("start"), F.lit("").alias("end"), F.lit("").alias("pattern"), F.lit(0.0).alias("confidence"))

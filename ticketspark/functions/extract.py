@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import pack_zh as zh
 from .dates import extract_time
 from .rules import count_words, first_label, leftmost_term, longest_term, most_words
-from .text import CJK, any_of, blank, clean_phone, clean_text, clean_ticket_no, content_hash, extract_phone, filled, first_filled, has_any, normalize_address, normalize_text, remove_boilerplate, semantic_content, strip
+from .text import CJK, any_of, blank, clean_phone, clean_text, clean_ticket_no, content_hash, extract_phone, filled, first_filled, has_any, let, normalize_address, normalize_text, remove_boilerplate, semantic_content, strip
 
 NO_ADDRESS = "struct<town:string,community:string,road:string,building:string>"
 
@@ -86,7 +86,11 @@ def labour_company(c: Column) -> Column:
 
 def extract_organization(c: Column) -> Column:
     """struct<name, kind, confidence>: a company in texts about wages, else the first valid name of the first kind."""
-    named = lambda name, kind, sure: F.when(name.isNotNull(), F.struct(name.alias("name"), F.lit(kind).alias("kind"), F.lit(sure).alias("confidence")))
+    return let(c, _organization)
+
+
+def _organization(c: Column) -> Column:
+    named = lambda name, kind, sure: let(name, lambda n: F.when(n.isNotNull(), F.struct(n.alias("name"), F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"))))
     kinds = [named(_first_valid(c, [_name(n, s)], valid_organisation), kind, 0.7) for kind, n, s in zh.ORGANISATIONS]
     none = F.struct(F.lit("").alias("name"), F.lit("").alias("kind"), F.lit(0.0).alias("confidence"))
     return F.coalesce(named(labour_company(c), "企业", 0.9), *kinds, none)
@@ -94,16 +98,11 @@ def extract_organization(c: Column) -> Column:
 
 def resolve_organization(title: Column, content: Column, community: Column, address: Column) -> Column:
     """Organisation of the title, a company in the content, the address's community, the address, else the whole text."""
-    of_title, of_address, of_text = (extract_organization(c) for c in (title, address, content))
-    company = labour_company(content)
     named = lambda name, kind, sure: F.struct(name.alias("name"), F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"))
-    return (
-        F.when(of_title["name"] != "", of_title)
-        .when(company.isNotNull(), named(company, "企业", 0.9))
-        .when((community != "") & ~has_any(community, zh.SUBJECT_BLACKLIST), named(community, "小区", 0.85))
-        .when(of_address["name"] != "", of_address)
-        .otherwise(of_text)
-    )
+    some = lambda found: let(found, lambda x: F.when(x["name"] != "", x))
+    company = let(labour_company(content), lambda x: F.when(x.isNotNull(), named(x, "企业", 0.9)))
+    place = F.when((community != "") & ~has_any(community, zh.SUBJECT_BLACKLIST), named(community, "小区", 0.85))
+    return F.coalesce(some(extract_organization(title)), company, place, some(extract_organization(address)), extract_organization(content))
 
 
 def pick_subject(resolved: Column, title: Column, raw: Column) -> Column:
@@ -128,13 +127,16 @@ def extract_address(c: Column, gazetteer: dict[str, Sequence[str]] | None = None
     name after the town, else any. The road follows the town.
     """
     stems = "|".join(t.removesuffix("街道").removesuffix("镇") for t in zh.TOWNS)
-    said = F.regexp_extract(c, f"((?:{stems})(?:街道|镇)?)", 1)
+    return let(c, lambda x: let(F.regexp_extract(x, f"((?:{stems})(?:街道|镇)?)", 1), lambda said: _address(x, said, gazetteer)))
+
+
+def _address(c: Column, said: Column, gazetteer: dict[str, Sequence[str]] | None) -> Column:
     town = F.coalesce(*[F.when(said.startswith(t.removesuffix("街道").removesuffix("镇")), t) for t in zh.TOWNS], F.lit(""))
     rest = F.when(said == "", c).otherwise(F.substr(c, F.instr(c, said) + F.length(said)))
     listed = F.coalesce(*[F.when((town == t) & F.contains(rest, F.lit(name)), name) for t, names in (gazetteer or {}).items() for name in names], F.lit(""))
     lead = F.when(c.rlike("[（(]"), _without_lead(F.regexp_extract(c, r"^([^（(]*)[（(]", 1)))
     bracket = F.regexp_extract(lead, f"([{CJK}A-Za-z0-9]{{1,6}}(?:{any_of(zh.ESTATE_SUFFIXES)}))$", 1)
-    bracket = F.when((F.length(bracket) >= 3) & _valid_community(bracket), bracket)
+    bracket = let(bracket, lambda x: F.when((F.length(x) >= 3) & _valid_community(x), x))
     name = rf"(?<![电反映称示位有没不未])([{CJK}A-Za-z0-9]{{2,8}}?(?:小区|花园|公寓|府|村|社区|苑))"
 
     def general(x: Column) -> Column:
@@ -154,15 +156,19 @@ def extract_address(c: Column, gazetteer: dict[str, Sequence[str]] | None = None
 
 
 def classify_event_type(title: Column, content: Column, rules: Sequence[tuple[str, str]] = tuple(zh.EVENT_TYPES)) -> Column:
-    return first_label(F.concat_ws(" ", title, content), rules)
+    return let(F.concat_ws(" ", title, content), lambda x: first_label(x, rules))
 
 
 def event_action(kind: Column, content: Column) -> Column:
     """What happened, by event type and keywords; '' for types without a rule."""
-    out = F.lit("")
-    for label, (rules, otherwise) in zh.EVENT_ACTIONS.items():
-        out = F.when(kind == label, first_label(content, [(action, words) for words, action in rules], otherwise)).otherwise(out)
-    return out
+
+    def action(x: Column) -> Column:
+        out = F.lit("")
+        for label, (rules, otherwise) in zh.EVENT_ACTIONS.items():
+            out = F.when(x["kind"] == label, first_label(x["text"], [(action, words) for words, action in rules], otherwise)).otherwise(out)
+        return out
+
+    return let(F.struct(kind.alias("kind"), content.alias("text")), action)
 
 
 def event_detail(address: Column, subject: Column, action: Column, content: Column) -> Column:
@@ -171,17 +177,20 @@ def event_detail(address: Column, subject: Column, action: Column, content: Colu
 
 def classify_channel(c: Column, online: Sequence[str] = tuple(zh.ONLINE_WORDS), offline: Sequence[str] = tuple(zh.OFFLINE_WORDS)) -> Column:
     """online or offline by the larger number of words, offline if equal, unknown without any."""
-    a, b = count_words(c, online), count_words(c, offline)
-    return F.when((a == 0) & (b == 0), "unknown").when(a > b, "online").otherwise("offline")
+    counts = let(c, lambda x: F.struct(count_words(x, online).alias("a"), count_words(x, offline).alias("b")))
+    return let(counts, lambda n: F.when((n["a"] == 0) & (n["b"] == 0), "unknown").when(n["a"] > n["b"], "online").otherwise("offline"))
 
 
 def classify_nature(c: Column, rules: Sequence[tuple[str, Sequence[str]]] = tuple(zh.NATURES)) -> Column:
-    return most_words(c, rules)
+    return let(c, lambda x: most_words(x, rules))
 
 
 def extract_request(c: Column, kind: Column, rules: Sequence[tuple[str, str]] = tuple(zh.REQUESTS), verbs: Sequence[str] = tuple(zh.REQUEST_VERBS), fallback: tuple[Sequence[str], str] = zh.REQUEST_FALLBACK) -> Column:
     """struct<request, issue>: the first request with a keyword; the issue is it without verbs, else the event type."""
-    found = first_label(c, rules)
+    return let(F.struct(c.alias("text"), first_label(c, rules).alias("found"), kind.alias("kind")), lambda x: _request(x["text"], x["found"], x["kind"], verbs, fallback))
+
+
+def _request(c: Column, found: Column, kind: Column, verbs: Sequence[str], fallback: tuple[Sequence[str], str]) -> Column:
     request = F.when(found != "", found).when(has_any(c, fallback[0]), fallback[1]).otherwise("")
     issue = found
     for verb in verbs:
@@ -221,9 +230,8 @@ def extract_venues(c: Column) -> Column:
 
 def best_venue(c: Column) -> Column:
     """The shortest venue, of equals the first."""
-    venues = extract_venues(c)
-    least = F.array_min(F.transform(venues, F.length))
-    return F.coalesce(F.get(F.filter(venues, lambda v: F.length(v) == least), 0), F.lit(""))
+    shortest = lambda venues: F.get(F.filter(venues, lambda v: F.length(v) == F.array_min(F.transform(venues, F.length))), 0)
+    return F.coalesce(let(extract_venues(c), shortest), F.lit(""))
 
 
 def clean_tickets(df: DataFrame, gazetteer: dict[str, Sequence[str]] | None = None, min_quality: float = 0.3) -> DataFrame:

@@ -33,6 +33,14 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often use refers to it.
+
+    Long rule chains stand in such a lambda so that generated code stays small.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -110,7 +118,10 @@ def mask_pii(c: Column) -> Column:
 
 def clean_phone(c: Column) -> Column:
     """struct<normalized, masked, raw, confidence> of a phone field."""
-    d = F.regexp_replace(c, r"[^0-9]", "")
+    return let(c, lambda x: let(F.regexp_replace(x, r"[^0-9]", ""), lambda d: _phone(x, d)))
+
+
+def _phone(c: Column, d: Column) -> Column:
     mobile, line = d.rlike(r"^1[3-9]\d{9}$"), F.length(d).between(7, 8)
     return F.struct(
         F.when(mobile | line, d).otherwise("").alias("normalized"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_recurrence, q_tickets  # noqa: F401
+from . import q_recurrence, q_text, q_tickets  # noqa: F401
 from .bindings import profiles
 from .registry import ORACLE_SQL, QUERIES
 
