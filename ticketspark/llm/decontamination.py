@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from .textops import small_batches
+
 #: Bytes that are part of a word once A-Z are lower-cased: 0-9, a-z and everything beyond ASCII.
 WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 #: One byte to one byte: A-Z lower-cased, every separator a space. Offsets stay those of the UTF-8 text.
@@ -118,6 +120,7 @@ def _parts(items: DataFrame, automaton_bytes: int) -> list[DataFrame]:
 
 def _annotate(docs: DataFrame, items: DataFrame, size: int, automaton_bytes: int, carried: list[str]) -> DataFrame:
     """The carried columns of docs and the columns HITS. docs has text as its last column, under the name __text."""
+    small_batches(docs.sparkSession)
     parts = _parts(items, automaton_bytes)
     for i, part in enumerate(parts):
         shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .textops import U64, chunks, mix
+from .textops import U64, chunks, mix, small_batches
 
 #: Bytes in an n-gram, with the spaces at a word's ends.
 NGRAM = 5
@@ -143,6 +143,7 @@ def fit(labelled: DataFrame, training_rows: int = TRAINING_ROWS, min_share: floa
     n-grams kept are at most (mean n-grams of a text) / min_share for each
     language, so what reaches the driver doesn't grow with the corpus.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").select(F.col("key").cast("string"), F.col("text").cast("string"), F.col("lang").cast("string"))
     by_lang = rows.groupBy("lang").count()
     total = by_lang.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
@@ -173,6 +174,7 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
     replaced. Repeated rows are each returned, and texts are read whole.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import keep
-from .textops import U64, Words, chunks
+from .textops import U64, Words, chunks, small_batches
 
 #: Hashes gathered by a map task before it sends them to their buckets.
 FLUSH = 1 << 19
@@ -262,6 +262,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, give_text: bool = True) ->
     other; each is returned. Other columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     buckets = BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.where("doc_id is not null")

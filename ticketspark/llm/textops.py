@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -25,11 +26,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 #: Bytes of text handled at once; temporaries take about 60 times as much.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
+#: Rows of an Arrow batch where the session doesn't say; texts are long, and a batch is held on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have BATCH_ROWS rows, unless the session sets their size itself."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _power(which: str, n: int) -> np.ndarray:
     """The first n powers of BASE, or of its inverse, modulo 2**64."""
     have = _powers[which]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import U64, Words, chunks
+from .textops import U64, Words, chunks, small_batches
 
 #: Labelled rows that are learned from, as expected under hash sampling.
 TRAINING_ROWS = 20_000
@@ -246,6 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
     Near copies count mostly once, as a group of them would make all its words
     terms. Without both kinds of label the model has no terms and scores 0.
     """
+    small_batches(docs.sparkSession)
     asked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = asked.count()
     if total > training_rows:
@@ -286,6 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out (as given) and score, from 0 to 1, of rows (doc_id, held_out, text). Null texts count as empty; all texts are read whole."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

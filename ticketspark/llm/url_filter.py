@@ -45,7 +45,7 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
 
 def _bits(h1: np.ndarray, h2: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
-    h = mix(h1 + U64(level) * U64(0x9E3779B97F4A7C15))
+    h = mix(h1 + U64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
     step = mix(h2 ^ h) | U64(1)
     for _ in range(HASHES):
         yield (h % U64(size)).astype(np.int64)
