@@ -18,13 +18,13 @@ def tickets(spark):
 
 
 def test_headers(spark):
-    df = spark.createDataFrame([("a", " 吵 ", "大良", 0), ("a", "再吵", "", 1), ("b", "  ", "", 2)], "工单编号 string, 诉求内容 string, 事发区域 string, _seq long")
+    df = spark.createDataFrame([("a", " 吵 ", "大良", 0), ("a", "再吵", "", 1), ("b", "  ", "", 2)], "`工单编号` string, `诉求内容` string, `事发区域` string, _seq long")
     out = src.load_tickets(df).collect()
     assert [(r.order_id, r.content, r.title, r.area, r.submit_time) for r in out] == [("a", "吵", "", "大良", None)]
 
 
 def test_absent_ids(spark):
-    df = spark.createDataFrame([("x", 0), ("y", 1)], "诉求内容 string, _seq long")
+    df = spark.createDataFrame([("x", 0), ("y", 1)], "`诉求内容` string, _seq long")
     assert sorted(r.order_id for r in src.load_tickets(df).collect()) == ["AUTO_0", "AUTO_1"]
 
 

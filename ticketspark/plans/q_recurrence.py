@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import grouping, recurrence, rollups, search
@@ -45,14 +46,12 @@ def g5(spark, sf):
 def g6(spark, sf):
     t = event_tickets(spark, sf)
     keys = t.select("title", "area", "submitter").distinct()
-    from pyspark.sql import Window
-
     numbered = keys.withColumn("cluster_id", F.dense_rank().over(Window.orderBy("title", "area", "submitter")).cast("long"))
     return grouping.consolidate_subjects(t.join(numbered, ["title", "area", "submitter"])).select("order_id", "cluster_id")
 
 
 @query("g7_recover_noise", f"""WITH {T}, k AS (SELECT *, CASE WHEN value > 30 THEN -1 ELSE submitter END AS cid FROM t),
-m AS (SELECT cid, mode(title) AS n, area FROM k WHERE cid <> -1 GROUP BY cid, area),
+m AS (SELECT DISTINCT cid, area FROM k WHERE cid <> -1),
 counts AS (SELECT cid, title, count(*) AS n FROM k WHERE cid <> -1 GROUP BY ALL),
 best AS (SELECT cid, title FROM counts QUALIFY row_number() OVER (PARTITION BY cid ORDER BY n DESC, title) = 1),
 sig AS (SELECT title, area, min(cid) AS head FROM best JOIN m USING (cid) GROUP BY ALL)
@@ -70,14 +69,11 @@ def g8(spark, sf):
     return grouping.merge_by_signature(event_tickets(spark, sf).withColumn("cluster_id", F.col("submitter"))).select("order_id", "cluster_id")
 
 
-PLACES = "(SELECT area AS subject, town AS area, title, count(*) AS n FROM t GROUP BY ALL)"
 CAND = f"""WITH {T}, q AS (SELECT segment AS s, area AS a, title, dense_rank() OVER (ORDER BY title, segment, area) AS cluster_id, count(*) AS n FROM t GROUP BY segment, area, title),
 r AS (SELECT *, row_number() OVER (PARTITION BY s, a ORDER BY n DESC, cluster_id) AS p, first_value(cluster_id) OVER (PARTITION BY s, a ORDER BY n DESC, cluster_id) AS big FROM q)"""
 
 
 def _segment_groups(spark, sf):
-    from pyspark.sql import Window
-
     t = event_tickets(spark, sf).withColumn("extracted_subject", F.col("segment"))
     keys = t.groupBy("title", "segment", "area").agg(F.count("*").alias("n"))
     numbered = keys.withColumn("cluster_id", F.dense_rank().over(Window.orderBy("title", "segment", "area")).cast("long")).drop("n")
@@ -130,8 +126,6 @@ def a6(spark, sf):
 
 @query("a7_area_spread", f"WITH {T}, n AS (SELECT segment, area, count(*) AS n FROM t GROUP BY ALL) SELECT dense_rank() OVER (ORDER BY segment) AS cluster_id, count(*) AS area_count, (list(area ORDER BY n DESC, area))[1] AS area_top_name FROM n GROUP BY segment")
 def a7(spark, sf):
-    from pyspark.sql import Window
-
     t = event_tickets(spark, sf)
     ids = t.select("segment").distinct().withColumn("cluster_id", F.dense_rank().over(Window.orderBy("segment")))
     return recurrence.area_spread(t.join(F.broadcast(ids), "segment"))

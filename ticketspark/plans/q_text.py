@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, rules, text
-from .bindings import T, cleaned, event_tickets, table
+from .bindings import T, event_tickets, table
 from .registry import query
 
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
@@ -289,12 +289,106 @@ def x23(spark, sf):
     return extract.standardize_tickets(d, PAIRS, NAMES, NAMES).select("order_id", "extracted_subject", "extracted_event", "extracted_area")
 
 
-@query("x9_venues_and_names")
-def names(spark, sf):
-    t = event_tickets(spark, sf)
-    said = F.concat(F.lit("市民张先生反映大良街道高黎市场"), F.col("_seq") % 9, F.lit("栋旁的"), F.lit("明日花园"), F.lit("（地址：新桂中路）很吵，"), F.col("title"))
-    a, o = extract.extract_address(said), extract.extract_organization(said)
-    return t.select("order_id", extract.best_venue(said).alias("venue"), extract.extract_person(said)["name"].alias("person"), a["town"].alias("town"), a["community"].alias("community"), a["road"].alias("road"), a["building"].alias("building"), o["name"].alias("organization"))
+# sentences that every ticket gets one of, and what the Chinese rules find in each
+SAID = ["市民张先生反映大良街道高黎市场3栋旁的明日花园（地址：新桂中路）很吵，噪音", "李女士反映容桂街道振华夜市附近烧烤店油烟扰民，请处理", "王师傅在顺达五金有限公司工作，被拖欠工资", "陈村镇合成社区大都村幸福路12号楼占道经营", "希望维修路灯"]
+FOUND = {
+    "person": ["市民张先生", "李女士", "王师傅", "", ""],
+    "town": ["大良街道", "容桂街道", "", "陈村镇", ""],
+    "community": ["3栋旁的明日花园", "", "", "合成社区", ""],
+    "road": ["新桂中路", "", "", "成社区大都村幸福路", "维修路"],
+    "building": ["3栋", "", "", "12号楼", ""],
+    "organization": ["栋旁的明日花园", "振华夜市", "顺达五金有限公司", "陈村镇合成社区大都村", ""],
+    "kind": ["小区", "场所", "企业", "小区", ""],
+    "subject": ["栋旁的明日花园", "李女士反映容桂街道振华夜市", "王师傅在顺达五金有限公司", "陈村镇合成社区大都村", ""],
+    "venue": ["高黎市场", "振华夜市", "", "", ""],
+    "event_type": ["噪音扰民", "噪音扰民", "拖欠工资", "占道经营", "消费纠纷"],
+    "action": ["产生噪音", "产生噪音", "拖欠薪资", "占道经营", ""],
+    "request": ["", "介入处理", "", "", "修复市政设施"],
+}
+
+
+def _found_sql(*names: str) -> str:
+    lists = ", ".join("([" + ", ".join(f"'{v}'" for v in FOUND[n]) + f"])[_seq % 5 + 1] AS {n}" for n in names)
+    return f"WITH {T} SELECT order_id, {lists} FROM t"
+
+
+def _said(spark, sf):
+    return event_tickets(spark, sf).select("order_id", F.get(F.array(*map(F.lit, SAID)), (F.col("_seq") % 5).cast("int")).alias("said"), "_seq")
+
+
+@query("x3_extract_subject", _found_sql("subject"))
+def x3(spark, sf):
+    return _said(spark, sf).select("order_id", extract.extract_subject(F.col("said")).alias("subject"))
+
+
+@query("x4_subject_pipeline", _found_sql("subject"))
+def x4(spark, sf):
+    return _said(spark, sf).select("order_id", extract.subject_pipeline(F.lit("（城管）很吵"), F.lit(""), F.col("said")).alias("subject"))
+
+
+@query("x6_extract_person", _found_sql("person"))
+def x6(spark, sf):
+    return _said(spark, sf).select("order_id", extract.extract_person(F.col("said"))["name"].alias("person"))
+
+
+@query("x7_extract_organization", _found_sql("organization", "kind"))
+def x7(spark, sf):
+    return _said(spark, sf).select("order_id", extract.extract_organization(F.col("said")).alias("o")).select("order_id", F.col("o.name").alias("organization"), "o.kind")
+
+
+@query("x8_resolve_organization", _found_sql("organization"))
+def x8(spark, sf):
+    return _said(spark, sf).select("order_id", extract.resolve_organization(F.lit(""), F.col("said"), F.lit(""), F.lit(""))["name"].alias("organization"))
+
+
+@query("x9_pick_subject", _found_sql("organization"))
+def x9(spark, sf):
+    return _said(spark, sf).select("order_id", extract.pick_subject(F.lit(""), F.lit("很吵"), F.col("said")).alias("organization"))
+
+
+@query("x10_extract_address", _found_sql("town", "community", "road", "building"))
+def x10(spark, sf):
+    return _said(spark, sf).select("order_id", extract.extract_address(F.col("said"), {"容桂街道": ["振华社区"]}).alias("a")).select("order_id", "a.town", "a.community", "a.road", "a.building")
+
+
+@query("x12_event_action", _found_sql("event_type", "action"))
+def x12(spark, sf):
+    kind = extract.classify_event_type(F.lit(""), F.col("said")).alias("event_type")
+    return _said(spark, sf).select("order_id", "said", kind).select("order_id", "event_type", extract.event_action(F.col("event_type"), F.col("said")).alias("action"))
+
+
+@query("x15_requests_zh", _found_sql("request"))
+def x15_zh(spark, sf):
+    return _said(spark, sf).select("order_id", extract.extract_request(F.col("said"), F.lit("")).alias("r")).select("order_id", "r.request")
+
+
+@query("x20_best_venue", _found_sql("venue"))
+def x20(spark, sf):
+    return _said(spark, sf).select("order_id", extract.best_venue(F.col("said")).alias("venue"))
+
+
+@query("g2_subject_key", f"WITH {T} SELECT order_id, CASE _seq % 5 WHEN 0 THEN '高黎市场' WHEN 1 THEN '振华夜市' WHEN 2 THEN town WHEN 3 THEN town ELSE subject END AS key FROM t")
+def g2(spark, sf):
+    from ..operators.grouping import subject_key
+
+    t = event_tickets(spark, sf).join(_said(spark, sf).drop("_seq"), "order_id")
+    t = t.withColumns({"content": F.col("said"), "extracted_area": F.col("town"), "extracted_subject": F.when(F.col("_seq") % 5 == 4, F.col("subject")).otherwise("大良街道")})
+    return t.select("order_id", subject_key(t).alias("key"))
+
+
+@query("g19_quality_gate", f"WITH {T} SELECT count(*) AS groups FROM (SELECT DISTINCT subject, title FROM t)")
+def g19(spark, sf):
+    from ..operators.grouping import quality_gate
+
+    out, _ = quality_gate(event_tickets(spark, sf).withColumn("cluster_id", F.lit(-1).cast("long")))
+    return out.agg(F.count_distinct("cluster_id").alias("groups"))
+
+
+@query("s6_parquet_cache", "SELECT event_id, event_type FROM events")
+def s6(spark, sf):
+    from ..sources.tickets import read_parquet_cache
+
+    return read_parquet_cache(spark, f"{sf}/events.parquet", lambda: None).select("event_id", "event_type")
 
 
 @query("x24_to_pipeline_columns")

@@ -29,7 +29,7 @@ def read_tickets_csv(spark: SparkSession, path: str, encoding: str | None = None
         for encoding in ENCODINGS[:-1]:
             if encoding != "utf-8":
                 spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-            bad = lines.where(F.expr(f"try_validate_utf8(content) is null") if encoding == "utf-8" else F.contains(F.decode("content", encoding), F.lit("�")))
+            bad = lines.where(F.expr("try_validate_utf8(content) is null") if encoding == "utf-8" else F.contains(F.decode("content", encoding), F.lit("�")))
             if not bad.limit(1).count():
                 break
         else:
