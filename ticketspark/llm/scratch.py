@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a local session without that setting gets a folder of its own."""
@@ -23,9 +25,18 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and return the written rows.
 
     A lost executor then costs the stages after this point only, and a stage
-    that is needed twice runs once.
+    that is needed twice runs once. clear() deletes the files.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what keep() wrote in this process, once the results that read it are stored."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _written:
+        path = hadoop(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
