@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 HERE = str(Path(__file__).resolve().parent.parent)
-sys.path.insert(0, HERE)
+sys.path[:0] = [HERE, str(Path(__file__).resolve().parent)]
 os.environ["PYTHONPATH"] = os.pathsep.join([HERE, os.environ.get("PYTHONPATH", "")])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, fmt_seen, truncate
+from ..sources.written import written
 
 THRESHOLD, MAX_EVENTS, SAMPLES, SAMPLE_CHARS = 3, 500, 8, 80
 
@@ -62,8 +63,8 @@ def recurrence_metrics(df: DataFrame) -> DataFrame:
 def event_profiles(df: DataFrame, max_events: int = MAX_EVENTS) -> DataFrame:
     """Recurring groups by size, numbered EV001 on: subject label, type, area, times, first samples, measures.
 
-    df is classified (classify_recurring) and has _seq. Samples are taken by an
-    aggregate over ranks of the largest groups alone.
+    df is classified (classify_recurring) and has _seq. The largest groups are
+    found by one aggregate; their tickets alone are written and measured.
     """
     multi = df.where("is_multi_freq")
     groups = multi.groupBy("cluster_id").agg(
@@ -73,8 +74,9 @@ def event_profiles(df: DataFrame, max_events: int = MAX_EVENTS) -> DataFrame:
     )
     groups = groups.orderBy(F.desc("frequency"), "cluster_id").limit(max_events)
     # at most max_events rows from here on, so numbering them in one task is bounded
-    groups = groups.withColumn("__n", F.row_number().over(Window.orderBy(F.desc("frequency"), "cluster_id")))
-    shown = multi.join(F.broadcast(groups.select("cluster_id")), "cluster_id", "left_semi")
+    groups = written(groups.withColumn("__n", F.row_number().over(Window.orderBy(F.desc("frequency"), "cluster_id"))))
+    needed = [c for c in ("cluster_id", "_seq", "order_id", "content", "submit_time", "submitter", "extracted_subject", "extracted_event", "extracted_area") if c in multi.columns]
+    shown = written(multi.join(F.broadcast(groups.select("cluster_id")), "cluster_id", "left_semi").select(*needed))
     ranked = shown.withColumn("__r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("_seq"))).where(F.col("__r") <= SAMPLES)
     one = F.struct("__r", "order_id", truncate(F.col("content"), SAMPLE_CHARS).alias("content"))
     samples = ranked.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: F.struct(x["order_id"].alias("order_id"), x["content"].alias("content"))).alias("sample_orders"))

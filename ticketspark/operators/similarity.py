@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import char_ngrams, filled, normalize_request
+from ..sources.written import written
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -196,26 +196,15 @@ def sparse_pairs(vectors: DataFrame, min_cosine: float) -> DataFrame:
     return dots.where(F.col("similarity") >= min_cosine)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df read back from the shared checkpoint folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        return df.cache()
-    path = f"{folder.rstrip('/')}/labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected(pairs: DataFrame) -> DataFrame:
     """(node, component) of links (a, b): the least label of neighbours, and its label, until none changes."""
-    both = _written(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    labels = _written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    both = written(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         lower = labels.join(near, "node").select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = _written(lower.join(jump, "component").select("node", F.col("further").alias("component"), "was"))
+        after = written(lower.join(jump, "component").select("node", F.col("further").alias("component"), "was"))
         if not after.where("component <> was").limit(1).count():
             return after.select("node", "component")
         labels = after.select("node", "component")
