@@ -360,3 +360,32 @@ def test_batches(spark):
         assert numbers == list(range(len(numbers))) and all(len(batches[(b, n)]) == capacity for n in numbers[:-1])
     assert packing.pack(df.limit(0), "n", 100, 3).count() == 0
     assert {r.n: r.c for r in spark.createDataFrame([(1, " a  b\n"), (0, ""), (3, None)], "n int, t string").select("n", packing.count_words(F.col("t")).alias("c")).collect()} == {1: 2, 0: 0, 3: 0}
+
+
+def test_pseudonyms_of_marked_phones_cards_beside_numbers_and_timestamps(spark):
+    rows = [
+        "+1 (017) 555-7713 or +1 017-555-7713, (136) 555-7479, +15235551055; not 017-555-7713",
+        "4111 1111 1111 1111 05/27",
+        "order 12 4111 1111 1111 1111 and 1234-4111-1111-1111-1111-05",
+        "4111 1111 1111 1111 523-555-1055 2024-03-05, 4111111111111111 123",
+        "at 2024-03-05T10:00 and 2024-03-05 10:00, not 2024-03-05Tx",
+        "12 34 5678 9012 3456 7890, 3782 822463 10005 1",
+    ]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    n = [r.n_pii for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    assert n == [4, 1, 2, 4, 2, 1]
+    digits = lambda s: re.sub(r"\D", "", s)
+    a, b, c, d = re.fullmatch(r"(\+1 \(\d{3}\) \d{3}-\d{4}) or (\+1 \d{3}-\d{3}-\d{4}), (\(\d{3}\) \d{3}-\d{4}), (\+1\d{10}); not 017-555-7713", got[0]).groups()
+    assert digits(a) == digits(b) != "10175557713" and digits(a)[1] in "01" and c[1] in "01" and c != "(136) 555-7479" and d[2] not in "01"
+    card = got[1][:19]
+    assert re.fullmatch(r"\d{4}( \d{4}){3}", card) and card != rows[1][:19] and got[1][19:] == " 05/27"
+    assert got[2] == f"order 12 {card} and 1234-{card.replace(' ', '-')}-05"
+    assert got[3].startswith(card + " ") and got[3].endswith(f", {digits(card)} 123") and "523-555-1055" not in got[3] and "2024-03-05" not in got[3]
+    day = got[4][3:13]
+    assert day != "2024-03-05" and got[4] == f"at {day}T10:00 and {day} 10:00, not 2024-03-05Tx"
+    assert got[5].startswith("12 34 5678 9012 3456 7890, ") and got[5].endswith(" 1") and "822463" not in got[5]
+
+
+def test_low_area_codes_move_one_to_one(spark):
+    df = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("+1 ("), F.lpad(F.col("id").cast("string"), 3, "0"), F.lit(") 555-0000")).alias("text"))
+    assert len({r.text for r in pii.pseudonymise(df, "key").collect()}) == 200

@@ -11,15 +11,23 @@ ROUNDS = 8
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
-    "date": r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?!\w|[./-]\d)",
+    "date": r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?:(?=T\d{2}:?\d{2})|(?!\w|[./-]\d))",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d)",
-    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])\d{3}[ .-]\d{4}(?!\w|-\d)",
+    # +1 or brackets mark a number with any area code, others need one that is in use
+    "phone": r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}|(?:1[ .-]?)?(?:\(\d{3}\)[ .-]?|[2-9]\d{2}[ .-])\d{3}[ .-]\d{4})(?!\w|-\d)",
     "international": r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\d{2,4}){2,5}(?!\w|-\d)",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w|-\d)",
 }
 # only the pattern of dates has groups, so their numbers hold in the alternation too
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+#: Usual shapes of card numbers, of equal beginnings the longest first. One with a right Luhn sum is a card whatever numbers stand beside it.
+CARDS = [
+    *(rf"\d{{4}}(?:{sep}\d{{4}}){{3}}{more}" for sep in " -" for more in (rf"{sep}\d{{3}}", "")),
+    *(rf"\d{{4}}{sep}\d{{6}}{sep}\d{{{n}}}" for sep in " -" for n in (5, 4)),
+    r"(?<!-)\d{13,19}(?!-\d)",
+]
+
 #: The first day of the permuted range of dates, and its length as 270 * 271 days: to 2100-05-02.
 FIRST_DAY, DAYS = "1900-01-01", (270, 271)
 
@@ -83,9 +91,12 @@ def _card(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     d = F.right(_digits(m), F.lit(10))
-    out = feistel(_number(F.substr(d, F.lit(1), F.lit(3))) - 200, _number(F.substr(d, F.lit(4))), F.lit(800), F.lit(10_000_000), F.lit("phone"), key)
+    area = _number(F.substr(d, F.lit(1), F.lit(3)))
+    # area codes from 200 move among themselves, and so do those below, so each number still matches where it stands
+    first, codes = F.when(area < 200, 0).otherwise(200), F.when(area < 200, 200).otherwise(800)
+    out = feistel(area - first, _number(F.substr(d, F.lit(4))), codes, F.lit(10_000_000), F.lit("phone"), key)
     country = F.substr(_digits(m), F.lit(1), F.length(_digits(m)) - 10)
-    return _refill(m, F.concat(country, (out["l"] + 200).cast("string"), _pad(out["r"], 7)))
+    return _refill(m, F.concat(country, _pad(out["l"] + first, 3), _pad(out["r"], 7)))
 
 
 def _international(m: Column, key: str) -> Column:
@@ -160,7 +171,10 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     Found are e-mail addresses, IPv4 addresses, dates, phone numbers, US social
     security numbers and card numbers. A match counts only if it is valid: octets
     below 256, a real date from 1900-01-01 to 2100-05-02, card digits with a
-    right Luhn sum, and so on; other numbers are left alone. Each is replaced by a
+    right Luhn sum, and so on; other numbers are left alone. Phone numbers with
+    +1 or a bracketed area code may have any area code, others one from 200.
+    Cards of a usual shape are found first, also between other numbers; 13 to 19
+    digits in other groups are a card if they are one together. Each is replaced by a
     value of its own format, permuted by a Feistel network under key: equal
     values get equal pseudonyms in all documents, different values different
     ones, however a number's digits are separated. A card's new number has a right
@@ -172,13 +186,30 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """
     text = F.col("text").cast("string")
     some = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
-    found = F.when(some, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
-    changed = F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
-    held = docs.withColumn("__changed", changed)
-    any_new = F.exists("__changed", lambda x: x["new"].isNotNull())
-    pieces = F.zip_with(F.split(text, _ANY, -1), F.col("__changed"), lambda p, x: F.concat(p, F.coalesce(x["new"], x["old"], F.lit(""))))
-    count = F.coalesce(F.size(F.filter("__changed", lambda x: x["new"].isNotNull())), F.lit(0)).cast("long")
-    return held.withColumns({"n_pii": F.when(F.col("__changed").isNull(), F.lit(0)).otherwise(count).cast("long"), "text": F.when(any_new, F.array_join(pieces, "")).otherwise(text)}).drop("__changed")
+    shaped = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(rf"(?<!\w)(?=({p})(?!\w))"), F.lit(1)) for p in CARDS]))
+    cards = F.when(some & text.rlike("|".join(CARDS)), F.array_distinct(F.filter(shaped, lambda m: luhn_sum(_digits(m)) % 10 == 0)))
+    held = docs.withColumn("__cards", cards)
+    # digits, spaces and hyphens alone, so the found cards are a pattern themselves
+    card = F.concat(F.lit(r"(?<!\w)(?:"), F.array_join("__cards", "|"), F.lit(r")(?!\w)"))
+    with_cards = F.size("__cards") > 0
+    between = F.when(with_cards, F.split(text, card, -1)).when(some, F.array(text))
+    own = F.when(with_cards, F.regexp_extract_all(text, card, F.lit(0))).otherwise(F.array().cast("array<string>"))
+    held = held.withColumns({"__between": between, "__own": own})
+
+    same = lambda p: F.struct(p.alias("old"), F.lit(None).cast("string").alias("new"))
+    moved = lambda m, new: F.struct(m.alias("old"), new.alias("new"))
+
+    def parts(s: Column, i: Column) -> Column:
+        """Parts of the text between two cards, and the card after it."""
+        found = F.transform(F.regexp_extract_all(s, F.lit(_ANY), F.lit(0)), lambda m: moved(m, pseudonym(m, key)))
+        rest = F.flatten(F.zip_with(F.split(s, _ANY, -1), found, lambda p, x: F.array(same(p), F.coalesce(x, same(F.lit(""))))))
+        return F.concat(rest, F.transform(F.slice("__own", i + 1, 1), lambda m: moved(m, _card(m, key))))
+
+    held = held.withColumn("__parts", F.flatten(F.transform("__between", parts)))
+    count = F.coalesce(F.size(F.filter("__parts", lambda x: x["new"].isNotNull())), F.lit(0)).cast("long")
+    whole = F.array_join(F.transform("__parts", lambda x: F.coalesce(x["new"], x["old"])), "")
+    n_pii = F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(count).cast("long")
+    return held.withColumns({"n_pii": n_pii, "text": F.when(n_pii > 0, whole).otherwise(text)}).drop("__cards", "__between", "__own", "__parts")
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
