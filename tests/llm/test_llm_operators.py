@@ -389,3 +389,34 @@ def test_pseudonyms_of_marked_phones_cards_beside_numbers_and_timestamps(spark):
 def test_low_area_codes_move_one_to_one(spark):
     df = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("+1 ("), F.lpad(F.col("id").cast("string"), 3, "0"), F.lit(") 555-0000")).alias("text"))
     assert len({r.text for r in pii.pseudonymise(df, "key").collect()}) == 200
+
+
+def test_boundaries_of_many_lengths_are_those_of_the_plain_recurrence():
+    def plain(lengths, counts, buckets):
+        n, rows, tokens = len(lengths), np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(lengths * counts)))
+        cost, back = np.concatenate(([0], lengths * rows[1:] - tokens[1:])), [np.zeros(n + 1, int)]
+        for _ in range(1, min(buckets, n)):
+            after, cut = cost.copy(), np.zeros(n + 1, int)
+            for j in range(1, n + 1):
+                total = cost[:j] + lengths[j - 1] * (rows[j] - rows[:j]) - (tokens[j] - tokens[:j])
+                cut[j], after[j] = total.argmin(), total.min()
+            cost = after
+            back.append(cut)
+        ends, j = [], n
+        for cut in reversed(back):
+            if j:
+                ends.append(int(lengths[j - 1]))
+                j = cut[j]
+        return ends[::-1]
+
+    rng = np.random.default_rng(11)
+    for top, most, k in [(12, 3, 4)] * 200 + [(300, 2, 6)] * 20 + [(20_000, 50, 16)] * 3:
+        lengths = np.unique(rng.integers(0, top, min(top, 1500)))[:: rng.integers(1, 4)]
+        counts = rng.integers(1, most, len(lengths))
+        assert packing.best_boundaries(lengths, counts, k) == plain(lengths, counts, k)
+
+
+def test_a_long_row_does_not_coarsen_the_buckets(spark):
+    rows = [(i, 1 + i % 50) for i in range(500)] + [(900, 8705)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, n long"), "n", 16_384, 51).collect()
+    assert len(out) == len(rows) and sum(r.padding for r in out) == 0 and {r.bucket_len for r in out} == {n for _, n in rows}

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from .scratch import keep
 
-#: Different lengths in the histogram; beyond that, lengths are rounded up to a common multiple.
-MAX_LENGTHS = 4096
 #: Rows of a shard, inside which rows of a bucket are numbered.
 SHARD_ROWS = 50_000
 
@@ -30,26 +28,41 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
     n = len(lengths)
     if n == 0:
         return []
-    rows = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-    tokens = np.concatenate(([0], np.cumsum(lengths * counts, dtype=np.int64)))
+    # plain integers, which are exact however large the products get
+    size = [int(x) for x in lengths]
+    rows = [0, *np.cumsum(counts, dtype=np.int64).tolist()]
+    tokens = [0, *np.cumsum(np.asarray(lengths, np.int64) * counts, dtype=np.int64).tolist()]
     # cost[j]: least padding of the first j lengths with the buckets so far
-    cost = np.concatenate(([0], lengths * rows[1:] - tokens[1:]))
-    back = [np.zeros(n + 1, np.int64)]
+    cost = [0, *(size[j] * rows[j + 1] - tokens[j + 1] for j in range(n))]
+    back = [[0] * (n + 1)]
     for _ in range(1, min(buckets, n)):
-        after, cut = cost.copy(), np.zeros(n + 1, np.int64)
+        after, cut = cost.copy(), [0] * (n + 1)
+        # A last bucket from i to j pads size[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i]): for each i a line in
+        # size[j - 1], of falling slope. lines holds those that are the first of the lowest somewhere, from at on.
+        lines: list[int] = []
+        height, at = [c + t for c, t in zip(cost, tokens, strict=True)], 0
         for j in range(1, n + 1):
-            i = np.arange(j)
-            total = cost[:j] + lengths[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i])
-            cut[j] = int(total.argmin())
-            after[j] = total[cut[j]]
+            c = j - 1
+            while len(lines) >= 2:
+                a, b = lines[-2:]
+                if (height[b] - height[a]) * (rows[c] - rows[b]) < (height[c] - height[b]) * (rows[b] - rows[a]):
+                    break
+                lines.pop()
+            lines.append(c)
+            at = min(at, len(lines) - 1)
+            x = size[j - 1]
+            while at + 1 < len(lines) and height[lines[at + 1]] - x * rows[lines[at + 1]] < height[lines[at]] - x * rows[lines[at]]:
+                at += 1
+            cut[j] = lines[at]
+            after[j] = height[cut[j]] + x * (rows[j] - rows[cut[j]]) - tokens[j]
         cost = after
         back.append(cut)
     ends, j = [], n
     for cut in reversed(back):
         if j == 0:
             break
-        ends.append(int(lengths[j - 1]))
-        j = int(cut[j])
+        ends.append(size[j - 1])
+        j = cut[j]
     return ends[::-1]
 
 
@@ -57,9 +70,8 @@ def pack(docs: DataFrame, length: str, budget: int, buckets: int) -> DataFrame:
     """Add bucket, bucket_len, batch, slot and padding to docs by its column length.
 
     Boundaries are chosen by dynamic programming over the histogram of all
-    lengths up to budget, so that padding every row to bucket_len takes least;
-    with over 4096 different lengths, each is first rounded up to a multiple
-    of the least step that leaves as many. A bucket's batches hold budget //
+    lengths up to budget, so that padding every row to bucket_len takes least.
+    The driver gets at most budget + 1 lengths. A bucket's batches hold budget //
     bucket_len rows each, the last one maybe fewer. A row longer than
     the budget is whole in a batch of its own, in the bucket after the others,
     with its own length as bucket_len. slot is the place in the batch, from 0.
@@ -72,10 +84,8 @@ def pack(docs: DataFrame, length: str, budget: int, buckets: int) -> DataFrame:
     """
     spark = docs.sparkSession
     size = F.coalesce(F.col(length).cast("long"), F.lit(0))
-    total, most = docs.agg(F.count("*"), F.max(F.when(size <= budget, size))).first()
-    step = max(1, -(-(most or 0) // MAX_LENGTHS))
-    rounded = F.ceil(size / step) * step
-    histogram = docs.where(size <= budget).groupBy(rounded.alias("length")).agg(F.count("*").alias("n")).orderBy("length").collect()
+    total = docs.count()
+    histogram = docs.where(size <= budget).groupBy(size.alias("length")).agg(F.count("*").alias("n")).orderBy("length").collect()
     ends = best_boundaries(np.array([r["length"] for r in histogram], np.int64), np.array([r["n"] for r in histogram], np.int64), buckets)
 
     bucket, bucket_len = F.lit(len(ends)), size
