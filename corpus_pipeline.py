@@ -17,18 +17,18 @@ from ticketspark.llm.packing import count_words, pack
 from ticketspark.llm.pii import pseudonymise
 from ticketspark.llm.scratch import keep
 
-#: Share of a document's n-grams that its language must contain.
-MIN_LANGUAGE_SCORE = 0.1
 PII_KEY = "key of the production pipeline"
 BATCH_WORDS, BUCKETS = 16_384, 16
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters and ones that hardly have n-grams of any language; fill in a missing lang."""
+    """Drop documents without letters; fill in a missing lang where n-grams tell it. Without any lang to learn from, all documents stay."""
     third = F.crc32(F.col("doc_id").cast("string")) % 3
     model = fit(docs.where(third != 1).select(F.col("doc_id").alias("key"), "text", "lang"))
-    known = predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    if not model.languages:
+        return docs
+    known = predict(docs, model).where(F.col("lang_pred") != "und")
+    return known.withColumn("lang", F.coalesce("lang", F.when(F.col("score") > 0, F.col("lang_pred")))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,3 +23,13 @@ def test_stages_keep_clean_documents(spark, tmp_path):
     out = pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) == [*plain, 103]
     assert near_duplicates(docs, Plan(shingle=5)).where("not kept").count() == 0
+
+
+def test_language_id_drops_only_documents_without_letters(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, "some words of a long enough text", "en", "s", 0) for i in range(30)]
+    rows += [(100, "A.", "en", "s", 0), (101, "De.", None, "s", 0), (102, "слово", "ru", "s", 0), (103, "12 !", "en", "s", 0), (104, None, "en", "s", 0), (105, "long enough text", None, "s", 0)]
+    out = {r.doc_id: r.lang for r in pipeline.language_id(spark, spark.createDataFrame(rows, schema), "").collect()}
+    assert sorted(out) == [*range(30), 100, 101, 102, 105] and out[100] == "en" and out[101] is None and out[102] == "ru" and out[105] == "en"
+    unlabelled = [(i, t, None, s, n) for i, t, _, s, n in rows]
+    assert sorted(r.doc_id for r in pipeline.language_id(spark, spark.createDataFrame(unlabelled, schema), "").collect()) == sorted(r[0] for r in rows)
