@@ -420,3 +420,19 @@ def test_a_long_row_does_not_coarsen_the_buckets(spark):
     rows = [(i, 1 + i % 50) for i in range(500)] + [(900, 8705)]
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, n long"), "n", 16_384, 51).collect()
     assert len(out) == len(rows) and sum(r.padding for r in out) == 0 and {r.bucket_len for r in out} == {n for _, n in rows}
+
+
+def test_rare_kinds_of_abuse_get_terms(spark):
+    rng = random.Random(12)
+    text = lambda bad: " ".join([*(f"w{rng.randrange(4000)}" for _ in range(12)), bad, *(f"w{rng.randrange(4000)}" for _ in range(12))])
+    rows = [(i, text("canalla" if i < 9 else "scum" if i < 600 else "fine"), int(i < 600)) for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert {"canalla", "scum"} <= set(toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic")).words)
+
+
+def test_typographic_punctuation_parts_words():
+    texts = ["so “idiot” there", "go—idiot…", "«idiot»", "ümläut’idiot", "a ª\xadb"]
+    raw, at = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    x = toxicity.Model(words=["idiot"]).judge().features(raw, at)
+    assert (x[:, :2] > 0).tolist() == [[False, True], [True, False], [False, True], [True, False], [False, False]]
+    assert toxicity.split_words(raw, at).counts.tolist() == [3, 2, 1, 2, 2]

@@ -17,7 +17,8 @@ from .textops import U64, Words, chunks, small_batches
 
 #: Labelled rows that are learned from, as expected under hash sampling.
 TRAINING_ROWS = 20_000
-#: A term is in this share of the toxic training texts, and in three of them, and so many times as often as in others.
+#: A term is in three toxic training texts, and so many times as often as in others. It is also in this share of the toxic ones, or
+#: else less likely by chance than one of all terms is: so a kind of abuse that is rare among all can have terms.
 MIN_SHARE, MIN_TEXTS, MIN_RATIO = 0.02, 3, 20.0
 #: Lengths of word beginnings that may become terms.
 STEMS = range(4, 9)
@@ -36,6 +37,21 @@ QUOTES = [b'"', "«".encode(), "»".encode(), "“".encode(), "”".encode(), "
 FEATURES = 6
 
 
+def split_words(raw: np.ndarray, at: np.ndarray, hashes: bool = True) -> Words:
+    """Lowered words; typographic punctuation (U+00A0-00BF, U+2010-206F, U+3000-303F without letters and invisible signs) parts them too."""
+    high = np.flatnonzero((raw == 0xC2) | (raw == 0xE2) | (raw == 0xE3))
+    if len(high):
+        raw = np.array(raw)
+        ahead = np.concatenate((raw, np.zeros(2, np.uint8)))
+        lead, second, third = ahead[high], ahead[high + 1], ahead[high + 2]
+        two = high[(lead == 0xC2) & (second >= 0xA0) & (second <= 0xBF) & ~np.isin(second, [0xAA, 0xAD, 0xB5, 0xBA])]
+        general = (lead == 0xE2) & (((second == 0x80) & (third >= 0x90)) | ((second == 0x81) & (third <= 0x9F)))
+        three = high[general | ((lead == 0xE3) & (second == 0x80) & ~np.isin(third, [0x85, 0x86, 0x87]))]
+        for i in (two, two + 1, three, three + 1, three + 2):
+            raw[i] = 0x20
+    return Words(raw, at, WORD_TABLE, lower=True, hashes=hashes)
+
+
 def edits_allowed(term: str, stem: bool) -> int:
     """Edits that still count as the term: one from five letters (six for a beginning), two from ten."""
     n = len(term) - stem
@@ -156,7 +172,7 @@ class Judge:
 
     def features(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Logarithms of the numbers of terms and near misses outside and inside quotation, of different terms, and their share of all words."""
-        words = Words(raw, at, WORD_TABLE, lower=True)
+        words = split_words(raw, at)
         kinds = self._kinds(words) if len(words) else np.zeros(0, np.int8)
         hits = np.flatnonzero(kinds)
         counts = np.zeros((len(at) - 1, 4))
@@ -183,7 +199,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = []
         for lo, hi, raw, at in chunks(batch.column(0)):
-            words = Words(raw, at, WORD_TABLE, lower=True)
+            words = split_words(raw, at)
             start, h = words.windows(3)
             edge = np.searchsorted(start, words.offsets)
             for i in range(hi - lo):
@@ -198,7 +214,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         toxic = batch.column(1).to_pylist()
         for lo, hi, raw, at in chunks(batch.column(0)):
-            words = Words(raw, at, WORD_TABLE, lower=True, hashes=False)
+            words = split_words(raw, at, hashes=False)
             lowered = words.raw.tobytes()
             for i in range(hi - lo):
                 a, b = words.offsets[i], words.offsets[i + 1]
@@ -259,7 +275,12 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
     if toxic and other:
         counts = rows.mapInArrow(_count_terms, "term string, stem boolean, toxic long, other long").groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).persist()
         ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("other") + 0.5) / (other + 1))
-        often = counts.where((F.col("toxic") >= max(MIN_TEXTS, math.ceil(MIN_SHARE * toxic))) & (ratio >= MIN_RATIO) & (F.length("term") >= 3))
+        # bound of the chance that so many of a term's texts are toxic, as a logarithm
+        n, base = F.col("toxic") + F.col("other"), toxic / (toxic + other)
+        surprise = F.col("toxic") * F.log(F.col("toxic") / (n * base)) + F.when(F.col("other") > 0, F.col("other") * F.log(F.col("other") / (n * (1 - base)))).otherwise(0.0)
+        judged = max(1, counts.where(n >= MIN_TEXTS).count())
+        enough = (F.col("toxic") >= math.ceil(MIN_SHARE * toxic)) | (surprise >= math.log(judged))
+        often = counts.where((F.col("toxic") >= MIN_TEXTS) & enough & (ratio >= MIN_RATIO) & (F.length("term") >= 3))
         found = often.orderBy(F.desc("toxic"), "term").limit(MAX_TERMS).toPandas()
         words = dict(zip(found["term"][~found["stem"]], found["toxic"][~found["stem"]], strict=True))
         stems: list[str] = []
