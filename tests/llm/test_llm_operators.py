@@ -47,8 +47,8 @@ def none(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, key string, held_out boolean")
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near_duplicates_against_all_pairs(docs, size):
+@pytest.mark.parametrize(("size", "crowded"), [(2, 1 << 20), (5, 1 << 20), (2, 0)])
+def test_near_duplicates_against_all_pairs(docs, size, crowded):
     sets = {}
     for i, t in {(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None}:
         w = SPLIT.findall(lower(t or ""))
@@ -64,7 +64,7 @@ def test_near_duplicates_against_all_pairs(docs, size):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    got = near_duplicates.near_duplicates(docs, near_duplicates.Plan(shingle=size)).collect()
+    got = near_duplicates.near_duplicates(docs, near_duplicates.Plan(shingle=size, crowded=crowded)).collect()
     assert len(got) == docs.count()
     for r in got:
         if r.doc_id is None:
@@ -94,6 +94,22 @@ def test_sketch_bounds_hold():
     assert (keys[6] == keys[7]).any()
 
 
+def test_pairs_just_over_the_similarity_pass_bands_and_sketches():
+    rng = np.random.default_rng(21)
+    plan = near_duplicates.Plan()
+    lost = one_band = 0
+    for n in [40, 90, 200, 1000] * 100:
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n).astype(np.uint64))[:n]
+        gone = int(n * 0.19) // 2  # 0.81 in common, or a little more
+        (kx, ky), (x, y) = near_duplicates.signatures([np.sort(pool[: n - gone]), np.sort(pool[gone:])], plan)
+        shared = (kx == ky).sum()
+        odd = np.unpackbits((x ^ y).view(np.uint8)).reshape(2, -1).sum(1)
+        guess = 1 + plan.sketch_bits / (4 * plan.samples) * np.log(max(1e-9, 1 - 2 * odd[0] / plan.sketch_bits))
+        lost += shared == 0 or guess < plan.sketch_floor or 180 * odd[1] > 20 * 2 * (n - gone)
+        one_band += shared < 2
+    assert lost == 0 and one_band <= 1
+
+
 def test_top_k_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(150, 6)).round(1)
