@@ -15,11 +15,13 @@ from .scratch import keep
 from .textops import U64, Words, chunks, small_batches
 
 #: Hashes gathered by a map task before it sends them to their buckets.
-FLUSH = 1 << 19
-#: Buckets of hashes for each shuffle partition.
-BUCKETS_EACH = 8
+FLUSH = 1 << 20
+#: Bytes of text whose hashes go to one bucket, some five million words of them.
+BUCKET_BYTES = 32 << 20
+#: Buckets that a map task deals to. Where the corpus needs more, these are cut into finer ones where they have arrived.
+COARSE = 2048
 #: Document ids that are broadcast to keep other texts out of a shuffle; more ids are joined by shuffle alone.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1 << 20
 
 #: For each period, a cover: any two positions have a shift below the period that puts both into it. Fixed values.
 COVERS = {2: [0, 1], 3: [0, 1], 4: [0, 1, 2], 5: [0, 1, 2], 6: [0, 1, 3], 7: [0, 1, 3], 13: [0, 1, 3, 9]}
@@ -77,27 +79,30 @@ def _by_document(h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield int(doc[lo]), h[lo:hi].tobytes()
 
 
-def _send(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray, buckets: int, later: bool) -> pa.RecordBatch:
-    """What a map task says of its documents' hashes.
+def _send(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray, shared: np.ndarray, buckets: int, later: bool) -> pa.RecordBatch:
+    """What a task says of its documents' hashes, a row for each bucket and for each document with repeated ones.
 
     kind 0: a bucket's distinct hashes, each with its smallest document here and
-    whether another document has it. kind 1: a document's hashes that are known
-    to be repeated (later: in a document with a smaller id). So of a hash that
-    many of the task's documents have, one entry goes to its bucket.
+    whether another document has it, here or where it came from. kind 1: a
+    document's hashes that are known to be repeated (later: in a document with a
+    smaller id). So of a hash that many of the task's documents have, one entry
+    goes to its bucket.
     """
     order = np.lexsort((doc, h, bucket))
-    h, doc, bucket = h[order], doc[order], bucket[order]
+    h, doc, bucket, shared = h[order], doc[order], bucket[order], shared[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
+    shared = np.logical_or.reduceat(shared, np.flatnonzero(first))[np.cumsum(first) - 1]
     new = first.copy()
     new[1:] |= doc[1:] != doc[:-1]
-    h, doc, bucket, first = h[new], doc[new], bucket[new], first[new]
+    h, doc, bucket, first, shared = h[new], doc[new], bucket[new], first[new], shared[new]
     group = np.cumsum(first) - 1
     many = (np.bincount(group) > 1)[group]
     rows: list[tuple] = []
     known = many & ~first if later else many
     for d, x in _by_document(h[known], doc[known]):
         rows.append((1, d % buckets, x, np.int64(d).tobytes(), b""))
+    many |= shared
     h, doc, bucket, many = h[first], doc[first], bucket[first], many[first]
     order = np.lexsort((doc, bucket))
     h, doc, bucket, many = h[order], doc[order], bucket[order], many[order]
@@ -109,10 +114,45 @@ def _send(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray, buckets: int, late
 
 
 def _gather(parts: list, buckets: int, later: bool) -> pa.RecordBatch:
-    return _send(*(np.concatenate(x) for x in zip(*parts, strict=True)), buckets, later)
+    h, bucket, doc, *shared = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return _send(h, bucket, doc, shared[0] if shared else np.zeros(len(h), bool), buckets, later)
 
 
-def _send_anchors(window: int, buckets: int):
+def _arrived(hashes: list[bytes], docs: list[bytes], shared: list[bytes], dtype: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, documents and marks of rows of kind 0."""
+    blobs = [np.frombuffer(x, dtype) for x in hashes]
+    doc = np.concatenate([_unpack_ids(d, len(b)) for d, b in zip(docs, blobs, strict=True)])
+    mark = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(b)) if f else np.zeros(len(b), np.uint8) for f, b in zip(shared, blobs, strict=True)])
+    return np.concatenate(blobs), doc, mark.astype(bool)
+
+
+def _cut_finer(each: int, later: bool):
+    """Rows for coarse buckets, each cut into so many finer ones by the low bits of its hashes, which have 64 bits here."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            own = batch.column(0).to_numpy() == 0
+            ready = batch.filter(pa.array(~own))
+            if ready.num_rows:
+                yield ready
+            batch = batch.filter(pa.array(own))
+            for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                h, doc, mark = _arrived(*([x] for x in row), U64)
+                held.append((h, (bucket * each + (h % U64(each)).astype(np.int64)).astype(np.int32), doc, mark))
+                size += len(h)
+                if size >= FLUSH:
+                    yield _gather(held, each, later)
+                    held, size = [], 0
+        if size:
+            yield _gather(held, each, later)
+
+    return cut
+
+
+def _send_anchors(window: int, buckets: int, dtype: type):
+    """Anchors of rows (doc_id, text). The bucket is the top of the hash, so 32 other bits can stand for it there; a chance match only adds a candidate."""
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -120,8 +160,7 @@ def _send_anchors(window: int, buckets: int):
             for lo, _, raw, at in chunks(batch.column(1)):
                 words = Words(raw, at)
                 start, h = _anchors_of(words, window)
-                # the bucket is the top of the hash, 32 other bits stand for it there; a chance match only adds a candidate
-                held.append((h.astype(np.uint32), ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32), ids[lo + words.text[start]]))
+                held.append((h.astype(dtype), ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32), ids[lo + words.text[start]]))
                 size += len(h)
                 if size >= FLUSH:
                     yield _gather(held, buckets, False)
@@ -132,8 +171,8 @@ def _send_anchors(window: int, buckets: int):
     return send
 
 
-def _send_windows(window: int, buckets: int):
-    """Windows that hold a repeated anchor, of rows (doc_id, text, hashes)."""
+def _send_windows(window: int, buckets: int, dtype: type):
+    """Windows that hold a repeated anchor, of rows (doc_id, text, hashes), with anchors as dtype."""
     _, _, length = anchor_plan(window)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +186,9 @@ def _send_windows(window: int, buckets: int):
                 edge = np.searchsorted(owner, np.arange(hi - lo + 1))
                 change = np.zeros(len(words) + 1, np.int64)
                 for i in range(hi - lo):
-                    known = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in lists[lo + i]] or [np.zeros(0, np.uint32)])
+                    known = np.concatenate([np.frombuffer(x.as_buffer(), dtype) for x in lists[lo + i]] or [np.zeros(0, dtype)])
                     here = slice(edge[i], edge[i + 1])
-                    hit = start[here][np.isin(h[here].astype(np.uint32), known)]
+                    hit = start[here][np.isin(h[here].astype(dtype), known)]
                     # the windows around an anchor, as far as they are inside the text
                     np.add.at(change, np.maximum(hit + length - window, words.offsets[i]), 1)
                     np.add.at(change, hit + 1, -1)
@@ -169,20 +208,17 @@ def _send_windows(window: int, buckets: int):
     return send
 
 
-def _repeats(later: bool):
+def _repeats(later: bool, dtype: type):
     """Of a bucket, the repeated hashes of each document; what is known already is passed on."""
-    kind = U64 if later else np.uint32
 
     def repeats(pdf: pd.DataFrame) -> pd.DataFrame:
         ready = pdf[pdf["kind"] == 1]
         out = [(int(np.frombuffer(d, np.int64)[0]), x) for d, x in zip(ready["docs"], ready["hashes"], strict=True)]
         own = pdf[pdf["kind"] == 0]
         if len(own):
-            blobs = [np.frombuffer(x, kind) for x in own["hashes"]]
-            h = np.concatenate(blobs)
-            doc = np.concatenate([_unpack_ids(d, len(b)) for d, b in zip(own["docs"], blobs, strict=True)])
+            h, doc, shared = _arrived(own["hashes"], own["docs"], own["shared"], dtype)
             order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
+            h, doc, shared = h[order], doc[order], shared[order]
             first = np.ones(len(h), bool)
             first[1:] = h[1:] != h[:-1]
             begins = np.flatnonzero(first)
@@ -190,7 +226,6 @@ def _repeats(later: bool):
             if later:
                 known = doc > doc[begins][group]
             else:
-                shared = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(b)) for f, b in zip(own["shared"], blobs, strict=True)]).astype(bool)[order]
                 known = ((doc[begins] != doc[np.append(begins[1:], len(h)) - 1]) | np.logical_or.reduceat(shared, begins))[group]
             out += _by_document(h[known], doc[known])
         return pd.DataFrame(out, columns=["doc_id", "hashes"])
@@ -198,9 +233,19 @@ def _repeats(later: bool):
     return repeats
 
 
-def _repeated(docs: DataFrame, send, later: bool, tag: str) -> DataFrame:
-    """(doc_id, hashes array<binary>) of the documents with repeated hashes."""
-    found = docs.mapInArrow(send, SENT).groupBy("bucket").applyInPandas(_repeats(later), "doc_id long, hashes binary")
+def _repeated(docs: DataFrame, send, later: bool, buckets: int, coarse: int, tag: str) -> DataFrame:
+    """(doc_id, hashes array<binary>) of the documents with repeated hashes.
+
+    A map task sends a row to each bucket it has hashes for. Many tasks times
+    many buckets would be slivers, so beyond coarse buckets each is cut into
+    finer ones by the task that holds it.
+    """
+    each = -(-buckets // coarse)
+    dtype = U64 if later or each > 1 else np.uint32
+    sent = docs.mapInArrow(send, SENT)
+    if each > 1:
+        sent = sent.repartition(coarse, "bucket").mapInArrow(_cut_finer(each, later), SENT)
+    found = sent.groupBy("bucket").applyInPandas(_repeats(later, dtype), "doc_id long, hashes binary")
     return keep(found.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")), tag)
 
 
@@ -244,7 +289,7 @@ def _strip(window: int, give_text: bool):
     return strip
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, give_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, give_text: bool = True, bucket_bytes: int = BUCKET_BYTES, coarse: int = COARSE) -> DataFrame:
     """Remove words of windows that start in a document with a smaller doc_id too: doc_id, n_words, n_removed, kept.
 
     Words are [^\\x20\\x09-\\x0D]+ of docs (doc_id, text), unchanged; kept are the
@@ -257,6 +302,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, give_text: bool = True) ->
        tell each document which of its windows a smaller doc_id has.
     3. Documents concerned are read once more and lose those windows' words.
 
+    There is a bucket for each bucket_bytes of text, and one for each shuffle
+    partition at least, so what a task holds at once doesn't grow with the
+    corpus. Beyond coarse buckets, hashes are dealt in two steps.
+
     A null text has no words. Rows with a null doc_id lose nothing and take
     nothing from others. Rows that share a doc_id don't take words from each
     other; each is returned. Other columns are ignored; no rows give no rows.
@@ -264,10 +313,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, give_text: bool = True) ->
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    buckets = BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.where("doc_id is not null")
-    near = _repeated(named, _send_anchors(window, buckets), False, "anchors")
-    found = _repeated(_with_texts(named, near), _send_windows(window, buckets), True, "windows")
+    total = named.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
+    coarse = min(coarse, buckets)
+    dtype = np.uint32 if buckets == coarse else U64
+    near = _repeated(named, _send_anchors(window, coarse, dtype), False, buckets, coarse, "anchors")
+    found = _repeated(_with_texts(named, near), _send_windows(window, coarse, dtype), True, buckets, coarse, "windows")
 
     result = "doc_id long, n_words long, n_removed long, kept string"
     cut = keep(_with_texts(named, found).mapInArrow(_strip(window, give_text), result), "cut")
