@@ -186,7 +186,7 @@ def _send_windows(window: int, buckets: int, dtype: type):
                 edge = np.searchsorted(owner, np.arange(hi - lo + 1))
                 change = np.zeros(len(words) + 1, np.int64)
                 for i in range(hi - lo):
-                    known = np.concatenate([np.frombuffer(x.as_buffer(), dtype) for x in lists[lo + i]] or [np.zeros(0, dtype)])
+                    known = np.frombuffer(lists[lo + i].as_buffer(), dtype)
                     here = slice(edge[i], edge[i + 1])
                     hit = start[here][np.isin(h[here].astype(dtype), known)]
                     # the windows around an anchor, as far as they are inside the text
@@ -208,45 +208,71 @@ def _send_windows(window: int, buckets: int, dtype: type):
     return send
 
 
-def _repeats(later: bool, dtype: type):
-    """Of a bucket, the repeated hashes of each document; what is known already is passed on."""
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place (exclusive) of each run of equal values."""
+    begins = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return begins, np.append(begins[1:], len(x))
+
+
+def _repeats(later: bool, dtype: type, shards: int):
+    """Of a bucket, the repeated hashes of each document, a row for each shard of documents; what is known already is passed on."""
 
     def repeats(pdf: pd.DataFrame) -> pd.DataFrame:
         ready = pdf[pdf["kind"] == 1]
-        out = [(int(np.frombuffer(d, np.int64)[0]), x) for d, x in zip(ready["docs"], ready["hashes"], strict=True)]
+        blobs = [np.frombuffer(x, dtype) for x in ready["hashes"]]
+        found = [(x, np.repeat(np.frombuffer(d, np.int64), len(x))) for d, x in zip(ready["docs"], blobs, strict=True)]
         own = pdf[pdf["kind"] == 0]
         if len(own):
             h, doc, shared = _arrived(own["hashes"], own["docs"], own["shared"], dtype)
             order = np.lexsort((doc, h))
             h, doc, shared = h[order], doc[order], shared[order]
-            first = np.ones(len(h), bool)
-            first[1:] = h[1:] != h[:-1]
-            begins = np.flatnonzero(first)
-            group = np.cumsum(first) - 1
+            begins, ends = _runs(h)
+            group = np.repeat(np.arange(len(begins)), ends - begins)
             if later:
                 known = doc > doc[begins][group]
             else:
-                known = ((doc[begins] != doc[np.append(begins[1:], len(h)) - 1]) | np.logical_or.reduceat(shared, begins))[group]
-            out += _by_document(h[known], doc[known])
-        return pd.DataFrame(out, columns=["doc_id", "hashes"])
+                known = ((doc[begins] != doc[ends - 1]) | np.logical_or.reduceat(shared, begins))[group]
+            found.append((h[known], doc[known]))
+        h, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        shard = doc % shards
+        order = np.lexsort((doc, shard))
+        h, doc, shard = h[order], doc[order], shard[order]
+        out = []
+        for lo, hi in zip(*_runs(shard), strict=True):
+            begins, ends = _runs(doc[lo:hi])
+            out.append((int(shard[lo]), doc[lo:hi][begins].tobytes(), (ends - begins).astype(np.int32).tobytes(), h[lo:hi].tobytes()))
+        return pd.DataFrame(out, columns=["shard", "docs", "counts", "hashes"])
 
     return repeats
 
 
+def _by_shard(dtype: type):
+    """The repeated hashes of each document of a shard, from all buckets."""
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.int32)) for d, n in zip(pdf["docs"], pdf["counts"], strict=True)])
+        h = np.concatenate([np.frombuffer(x, dtype) for x in pdf["hashes"]])
+        return pd.DataFrame(list(_by_document(h, doc)), columns=["doc_id", "hashes"])
+
+    return gather
+
+
 def _repeated(docs: DataFrame, send, later: bool, buckets: int, coarse: int, tag: str) -> DataFrame:
-    """(doc_id, hashes array<binary>) of the documents with repeated hashes.
+    """(doc_id, hashes binary) of the documents with repeated hashes.
 
     A map task sends a row to each bucket it has hashes for. Many tasks times
     many buckets would be slivers, so beyond coarse buckets each is cut into
-    finer ones by the task that holds it.
+    finer ones by the task that holds it. Buckets answer to shards of documents,
+    again with a row for each, and shards tell the documents.
     """
     each = -(-buckets // coarse)
     dtype = U64 if later or each > 1 else np.uint32
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
     sent = docs.mapInArrow(send, SENT)
     if each > 1:
         sent = sent.repartition(coarse, "bucket").mapInArrow(_cut_finer(each, later), SENT)
-    found = sent.groupBy("bucket").applyInPandas(_repeats(later, dtype), "doc_id long, hashes binary")
-    return keep(found.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")), tag)
+    found = sent.groupBy("bucket").applyInPandas(_repeats(later, dtype, shards), "shard int, docs binary, counts binary, hashes binary")
+    return keep(found.groupBy("shard").applyInPandas(_by_shard(dtype), "doc_id long, hashes binary"), tag)
 
 
 def _with_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -271,7 +297,7 @@ def _strip(window: int, give_text: bool):
                     edge = np.searchsorted(start, words.offsets)
                     for i in range(hi - lo):
                         here = slice(edge[i], edge[i + 1])
-                        known = np.concatenate([np.frombuffer(x.as_buffer(), U64) for x in lists[lo + i]])
+                        known = np.frombuffer(lists[lo + i].as_buffer(), U64)
                         hit = start[here][np.isin(h[here], known)]
                         for j in range(window):
                             kept[hit + j] = False
