@@ -210,8 +210,8 @@ def _send_windows(window: int, buckets: int, dtype: type):
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last place (exclusive) of each run of equal values."""
-    begins = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
-    return begins, np.append(begins[1:], len(x))
+    edges = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else np.zeros(1, np.int64)
+    return edges[:-1], edges[1:]
 
 
 def _repeats(later: bool, dtype: type, shards: int):
