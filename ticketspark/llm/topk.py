@@ -15,17 +15,17 @@ from .scratch import keep
 CANDIDATE_ROWS, QUERY_ROWS, TILE = 4096, 2048, 512
 #: Bins of a histogram round.
 BINS = 256
-#: Packed queries of at most so many bytes are broadcast; more are paired with the candidates by shuffled blocks.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of queries in one pass, which are broadcast, and bytes of their counts, which a task holds. More queries take several passes.
+BROADCAST_BYTES, COUNT_BYTES = 32 << 20, 256 << 20
 
 PACKED = "dim int, ids binary, vectors binary"
 
 
 def integer_vectors(vectors: DataFrame, scale: float) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component as double; rows with a null or non-finite component, null vector or null id are left out."""
+    """(vec_id, v): floor(scale * x) of each component as double; rows with a null or non-finite component, null or empty vector or null id are left out."""
     x = F.col("embedding")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))
-    whole = vectors.where(x.isNotNull() & F.col("vec_id").isNotNull()).where(~F.coalesce(bad, F.lit(True)))
+    whole = vectors.where((F.size(x) > 0) & F.col("vec_id").isNotNull()).where(~F.coalesce(bad, F.lit(True)))
     return whole.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("double")).alias("v"))
 
 
@@ -52,9 +52,9 @@ def _pack(rows: int, state: bool):
 def _tiles(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Query ids, candidate ids and their scores, by tiles of candidates; a query's own row scores -inf."""
     queries, ids = (np.frombuffer(row[k], np.int64) for k in ("q_ids", "ids"))
-    q, v = (np.frombuffer(row[k], np.float64).reshape(-1, row["dim"]) for k in ("q_vectors", "vectors"))
+    q, v = (np.frombuffer(row[k], np.float64).reshape(-1, row["dim"]) for k in ("q_vectors", "vectors"))  # dim is 1 at least
     # every partial sum is at most the product of the norms, so it is a whole number that the type holds
-    most = np.sqrt((q * q).sum(1).max() * (v * v).sum(1).max()) if row["dim"] else 0
+    most = np.sqrt((q * q).sum(1).max() * (v * v).sum(1).max())
     if most < 1 << 24:
         q, v = q.astype(np.float32), v.astype(np.float32)
     elif most >= 1 << 53:
@@ -119,7 +119,7 @@ def _select():
     return select
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 64.0) -> DataFrame:
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 64.0, broadcast_bytes: int = BROADCAST_BYTES, count_bytes: int = COUNT_BYTES) -> DataFrame:
     """The k highest scores of each query against all vectors: query_id, rank, vec_id, score.
 
     vectors and queries have (vec_id, embedding); components are turned into
@@ -129,9 +129,11 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 6
 
     All scores are counted in a histogram of 256 bins for each query; the bin with
     the kth score is cut into 256 again until it holds one value. Then scores
-    above it are kept, and as many equal ones as are needed.
+    above it are kept, and as many equal ones as are needed. Queries beyond
+    broadcast_bytes, or with counts beyond count_bytes, are dealt by hash to
+    passes that run one after another, so neither grows with their number.
 
-    Null vectors and ones with null or non-finite components take no part, nor do
+    Null and empty vectors and ones with null or non-finite components take no part, nor do
     rows with a null id. A query scores only vectors of its own length. A query
     id that occurs more than once is asked with its least vector; vectors that
     occur more than once are each a candidate. Other columns are ignored.
@@ -141,19 +143,26 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 6
     asked = keep(integer_vectors(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     norm = F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     bound = int(np.sqrt((values.agg(norm).first()[0] or 0.0) * (asked.agg(norm).first()[0] or 0.0))) + 1
-    size = asked.agg(F.coalesce(F.sum(8 * F.size("v") + 40), F.lit(0))).first()[0]
-
-    def blocks(state: DataFrame) -> DataFrame:
-        """Every packed row of candidates beside every packed row of queries with their state."""
-        q = asked.join(state, "vec_id").select("vec_id", "v", "low", "width", "need")
-        q = q.mapInArrow(_pack(QUERY_ROWS, True), f"{PACKED}, low binary, width binary, need binary").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors", "dim": "q_dim"})
-        return packed.crossJoin(F.broadcast(q) if size <= BROADCAST_BYTES else q).where("dim = q_dim").drop("q_dim")
+    size, n = asked.agg(F.coalesce(F.sum(8 * F.size("v").cast("long") + 40), F.lit(0)), F.count("*")).first()
+    passes = max(1, -(-size // broadcast_bytes), -(-(n * BINS * 8) // count_bytes))
+
+    def over_passes(state: DataFrame, scored, schema: str, summed, tag: str) -> DataFrame:
+        """scored, by pass of queries, over every packed row of candidates beside every packed row of queries with their state."""
+        out = None
+        for i in range(passes):
+            q = asked.join(state, "vec_id").where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).select("vec_id", "v", "low", "width", "need")
+            q = q.mapInArrow(_pack(QUERY_ROWS, True), f"{PACKED}, low binary, width binary, need binary").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors", "dim": "q_dim"})
+            part = summed(packed.crossJoin(F.broadcast(q)).where("dim = q_dim").drop("q_dim").mapInArrow(scored, schema))
+            # a written pass frees its broadcast before the next one begins
+            part = keep(part, tag) if passes > 1 else part
+            out = part if out is None else out.union(part)
+        return out
 
     width, bins_used = -(-(2 * bound + 1) // BINS), BINS
     state = keep(asked.select("vec_id", F.lit(-bound).cast("long").alias("low"), F.lit(width).cast("long").alias("width"), F.lit(k).cast("long").alias("need")), "state")
     down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
     while True:
-        counts = blocks(state).mapInArrow(_histogram(bins_used), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        counts = over_passes(state, _histogram(bins_used), "query_id long, bin int, n long", lambda x: x.groupBy("query_id", "bin").agg(F.sum("n").alias("n")), "counts")
         counts = counts.withColumn("upto", F.sum("n").over(down)).join(state.withColumnRenamed("vec_id", "query_id"), "query_id")
         hit = counts.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
         narrower = max(1, -(-width // BINS))
@@ -164,7 +173,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 6
         if width == 1:
             break
         width, bins_used = narrower, -(-width // narrower)
-    best = blocks(state).mapInArrow(_select(), "query_id long, vec_id long, score long")
+    best = over_passes(state, _select(), "query_id long, vec_id long, score long", lambda x: x, "best")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
