@@ -10,9 +10,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import keep
 from .textops import U64, Words, chunks, small_batches
 
 #: Labelled rows that are learned from, as expected under hash sampling.
@@ -24,10 +25,13 @@ MIN_SHARE, MIN_TEXTS, MIN_RATIO = 0.02, 3, 20.0
 STEMS = range(4, 9)
 #: A beginning becomes a term if so many times as many toxic texts have it as any one word with it.
 STEM_GAIN = 1.5
-#: Terms that are kept, those in most toxic texts first.
+#: A family is a beginning that marks a text by several different words with it. Two toxic training texts or more have two such words, and
+#: so many times as often as others; such words are so many times as frequent in toxic texts; and chance makes none so frequent among all.
+FAMILY_TEXTS, FAMILY_RATIO, FAMILY_RATE = 2, 8.0, 5.0
+#: Terms that are kept, those in most toxic texts first, and families, the surest first.
 MAX_TERMS = 2000
-#: Words on each side of a hit in which quotation marks are looked for.
-WINDOW = 8
+#: Words on each side of a hit in which quotation marks are looked for, and what a hit between such counts, where others count 1.
+WINDOW, QUOTED = 8, 0.1
 #: Judged words that a worker remembers.
 REMEMBERED = 1 << 20
 
@@ -133,10 +137,11 @@ class FuzzyTrie:
 
 @dataclass
 class Model:
-    """Learned terms, near misses that harmless texts use, and the weights of the features."""
+    """Learned terms and families, near misses that harmless texts use, and the weights of the features."""
 
     words: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
+    families: list[str] = field(default_factory=list)
     harmless: frozenset[str] = frozenset()
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
 
@@ -148,11 +153,11 @@ class Judge:
     """Scores texts; remembers the words it has judged."""
 
     def __init__(self, model: Model):
-        self.model, self.trie = model, FuzzyTrie(model.words, model.stems)
+        self.model, self.trie, self.families = model, FuzzyTrie(model.words, model.stems), tuple(model.families)
         self.known, self.verdict = np.zeros(0, U64), np.zeros(0, np.int8)
 
     def _kinds(self, words: Words) -> np.ndarray:
-        """For each word: 1 a term, 2 a near miss, 0 neither."""
+        """For each word: 1 a term, 2 a near miss, 3 of a family, 0 none of these."""
         hashes, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
         seen = self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), bool)
@@ -160,8 +165,8 @@ class Judge:
         kinds[seen] = self.verdict[at[seen]]
         for i in np.flatnonzero(~seen):
             w = words.raw[words.starts[first[i]] : words.ends[first[i]]].tobytes().decode("utf-8", "replace")
-            d = self.trie.distance(w)
-            kinds[i] = 0 if d > 2 or (d and w in self.model.harmless) else 1 if d == 0 else 2
+            d = 9 if w.startswith(self.families) else self.trie.distance(w)
+            kinds[i] = 3 if w.startswith(self.families) else 0 if d > 2 or (d and w in self.model.harmless) else 1 if d == 0 else 2
         if len(self.known) + int((~seen).sum()) > REMEMBERED:
             self.known, self.verdict = hashes, kinds
         elif not seen.all():
@@ -171,23 +176,29 @@ class Judge:
         return kinds[back]
 
     def features(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Logarithms of the numbers of terms and near misses outside and inside quotation, of different terms, and their share of all words."""
+        """Logarithms of the numbers of terms, of near misses and of different ones of both, of their share of all words, and of family words
+        beyond the first and their share. A hit between quotation marks counts little: who quotes a word seldom means it."""
         words = split_words(raw, at)
         kinds = self._kinds(words) if len(words) else np.zeros(0, np.int8)
-        hits = np.flatnonzero(kinds)
-        counts = np.zeros((len(at) - 1, 4))
-        different: list[set] = [set() for _ in range(len(at) - 1)]
-        for i in hits:
-            text = words.text[i]
+        n = len(at) - 1
+        counts = np.zeros((n, 3))
+        # the most that an occurrence of each different word counts
+        different: list[tuple[dict, dict]] = [({}, {}) for _ in range(n)]
+        for i in np.flatnonzero(kinds):
+            text, kind = words.text[i], kinds[i]
             lo, hi = max(i - WINDOW, words.offsets[text]), min(i + WINDOW, words.offsets[text + 1] - 1)
             begin = at[text] if lo == words.offsets[text] else words.starts[lo]
             end = at[text + 1] if hi == words.offsets[text + 1] - 1 else words.ends[hi]
             before, after = raw[begin : words.starts[i]].tobytes(), raw[words.ends[i] : end].tobytes()
-            quoted = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
-            counts[text, 2 * (kinds[i] == 2) + quoted] += 1
-            different[text].add(words.hash[i])
+            weight = QUOTED if any(q in before for q in QUOTES) and any(q in after for q in QUOTES) else 1.0
+            counts[text, kind - 1] += weight
+            own = different[text][int(kind == 3)]
+            own[words.hash[i]] = max(weight, own.get(words.hash[i], 0))
         total = np.maximum(1, words.counts)
-        return np.column_stack((np.log1p(counts), np.log1p([len(x) for x in different]), np.log1p(100 * counts.sum(1) / total)))
+        terms, family = (np.array([sum(x[k].values()) for x in different], float) for k in (0, 1))
+        more = np.maximum(0, family - 1)
+        columns = [counts[:, 0], counts[:, 1], terms, 100 * counts[:, :2].sum(1) / total, more, 100 * np.where(more > 0, counts[:, 2], 0) / total]
+        return np.log1p(np.column_stack(columns))
 
     def score(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         z = self.features(raw, at) @ self.model.weights[1:] + self.model.weights[0]
@@ -208,10 +219,14 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], ["text", "toxic", "key"])
 
 
+COUNTS = ["toxic", "other", "toxic_twice", "other_twice", "toxic_words", "other_words"]
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers of toxic and of other texts, of rows (text, toxic), with each word and each beginning."""
+    """Of rows (text, toxic), for each word and each beginning, numbers of toxic and of other texts: with it, with two different words of
+    that beginning, and the sum of such words over all texts. The empty beginning stands for all words."""
     for batch in batches:
-        counts: Counter = Counter()
+        counts: dict[tuple[str, bool], list[int]] = {}
         toxic = batch.column(1).to_pylist()
         for lo, hi, raw, at in chunks(batch.column(0)):
             words = split_words(raw, at, hashes=False)
@@ -219,14 +234,29 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(hi - lo):
                 a, b = words.offsets[i], words.offsets[i + 1]
                 own = {lowered[s:e].decode("utf-8", "replace") for s, e in zip(words.starts[a:b], words.ends[a:b], strict=True)}
-                t = bool(toxic[lo + i])
-                counts.update((w, False, t) for w in own)
-                counts.update((s, True, t) for s in {w[:n] for w in own for n in STEMS if len(w) > n})
+                other = int(not toxic[lo + i])
+                begun = Counter(w[:n] for w in own for n in STEMS if len(w) > n)
+                begun[""] = len(own)
+                for w in own:
+                    counts.setdefault((w, False), [0] * 6)[other] += 1
+                for s, n in begun.items():
+                    x = counts.setdefault((s, True), [0] * 6)
+                    x[other] += 1
+                    x[2 + other] += n > 1
+                    x[4 + other] += n
         keys = list(counts)
-        yield pa.record_batch(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys]), pa.array([counts[k] if k[2] else 0 for k in keys], pa.int64()), pa.array([0 if k[2] else counts[k] for k in keys], pa.int64())],
-            ["term", "stem", "toxic", "other"],
-        )
+        numbers = np.array([counts[k] for k in keys], np.int64).reshape(-1, 6)
+        yield pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), *map(pa.array, numbers.T)], ["term", "stem", *COUNTS])
+
+
+def _surprise(a: Column, b: Column, base: float) -> Column:
+    """Bound of the chance that a of a + b fall to where a share of base is expected, as a logarithm turned positive."""
+    n = a + b
+    return F.when(a > 0, a * F.log(a / (n * base))).otherwise(0.0) + F.when(b > 0, b * F.log(b / (n * (1 - base)))).otherwise(0.0)
+
+
+def _ratio(a: Column, b: Column, all_a: int, all_b: int) -> Column:
+    return (a + 0.5) / (all_a + 1) / ((b + 0.5) / (all_b + 1))
 
 
 def _near(words: list[str], stems: list[str]):
@@ -260,7 +290,9 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
     hash of doc_id are taken, training_rows on average, so the joined ids, the
     candidate terms and the features that reach the driver are bounded.
     Near copies count mostly once, as a group of them would make all its words
-    terms. Without both kinds of label the model has no terms and scores 0.
+    terms; the least of their texts is taken, so the model doesn't depend on the
+    order of rows. Languages are not told apart: a family that two toxic texts of
+    a rare language share can be sure enough. Without both kinds of label the model has no terms and scores 0.
     """
     small_batches(docs.sparkSession)
     asked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -268,26 +300,37 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
     if total > training_rows:
         asked = asked.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)) < int(training_rows / total * (1 << 30)))
     rows = docs.where("text is not null").join(F.broadcast(asked), "doc_id").select(F.col("text").cast("string").alias("text"), "toxic")
-    rows = rows.mapInArrow(_keyed, "text string, toxic int, key long").dropDuplicates(["key", "toxic"]).select("text", "toxic").persist()
+    rows = rows.mapInArrow(_keyed, "text string, toxic int, key long").groupBy("key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    rows = keep(rows, "training")
     by_label = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, other = by_label.get(1, 0), by_label.get(0, 0)
     model = Model(weights=np.concatenate(([-30.0], np.zeros(FEATURES))))
     if toxic and other:
-        counts = rows.mapInArrow(_count_terms, "term string, stem boolean, toxic long, other long").groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).persist()
-        ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("other") + 0.5) / (other + 1))
-        # bound of the chance that so many of a term's texts are toxic, as a logarithm
-        n, base = F.col("toxic") + F.col("other"), toxic / (toxic + other)
-        surprise = F.col("toxic") * F.log(F.col("toxic") / (n * base)) + F.when(F.col("other") > 0, F.col("other") * F.log(F.col("other") / (n * (1 - base)))).otherwise(0.0)
-        judged = max(1, counts.where(n >= MIN_TEXTS).count())
-        enough = (F.col("toxic") >= math.ceil(MIN_SHARE * toxic)) | (surprise >= math.log(judged))
-        often = counts.where((F.col("toxic") >= MIN_TEXTS) & enough & (ratio >= MIN_RATIO) & (F.length("term") >= 3))
-        found = often.orderBy(F.desc("toxic"), "term").limit(MAX_TERMS).toPandas()
+        counted = rows.mapInArrow(_count_terms, "term string, stem boolean, " + ", ".join(f"{c} long" for c in COUNTS))
+        counts = keep(counted.groupBy("term", "stem").agg(*[F.sum(c).alias(c) for c in COUNTS]), "terms")
+        c = {x: F.col(x) for x in COUNTS}
+        told = counts.where("term <> ''").agg(F.count_if(c["toxic"] + c["other"] >= MIN_TEXTS), F.count_if(F.col("stem") & (c["toxic_words"] + c["other_words"] >= 3))).first()
+        words_of = counts.where("stem and term = ''").select("toxic_words", "other_words").first() or (0, 0)
+        counts = counts.where(F.length("term") >= 3)
+
+        sure = _surprise(c["toxic_words"], c["other_words"], (words_of[0] + 1) / (sum(words_of) + 2))
+        family = F.col("stem") & (c["toxic_twice"] >= FAMILY_TEXTS) & (_ratio(c["toxic_twice"], c["other_twice"], toxic, other) >= FAMILY_RATIO)
+        family &= (_ratio(c["toxic_words"], c["other_words"], *words_of) >= FAMILY_RATE) & (sure >= math.log(max(1, told[1])))
+        for row in counts.where(family).select("term", sure.alias("sure")).orderBy(F.desc("sure"), F.length("term"), "term").limit(MAX_TERMS).collect():
+            if not any(row["term"].startswith(x) or x.startswith(row["term"]) for x in model.families):
+                model.families.append(row["term"])
+        apart = lambda w: not w.startswith(tuple(model.families))
+
+        ratio = _ratio(c["toxic"], c["other"], toxic, other)
+        enough = (c["toxic"] >= math.ceil(MIN_SHARE * toxic)) | (_surprise(c["toxic"], c["other"], toxic / (toxic + other)) >= math.log(max(1, told[0])))
+        often = counts.where((c["toxic"] >= MIN_TEXTS) & enough & (ratio >= MIN_RATIO))
+        found = often.orderBy(F.desc("toxic"), "term", "stem").limit(MAX_TERMS).toPandas()
         words = dict(zip(found["term"][~found["stem"]], found["toxic"][~found["stem"]], strict=True))
         stems: list[str] = []
         for stem, n in sorted(zip(found["term"][found["stem"]], found["toxic"][found["stem"]], strict=True), key=lambda x: (len(x[0]), x[0])):
-            if not stem.startswith(tuple(stems)) and n >= STEM_GAIN * max([c for w, c in words.items() if w.startswith(stem)], default=0):
+            if apart(stem) and not stem.startswith(tuple(stems)) and n >= STEM_GAIN * max([x for w, x in words.items() if w.startswith(stem)], default=0):
                 stems.append(stem)
-        model.words, model.stems = sorted(w for w in words if not w.startswith(tuple(stems))), stems
+        model.words, model.stems = sorted(w for w in words if apart(w) and not w.startswith(tuple(stems))), stems
         near = counts.where(~F.col("stem") & (F.col("other") > 0) & (ratio < MIN_RATIO)).select("term").mapInArrow(_near(model.words, stems), "term string")
         model.harmless = frozenset(r["term"] for r in near.collect())
         shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -301,8 +344,6 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
 
         table: pd.DataFrame = rows.mapInArrow(features, "toxic int, " + ", ".join(f"x{i} double" for i in range(FEATURES))).toPandas()
         model.weights = _logistic(table.iloc[:, 1:].to_numpy(float), table["toxic"].to_numpy(float))
-        counts.unpersist()
-    rows.unpersist()
     return model
 
 
