@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: The session's setting that holds the key of the pseudonyms.
+KEY_SETTING = "spark.ticketspark.pii.key"
 
 #: What may be personal data, first match first. Each is validated before it is changed.
 PATTERNS = {
@@ -15,8 +19,9 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d)",
     # +1 or brackets mark a number with any area code, others need one that is in use
     "phone": r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}|(?:1[ .-]?)?(?:\(\d{3}\)[ .-]?|[2-9]\d{2}[ .-])\d{3}[ .-]\d{4})(?!\w|-\d)",
-    "international": r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\d{2,4}){2,5}(?!\w|-\d)",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w|-\d)",
+    # unbroken up to 15 digits, else up to 13, so that the next number seldom counts as a part
+    "international": r"(?<![\w+])\+[2-9](?:\d{7,14}|(?:[ .-]?\d){7,12})(?!\w|-\d)",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
 }
 # only the pattern of dates has groups, so their numbers hold in the alternation too
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -27,9 +32,22 @@ CARDS = [
     *(rf"\d{{4}}{sep}\d{{6}}{sep}\d{{{n}}}" for sep in " -" for n in (5, 4)),
     r"(?<!-)\d{13,19}(?!-\d)",
 ]
+#: A whole run of 13 to 19 digits in any groups.
+RUN = r"(?<![\w-])(?<!\d )\d(?:[ -]?\d){12,18}(?![ -]?\d)(?!\w)"
 
 #: The first day of the permuted range of dates, and its length as 270 * 271 days: to 2100-05-02.
 FIRST_DAY, DAYS = "1900-01-01", (270, 271)
+#: Times a date is permuted again while it is on the other side of the 12th; that it never gets back has a chance of 10**-26.
+WALKS = 64
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in the setting KEY_SETTING. A session without one draws a key of its own: pseudonyms then agree within that session alone."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        found = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, found)
+    return found
 
 
 def _number(s: Column) -> Column:
@@ -122,21 +140,45 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Year first or last. With the year last and slashes, a first field up to 12 is the month, else the day."""
+    """Year first or last. With the year last and slashes, a first field up to 12 is the month, else the day.
+
+    Days after the 12th move among themselves, and so do the others: so a slashed
+    date with its day first still shows that it has, and different dates stay different.
+    """
     sep = F.regexp_extract(m, r"[-/.]", 0)
     field = lambda i: F.get(F.split(m, r"[-/.]"), i)
     year_first = F.length(field(0)) == 4
     month_first = ~year_first & (sep == "/") & (_number(field(0)) <= 12)
     y, mo, d = F.when(year_first, field(0)).otherwise(field(2)), F.when(month_first, field(0)).otherwise(field(1)), F.when(year_first, field(2)).when(month_first, field(1)).otherwise(field(0))
     day = F.datediff(F.try_to_date(F.concat_ws("-", y, mo, d), "yyyy-M-d"), F.lit(FIRST_DAY).cast("date"))
-    out = feistel(F.floor(day / DAYS[1]), day % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), F.lit("date"), key)
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), (out["l"] * DAYS[1] + out["r"]).cast("int"))
+
+    def moved(n: Column) -> Column:
+        out = feistel(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), F.lit("date"), key)
+        return (out["l"] * DAYS[1] + out["r"]).cast("int")
+
+    on = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n)
+    late = _number(d) > 12
+    new = on(F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), moved(day), lambda n, _: F.when((F.day(on(n)) > 12) == late, n).otherwise(moved(n))))
     wide = (F.length(mo) == 2) & (F.length(d) == 2)
     y, mo, d = F.year(new).cast("string"), F.when(wide, _pad(F.month(new), 2)).otherwise(F.month(new).cast("string")), F.when(wide, _pad(F.day(new), 2)).otherwise(F.day(new).cast("string"))
     text = F.when(year_first, F.concat(y, sep, mo, sep, d)).when(month_first, F.concat(mo, sep, d, sep, y)).otherwise(F.concat(d, sep, mo, sep, y))
     return F.when(day.between(0, DAYS[0] * DAYS[1] - 1), text)
 
 
+def _iban(m: Column, key: str) -> Column:
+    """Country and letters stay, digits after the check digits are permuted, and the check digits are made anew."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    country, own = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
+    rest = lambda x: F.aggregate(
+        F.filter(F.split(x, ""), lambda c: c != ""), F.lit(0), lambda acc, c: F.when(c.rlike("[0-9]"), acc * 10 + c.try_cast("int")).otherwise(acc * 100 + F.ascii(c) - 55) % 97
+    )
+    digits = _permute_digits(_digits(own), "iban", key)
+    moved = _refill(own, digits)
+    check = _pad(98 - rest(F.concat(moved, country, F.lit("00"))), 2)
+    valid = (rest(F.concat(own, country, F.substr(plain, F.lit(3), F.lit(2)))) == 1) & (F.length(_digits(own)) >= 2)
+    return F.when(valid, _refill(m, F.concat(check, digits)))
+
+
 def _email(m: Column, key: str) -> Column:
     """Letters and digits before the @ move within their class; the domain and other signs stay."""
     local, domain = F.substring_index(m, "@", 1), F.lower(F.substring_index(m, "@", -1))
@@ -158,27 +200,53 @@ def _email(m: Column, key: str) -> Column:
 
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of a match of any pattern, or null if the match isn't valid."""
-    kinds = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "international": _international, "card": _card}
+    kinds = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "international": _international, "iban": _iban}
     out = F.lit(None).cast("string")
     for name in reversed(kinds):
         out = F.when(m.rlike(f"^(?:{PATTERNS[name]})$"), kinds[name](m, key)).otherwise(out)
     return out
 
 
+def _same(text: Column) -> Column:
+    return F.struct(text.alias("old"), F.lit(None).cast("string").alias("new"))
+
+
+def _moved(text: Column, new: Column) -> Column:
+    return F.struct(text.alias("old"), new.alias("new"))
+
+
+def _between(rest: Column, found: Column) -> Column:
+    """What stands between, and what was found after each."""
+    return F.flatten(F.zip_with(rest, found, lambda p, x: F.array(_same(p), F.coalesce(x, _same(F.lit(""))))))
+
+
+def _cut_out(text: Column, cards: Column, key: str) -> Column:
+    """text in parts, with the cards, which are digits, spaces and hyphens alone and so a pattern themselves, replaced."""
+    card = F.concat(F.lit(r"(?<!\w)(?:"), F.array_join(cards, "|"), F.lit(r")(?!\w)"))
+    return _between(F.split(text, card, -1), F.transform(F.regexp_extract_all(text, card, F.lit(0)), lambda m: _moved(m, _card(m, key))))
+
+
+def _further(parts: Column, cut) -> Column:
+    """Parts that are not replaced yet, cut into further ones."""
+    return F.flatten(F.transform(parts, lambda p: F.when(p["new"].isNotNull(), F.array(p)).otherwise(cut(p["old"]))))
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """Replace personal data in the column text of docs; n_pii counts the replacements. All other columns stay.
 
     Found are e-mail addresses, IPv4 addresses, dates, phone numbers, US social
-    security numbers and card numbers. A match counts only if it is valid: octets
-    below 256, a real date from 1900-01-01 to 2100-05-02, card digits with a
-    right Luhn sum, and so on; other numbers are left alone. Phone numbers with
+    security numbers, IBANs and card numbers. A match counts only if it is valid:
+    octets below 256, a real date from 1900-01-01 to 2100-05-02, a right check sum
+    of cards and IBANs, and so on; other numbers are left alone. Phone numbers with
     +1 or a bracketed area code may have any area code, others one from 200.
-    Cards of a usual shape are found first, also between other numbers; 13 to 19
-    digits in other groups are a card if they are one together. Each is replaced by a
+    Cards of a usual shape are found first, also between other numbers; then the
+    other kinds; then, in what is left, whole runs of 13 to 19 digits in other
+    groups. So no run of digits hides what stands in it. Each is replaced by a
     value of its own format, permuted by a Feistel network under key: equal
     values get equal pseudonyms in all documents, different values different
-    ones, however a number's digits are separated. A card's new number has a right
-    Luhn sum too.
+    ones, however a number's digits are separated. A card's or an IBAN's new
+    number has a right check sum too. The key is part of the plan, so keep
+    plans and event logs as private as the key.
 
     A null text stays null, with n_pii 0; other columns may hold nulls, rows may
     repeat, and texts are read whole. A column named n_pii is replaced. An empty
@@ -186,33 +254,25 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """
     text = F.col("text").cast("string")
     some = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
+    valid = lambda found: F.array_distinct(F.filter(found, lambda m: luhn_sum(_digits(m)) % 10 == 0))
     shaped = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(rf"(?<!\w)(?=({p})(?!\w))"), F.lit(1)) for p in CARDS]))
-    cards = F.when(some & text.rlike("|".join(CARDS)), F.array_distinct(F.filter(shaped, lambda m: luhn_sum(_digits(m)) % 10 == 0)))
-    held = docs.withColumn("__cards", cards)
-    # digits, spaces and hyphens alone, so the found cards are a pattern themselves
-    card = F.concat(F.lit(r"(?<!\w)(?:"), F.array_join("__cards", "|"), F.lit(r")(?!\w)"))
-    with_cards = F.size("__cards") > 0
-    between = F.when(with_cards, F.split(text, card, -1)).when(some, F.array(text))
-    own = F.when(with_cards, F.regexp_extract_all(text, card, F.lit(0))).otherwise(F.array().cast("array<string>"))
-    held = held.withColumns({"__between": between, "__own": own})
-
-    same = lambda p: F.struct(p.alias("old"), F.lit(None).cast("string").alias("new"))
-    moved = lambda m, new: F.struct(m.alias("old"), new.alias("new"))
-
-    def parts(s: Column, i: Column) -> Column:
-        """Parts of the text between two cards, and the card after it."""
-        found = F.transform(F.regexp_extract_all(s, F.lit(_ANY), F.lit(0)), lambda m: moved(m, pseudonym(m, key)))
-        rest = F.flatten(F.zip_with(F.split(s, _ANY, -1), found, lambda p, x: F.array(same(p), F.coalesce(x, same(F.lit(""))))))
-        return F.concat(rest, F.transform(F.slice("__own", i + 1, 1), lambda m: moved(m, _card(m, key))))
-
-    held = held.withColumn("__parts", F.flatten(F.transform("__between", parts)))
+    held = docs.withColumn("__cards", F.when(some & text.rlike("|".join(CARDS)), valid(shaped)))
+    parts = F.when(F.size("__cards") > 0, _cut_out(text, F.col("__cards"), key)).when(some, F.array(_same(text)))
+
+    def runs(s: Column) -> Column:
+        cards = valid(F.regexp_extract_all(s, F.lit(RUN), F.lit(0)))
+        # a lambda's argument, so that the runs are looked for once
+        return F.when(s.rlike(RUN), F.flatten(F.transform(F.array(cards), lambda x: F.when(F.size(x) > 0, _cut_out(s, x, key)).otherwise(F.array(_same(s)))))).otherwise(F.array(_same(s)))
+
+    rest = lambda s: _between(F.split(s, _ANY, -1), F.transform(F.regexp_extract_all(s, F.lit(_ANY), F.lit(0)), lambda m: _moved(m, pseudonym(m, key))))
+    held = held.withColumn("__parts", _further(_further(parts, rest), runs))
     count = F.coalesce(F.size(F.filter("__parts", lambda x: x["new"].isNotNull())), F.lit(0)).cast("long")
     whole = F.array_join(F.transform("__parts", lambda x: F.coalesce(x["new"], x["old"])), "")
     n_pii = F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(count).cast("long")
-    return held.withColumns({"n_pii": n_pii, "text": F.when(n_pii > 0, whole).otherwise(text)}).drop("__cards", "__between", "__own", "__parts")
+    return held.withColumns({"n_pii": n_pii, "text": F.when(n_pii > 0, whole).otherwise(text)}).drop("__cards", "__parts")
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
     """All documents with their personal data replaced."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs, "key of the production query").select("doc_id", "text", "n_pii")
+    return pseudonymise(docs, session_key(spark)).select("doc_id", "text", "n_pii")
