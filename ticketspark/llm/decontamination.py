@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from .scratch import keep
 from .textops import small_batches
 
 #: Bytes that are part of a word once A-Z are lower-cased: 0-9, a-z and everything beyond ASCII.
@@ -19,8 +22,10 @@ WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
 #: One byte to one byte: A-Z lower-cased, every separator a space. Offsets stay those of the UTF-8 text.
 NORMAL = bytes(b if b in WORD_BYTES else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
-#: Item texts of at most so many bytes go into one broadcast automaton; more items take several scans.
-AUTOMATON_BYTES = 16 << 20
+#: Item texts of at most so many bytes go into one automaton: so few that each different word can be one character of it.
+AUTOMATON_BYTES = 4 << 20
+#: Automata that a scan runs one after another. With more, rows are written with their hits, and scanned again.
+CHAINED = 4
 
 #: What a scan says of a row: words, indexes of hit words, items with a window there, hit runs as bytes of the text as given.
 HITS = StructType([
@@ -36,44 +41,113 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).split()
 
 
-def automaton(items: list[tuple[int, str | None]], size: int):
-    """An automaton over the windows of size words of all items, or None without windows.
+class Matcher:
+    """An Aho-Corasick automaton over the words of items, each different word being one character.
 
-    A value is the window's number of words and the items that have it. An
-    item of fewer words, but not none, is one window.
+    Any window of size words holds a block of size // 2 words that begins at a
+    multiple of that in its item (a block of one word where size is below 4). So
+    the automaton takes an item's blocks, one node for each word at most, and
+    around a found block the text's windows are looked up among those of the
+    items. An item of fewer words than size, but not none, is one window and
+    goes into the automaton whole. Its items may have 1,112,063 different words
+    in all, more than AUTOMATON_BYTES can hold.
     """
-    windows: dict[bytes, set[int]] = {}
-    for item, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            windows.setdefault(b" %b " % b" ".join(words[i : i + size]), set()).add(item)
-    if not windows:
-        return None
-    out = ahocorasick.Automaton()
-    for window, owners in windows.items():
-        out.add_word(window.decode("latin-1"), (window.count(b" ") - 1, sorted(owners)))
-    out.make_automaton()
-    return out
-
-
-def scan(text: bytes, matcher) -> tuple[int, np.ndarray, list[int], list[tuple[int, int]]]:
+
+    def __init__(self, items: list[tuple[int, str | None]], size: int):
+        self.size, self.block = size, max(1, size // 2)
+        self.letters: dict[bytes, str] = {}
+        short, whole = defaultdict(set), []
+        for item, text in items:
+            word = "".join([self._letter(w) for w in words_of(text)])
+            if len(word) >= size:
+                whole.append((item, word))
+            elif word:
+                short[word].add(item)
+        #: The items' texts one after another, and where each window first stands; owners of a window by its number.
+        self.text = "".join(w for _, w in whole)
+        self.at, self.owners, self.key = self._windows(whole)
+        blocks = {w[i : i + self.block] for _, w in whole for i in range(0, len(w) - self.block + 1, self.block)}
+        self.short = [sorted(x) for x in short.values()]
+        number = {w: n for n, w in enumerate(short)}
+        self.automaton = ahocorasick.Automaton()
+        for w in blocks | short.keys():
+            self.automaton.add_word(w, (len(w), number.get(w, -1), w in blocks))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def _letter(self, word: bytes) -> str:
+        found = self.letters.get(word)
+        if found is None:
+            n = 1 + len(self.letters)
+            # surrogates are no characters of their own
+            self.letters[word] = found = chr(n if n < 0xD800 else n + 0x800)
+        return found
+
+    def _hashes(self, word: str) -> np.ndarray:
+        """A hash of each window of a text of one-character words."""
+        x = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        h = np.zeros(max(0, len(x) - self.size + 1), np.uint64)
+        for j in range(self.size):
+            h = (h ^ x[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def _windows(self, whole: list[tuple[int, str]]) -> tuple[np.ndarray, list, np.ndarray]:
+        """Place in self.text of each different window, its items (edges and ids), and its hash, ascending by that."""
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(self._hashes(w) for _, w in whole)])
+        counts = np.array([len(w) - self.size + 1 for _, w in whole], np.int64)
+        begins = np.concatenate(([0], np.cumsum([len(w) for _, w in whole])))[:-1].astype(np.int64)
+        place = np.arange(len(hashes)) + np.repeat(begins - np.concatenate(([0], np.cumsum(counts)))[:-1].astype(np.int64), counts)
+        item = np.repeat(np.array([i for i, _ in whole], np.int64), counts)
+        order = np.lexsort((item, hashes))
+        hashes, place, item = hashes[order], place[order], item[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        edges = np.append(np.flatnonzero(new), len(hashes))
+        return place[new], [edges, item], hashes[new]
+
+    def _look_up(self, text: str, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Those of starts at which a window of the items stands, with its items."""
+        hashes = self._hashes(text)[starts]
+        at = np.searchsorted(self.key, hashes)
+        for start, h, i in zip(starts, hashes, at, strict=True):
+            if i < len(self.key) and self.key[i] == h and self.text[self.at[i] : self.at[i] + self.size] == text[start : start + self.size]:
+                edges, item = self.owners
+                yield int(start), item[edges[i] : edges[i + 1]]
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """First and last word (exclusive) of each occurrence of a window in a text, and the items that have one there."""
+        get = self.letters.get
+        text = "".join([get(w, "\0") for w in words])
+        found: list[tuple[int, int]] = []
+        items: set[int] = set()
+        starts: set[int] = set()
+        for last, (n, short, block) in self.automaton.iter(text):
+            if short >= 0:
+                found.append((last + 1 - n, last + 1))
+                items.update(self.short[short])
+            if block:
+                starts.update(range(max(0, last + 1 - self.size), min(last + 2 - n, len(text) - self.size + 1)))
+        if starts:
+            # a character of its own stands for words that no item has
+            asked = np.array([a for a in sorted(starts) if "\0" not in text[a : a + self.size]], np.int64)
+            for start, owners in self._look_up(text, asked) if len(asked) else ():
+                found.append((start, start + self.size))
+                items.update(owners.tolist())
+        return found, items
+
+
+def scan(text: bytes, matcher: Matcher) -> tuple[int, np.ndarray, list[int], list[tuple[int, int]]]:
     """Number of words, indexes of hit words, items found, and the hit runs as byte spans of the text as given."""
     plain = text.translate(NORMAL)
     words = plain.split()
-    if matcher is None or not words:
-        return len(words), np.zeros(0, np.int64), [], []
-    joined = b" %b " % b" ".join(words)
-    found = list(matcher.iter(joined.decode("latin-1")))
+    found, items = matcher.find(words) if words and len(matcher.automaton) else ([], set())
     if not found:
         return len(words), np.zeros(0, np.int64), [], []
-    before = np.cumsum(np.frombuffer(joined, np.uint8) == 0x20)
     change = np.zeros(len(words) + 1, np.int64)
-    items: set[int] = set()
-    for end, (n, owners) in found:
-        last = int(before[end]) - 1  # the space that ends the window follows word number last - 1
-        change[last - n] += 1
+    for first, last in found:
+        change[first] += 1
         change[last] -= 1
-        items.update(owners)
     hit = np.flatnonzero(np.cumsum(change[:-1]) > 0)
     inside = np.frombuffer(plain, np.uint8) != 0x20
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
@@ -82,11 +156,23 @@ def scan(text: bytes, matcher) -> tuple[int, np.ndarray, list[int], list[tuple[i
     return len(words), hit, sorted(items), [(int(starts[r[0]]), int(ends[r[-1]])) for r in runs]
 
 
+#: The matcher that a worker process built last, by its name.
+_built: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, shared: Broadcast, size: int) -> Matcher:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Matcher(shared.value, size)
+    return _built[name]
+
+
 def _scanner(shared: Broadcast, size: int, text: int, earlier: int | None, carried: list[int], names: list[str]):
     """Scans column number text; hits of an earlier scan, from column number earlier on, are merged."""
+    name = uuid.uuid4().hex
 
     def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = automaton(shared.value, size)
+        matcher = _matcher(name, shared, size)
         for batch in batches:
             rows = [scan(x.encode("utf-8", "surrogatepass") if x else b"", matcher) for x in (x.as_py() for x in batch.column(text))]
             if earlier is not None:
@@ -114,20 +200,30 @@ def _parts(items: DataFrame, automaton_bytes: int) -> list[DataFrame]:
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("item_id is not null and length(text) > 0").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // automaton_bytes))
+    if total <= automaton_bytes:
+        return [items]
+    # twice the parts, so that one with more than its share stays within the bound too
+    parts = 2 * -(-total // automaton_bytes)
+    items = keep(items, "items")
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) for i in range(parts)]
 
 
 def _annotate(docs: DataFrame, items: DataFrame, size: int, automaton_bytes: int, carried: list[str]) -> DataFrame:
     """The carried columns of docs and the columns HITS. docs has text as its last column, under the name __text."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     parts = _parts(items, automaton_bytes)
+    held: list[Broadcast] = []
     for i, part in enumerate(parts):
-        shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
-        names = carried if i == len(parts) - 1 else [*carried, "__text"]
+        held.append(spark.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()]))
+        names = list(dict.fromkeys(carried if i == len(parts) - 1 else [*carried, "__text"]))
         earlier = docs.columns.index("__n_words") if i else None
         schema = StructType([*docs.select(*[F.col(f"`{c}`") for c in names]).schema.fields, *HITS.fields])
-        docs = docs.mapInArrow(_scanner(shared, size, docs.columns.index("__text"), earlier, [docs.columns.index(c) for c in names], names), schema)
+        docs = docs.mapInArrow(_scanner(held[-1], size, docs.columns.index("__text"), earlier, [docs.columns.index(c) for c in names], names), schema)
+        if i % CHAINED == CHAINED - 1 and i < len(parts) - 1:
+            docs = keep(docs, "scanned")
+            while held:
+                held.pop().destroy()
     return docs
 
 
@@ -142,9 +238,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, automa
     rows of docs are each returned; without items nothing is hit; without docs
     there are no rows. Long texts are scanned whole.
 
-    Item texts of up to automaton_bytes are broadcast to one automaton. Larger
-    item tables are cut by hash into parts of that size: each part is scanned
-    with its own automaton, and hits are merged row by row.
+    Item texts of up to automaton_bytes are broadcast to one automaton, built
+    once in each worker process. Larger item tables are cut by hash into parts
+    of that size at most: each part is scanned with its own automaton, and hits
+    are merged row by row. After each CHAINED parts the rows are written and
+    their automata dropped, so driver and executors never hold them all.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("__text"))
     return _annotate(docs, items, size, automaton_bytes, ["doc_id"]).withColumnsRenamed({x: x[2:] for x in HITS.names})
@@ -152,9 +250,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, automa
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """The rows of docs without a hit word, with all their columns, in the scan that finds the hits. Rows with null text stay."""
-    columns = docs.columns
-    found = _annotate(docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("string").alias("__text")), items, size, automaton_bytes, columns)
-    return found.where(F.size("__hit_words") == 0).select(*[F.col(f"`{c}`") for c in columns])
+    rest = [c for c in docs.columns if c != "text"]
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("__")).alias("__row"), F.col("text").cast("string").alias("__text"))
+    found = _annotate(boxed, items, size, automaton_bytes, ["__row", "__text"]).where(F.size("__hit_words") == 0)
+    return found.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"__row.`{c}`") for c in docs.columns])
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
