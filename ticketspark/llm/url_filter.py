@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from .scratch import keep
 from .textops import U64, mix
 
 #: Bits and hash functions for each key of a level.
 BITS_EACH, HASHES = 10, 4
 #: Keys of the universe in one shard of the cascade; a shard is built by one task.
 SHARD_KEYS = 1 << 18
-#: Cascade bytes that are broadcast at once; a larger cascade takes several scans.
+#: Cascade bytes that are broadcast at once; a larger cascade takes several scans, one after another.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -112,7 +113,8 @@ def look_up(rows: DataFrame, key: str, cascade: DataFrame, shards: int, broadcas
 
     Up to broadcast_bytes the cascade is broadcast whole. A larger one is cut
     into runs of shards of about that size; each run is broadcast for a scan of
-    its own, and each row is looked up in the one scan that has its shard.
+    its own, whose rows are written before the next run is fetched, and each row
+    is looked up in the one scan that has its shard.
     """
     spark = rows.sparkSession
     sizes = cascade.select("shard", F.aggregate("levels", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n"))
@@ -137,40 +139,51 @@ def look_up(rows: DataFrame, key: str, cascade: DataFrame, shards: int, broadcas
                 yield pa.record_batch([*(batch.column(i) for i in range(3, batch.num_columns)), pa.array(found)], [*names, "in_list"])
 
         part = hashed.where(here).mapInArrow(judge, schema)
+        if runs > 1:
+            part = keep(part, "judged")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], is_listed_key) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame) -> DataFrame:
     """Verdict of every row of pages (page_id, url): page_id, host, path, rule, verdict.
 
     rules are (verdict, host, path). Where none fits, rule is null, and the
-    cascade decides: a host for which is_listed_key(host column) holds is
-    blocked, others are allowed. The cascade's universe is all hosts of pages,
-    so its answers are exact. A null url, or one without ://, has an empty host
-    and path; it fits no rule and is allowed unless the empty host is listed.
-    Other columns are ignored, repeated rows are each returned, and without
-    pages there are no rows.
+    cascade decides: a host among the rows of listed (host) is blocked, others are
+    allowed. The cascade's universe is all hosts of pages, so its answers are
+    exact; it is the only place where pages meet the list. A null url, or one
+    without ://, has an empty host and path; it fits no rule and is allowed unless
+    the empty host is listed. Null and repeated hosts of the list, and those no
+    page has, add nothing. Other columns are ignored, repeated rows are each
+    returned, urls are read whole, and without pages there are no rows.
     """
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    hosts = urls.groupBy("host").agg(F.count("*").alias("n")).select(F.col("host").alias("key"), F.coalesce(is_listed_key(F.col("host")), F.lit(False)).alias("listed"))
+    listed = listed.select(F.col("host").alias("key"), F.lit(True).alias("listed")).where("key is not null").distinct()
+    hosts = urls.select(F.col("host").alias("key")).distinct().join(listed, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
     cascade, shards = build_cascade(hosts)
-    found = look_up(urls, "host", cascade.persist(), shards)
+    found = look_up(urls, "host", keep(cascade, "cascade"), shards)
     rule = match_rule(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(rule["verdict"], F.when(F.col("in_list"), "block").otherwise("allow"))
     return found.select("page_id", "host", "path", rule["rule"].alias("rule"), verdict.alias("verdict"))
 
 
+def hosts_with_labels(pages: DataFrame, labels: list[str]) -> DataFrame:
+    """Hosts of pages with one of labels between their dots, as a list for judge_urls."""
+    hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
+    return hosts.where(F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, labels))))
+
+
 #: Rules of the production query.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Host labels whose hosts are listed.
+#: Host labels of the production list.
 LISTED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     """Verdict of every url of pages."""
-    listed = lambda host: F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, LISTED_LABELS)))
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, listed)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judge_urls(pages, RULES, hosts_with_labels(pages, LISTED_LABELS))
 
 
 OP9_SQL = r"""
