@@ -78,12 +78,15 @@ def pack(docs: DataFrame, length: str, budget: int, buckets: int) -> DataFrame:
 
     Rows of a bucket are dealt to shards by hash, numbered inside each, and the
     shards' sizes are added up, so no task holds a bucket. Numbers follow shard,
-    length and doc_id. A null length counts as 0; other columns may hold nulls;
+    length and doc_id; rows with a null doc_id are dealt at random. The rows are
+    written once with their shares of chance, so retries see the same. A null length counts as 0; other columns may hold nulls;
     rows may repeat. Columns with the added names are replaced. An empty table
     stays empty.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.col(length).cast("long"), F.lit(0))
+    chance = F.when(F.col("doc_id").isNull(), F.floor(F.rand(7) * (1 << 30))).otherwise(F.pmod(F.xxhash64("doc_id", size), F.lit(1 << 30)))
+    docs = keep(docs.withColumn("__chance", chance), "lengths")
     total = docs.count()
     histogram = docs.where(size <= budget).groupBy(size.alias("length")).agg(F.count("*").alias("n")).orderBy("length").collect()
     ends = best_boundaries(np.array([r["length"] for r in histogram], np.int64), np.array([r["n"] for r in histogram], np.int64), buckets)
@@ -92,7 +95,7 @@ def pack(docs: DataFrame, length: str, budget: int, buckets: int) -> DataFrame:
     for i in reversed(range(len(ends))):
         bucket, bucket_len = F.when(size <= ends[i], i).otherwise(bucket), F.when(size <= ends[i], ends[i]).otherwise(bucket_len)
     shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_ROWS))
-    shard = F.pmod(F.xxhash64("doc_id", size), F.lit(shards))
+    shard = F.col("__chance") % shards
     # the bucket of rows beyond the budget comes after the others
     over = size > (ends[-1] if ends else -1)
     placed = docs.withColumns({"bucket": F.when(over, len(ends)).otherwise(bucket), "bucket_len": F.when(over, size).otherwise(bucket_len).cast("long"), "__shard": shard})
@@ -103,11 +106,11 @@ def pack(docs: DataFrame, length: str, budget: int, buckets: int) -> DataFrame:
     numbered = placed.withColumn("__number", number).join(starts, ["bucket", "__shard"]).withColumn("__number", F.col("__number") + F.col("__before"))
     capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1))))
     added = {"batch": F.floor(F.col("__number") / capacity).cast("long"), "slot": (F.col("__number") % capacity).cast("long"), "padding": F.col("bucket_len") - size}
-    return numbered.withColumns(added).drop("__number", "__before", "__shard")
+    return numbered.withColumns(added).drop("__number", "__before", "__shard", "__chance")
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
     """All documents in 16 length buckets and batches of 16,384 padded words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counted = docs.select("doc_id", count_words(F.col("text")).alias("n_words"))
-    return pack(keep(counted, "lengths"), "n_words", 16_384, 16)
+    return pack(counted, "n_words", 16_384, 16)
