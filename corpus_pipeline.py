@@ -14,44 +14,78 @@ from ticketspark.llm.decontamination import drop_contaminated
 from ticketspark.llm.language_id import fit, predict
 from ticketspark.llm.near_duplicates import Plan, near_duplicates
 from ticketspark.llm.packing import count_words, pack
-from ticketspark.llm.pii import pseudonymise
+from ticketspark.llm.pii import pseudonymise, session_key
 from ticketspark.llm.scratch import keep
 
-PII_KEY = "key of the production pipeline"
 BATCH_WORDS, BUCKETS = 16_384, 16
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters; fill in a missing lang where n-grams tell it. Without any lang to learn from, all documents stay."""
+    """Drop documents without letters; fill in a missing lang where n-grams tell it.
+
+    A null or empty text has no letters and goes, whatever its lang. Documents
+    with a null doc_id are judged like others but not learned from. Repeated rows
+    are each kept, long texts are read whole, further columns stay, and an empty
+    table stays empty. Without any lang to learn from, all documents stay.
+    """
     third = F.crc32(F.col("doc_id").cast("string")) % 3
     model = fit(docs.where(third != 1).select(F.col("doc_id").alias("key"), "text", "lang"))
     if not model.languages:
         return docs
-    known = predict(docs, model).where(F.col("lang_pred") != "und")
-    return known.withColumn("lang", F.coalesce("lang", F.when(F.col("score") > 0, F.col("lang_pred")))).select(*docs.columns)
+    # other columns travel as one, so none clashes with what is added
+    boxed = docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    known = predict(boxed, model).where(F.col("lang_pred") != "und")
+    lang = F.coalesce("row.lang", F.when(F.col("score") > 0, F.col("lang_pred"))).alias("lang")
+    return known.select(*[F.col("text") if c == "text" else lang if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each near-duplicate group (five words, similarity 0.8); rows that repeat a doc_id count as one."""
-    ids = near_duplicates(docs, Plan(shingle=5)).where("kept").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keep the smallest doc_id of each near-duplicate group (five words, similarity 0.8).
+
+    Null and empty texts have no copies and stay. Rows that repeat a doc_id count
+    as one document: the one with the least text, then the least other columns,
+    stays. Rows with a null doc_id all stay. Long texts are compared whole,
+    further columns stay, and an empty table stays empty.
+    """
+    ids = near_duplicates(docs, Plan(shingle=5)).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    named = docs.where("doc_id is not null")
+    once = named.join(ids.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    # few rows, if any, share an id
+    again = named.join(ids.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
+    plain = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and not t.startswith(("map", "variant"))]
+    again = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", *plain)).alias("row"))
+    return once.select(*docs.columns).union(again.select(*[F.col(f"row.`{c}`") for c in docs.columns])).union(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of ten words of a benchmark item."""
+    """Drop documents that hold a window of ten words of a benchmark item.
+
+    Null and empty texts hold none and stay; null items have no windows. Repeated
+    rows are judged alike, long texts are scanned whole, further columns stay,
+    and an empty table stays empty.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data; n_chars is that of the new text."""
-    return pseudonymise(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Replace personal data under the session's key; n_chars is that of the new text.
+
+    A null text stays null, with a null n_chars. Repeated rows are changed alike,
+    long texts are read whole, further columns stay, and an empty table stays empty.
+    """
+    boxed = docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    changed = pseudonymise(boxed, session_key(spark)).withColumn("n_chars", F.length("text").cast("long"))
+    return changed.select(*[F.col(c) if c in ("text", "n_chars") else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of each document."""
-    counted = keep(docs.select("doc_id", count_words(F.col("text")).alias("n_words")), "lengths")
-    return pack(counted, "n_words", BATCH_WORDS, BUCKETS)
+    """Bucket, batch and slot of each document, by its number of words.
+
+    Null and empty texts have 0 words. Repeated rows and null ids each get a
+    slot, a text over the budget is whole in a batch of its own, other columns
+    are left out, and an empty table stays empty.
+    """
+    return pack(docs.select("doc_id", count_words(F.col("text")).alias("n_words")), "n_words", BATCH_WORDS, BUCKETS)
 
 
 STAGES = [
