@@ -1,32 +1,66 @@
+import random
+
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
+
 from ticketspark.llm.near_duplicates import Plan, near_duplicates
+from ticketspark.llm.packing import count_words
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def made_up(i, n=30):
+    """A text of its own for each i."""
+    rng = random.Random(i)
+    return " ".join(rng.choice(["ba", "ko", "mi", "nu", "re"]) + rng.choice(["la", "po", "ti", "ve", "zu"]) + rng.choice("abcdefghij") for _ in range(n))
+
+
+def tables(spark, folder, rows, items):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs
 
 
 def test_stages_keep_clean_documents(spark, tmp_path):
-    words = [f"{a}{b}" for a in ("ba", "ko", "mi", "nu", "re") for b in ("la", "po", "ti", "ve", "zu")]
-    text = lambda i: " ".join(words[(i * 7 + j * (i + 3)) % 25] + "abcdefghij"[(i * j) % 10] for j in range(30))
-    rows = [(i, text(i), "xx", f"s{i % 3}", 0) for i in range(60)]
-    rows += [(100, rows[3][1], "xx", "s", 0), (101, "!!! 123", "xx", "s", 0), (102, None, "xx", "s", 0), (103, text(71) + " call 523-555-1055", "xx", "s", 0), (104, "leaked " + text(90), "xx", "s", 0), rows[5]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, text(90))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, made_up(i), "xx", f"s{i % 3}", 0) for i in range(60)]
+    rows += [(100, rows[3][1], "xx", "s", 0), (101, "!!! 123", "xx", "s", 0), (102, None, "xx", "s", 0), (103, made_up(71) + " call 523-555-1055", "xx", "s", 0), (104, "leaked " + made_up(90), "xx", "s", 0), rows[5]]
+    rows += [(105, "tail " + rows[7][1], "xx", "s", 0), (106, made_up(107, 20_000), "xx", "s", 0)]
+    docs = tables(spark, tmp_path, rows, [(1, made_up(90))])
     kept = {}
     for name, stage in pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         kept[name] = sorted(r.doc_id for r in docs.select("doc_id").collect())
     plain = list(range(60))
-    assert kept["language_id"] == sorted([*plain, 5, 100, 103, 104])
-    assert kept["near_dedup"] == sorted([*plain, 103, 104]) and kept["decontaminate"] == kept["replace_pii"] == [*plain, 103]
+    assert kept["language_id"] == sorted([*plain, 5, 100, 103, 104, 105, 106])
+    assert kept["near_dedup"] == [*plain, 103, 104, 106] and kept["decontaminate"] == kept["replace_pii"] == [*plain, 103, 106]
     done = {r.doc_id: r for r in docs.collect()}
-    assert "523-555-1055" not in done[103].text and done[0].text == rows[0][1] and done[0].n_chars == len(rows[0][1])
+    assert "523-555-1055" not in done[103].text and done[0].text == rows[0][1] and done[0].n_chars == len(rows[0][1]) and done[106].text == rows[-1][1]
     out = pipeline.run(spark, str(tmp_path)).collect()
-    assert sorted(r.doc_id for r in out) == [*plain, 103]
+    assert sorted(r.doc_id for r in out) == [*plain, 103, 106]
+    words = {r.doc_id: r.n for r in docs.select("doc_id", count_words(F.col("text")).alias("n")).collect()}
+    assert all(r.n_words == words[r.doc_id] <= r.bucket_len for r in out) and {r.doc_id for r in out if r.bucket_len > pipeline.BATCH_WORDS} == {106}
     assert near_duplicates(docs, Plan(shingle=5)).where("not kept").count() == 0
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, texts and languages, clashing extra columns and an empty table go through all stages."""
+    rows = [(i, made_up(i), None if i % 2 else "xx", None, None) for i in range(20)] + [(None, made_up(50), None, None, None), (None, made_up(50), "xx", None, None), (60, "", "xx", None, None)]
+    tables(spark, tmp_path, rows, [(None, "x"), (1, None)])
+    extra = spark.createDataFrame(rows, SCHEMA).withColumns({"component_id": F.lit(1), "kept": F.lit(False), "score": F.lit("s"), "n_pii": F.lit(None).cast("string"), "__text": F.lit("t"), "batch": F.lit(9)})
+    for docs in (extra, extra.limit(0)):
+        n = docs.count()
+        for name, stage in pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == extra.columns, name
+        # both rows without an id stay, the text without letters goes
+        assert docs.count() == max(0, n - 1)
+        assert pipeline.packing(spark, docs, str(tmp_path)).count() == max(0, n - 1)
+
+
 def test_language_id_drops_only_documents_without_letters(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    schema = SCHEMA
     rows = [(i, "some words of a long enough text", "en", "s", 0) for i in range(30)]
     rows += [(100, "A.", "en", "s", 0), (101, "De.", None, "s", 0), (102, "слово", "ru", "s", 0), (103, "12 !", "en", "s", 0), (104, None, "en", "s", 0), (105, "long enough text", None, "s", 0)]
     out = {r.doc_id: r.lang for r in pipeline.language_id(spark, spark.createDataFrame(rows, schema), "").collect()}

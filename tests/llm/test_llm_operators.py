@@ -110,15 +110,16 @@ def test_pairs_just_over_the_similarity_pass_bands_and_sketches():
     assert lost == 0 and one_band <= 1
 
 
-def test_top_k_against_all_pairs(spark):
+@pytest.mark.parametrize("bounds", [{}, {"count_bytes": 3 * 256 * 8}])
+def test_top_k_against_all_pairs(spark, bounds):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(150, 6)).round(1)
     v[30:90] = v[3]  # many equal scores
     rows = [(int(i), [float(x) for x in row]) for i, row in enumerate(v)]
-    rows += [(900, None), (901, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, [0.5]), (None, rows[0][1]), (10, rows[10][1])]
+    rows += [(900, None), (901, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, [0.5]), (905, []), (920, []), (None, rows[0][1]), (10, rows[10][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     got = defaultdict(list)
-    for r in topk.exact_top_k(df, df.where("vec_id % 20 = 0 or vec_id = 904"), 20).orderBy("query_id", "rank").collect():
+    for r in topk.exact_top_k(df, df.where("vec_id % 20 = 0 or vec_id = 904"), 20, **bounds).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     ints = [(i, np.floor(64 * np.array(x)).astype(int)) for i, x in rows if i is not None and i < 900]
     for q in range(0, 150, 20):
@@ -179,8 +180,8 @@ def test_filter_holds_all_it_was_given():
     assert f.false_rate.max() < 0.02
 
 
-@pytest.mark.parametrize("window", [13, 5, 2])
-def test_repeats_against_all_windows(docs, sha, window):
+@pytest.mark.parametrize(("window", "sizes"), [(13, {}), (5, {}), (2, {}), (5, {"bucket_bytes": 500, "coarse": 3})])
+def test_repeats_against_all_windows(docs, sha, window, sizes):
     rows = [(r.doc_id, SPLIT.findall(r.text or "")) for r in docs.collect()]
     owner = {}
     for i, w in rows:
@@ -192,7 +193,7 @@ def test_repeats_against_all_windows(docs, sha, window):
     for i, w in rows:
         gone = {k for j in range(len(w) - window + 1) if i is not None and owner[tuple(w[j : j + window])] < i for k in range(j, j + window)}
         want[(i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))] += 1
-    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(docs, window).collect())
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(docs, window, **sizes).collect())
     assert got == want and (window == 2 or sum(k[2] for k in got))
     digests = {r.kept for r in substring_dedup.remove_repeats(docs, window, give_text=False).collect()}
     assert digests == {sha(k[3]) for k in want}
@@ -313,6 +314,29 @@ def test_contamination_against_all_windows(spark, docs, automaton_bytes):
     assert decontamination.find_contamination(docs.limit(0), bench).count() == 0
 
 
+def test_matcher_finds_every_window():
+    rng = random.Random(17)
+    texts = [[rng.choice("abcdefg") for _ in range(rng.choice([1, 2, 4, 5, 9, 10, 11, 40]))] for _ in range(60)]
+    docs = [[rng.choice("abcdefgxy") for _ in range(40)] for _ in range(60)] + [t[:] for t in texts[::3]] + [["x", *t, "y"] for t in texts[1::3]]
+    for size in (1, 2, 3, 4, 6):
+        matcher = decontamination.Matcher([(i, " ".join(t)) for i, t in enumerate(texts)], size)
+        windows = defaultdict(set)
+        for i, t in enumerate(texts):
+            for j in range(max(1, len(t) - size + 1)):
+                windows[tuple(t[j : j + size])].add(i)
+        for d in docs:
+            want = {(j, j + len(w)): owners for w, owners in windows.items() for j in range(len(d) - len(w) + 1) if tuple(d[j : j + len(w)]) == w}
+            found, items = matcher.find([x.encode() for x in d])
+            assert set(found) == set(want) and items == set().union(*want.values())
+
+
+def test_automaton_needs_one_node_for_each_word():
+    rng = random.Random(18)
+    text = " ".join(f"w{rng.randrange(30_000)}" for _ in range(100_000))
+    matcher = decontamination.Matcher([(1, text)], 10)
+    assert matcher.automaton.get_stats()["nodes_count"] <= 100_001
+
+
 def test_cascade_is_exact():
     rng = np.random.default_rng(9)
     h1, h2 = rng.integers(0, 1 << 63, (2, 20_000)).astype(np.uint64)
@@ -334,13 +358,20 @@ def test_cascade_in_shards(spark, shard_keys, broadcast_bytes):
 def test_urls(spark):
     urls = ["http://a.example.org/es/x?q#f", "HTTP://Example.ORG/en/12", "http://example.org", "no scheme", None, "", "x://com/fr/", "http://b.com/de/1", "http://badexample.org/es/", "http://spam-farm.net/?://x/fr/", "http://net/\nx"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, url_filter.RULES, lambda h: h.contains("spam")).collect()}
+    listed = spark.createDataFrame([("spam-farm.net",), ("spam-farm.net",), (None,), ("nowhere.net",), ("net",), ("example.org",)], "host string").where("host <> 'net'")
+    out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, url_filter.RULES, listed).collect()}
     assert out == {
-        0: ("a.example.org", "/es/x", "example.org/es/", "block"), 1: ("example.org", "/en/12", "example.org/en/1", "block"), 2: ("example.org", "", None, "allow"),
+        0: ("a.example.org", "/es/x", "example.org/es/", "block"), 1: ("example.org", "/en/12", "example.org/en/1", "block"), 2: ("example.org", "", None, "block"),
         3: ("", "", None, "allow"), 4: ("", "", None, "allow"), 5: ("", "", None, "allow"), 6: ("com", "/fr/", "com/fr/", "allow"), 7: ("b.com", "/de/1", "com/de/", "block"),
         8: ("badexample.org", "/es/", "org/", "allow"), 9: ("spam-farm.net", "/", None, "block"), 10: ("net", "/\nx", None, "allow"),
     }
-    assert url_filter.judge_urls(df.limit(0), url_filter.RULES, lambda h: h == "x").count() == 0
+    assert url_filter.judge_urls(df.limit(0), url_filter.RULES, listed).count() == 0
+    long = "x://spam-farm.net/" + "a" * 100_000
+    again = df.union(df).union(spark.createDataFrame([(50, long, "h"), (None, long, "h")], df.schema))
+    rows = url_filter.judge_urls(again, url_filter.RULES, listed.limit(1)).collect()
+    assert len(rows) == 24 and sum(r.path == long[17:] and r.verdict == "block" for r in rows) == 2
+    assert {r.verdict for r in url_filter.judge_urls(df, [], listed.limit(0)).collect()} == {"allow"}
+    assert {r.host for r in url_filter.hosts_with_labels(df, ["spam-farm", "b"]).collect()} == {"spam-farm.net", "b.com"}
 
 
 def test_boundaries_against_all_choices():
@@ -402,6 +433,49 @@ def test_pseudonyms_of_marked_phones_cards_beside_numbers_and_timestamps(spark):
     assert got[5].startswith("12 34 5678 9012 3456 7890, ") and got[5].endswith(" 1") and "822463" not in got[5]
 
 
+VALID = ["4111111111111111", "4111-1111-1111-1111", "3782 822463 10005", "523-555-1055", "(523) 555-1055", "523.555.1055", "+1 (017) 555-7713", "+44 20 7946 0958", "123-45-6789", "2024-02-29", "29.02.2024", "21/02/2025", "10.0.0.1", "a.b9@example.com", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]
+OTHER = ["5235551055", "2024", "12", "4111111111111112", "10.0.0.256", "000-45-6789", "31.02.2024", "DE88370400440532013000", "x1y2"]
+
+
+def test_valid_numbers_are_found_beside_any_others(spark):
+    """Each alone has a pseudonym; two beside each other have the same ones, and other numbers stay."""
+    texts = [*VALID, *OTHER]
+    beside = [(a, b, sep) for a in texts for b in texts for sep in (", ", " ") if sep == ", " or not (a[-1].isdigit() and b[0].isdigit() and a in OTHER and b in OTHER)]
+    df = spark.createDataFrame(list(enumerate([*texts, *(a + sep + b for a, b, sep in beside)])), "doc_id long, text string").repartition(8)
+    got = [r.text for r in pii.pseudonymise(df, "key").orderBy("doc_id").collect()]
+    alone = dict(zip(texts, got, strict=False))
+    assert all(alone[x] != x for x in VALID) and all(alone[x] == x for x in OTHER)
+    wrong = [(a + sep + b, x) for (a, b, sep), x in zip(beside, got[len(texts) :], strict=True) if x != alone[a] + sep + alone[b]]
+    assert not wrong
+
+
+def test_slashed_dates_move_one_to_one(spark):
+    days = spark.range(3000).select(F.date_add(F.lit("2019-11-05").cast("date"), F.col("id").cast("int")).alias("d"))
+    forms = F.array(F.date_format("d", "dd/MM/yyyy"), F.date_format("d", "MM/dd/yyyy"), F.date_format("d", "yyyy-MM-dd"))
+    df = days.select("d", F.posexplode(forms).alias("form", "text"), F.col("d").cast("string").alias("doc_id")).where("form <> 0 or day(d) > 12")
+    rows = pii.pseudonymise(df, "k").collect()
+    assert len({r.text for r in rows}) == len(rows) and all(r.n_pii == 1 for r in rows)
+    day = lambda t, form: t if form == 2 else "-".join(t.split("/")[i] for i in ((2, 1, 0) if form == 0 else (2, 0, 1)))
+    assert all(len(x) == 1 for x in [{day(r.text, r.form) for r in rows if r.d == d} for d in sorted({r.d for r in rows})[:200]])
+
+
+def test_ibans_and_foreign_numbers_stay_valid(spark):
+    rows = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "+44 20 7946 0958", "+442079460958"]
+    a, b, c, d, e = (r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "key").orderBy("doc_id").collect())
+    assert a == b.replace(" ", "") != rows[0] and c.startswith("GB") and " WEST " in c and d.replace(" ", "") == e != rows[4] and d.startswith("+44 ")
+    rest = lambda x: int("".join(str(int(ch, 36)) for ch in x.replace(" ", "")[4:] + x[:4])) % 97
+    assert rest(a) == rest(c) == 1
+
+
+def test_pseudonyms_of_repeated_and_long_texts_and_keys(spark):
+    long = "call 523-555-1055 " + "words and 12 more " * 20_000 + "or 4111 1111 1111 1111"
+    df = spark.createDataFrame([(1, long), (1, long), (None, "523-555-1055")], "doc_id long, text string")
+    out = pii.pseudonymise(df, pii.session_key(spark)).collect()
+    assert pii.session_key(spark) == spark.conf.get(pii.KEY_SETTING) and [r.n_pii for r in out] == [2, 2, 1] and out[0] == out[1]
+    assert out[0].text[5:17] == out[2].text and len(out[0].text) == len(long)
+    assert pii.pseudonymise(df, "other").collect()[2].text != out[2].text
+
+
 def test_low_area_codes_move_one_to_one(spark):
     df = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("+1 ("), F.lpad(F.col("id").cast("string"), 3, "0"), F.lit(") 555-0000")).alias("text"))
     assert len({r.text for r in pii.pseudonymise(df, "key").collect()}) == 200
@@ -446,9 +520,38 @@ def test_rare_kinds_of_abuse_get_terms(spark):
     assert {"canalla", "scum"} <= set(toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic")).words)
 
 
+def test_families_are_learned_from_two_texts(spark):
+    rng = random.Random(13)
+    plain = lambda n: [f"{rng.choice(['lom', 'tes', 'rik', 'wod'])}{rng.randrange(300)}" for _ in range(n)]
+    rows = [(i, " ".join([*plain(30), *(["grumel" + x for x in rng.sample("abcdefgh", 4)] if i < 2 else ["idiot"] if i < 40 else ["grumelz"] if i % 40 == 0 else [])]), int(i < 40)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    asked = df.select("doc_id", "text").union(spark.createDataFrame([(1000, " ".join([*plain(25), "grumelx", "grumely", "grumelq"])), (1001, "one grumelx " + " ".join(plain(30)))], "doc_id long, text string"))
+    models = [toxicity.fit(d.select("doc_id", "text"), d.select("doc_id", "toxic")) for d in (df, df.orderBy(F.desc("doc_id")).union(df.limit(5)))]
+    assert models[0].families and all("grumela".startswith(x) for x in models[0].families)
+    assert models[0].families == models[1].families and models[0].words == models[1].words and np.allclose(models[0].weights, models[1].weights)
+    out = {r.doc_id: r.score for r in toxicity.score(asked.select("doc_id", F.lit(True).alias("held_out"), "text"), models[0]).collect()}
+    assert out[1000] >= 0.3 and out[1001] < 0.3 and all((out[i] >= 0.3) == bool(y) for i, _, y in rows)
+
+
+def test_quoted_terms_are_no_abuse(spark):
+    rng = random.Random(14)
+    plain = lambda n: " ".join(f"w{rng.randrange(2000)}" for _ in range(n))
+    rows = [(i, f"{plain(10)} you {rng.choice(['idiot', 'moron'])} {plain(10)}" if i < 60 else plain(21), int(i < 60)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    said = ["she wrote {}you idiot{} and left " + plain(12), "the word {}moron{} is old " + plain(12), "{}idiot{} and {}moron{} were cut from the film " + plain(9)]
+    marks = [('"', '"'), ("“", "”"), ("«", "»"), ("„", "“")]
+    quoted = [x.format(*(m * 2)) for x in said for m in marks]
+    bare = [x.replace("{}", "") for x in said] + ["you idi0t " + plain(12), "such a morron you are " + plain(12)]
+    asked = spark.createDataFrame(list(enumerate([*quoted, *bare, bare[0]])), "doc_id long, text string").select("doc_id", F.lit(False).alias("held_out"), "text")
+    out = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
+    assert all((out[i] < 0.3) == (i < len(quoted)) for i in out) and out[len(quoted)] == out[len(out) - 1]
+
+
 def test_typographic_punctuation_parts_words():
     texts = ["so “idiot” there", "go—idiot…", "«idiot»", "ümläut’idiot", "a ª\xadb"]
     raw, at = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
     x = toxicity.Model(words=["idiot"]).judge().features(raw, at)
-    assert (x[:, :2] > 0).tolist() == [[False, True], [True, False], [False, True], [True, False], [False, False]]
+    # quoted once, plain, quoted, plain, none
+    assert np.expm1(x[:, 0]).round(6).tolist() == [toxicity.QUOTED, 1, toxicity.QUOTED, 1, 0]
     assert toxicity.split_words(raw, at).counts.tolist() == [3, 2, 1, 2, 2]
