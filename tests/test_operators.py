@@ -1,6 +1,8 @@
 import itertools
+import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,8 +131,6 @@ def test_duplicates(spark):
 
 
 def test_similar_pairs_against_brute_force(spark):
-    import numpy as np
-
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 8))
     v = np.concatenate([base, base + 0.1 * rng.normal(size=(40, 8)), base[:5]])
@@ -180,3 +180,58 @@ def test_svd(spark):
     v = {r.id: r.vector for r in similarity.svd_embed(df, "id", char_ngrams(F.col("text")), 2).collect()}
     dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
     assert dot(0, 1) > 0.9 > dot(0, 2) and set(v[3]) == {0.0}
+
+
+def test_places_of_many_addresses(spark):
+    rng = random.Random(5)
+    pick = lambda *x: rng.choice(x)
+    addr = lambda: pick("", "顺德区", "升平社区", "大良街道升平社区") + pick("", "延年路", "凤翔大道12号", "凤翔大道7号", "东苑市场") + pick("", "3栋", "12号")
+    rows = [(f"o{i:03}", addr(), pick("", "升平社区", "南国社区"), pick("", "3栋", "5座"), pick("", "恒达装饰公司", "某店"), pick("大良街道", "容桂街道")) for i in range(160)]
+    df = spark.createDataFrame(rows, "order_id string, addr_norm string, addr_community string, addr_building string, extracted_subject string, extracted_area string")
+    found = {tuple(r) for r in related.same_place_pairs(df).collect()}
+    p = related._places(df)
+    brute = p.alias("a").join(p.alias("b"), F.col("a.order_id") < F.col("b.order_id")).where(related.same_place("a", "b"))
+    want = {(r[0], r[1]) for r in brute.select("a.order_id", "b.order_id").collect()}
+    assert found == want and len(want) > 1000
+    times = df.withColumn("submit_time", F.lit(None).cast("timestamp"))
+    mates = {r.order_id for r in related.related_to(related.place_members(df), times, "o007").collect()}
+    assert mates == {b if a == "o007" else a for a, b in want if "o007" in (a, b)}
+    assert related.place_members(df.limit(0)).count() == 0
+
+
+def test_likely_duplicates_lose_none(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.random(), 1.0], *(rng.choice(x) for x in (["", "o", "p"], ["", "a", "b"], ["e", "f"], ["", "r"], [None, "t"]))) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, organization string, address string, event_type string, request string, time_start string")
+    judged = lambda pairs: {(r.a, r.b) for r in similarity.judge_duplicates(pairs, df, "id").where("duplicate").collect()}
+    few, many = similarity.likely_duplicates(df, "id", "v"), similarity.duplicate_candidates(df, "id", "v")
+    assert judged(few) == judged(many) != set() and few.count() < many.count()
+
+
+def test_sparse_pairs_against_all(spark):
+    rng = random.Random(7)
+    vectors = {i: {rng.choice("abcdefghij") if rng.random() < 0.6 else f"t{rng.randrange(60)}": rng.random() + 0.1 for _ in range(rng.randrange(1, 9))} for i in range(120)}
+    norm = {i: sum(w * w for w in v.values()) ** 0.5 for i, v in vectors.items()}
+    df = spark.createDataFrame([(i, t, w / norm[i]) for i, v in vectors.items() for t, w in v.items()], "id int, term string, w double")
+    for least in (0.2, 0.5, 0.9):
+        want = {(a, b) for a in vectors for b in vectors if a < b and sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items()) / norm[a] / norm[b] >= least}
+        assert {(r.a, r.b) for r in similarity.sparse_pairs(df, least).collect()} == want
+
+
+def test_recall_of_similar_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.normal(size=base.shape)
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    near = 0.855 * base + (1 - 0.855**2) ** 0.5 * away
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate((base, near, base[:3], base[:3], base[:3])))] + [(900, []), (901, None)]
+    pairs = similarity.similar_pairs(spark.createDataFrame(rows, "id int, v array<double>"), "id", "v", 0.85, max_pairs=None).collect()
+    got = {(r.a, r.b) for r in pairs}
+    assert sum((i, i + 300) in got for i in range(300)) >= 0.97 * 300
+    copies = [0, 600, 603, 606]
+    assert all((a, b) in got for a in copies for b in copies if a < b)
+    two = similarity.similar_pairs(spark.createDataFrame(rows, "id int, v array<double>"), "id", "v", 0.85, top_k=2, max_pairs=None).collect()
+    best = lambda x: sorted(((-r.similarity, r.a, r.b) for r in pairs if x in (r.a, r.b)))[:2]
+    assert {(r.a, r.b) for r in two} == {(a, b) for x in range(609) for _, a, b in best(x)}

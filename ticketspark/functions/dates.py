@@ -11,7 +11,7 @@ from .text import let, strip
 #: Formats of submit times, tried in turn.
 FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "yyyy-MM-dd'T'HH:mm:ss"]
 
-#: Patterns of dates in texts, tried in turn: pattern, whether it has a year and a time, confidence.
+# fixed values: patterns of dates in texts, tried in turn: pattern, whether it has a year and a time, confidence; an empty first group stands for the year
 DATE_PATTERNS = [
     (r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})[ T](\d{1,2}):(\d{1,2})(?::(\d{1,2}))?", True, True, 1.0),
     (r"(\d{4})年(\d{1,2})月(\d{1,2})日\s*(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?", True, True, 1.0),

@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.written import checked
 from . import pack_zh as zh
 from .dates import extract_time
 from .rules import count_words, first_label, leftmost_term, longest_term, most_words
-from .text import CJK, any_of, blank, clean_phone, clean_text, clean_ticket_no, content_hash, extract_phone, filled, first_filled, has_any, let, normalize_address, normalize_text, remove_boilerplate, semantic_content, strip
+from .text import CJK, any_of, blank, clean_phone, clean_text, clean_ticket_no, content_hash, extract_phone, filled, first_filled, first_found, has_any, has_chinese, holds_any, let, normalize_address, normalize_text, remove_boilerplate, semantic_content, strip
 
 NO_ADDRESS = "struct<town:string,community:string,road:string,building:string>"
 
 
 def match_event(title: Column, content: Column, terms: Sequence[str]) -> Column:
     """Longest term of the title, else of the content."""
-    return first_filled(longest_term(title, terms), longest_term(content, terms))
+    return first_found(longest_term(title, terms), longest_term(content, terms))
 
 
 def match_area(area: Column, content: Column, title: Column, terms: Sequence[str] = tuple(zh.TOWNS)) -> Column:
     """Area of the field, the content or the title: a listed one, else a name before 街道 or 镇."""
 
     def found(c: Column) -> Column:
-        general = F.regexp_replace(F.regexp_extract(c, f"([{CJK}]{{1,4}}(?:街道|镇))", 1), "^.*?[区市县]", "")
-        return first_filled(leftmost_term(c, terms), general)
+        general = lambda x: F.regexp_replace(F.regexp_extract(x, f"([{CJK}]{{1,4}}(?:街道|镇))", 1), "^.*?[区市县]", "")
+        # the terms' places are only asked for if there is one
+        return let(c, lambda x: first_found(F.when(holds_any(x, terms), leftmost_term(x, terms)), F.when(has_chinese(x), general(x))))
 
-    return first_filled(found(area), found(content), found(title))
+    return first_found(found(area), found(content), found(title))
 
 
 def _first_valid(c: Column, patterns: Sequence[str], valid) -> Column:
@@ -46,15 +49,13 @@ def extract_subject(c: Column, blacklist: Sequence[str] = tuple(zh.SUBJECT_BLACK
 
 
 def subject_pipeline(title: Column, raw: Column, content: Column) -> Column:
-    return first_filled(extract_subject(title), extract_subject(raw), extract_subject(content))
+    return first_found(extract_subject(title), extract_subject(raw), extract_subject(content))
 
 
 def extract_person(c: Column) -> Column:
     """struct<name, confidence>: a surname with a title, 某 names, else a name after 市民 or 诉求人."""
-    titles = "|".join(zh.PERSON_TITLES)
-    patterns = [rf"(?<![市民诉求])([{CJK}])({titles})", rf"([{CJK}])某(?:某)?", rf"市民([{CJK}])(?:先生|女士|小姐)", rf"诉求人([{CJK}])(?:先生|女士|小姐)"]
-    name = first_filled(*[F.regexp_extract(c, p, 0) for p in patterns])
-    return F.struct(name.alias("name"), F.when(name != "", 0.6).otherwise(0.0).alias("confidence"))
+    name = first_found(*[F.regexp_extract(c, p, 0) for p in zh.PERSONS])
+    return let(name, lambda n: F.struct(n.alias("name"), F.when(n != "", 0.6).otherwise(0.0).alias("confidence")))
 
 
 def valid_organisation(x: Column) -> Column:
@@ -70,30 +71,23 @@ def valid_organisation(x: Column) -> Column:
 
 def labour_company(c: Column) -> Column:
     """Company of a text about wages, else null."""
-    word = f"[{CJK}A-Za-z0-9]"
-    patterns = [
-        f"(?:名称|名字|单位名称)[:：]\\s*({word}{{2,25}})",
-        f"项目单位[:：]\\s*({word}{{2,20}})",
-        f"在({word}{{2,25}}?(?:{zh.COMPANY}|物流园))工作",
-        f"(?:被|反映被)(?:佛山市顺德区|佛山市|顺德区)?({word}{{2,25}}?(?:{zh.COMPANY}))(?=[\\s，,。？（(]|拖欠)",
-        f"({word}{{2,20}}(?:分拨中心|物流园|工业园|{zh.COMPANY}))[（(]?地址",
-        f"({word}{{2,20}}(?:{zh.COMPANY}))\\s*(?:，|,)?\\s*拖欠",
-        f"({word}{{2,20}}(?:{zh.COMPANY}))[的]?(?:员工|人员|工人|职工)",
-    ]
     valid = lambda x: valid_organisation(x) & ~x.rlike(f"(?:{any_of(zh.GENERIC_SUFFIX)})$") & ~has_any(x, zh.LABOUR_NAME_MUST_NOT_HOLD)
-    return F.when(has_any(c, zh.LABOUR_WORDS), _first_valid(c, patterns, valid))
+    return F.when(has_any(c, zh.LABOUR_WORDS), _first_valid(c, zh.LABOUR_COMPANIES, valid))
 
 
 def extract_organization(c: Column) -> Column:
     """struct<name, kind, confidence>: a company in texts about wages, else the first valid name of the first kind."""
-    return let(c, _organization)
+    return let(c, lambda x: F.when(has_chinese(x), _organization(x)).otherwise(_no_organization()))
+
+
+def _no_organization() -> Column:
+    return F.struct(F.lit("").alias("name"), F.lit("").alias("kind"), F.lit(0.0).alias("confidence"))
 
 
 def _organization(c: Column) -> Column:
     named = lambda name, kind, sure: let(name, lambda n: F.when(n.isNotNull(), F.struct(n.alias("name"), F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"))))
     kinds = [named(_first_valid(c, [_name(n, s)], valid_organisation), kind, 0.7) for kind, n, s in zh.ORGANISATIONS]
-    none = F.struct(F.lit("").alias("name"), F.lit("").alias("kind"), F.lit(0.0).alias("confidence"))
-    return F.coalesce(named(labour_company(c), "企业", 0.9), *kinds, none)
+    return F.coalesce(named(labour_company(c), "企业", 0.9), *kinds, _no_organization())
 
 
 def resolve_organization(title: Column, content: Column, community: Column, address: Column) -> Column:
@@ -106,7 +100,7 @@ def resolve_organization(title: Column, content: Column, community: Column, addr
 
 
 def pick_subject(resolved: Column, title: Column, raw: Column) -> Column:
-    return first_filled(resolved, extract_organization(title)["name"], extract_organization(raw)["name"])
+    return first_found(resolved, extract_organization(title)["name"], extract_organization(raw)["name"])
 
 
 def _without_lead(c: Column) -> Column:
@@ -127,12 +121,18 @@ def extract_address(c: Column, gazetteer: dict[str, Sequence[str]] | None = None
     name after the town, else any. The road follows the town.
     """
     stems = "|".join(t.removesuffix("街道").removesuffix("镇") for t in zh.TOWNS)
-    return let(c, lambda x: let(F.regexp_extract(x, f"((?:{stems})(?:街道|镇)?)", 1), lambda said: _address(x, said, gazetteer)))
+    found = lambda x: let(F.regexp_extract(x, f"((?:{stems})(?:街道|镇)?)", 1), lambda said: _address(x, said, gazetteer))
+    none = F.struct(F.lit(zh.DISTRICT).alias("district"), *[F.lit("").alias(k) for k in ("town", "community", "road", "building", "address_raw")])
+    return let(c, lambda x: F.when(has_chinese(x), found(x)).otherwise(none))
 
 
 def _address(c: Column, said: Column, gazetteer: dict[str, Sequence[str]] | None) -> Column:
     town = F.coalesce(*[F.when(said.startswith(t.removesuffix("街道").removesuffix("镇")), t) for t in zh.TOWNS], F.lit(""))
     rest = F.when(said == "", c).otherwise(F.substr(c, F.instr(c, said) + F.length(said)))
+    return let(F.struct(town.alias("town"), rest.alias("rest")), lambda x: _address_after(c, said, x["town"], x["rest"], gazetteer))
+
+
+def _address_after(c: Column, said: Column, town: Column, rest: Column, gazetteer: dict[str, Sequence[str]] | None) -> Column:
     listed = F.coalesce(*[F.when((town == t) & F.contains(rest, F.lit(name)), name) for t, names in (gazetteer or {}).items() for name in names], F.lit(""))
     lead = F.when(c.rlike("[（(]"), _without_lead(F.regexp_extract(c, r"^([^（(]*)[（(]", 1)))
     bracket = F.regexp_extract(lead, f"([{CJK}A-Za-z0-9]{{1,6}}(?:{any_of(zh.ESTATE_SUFFIXES)}))$", 1)
@@ -143,20 +143,24 @@ def _address(c: Column, said: Column, gazetteer: dict[str, Sequence[str]] | None
         names = F.transform(F.regexp_extract_all(x, F.lit(name), F.lit(1)), _without_lead)
         return F.get(F.filter(names, _valid_community), 0)
 
-    community = first_filled(listed, bracket, general(rest), general(c))
+    community = first_found(listed, bracket, general(rest), F.when(said != "", general(c)))
     roads = F.transform(F.regexp_extract_all(rest, F.lit(f"([{CJK}]{{2,8}}?(?:路|街|大道|巷|公路))"), F.lit(1)), _without_lead)
     road = F.coalesce(F.get(F.filter(roads, lambda r: (F.length(r) >= 2) & ~has_any(r, zh.ADDRESS_MUST_NOT_HOLD)), 0), F.lit(""))
     unit = "(?:栋|幢|座|单元|号|室|层|楼)"
     building = F.regexp_extract(c, rf"(\d+{unit}(?:\d*{unit})*)", 1)
-    whole = normalize_address(town, community, road, building)
     piece = F.when(said != "", strip(F.regexp_extract(F.substr(c, F.instr(c, said), F.lit(30)), r"^[^。，；！？\n(（]*", 0)))
-    return F.struct(
-        F.lit(zh.DISTRICT).alias("district"), town.alias("town"), community.alias("community"), road.alias("road"), building.alias("building"), first_filled(whole, piece).alias("address_raw")
-    )
+
+    def whole(x: Column) -> Column:
+        parts = [x[k] for k in ("community", "road", "building")]
+        return F.struct(F.lit(zh.DISTRICT).alias("district"), town.alias("town"), *[p.alias(k) for p, k in zip(parts, ("community", "road", "building"), strict=True)], first_found(normalize_address(town, *parts), piece).alias("address_raw"))
+
+    return let(F.struct(community.alias("community"), road.alias("road"), building.alias("building")), whole)
 
 
-def classify_event_type(title: Column, content: Column, rules: Sequence[tuple[str, str]] = tuple(zh.EVENT_TYPES)) -> Column:
-    return let(F.concat_ws(" ", title, content), lambda x: first_label(x, rules))
+def classify_event_type(title: Column, content: Column, rules: Sequence[tuple[str, str | Sequence[str]]] = tuple(zh.EVENT_TYPES)) -> Column:
+    every_chinese = all(re.search(f"[{CJK}]", w) for _, words in rules for w in ([words] if isinstance(words, str) else words))
+    guard = has_chinese if every_chinese else lambda x: F.lit(True)
+    return let(F.concat_ws(" ", title, content), lambda x: F.when(guard(x), first_label(x, rules)).otherwise(""))
 
 
 def event_action(kind: Column, content: Column) -> Column:
@@ -185,7 +189,7 @@ def classify_nature(c: Column, rules: Sequence[tuple[str, Sequence[str]]] = tupl
     return let(c, lambda x: most_words(x, rules))
 
 
-def extract_request(c: Column, kind: Column, rules: Sequence[tuple[str, str]] = tuple(zh.REQUESTS), verbs: Sequence[str] = tuple(zh.REQUEST_VERBS), fallback: tuple[Sequence[str], str] = zh.REQUEST_FALLBACK) -> Column:
+def extract_request(c: Column, kind: Column, rules: Sequence[tuple[str, str | Sequence[str]]] = tuple(zh.REQUESTS), verbs: Sequence[str] = tuple(zh.REQUEST_VERBS), fallback: tuple[Sequence[str], str] = zh.REQUEST_FALLBACK) -> Column:
     """struct<request, issue>: the first request with a keyword; the issue is it without verbs, else the event type."""
     return let(F.struct(c.alias("text"), first_label(c, rules).alias("found"), kind.alias("kind")), lambda x: _request(x["text"], x["found"], x["kind"], verbs, fallback))
 
@@ -293,15 +297,16 @@ def to_pipeline_columns(cleaned: DataFrame, raw: DataFrame) -> DataFrame:
 def normalize_entity(df: DataFrame, key: str, name: str, aliases: DataFrame, min_length: int = 3) -> DataFrame:
     """Add canonical and confidence by aliases (canonical, alias): equal names first, then names that hold one another.
 
-    The canonical name itself scores 1.0, another alias 0.9; containment either
+    The table of aliases must have so few rows that every name can be held against
+    each (sources.written.SMALL_ROWS). The canonical name itself scores 1.0, another alias 0.9; containment either
     way, by names of at least min_length, takes the first (canonical, alias) and
     scores 0.7; others keep their name at 0.3, empty ones at 0.
     """
     exact = aliases.groupBy(F.col("alias").alias(name)).agg(F.min("canonical").alias("__c"))
-    hit = df.join(F.broadcast(exact), name, "left")
+    hit = df.join(exact, name, "left")
     misses = hit.where(F.col("__c").isNull() & filled(F.col(name)).isNotNull()).select(name).distinct()
     near = (F.contains(F.col(name), F.col("alias")) & (F.length("alias") >= min_length)) | (F.contains(F.col("alias"), F.col(name)) & (F.length(name) >= min_length))
-    fuzzy = misses.join(F.broadcast(aliases), near).groupBy(name).agg(F.min_by("canonical", F.struct("canonical", "alias")).alias("__f"))
+    fuzzy = misses.join(checked(aliases), near).groupBy(name).agg(F.min_by("canonical", F.struct("canonical", "alias")).alias("__f"))
     out = hit.join(fuzzy, name, "left")
     sure = F.when(F.col("__c") == F.col(name), 1.0).when(F.col("__c").isNotNull(), 0.9).when(F.col("__f").isNotNull(), 0.7).when(filled(F.col(name)).isNotNull(), 0.3).otherwise(0.0)
     return out.withColumns({"canonical": F.coalesce("__c", "__f", F.col(name), F.lit("")), "confidence": sure}).drop("__c", "__f")

@@ -67,6 +67,23 @@ LABOUR_NAME_MUST_NOT_HOLD = [
 COMPANY = "有限公司|公司|厂|集团|分公司|劳务|服务部|经营部"
 GENERIC_SUFFIX = ["街道", "镇", "社区", "村", "居委会", "村委会"]
 
+# fixed values: patterns of a company in texts about wages, and of a person's name
+LABOUR_COMPANIES = [
+    r"(?:名称|名字|单位名称)[:：]\s*([一-龥A-Za-z0-9]{2,25})",
+    r"项目单位[:：]\s*([一-龥A-Za-z0-9]{2,20})",
+    rf"在([一-龥A-Za-z0-9]{{2,25}}?(?:{COMPANY}|物流园))工作",
+    rf"(?:被|反映被)(?:佛山市顺德区|佛山市|顺德区)?([一-龥A-Za-z0-9]{{2,25}}?(?:{COMPANY}))(?=[\s，,。？（(]|拖欠)",
+    rf"([一-龥A-Za-z0-9]{{2,20}}(?:分拨中心|物流园|工业园|{COMPANY}))[（(]?地址",
+    rf"([一-龥A-Za-z0-9]{{2,20}}(?:{COMPANY}))\s*(?:，|,)?\s*拖欠",
+    rf"([一-龥A-Za-z0-9]{{2,20}}(?:{COMPANY}))[的]?(?:员工|人员|工人|职工)",
+]
+PERSONS = [
+    rf"(?<![市民诉求])([一-龥])({'|'.join(PERSON_TITLES)})",
+    r"([一-龥])某(?:某)?",
+    r"市民([一-龥])(?:先生|女士|小姐)",
+    r"诉求人([一-龥])(?:先生|女士|小姐)",
+]
+
 # fixed values: address parts
 ESTATE_SUFFIXES = ["小区", "花园", "华府", "豪庭", "家园", "雅苑", "名居", "公馆", "广场", "新城", "庭院", "楼盘", "公寓", "社区", "苑", "村", "府", "庭", "居"]
 ADDRESS_LEAD = [
@@ -98,66 +115,66 @@ NATURES = [
 
 # fixed values: event types in order of priority, each with its keywords
 EVENT_TYPES = [
-    ("噪音扰民", "噪音|扰民|喧哗|音响|音乐声音|施工噪音|半夜|噪声"),
-    ("拖欠工资", "拖欠工资|拖欠薪资|欠薪|拖欠工资问题|拖欠|克扣工资|被克扣"),
-    ("劳动纠纷", "劳动纠纷|劳动合同|解除劳动合同|社保|失业保险金|劳动关系|离职证明"),
-    ("消费纠纷", "消费纠纷|消费维权|退款|退费|商品质量|虚假宣传|网购|网购纠纷|质量问题|售后|维修|退货|三包|商家|超市|价格|收费问题|收费不合理"),
-    ("违法建设", "违建|违法建设|违章建筑|违法搭建|违规搭建|集装箱|加建|改建|扩建"),
-    ("物业管理", "物业服务|物业公司|物业管理|物业问题|物业履职|物业费|业委会|业主委员会|保安|保洁|停车场管理|停车管理|物业收费|充电桩"),
-    ("房屋质量", "房屋开裂|墙体开裂|墙面开裂|漏水|渗水|塌陷|下陷|危房|房屋质量|装修"),
-    ("占道经营", "占道经营|乱摆卖|流动摊贩|占道摆卖|占道经营问题"),
-    ("交通问题", "交通|违停|乱停|乱停乱放|停车|路阻|堵车|冲卡|外来车辆|车辆停放|占道停放|红绿灯|逆行|酒驾"),
-    ("环境卫生", "垃圾|卫生|臭味|污水|乱扔|四害|灭四害|下水|化粪"),
-    ("市政设施", "路灯|井盖|路面|破损|道路损坏|道路施工|人行道|围蔽"),
-    ("燃放烟花", "烟花|爆竹|燃放"),
-    ("环境污染", "污染|废气|油烟|粉尘|养猪场|嗅气|异味|扬尘"),
-    ("养殖问题", "养殖|禽畜|鸡|鸭|狗叫"),
-    ("食品安全", "食品含异物|食品安全|食材问题|餐饮卫生|餐馆|餐厅|食物中毒|过期食品"),
-    ("证照办理", "注册登记|注册问题|注册登|注销登记|设立登记|企业变更|地址变更|营业执照|个体户|个体工商户|经营许可|食品经营许可|特种设备|证照|居住证|身份证|结婚登记|户籍|入户"),
-    ("社保医保", "社保|医保|参保|报销|养老金|退休金|退休|补贴|失业金|失业保险|工伤|生育保险|缴费|减员|伤残补助|门诊|门特|异地就医|参保缴费"),
-    ("教育问题", "学校|老师|入学|招生|中考|高考|教育|幼儿园|学费|补课"),
-    ("物流快递", "物流|快递|货运|托运|配送"),
-    ("无证经营", "无证|无照|黑车|非法营运"),
-    ("咨询办理", "咨询|申请|办理|指引|疑问|如何|流程|资料补正"),
+    ("噪音扰民", ["噪音", "扰民", "喧哗", "音响", "音乐声音", "施工噪音", "半夜", "噪声"]),
+    ("拖欠工资", ["拖欠工资", "拖欠薪资", "欠薪", "拖欠工资问题", "拖欠", "克扣工资", "被克扣"]),
+    ("劳动纠纷", ["劳动纠纷", "劳动合同", "解除劳动合同", "社保", "失业保险金", "劳动关系", "离职证明"]),
+    ("消费纠纷", ["消费纠纷", "消费维权", "退款", "退费", "商品质量", "虚假宣传", "网购", "网购纠纷", "质量问题", "售后", "维修", "退货", "三包", "商家", "超市", "价格", "收费问题", "收费不合理"]),
+    ("违法建设", ["违建", "违法建设", "违章建筑", "违法搭建", "违规搭建", "集装箱", "加建", "改建", "扩建"]),
+    ("物业管理", ["物业服务", "物业公司", "物业管理", "物业问题", "物业履职", "物业费", "业委会", "业主委员会", "保安", "保洁", "停车场管理", "停车管理", "物业收费", "充电桩"]),
+    ("房屋质量", ["房屋开裂", "墙体开裂", "墙面开裂", "漏水", "渗水", "塌陷", "下陷", "危房", "房屋质量", "装修"]),
+    ("占道经营", ["占道经营", "乱摆卖", "流动摊贩", "占道摆卖", "占道经营问题"]),
+    ("交通问题", ["交通", "违停", "乱停", "乱停乱放", "停车", "路阻", "堵车", "冲卡", "外来车辆", "车辆停放", "占道停放", "红绿灯", "逆行", "酒驾"]),
+    ("环境卫生", ["垃圾", "卫生", "臭味", "污水", "乱扔", "四害", "灭四害", "下水", "化粪"]),
+    ("市政设施", ["路灯", "井盖", "路面", "破损", "道路损坏", "道路施工", "人行道", "围蔽"]),
+    ("燃放烟花", ["烟花", "爆竹", "燃放"]),
+    ("环境污染", ["污染", "废气", "油烟", "粉尘", "养猪场", "嗅气", "异味", "扬尘"]),
+    ("养殖问题", ["养殖", "禽畜", "鸡", "鸭", "狗叫"]),
+    ("食品安全", ["食品含异物", "食品安全", "食材问题", "餐饮卫生", "餐馆", "餐厅", "食物中毒", "过期食品"]),
+    ("证照办理", ["注册登记", "注册问题", "注册登", "注销登记", "设立登记", "企业变更", "地址变更", "营业执照", "个体户", "个体工商户", "经营许可", "食品经营许可", "特种设备", "证照", "居住证", "身份证", "结婚登记", "户籍", "入户"]),
+    ("社保医保", ["社保", "医保", "参保", "报销", "养老金", "退休金", "退休", "补贴", "失业金", "失业保险", "工伤", "生育保险", "缴费", "减员", "伤残补助", "门诊", "门特", "异地就医", "参保缴费"]),
+    ("教育问题", ["学校", "老师", "入学", "招生", "中考", "高考", "教育", "幼儿园", "学费", "补课"]),
+    ("物流快递", ["物流", "快递", "货运", "托运", "配送"]),
+    ("无证经营", ["无证", "无照", "黑车", "非法营运"]),
+    ("咨询办理", ["咨询", "申请", "办理", "指引", "疑问", "如何", "流程", "资料补正"]),
 ]
 
 # fixed values: what happened, by event type: (keywords, action) in order, then the action without any of them
 EVENT_ACTIONS = {
-    "噪音扰民": ([("喧哗", "客人喧哗"), ("音响|音乐", "音响播放"), ("施工", "施工")], "产生噪音"),
+    "噪音扰民": ([(["喧哗"], "客人喧哗"), (["音响", "音乐"], "音响播放"), (["施工"], "施工")], "产生噪音"),
     "拖欠工资": ([], "拖欠薪资"),
-    "占道经营": ([("摆卖|摊贩", "占道摆卖")], "占道经营"),
-    "物业管理": ([("保安|保洁", "保安保洁缺位"), ("停车", "停车管理不力"), ("费", "物业收费争议")], "物业服务不到位"),
-    "交通问题": ([("冲卡|外来车辆", "外来车辆冲卡进入"), ("违停|乱停", "车辆违停"), ("占道", "车辆占道停放")], "车辆停放问题"),
+    "占道经营": ([(["摆卖", "摊贩"], "占道摆卖")], "占道经营"),
+    "物业管理": ([(["保安", "保洁"], "保安保洁缺位"), (["停车"], "停车管理不力"), (["费"], "物业收费争议")], "物业服务不到位"),
+    "交通问题": ([(["冲卡", "外来车辆"], "外来车辆冲卡进入"), (["违停", "乱停"], "车辆违停"), (["占道"], "车辆占道停放")], "车辆停放问题"),
     "燃放烟花": ([], "燃放烟花"),
-    "环境卫生": ([("垃圾", "乱丢垃圾"), ("污水", "污水排放"), ("四害", "四害滋生")], "影响卫生"),
-    "房屋质量": ([("开裂", "墙体开裂"), ("漏水|渗水", "房屋漏水"), ("塌陷|下陷", "地面塌陷")], "房屋质量问题"),
-    "食品安全": ([("异物", "食品含异物"), ("餐饮|餐厅|餐馆", "餐饮卫生问题")], "食品安全问题"),
-    "证照办理": ([("注册|设立", "企业/个体注册登记"), ("注销", "注销登记"), ("变更", "登记信息变更"), ("营业执照", "营业执照办理")], "证照办理"),
-    "社保医保": ([("报销", "医保/费用报销"), ("退休", "退休待遇"), ("失业", "失业金申领"), ("参保|缴费", "参保缴费"), ("工伤", "工伤待遇")], "社保医保业务"),
-    "教育问题": ([("入学|招生", "入学招生"), ("收费|学费", "教育收费"), ("老师|补课", "教学管理")], "教育管理问题"),
+    "环境卫生": ([(["垃圾"], "乱丢垃圾"), (["污水"], "污水排放"), (["四害"], "四害滋生")], "影响卫生"),
+    "房屋质量": ([(["开裂"], "墙体开裂"), (["漏水", "渗水"], "房屋漏水"), (["塌陷", "下陷"], "地面塌陷")], "房屋质量问题"),
+    "食品安全": ([(["异物"], "食品含异物"), (["餐饮", "餐厅", "餐馆"], "餐饮卫生问题")], "食品安全问题"),
+    "证照办理": ([(["注册", "设立"], "企业/个体注册登记"), (["注销"], "注销登记"), (["变更"], "登记信息变更"), (["营业执照"], "营业执照办理")], "证照办理"),
+    "社保医保": ([(["报销"], "医保/费用报销"), (["退休"], "退休待遇"), (["失业"], "失业金申领"), (["参保", "缴费"], "参保缴费"), (["工伤"], "工伤待遇")], "社保医保业务"),
+    "教育问题": ([(["入学", "招生"], "入学招生"), (["收费", "学费"], "教育收费"), (["老师", "补课"], "教学管理")], "教育管理问题"),
     "物流快递": ([], "物流快递纠纷"),
     "咨询办理": ([], "咨询/申请办理"),
 }
 
 # fixed values: requests in order of priority, each with its keywords
 REQUESTS = [
-    ("制止噪音扰民", "制止噪音|停止噪音|解决噪音|消除噪音|噪音扰民"),
-    ("制止占道经营", "清理占道|取缔占道|制止占道|整治摆卖"),
-    ("查处违法建设", "查处违建|拆除违建|拆除违法|整治违建|违规搭建|违法搭建"),
-    ("追讨工资", "发放工资|支付工资|追回工资|补发工资|支付薪资|克扣工资"),
-    ("退还费用", "退款|退费|退还|退货|退钱"),
-    ("依法处罚", "依法处罚|处罚违法|依法查处|处罚"),
-    ("处理交通违停", "处理违停|处理乱停|拖离|乱停乱放"),
-    ("修复市政设施", "修复路灯|修复井盖|修复路面|维修|道路破损|人行道破损"),
-    ("整治环境卫生", "清理垃圾|处理污水|整治卫生|灭四害|除四害"),
-    ("查处食品安全", "食品含异物|食品安全|餐饮卫生|食材问题"),
-    ("房屋质量整改", "房屋开裂|墙体开裂|房屋漏水|墙体渗水|地面塌陷|房屋质量"),
-    ("协调处理物业服务", "物业服务问题|物业问题|物业履职|物业管理问题|协调处理此物业|处理物业服务|介入协调处理此物业"),
-    ("补办证照", "办理营业执照|注册登记|注销登记|设立登记|证照办理|补办身份证|居住证办理|结婚登记|营业执照"),
-    ("社保医保报销", "医保报销|社保报销|工伤报销|门诊报销|门特报销"),
-    ("投诉商家", "投诉商家|商家问题|消费维权|网购纠纷|商品质量|售后服务"),
-    ("咨询办理", "咨询|申请办理|如何办理|办理流程|申请补贴|疑问|希望了解|想了解|请教"),
-    ("介入处理", "介入处理|介入|处理|跟进|核实"),
+    ("制止噪音扰民", ["制止噪音", "停止噪音", "解决噪音", "消除噪音", "噪音扰民"]),
+    ("制止占道经营", ["清理占道", "取缔占道", "制止占道", "整治摆卖"]),
+    ("查处违法建设", ["查处违建", "拆除违建", "拆除违法", "整治违建", "违规搭建", "违法搭建"]),
+    ("追讨工资", ["发放工资", "支付工资", "追回工资", "补发工资", "支付薪资", "克扣工资"]),
+    ("退还费用", ["退款", "退费", "退还", "退货", "退钱"]),
+    ("依法处罚", ["依法处罚", "处罚违法", "依法查处", "处罚"]),
+    ("处理交通违停", ["处理违停", "处理乱停", "拖离", "乱停乱放"]),
+    ("修复市政设施", ["修复路灯", "修复井盖", "修复路面", "维修", "道路破损", "人行道破损"]),
+    ("整治环境卫生", ["清理垃圾", "处理污水", "整治卫生", "灭四害", "除四害"]),
+    ("查处食品安全", ["食品含异物", "食品安全", "餐饮卫生", "食材问题"]),
+    ("房屋质量整改", ["房屋开裂", "墙体开裂", "房屋漏水", "墙体渗水", "地面塌陷", "房屋质量"]),
+    ("协调处理物业服务", ["物业服务问题", "物业问题", "物业履职", "物业管理问题", "协调处理此物业", "处理物业服务", "介入协调处理此物业"]),
+    ("补办证照", ["办理营业执照", "注册登记", "注销登记", "设立登记", "证照办理", "补办身份证", "居住证办理", "结婚登记", "营业执照"]),
+    ("社保医保报销", ["医保报销", "社保报销", "工伤报销", "门诊报销", "门特报销"]),
+    ("投诉商家", ["投诉商家", "商家问题", "消费维权", "网购纠纷", "商品质量", "售后服务"]),
+    ("咨询办理", ["咨询", "申请办理", "如何办理", "办理流程", "申请补贴", "疑问", "希望了解", "想了解", "请教"]),
+    ("介入处理", ["介入处理", "介入", "处理", "跟进", "核实"]),
 ]
 REQUEST_VERBS = ["制止", "查处", "追讨", "退还", "处理", "整治", "修复", "介入", "协调"]
 REQUEST_FALLBACK = (["希望", "要求", "请", "建议"], "介入处理")

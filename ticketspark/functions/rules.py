@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import any_of, has_any
+from ..sources.written import checked
+from .text import any_of, has_any, holds_any, let
 
 
 def first_label(c: Column, rules: Sequence[tuple[str, str | Sequence[str]]], otherwise: str = "") -> Column:
     """Label of the first rule with a keyword in the text. Keywords are a list of words, or a pattern."""
-    pattern = lambda k: k if isinstance(k, str) else any_of(k)
-    return F.coalesce(*[F.when(c.rlike(pattern(k)), F.lit(label)) for label, k in rules], F.lit(otherwise))
+    holds = lambda k: c.rlike(k) if isinstance(k, str) else holds_any(c, list(k))
+    return F.coalesce(*[F.when(holds(k), F.lit(label)) for label, k in rules], F.lit(otherwise))
 
 
 def count_words(c: Column, words: Sequence[str]) -> Column:
@@ -23,10 +24,12 @@ def count_words(c: Column, words: Sequence[str]) -> Column:
 
 def most_words(c: Column, rules: Sequence[tuple[str, Sequence[str]]], none: str = "unknown") -> Column:
     """Label with the most of its words in the text, of equals the first."""
-    counts = [count_words(c, words) for _, words in rules]
-    most = F.greatest(*counts)
-    label = F.coalesce(*[F.when(n == most, F.lit(name)) for n, (name, _) in zip(counts, rules, strict=True)])
-    return F.when(most == 0, none).otherwise(label)
+
+    def label(counts: Column) -> Column:
+        most = F.array_max(counts)
+        return F.when(most == 0, none).otherwise(F.element_at(F.array(*[F.lit(name) for name, _ in rules]), F.array_position(counts, most).cast("int")))
+
+    return let(F.array(*[count_words(c, words) for _, words in rules]), label)
 
 
 def longest_term(c: Column, terms: Sequence[str]) -> Column:
@@ -43,9 +46,9 @@ def leftmost_term(c: Column, terms: Sequence[str]) -> Column:
 def label_by_table(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
     """(key, label) of the first rule of a table (priority, label, pattern) whose pattern a text holds; texts without one are left out.
 
-    For rule tables that are data: a broadcast containment join with one aggregate.
+    For rule tables that are data, of at most sources.written.SMALL_ROWS rows: a containment join with one aggregate.
     """
-    hits = df.join(F.broadcast(rules), F.contains(F.col(text), F.col("pattern")))
+    hits = df.join(checked(rules), F.contains(F.col(text), F.col("pattern")))
     return hits.groupBy(key).agg(F.min_by("label", "priority").alias("label"))
 
 

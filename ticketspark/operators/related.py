@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pack_zh import DISTRICT
-from ..functions.text import addr_contains, blank, norm_subject
+from ..functions.text import addr_contains, blank, has_landmark, norm_subject
 
 FIELDS = ["addr_norm", "addr_community", "addr_building", "extracted_subject", "extracted_area"]
 
@@ -18,20 +18,55 @@ def _places(df: DataFrame) -> DataFrame:
     return df.select("order_id", addr.alias("addr"), comm.alias("comm"), bld.alias("bld"), norm_subject(subj).alias("subj"), area.alias("area"), *[c for c in ("cluster_id",) if c in df.columns])
 
 
-def _keys() -> Column:
-    """One key for each way in which two tickets can share a place."""
+def _key(kind: str, *parts: Column) -> Column:
+    return F.concat_ws("\x1f", F.lit(kind), *parts)
+
+
+def _exact() -> Column:
+    """One key for each way in which tickets with equal fields share a place."""
     c = F.col
-    key = lambda kind, *parts: F.concat_ws("\x1f", F.lit(kind), *parts)
     keys = F.array(
-        F.when(c("addr") != "", key("a", c("addr"))),
-        F.when((c("addr") != "") & (c("comm") != ""), key("c", c("comm"))),
-        F.when((c("comm") != "") & (c("bld") != ""), key("cb", c("comm"), c("bld"))),
-        F.when((c("comm") == "") & (c("bld") != ""), key("b", c("bld"))),
-        F.when(c("subj") != "", key("s", c("subj"), c("area"))),
+        F.when(c("addr") != "", _key("a", c("addr"))),
+        F.when((c("comm") != "") & (c("bld") != ""), _key("cb", c("comm"), c("bld"))),
+        F.when((c("comm") == "") & (c("bld") != ""), _key("b", c("bld"))),
+        F.when((c("comm") == "") & (c("subj") != ""), _key("s", c("subj"), c("area"))),
     )
     return F.array_compact(keys)
 
 
+def _around() -> Column:
+    """What must be equal beside addresses one of which holds the other: the community, or subject and area."""
+    c = F.col
+    return F.array_compact(F.array(F.when(c("comm") != "", _key("ci", c("comm"))), F.when(c("subj") != "", _key("si", c("subj"), c("area")))))
+
+
+def place_members(df: DataFrame) -> DataFrame:
+    """Rows (order_id, place, core): two tickets are at one place if they share a place that one of them is a core of.
+
+    Tickets with equal fields are all cores of a place. An address that others
+    hold is a place too: its tickets are the cores, those whose longer address
+    holds it belong to it. Only different addresses are compared, and only those
+    that share the shorter one's first five signs. So however many tickets a
+    place has, each has a row for each of its few places. Places of one ticket are left out.
+    """
+    places = _places(df)
+    exact = places.select("order_id", F.explode(_exact()).alias("place"), F.lit(True).alias("core"))
+
+    near = places.where("addr <> ''").select("order_id", "addr", F.explode(_around()).alias("around"))
+    short = F.regexp_replace("addr", "[0-9０-９]", "")
+    kinds = near.select("around", "addr").distinct().withColumn("plain", short).where(F.length("plain") >= 5)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("plain") - 4), lambda i: F.substr("plain", i, F.lit(5))))
+    inner = kinds.where(has_landmark(F.col("plain"))).select("around", F.substring("plain", 1, 5).alias("gram"), F.col("addr").alias("held"), F.col("plain").alias("held_plain"))
+    outer = kinds.select("around", F.explode(grams).alias("gram"), "addr", "plain")
+    holds = inner.join(outer, ["around", "gram"]).where((F.col("held") != F.col("addr")) & F.contains("plain", "held_plain")).select("around", "held", "addr")
+    place = F.concat_ws("\x1f", "around", "held").alias("place")
+    cores = near.join(holds.select("around", F.col("held").alias("addr")).distinct(), ["around", "addr"]).select("order_id", F.concat_ws("\x1f", "around", "addr").alias("place"), F.lit(True).alias("core"))
+    others = near.join(holds, ["around", "addr"]).select("order_id", place, F.lit(False).alias("core"))
+
+    members = exact.union(cores).union(others)
+    return members.join(members.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select("place"), "place", "left_semi").select("order_id", "place", "core")
+
+
 def same_place(a: str, b: str) -> Column:
     """Whether two tickets, as aliases a and b, are at one place by their fields."""
     x = {f"{t}{n}": F.col(f"{t}.{n}") for t in (a, b) for n in ("addr", "comm", "bld", "subj", "area")}
@@ -50,18 +85,15 @@ def same_place(a: str, b: str) -> Column:
 def same_place_pairs(df: DataFrame, similar: DataFrame | None = None, min_similarity: float = 0.65) -> DataFrame:
     """Pairs (a, b), a < b, of tickets at one place.
 
-    Every way to be at one place implies a common key, so an equi-join on keys
-    with the full test misses none. similar (a, b, similarity) adds pairs of one
+    For tables of which all pairs are wanted; place_members says the same in as
+    many rows as tickets have places. similar (a, b, similarity) adds pairs of one
     cluster that both have no place fields at all.
     """
-    places = _places(df)
-    keyed = places.withColumn("key", F.explode(_keys()))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keyed = keyed.join(shared, "key", "left_semi")
-    pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.order_id") < F.col("b.order_id"))).where(same_place("a", "b"))
-    out = pairs.select(F.col("a.order_id").alias("a"), F.col("b.order_id").alias("b")).distinct()
+    x, y = place_members(df).alias("x"), place_members(df).alias("y")
+    pairs = x.join(y, (F.col("x.place") == F.col("y.place")) & (F.col("x.order_id") < F.col("y.order_id")) & (F.col("x.core") | F.col("y.core")))
+    out = pairs.select(F.col("x.order_id").alias("a"), F.col("y.order_id").alias("b")).distinct()
     if similar is not None:
-        empty = places.where("addr = '' and comm = '' and bld = ''")
+        empty = _places(df).where("addr = '' and comm = '' and bld = ''")
         side = lambda x: empty.select(F.col("order_id").alias(x), F.col("cluster_id").alias(f"c{x}"))
         near = similar.where(F.col("similarity") >= min_similarity).join(side("a"), "a").join(side("b"), "b").where("ca = cb").select("a", "b")
         out = out.union(near).distinct()
@@ -71,7 +103,14 @@ def same_place_pairs(df: DataFrame, similar: DataFrame | None = None, min_simila
 def related_sorted(pairs: DataFrame, df: DataFrame, order_id: str) -> DataFrame:
     """Tickets paired with one, latest first."""
     mates = pairs.where((F.col("a") == order_id) | (F.col("b") == order_id)).select(F.when(F.col("a") == order_id, F.col("b")).otherwise(F.col("a")).alias("order_id"))
-    return df.join(F.broadcast(mates), "order_id", "left_semi").orderBy(F.desc_nulls_last(F.date_format("submit_time", "yyyy-MM-dd HH:mm")), "order_id")
+    return df.join(mates, "order_id", "left_semi").orderBy(F.desc_nulls_last(F.date_format("submit_time", "yyyy-MM-dd HH:mm")), "order_id")
+
+
+def related_to(members: DataFrame, df: DataFrame, order_id: str) -> DataFrame:
+    """The same from place_members: only the ticket's own places are looked at."""
+    own = members.where(F.col("order_id") == order_id).select("place", F.col("core").alias("own_core"))
+    mates = members.where(F.col("order_id") != order_id).join(own, "place").where("core or own_core").select("order_id")
+    return df.join(mates, "order_id", "left_semi").orderBy(F.desc_nulls_last(F.date_format("submit_time", "yyyy-MM-dd HH:mm")), "order_id")
 
 
 def related_by_organization(df: DataFrame, organization: str, exclude: str, limit: int = 50) -> DataFrame:
@@ -99,7 +138,7 @@ def similar_not_duplicate(events: DataFrame, k: int = 3) -> DataFrame:
 def match_basis(df: DataFrame, events: DataFrame) -> DataFrame:
     """For each ticket of an event, whether label, area and subject agree with the event's: 一致, 不一致 or 缺失."""
     e = events.select("cluster_id", F.col("event_type").alias("__t"), F.col("area").alias("__a"), F.col("event_subject").alias("__s"))
-    j = df.join(F.broadcast(e), "cluster_id")
+    j = df.join(e, "cluster_id")
     area, subject = blank(F.coalesce("extracted_area", F.lit(""))), blank(F.coalesce("extracted_subject", F.lit("")))
     agree = lambda ok: F.when(ok, "一致").otherwise("不一致")
     named = (F.col("__s") != "") & ~F.col("__s").startswith("（") & ~F.col("__s").startswith("多主体聚合")
@@ -116,5 +155,5 @@ def ticket_detail(df: DataFrame, events: DataFrame, pairs: DataFrame) -> DataFra
     mates = pairs.select(F.col("a").alias("order_id")).union(pairs.select("b")).groupBy("order_id").agg(F.count("*").alias("n_related"))
     others = similar_not_duplicate(events).groupBy("event_id").agg(F.sort_array(F.collect_list("other_id")).alias("similar_events"))
     event = events.select("cluster_id", "event_id", "frequency").join(others, "event_id", "left")
-    out = df.select("order_id", "cluster_id").join(F.broadcast(event), "cluster_id", "left").join(mates, "order_id", "left").join(match_basis(df, events).drop("cluster_id"), "order_id", "left")
+    out = df.select("order_id", "cluster_id").join(event, "cluster_id", "left").join(mates, "order_id", "left").join(match_basis(df, events).drop("cluster_id"), "order_id", "left")
     return out.withColumn("n_related", F.coalesce("n_related", F.lit(0)))

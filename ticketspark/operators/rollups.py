@@ -18,12 +18,12 @@ def daily_counts(df: DataFrame, *by: str) -> DataFrame:
 
 def daily_counts_by_area(df: DataFrame, coords: DataFrame) -> DataFrame:
     """daily_counts of the areas that have coordinates."""
-    return daily_counts(df.join(F.broadcast(coords.select(F.col("area").alias("extracted_area"))), "extracted_area", "left_semi"), "extracted_area")
+    return daily_counts(df.join(coords.select(F.col("area").alias("extracted_area")), "extracted_area", "left_semi"), "extracted_area")
 
 
 def attach_coords(df: DataFrame, coords: DataFrame, area: str = "area", how: str = "left") -> DataFrame:
     """lat and lon of each area; inner leaves out areas without."""
-    return df.join(F.broadcast(coords.select(F.col("area").alias(area), "lat", "lon")), area, how)
+    return df.join(coords.select(F.col("area").alias(area), "lat", "lon"), area, how)
 
 
 def event_area_counts(df: DataFrame, coords: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def area_overview(df: DataFrame, events: DataFrame, coords: DataFrame, k: int =
     area = filled(F.col("extracted_area")).alias("area")
     totals = df.groupBy(area).agg(F.count("*").alias("total"), F.count_if("is_multi_freq").alias("multi")).where("area is not null")
     local = df.where("is_multi_freq").groupBy(area, "cluster_id").agg(F.count("*").alias("frequency")).where("area is not null")
-    named = local.join(F.broadcast(events.select("cluster_id", "event_id", event_name(F.col("event_subject"), F.col("event_type")).alias("name"))), "cluster_id")
+    named = local.join(events.select("cluster_id", "event_id", event_name(F.col("event_subject"), F.col("event_type")).alias("name")), "cluster_id")
     rank = F.row_number().over(Window.partitionBy("area").orderBy(F.desc("frequency"), "event_id"))
     best = named.withColumn("__r", rank).where(F.col("__r") <= k).groupBy("area").agg(F.sort_array(F.collect_list(F.struct("__r", "event_id", "name", "frequency"))).alias("top_events"))
     best = best.withColumn("top_events", F.transform("top_events", lambda x: F.struct(x["event_id"].alias("event_id"), x["name"].alias("name"), x["frequency"].alias("frequency"))))

@@ -20,7 +20,7 @@ def search_orders(df: DataFrame, q: str = "", area: str = "", subject: str = "",
     if multi in ("0", "1"):
         df = df.where(F.col("is_multi_freq") == (multi == "1"))
     if event:
-        df = df.join(F.broadcast(events.where(F.col("event_id") == event).select("cluster_id")), "cluster_id", "left_semi")
+        df = df.join(events.where(F.col("event_id") == event).select("cluster_id"), "cluster_id", "left_semi")
     return df
 
 
@@ -59,7 +59,7 @@ def having_min_count(df: DataFrame, key: str, k: int) -> DataFrame:
 def attach_events(df: DataFrame, events: DataFrame) -> DataFrame:
     """Event id, type and frequency of each ticket's group; '' and 0 without one."""
     e = events.select("cluster_id", "event_id", "event_type", F.col("frequency").alias("event_frequency"))
-    return df.join(F.broadcast(e), "cluster_id", "left").withColumns({"event_id": F.coalesce("event_id", F.lit("")), "event_type": F.coalesce("event_type", F.lit("")), "event_frequency": F.coalesce("event_frequency", F.lit(0))})
+    return df.join(e, "cluster_id", "left").withColumns({"event_id": F.coalesce("event_id", F.lit("")), "event_type": F.coalesce("event_type", F.lit("")), "event_frequency": F.coalesce("event_frequency", F.lit(0))})
 
 
 def results_table(df: DataFrame, events: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def stratified_sample(df: DataFrame, category: str, k_titles: int = 3, rows: int
         full = df.where(filled(F.col(column)).isNotNull())
         counts = full.groupBy(category, column).agg(F.count("*").alias("__n"))
         best = counts.withColumn("__k", F.row_number().over(Window.partitionBy(category).orderBy(F.desc("__n"), column))).where(F.col("__k") <= k)
-        ranked = full.join(F.broadcast(best), [category, column]).withColumn("__r", F.row_number().over(Window.partitionBy(category, column).orderBy("_seq")))
+        ranked = full.join(best, [category, column]).withColumn("__r", F.row_number().over(Window.partitionBy(category, column).orderBy("_seq")))
         return ranked.where(F.col("__r") <= n).select(category, "order_id", "title", "extracted_subject", F.lit(turn).alias("turn"))
 
     both = part("title", k_titles, rows, 1).unionByName(part("extracted_subject", k_subjects, rows_subject, 2))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, Window
@@ -30,26 +31,53 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm == 0, 0.0).otherwise(x.cast("double") / norm))
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float = 0.85, top_k: int = 100, max_pairs: int | None = 1000, tables: int = 24, width: float = 1.0) -> DataFrame:
+def _sign_bands(bits: int, tables: int):
+    """For each of tables sets of random planes, on which sides of them a vector lies, as one number."""
+
+    @F.pandas_udf("array<long>")
+    def bands(v: pd.Series) -> pd.Series:
+        out: list = [None] * len(v)
+        sizes = v.map(len).to_numpy()
+        for dim in np.unique(sizes):
+            planes = np.random.default_rng([dim, bits, tables]).normal(size=(dim, tables * bits))
+            at = np.flatnonzero(sizes == dim)
+            side = (np.stack([np.asarray(v.iloc[i], np.float64) for i in at]) @ planes > 0).reshape(len(at), tables, bits)
+            keys = side @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << bits)
+            for i, row in zip(at, keys, strict=True):
+                out[i] = row
+        return pd.Series(out)
+
+    return bands
+
+
+def band_bits(threshold: float, tables: int, recall: float) -> int:
+    """The most planes for each table at which a pair of that cosine shares one of the tables with probability recall."""
+    side = 1 - np.arccos(threshold) / np.pi
+    return max(1, min(40, int(np.log(1 - (1 - recall) ** (1 / tables)) / np.log(side))))
+
+
+def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float = 0.85, top_k: int = 100, max_pairs: int | None = 1000, tables: int = 100, recall: float = 0.99) -> DataFrame:
     """Pairs (a, b, similarity), a < b, with cosine of at least threshold, top_k for each, best first.
 
-    Unit vectors that similar are at most sqrt(2 - 2 * threshold) apart; random
-    projections find such pairs, and the cosine is computed anew for each. Equal
-    vectors are one candidate: their pairs come from grouping, so copies don't fill buckets.
+    Vectors that lie on the same sides of all planes of one table are compared; a
+    pair at the threshold is with probability recall, closer ones more surely. The
+    lower the threshold, the fewer planes a table can have, and the more are
+    compared. Equal vectors are one candidate, so copies don't fill tables; of
+    copies, each is paired with the first top_k + 1 ids alone, as no other can be among its best.
     """
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), unit(F.col(vector)).alias("v"))
-    classes = rows.groupBy("v").agg(F.min("id").alias("rep"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=42)
-    points = classes.select("rep", "v", array_to_vector("v").alias("features"))
-    model = lsh.fit(points)
-    near = model.approxSimilarityJoin(points, points, (2 - 2 * threshold) ** 0.5 + 1e-9, "d")
-    near = near.select(F.col("datasetA.rep").alias("ra"), F.col("datasetB.rep").alias("rb"), cosine(F.col("datasetA.v"), F.col("datasetB.v")).alias("similarity"))
-    near = near.where((F.col("ra") < F.col("rb")) & (F.col("similarity") >= threshold))
-    near = near.unionByName(classes.select(F.col("rep").alias("ra"), F.col("rep").alias("rb"), F.lit(1.0).alias("similarity")))
+    rows = df.where((F.size(vector) > 0) & F.col(key).isNotNull()).select(F.col(key).alias("id"), unit(F.col(vector)).alias("v"))
+    classes = written(rows.groupBy("v").agg(F.min("id").alias("rep")))
+    banded = classes.select("rep", F.explode(_sign_bands(band_bits(threshold, tables, recall), tables)("v")).alias("band"), F.size("v").alias("dim"))
+    x, y = banded.alias("x"), banded.alias("y")
+    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("ra"), F.col("y.rep").alias("rb")).distinct()
+    side = lambda r, v: classes.select(F.col("rep").alias(r), F.col("v").alias(v))
+    near = near.join(side("ra", "va"), "ra").join(side("rb", "vb"), "rb").select("ra", "rb", cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    near = near.union(near.select("rb", "ra", "similarity")).union(classes.select("rep", "rep", F.lit(1.0)))
     members = rows.join(classes, "v").select("rep", "id")
-    pairs = near.join(members.select(F.col("rep").alias("ra"), F.col("id").alias("x")), "ra").join(members.select(F.col("rep").alias("rb"), F.col("id").alias("y")), "rb")
-    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").distinct()
-    both = pairs.select(F.col("a").alias("x"), "a", "b", "similarity").union(pairs.select("b", "a", "b", "similarity"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
+    first = members.withColumn("place", place).where(F.col("place") <= top_k + 1).select(F.col("rep").alias("rb"), F.col("id").alias("y"))
+    both = near.join(members.select(F.col("rep").alias("ra"), F.col("id").alias("x")), "ra").join(first, "rb").where("x <> y")
+    both = both.select("x", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
     best = both.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("similarity"), "a", "b"))).where(F.col("r") <= top_k).select("a", "b", "similarity").distinct()
     best = best.orderBy(F.desc("similarity"), "a", "b")
     return best if max_pairs is None else best.limit(max_pairs)
@@ -85,6 +113,29 @@ def duplicate_candidates(rows: DataFrame, key: str, vector: str, threshold: floa
     return by("organization").union(by("address")).distinct()
 
 
+def likely_duplicates(rows: DataFrame, key: str, vector: str, threshold: float = 0.85, score: float = 0.7) -> DataFrame:
+    """Pairs (a, b, similarity) that judge_duplicates can give the score: the candidates with no more pairs than needed.
+
+    Of the fields, only the smallest sets whose weights reach the score with a
+    close cosine are joined on, whole sets at a time; the cosine comes last.
+    """
+    weights = {n: w for n, w, _ in FEATURES}
+    reach = [set(c) for n in range(1, len(weights) + 1) for c in combinations(weights, n) if sum(weights[f] for f in c) + 1 >= round(10 * score)]
+    least = [sorted(c) for c in reach if not any(other < c for other in reach)]
+    full = rows.where(F.col(vector).isNotNull())
+
+    def by(fields: list[str]) -> DataFrame:
+        some = full
+        for f in fields:
+            some = some.where(filled(F.col(f).cast("string")).isNotNull())
+        side = lambda x: some.select(*[F.col(f).alias(f"k{i}") for i, f in enumerate(fields)], F.col(key).alias(x))
+        return side("a").join(side("b"), [f"k{i}" for i in range(len(fields))]).where("a < b").select("a", "b")
+
+    pairs = reduce(DataFrame.union, map(by, least)).distinct()
+    side = lambda x: full.select(F.col(key).alias(x), F.col(vector).alias(f"v{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching signs of two texts (Ratcliff and Obershelp); Spark has no built-in function for it."""
@@ -190,9 +241,20 @@ def svd_embed(df: DataFrame, key: str, tokens: Column, dim: int = 256) -> DataFr
 
 
 def sparse_pairs(vectors: DataFrame, min_cosine: float) -> DataFrame:
-    """Pairs (a, b, similarity), a < b, of rows (id, term, w) with at least min_cosine, exact by common terms."""
-    x, y = vectors.alias("x"), vectors.alias("y")
-    dots = x.join(y, (F.col("x.term") == F.col("y.term")) & (F.col("x.id") < F.col("y.id"))).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.sum(F.col("x.w") * F.col("y.w")).alias("similarity"))
+    """Pairs (a, b, similarity), a < b, of rows (id, term, w) of length-1 vectors with at least min_cosine, exact.
+
+    A vector's most frequent terms whose part of it is shorter than min_cosine are
+    left out of the search: rows that share no other term can't be that close. So
+    frequent terms seldom make candidates; their full products are worked out after.
+    """
+    vectors = written(vectors)
+    frequency = vectors.groupBy("term").agg(F.count("*").alias("df"))
+    upto = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id").orderBy(F.desc("df"), "term"))
+    rare = written(vectors.join(frequency, "term").withColumn("upto", upto).where(F.col("upto") >= min_cosine**2 * (1 - 1e-9)).select("id", "term"))
+    x, y = rare.alias("x"), rare.alias("y")
+    pairs = x.join(y, (F.col("x.term") == F.col("y.term")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    side = lambda k: vectors.select(F.col("id").alias(k), "term", F.col("w").alias(f"w{k}"))
+    dots = pairs.join(side("a"), "a").join(side("b"), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
     return dots.where(F.col("similarity") >= min_cosine)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, rules, text
+from ..sources.written import spread
 from .bindings import T, event_tickets, table
 from .registry import query
 
@@ -280,13 +281,13 @@ def x21(spark, sf):
 def x22(spark, sf):
     d = _docs(spark, sf)
     tickets = d.select(F.col("doc_id").cast("string").alias("ticket_no"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), F.lit("").alias("caller_phone"), F.col("doc_id").alias("_seq"))
-    return extract.clean_tickets(tickets).select("ticket_no", "event_type", "channel", "nature", F.md5("clean_content").alias("clean_hash"), "quality.score", "phone.masked")
+    return extract.clean_tickets(spread(tickets)).select("ticket_no", "event_type", "channel", "nature", F.md5("clean_content").alias("clean_hash"), "quality.score", "phone.masked")
 
 
 @query("x23_standardize_tickets")
 def x23(spark, sf):
     d = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("order_id"), F.col("text").alias("content"), F.substring_index("text", "\n", 1).alias("title"), F.lit("").alias("subject"), F.col("source").alias("area"))
-    return extract.standardize_tickets(d, PAIRS, NAMES, NAMES).select("order_id", "extracted_subject", "extracted_event", "extracted_area")
+    return extract.standardize_tickets(spread(d), PAIRS, NAMES, NAMES).select("order_id", "extracted_subject", "extracted_event", "extracted_area")
 
 
 # sentences that every ticket gets one of, and what the Chinese rules find in each

@@ -159,10 +159,17 @@ def j4(spark, sf):
     return related.same_place_pairs(_places(spark, sf))
 
 
+@query("j4_place_members", f"""WITH {PLACE}, k AS (SELECT id AS order_id, 'a' || chr(31) || addr AS place FROM p WHERE addr <> '' UNION ALL SELECT id, 'cb' || chr(31) || comm || chr(31) || bld FROM p WHERE comm <> '' AND bld <> ''
+UNION ALL SELECT id, 'b' || chr(31) || bld FROM p WHERE comm = '' AND bld <> '' UNION ALL SELECT id, 's' || chr(31) || subj || chr(31) || area FROM p WHERE comm = '')
+SELECT order_id, place, true AS core FROM k QUALIFY count(*) OVER (PARTITION BY place) > 1""")
+def j4_members(spark, sf):
+    return related.place_members(_places(spark, sf))
+
+
 @query("t8_related_sorted", f"""WITH {PLACE} SELECT b.id AS order_id FROM p AS a JOIN p AS b ON a.id = '2' AND b.id <> '2' AND ((a.addr <> '' AND a.addr = b.addr) OR (a.comm <> '' AND a.comm = b.comm AND a.bld <> '' AND a.bld = b.bld) OR (a.comm = '' AND b.comm = '' AND a.bld <> '' AND a.bld = b.bld))""")
 def t8(spark, sf):
     p = _places(spark, sf)
-    return related.related_sorted(related.same_place_pairs(p), p, "2").select("order_id")
+    return related.related_to(related.place_members(p), p, "2").select("order_id")
 
 
 @query("j5_related_by_organization", f"WITH {K} SELECT ticket_no FROM k WHERE organization = 'BUILDING' AND ticket_no <> '17' ORDER BY ticket_no LIMIT 50")
@@ -290,6 +297,12 @@ def g13(spark, sf):
     return similarity.judge_duplicates(similarity.duplicate_candidates(v, "vec_id", "embedding", 0.3), v, "vec_id").select("a", "b", "score", "duplicate")
 
 
+@query("g13_likely_duplicates", f"""WITH {VECTORS}, p AS (SELECT a.vec_id AS x, b.vec_id AS y, {COSINE} AS s, 3 * (a.organization = b.organization)::INT + 3 * (a.address = b.address)::INT + 2 * (a.label = b.label)::INT + (a.rich AND b.rich)::INT AS fields FROM v AS a JOIN v AS b ON a.vec_id < b.vec_id)
+SELECT x AS a, y AS b, round(s, 6) AS similarity FROM p WHERE s >= 0.3 AND fields >= 6""")
+def g13_likely(spark, sf):
+    return similarity.likely_duplicates(_vectors(spark, sf), "vec_id", "embedding", 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("j7_similar_pairs")
 def j7(spark, sf):
     return similarity.similar_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.5, max_pairs=None)

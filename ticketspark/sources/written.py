@@ -5,6 +5,23 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a table that every row of another may be held against.
+SMALL_ROWS = 10_000
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """df for a broadcast that no equi-join can replace, once it is known to be small."""
+    if df.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+        raise ValueError(f"a table to compare all rows with must have at most {SMALL_ROWS} rows")
+    return F.broadcast(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for costly work on each row, where fewer partitions hold it. A large input keeps its own."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def written(df: DataFrame) -> DataFrame:
