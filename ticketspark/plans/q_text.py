@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, rules, text
+from ..functions import pack_zh as zh
 from ..sources.written import spread
 from .bindings import T, event_tickets, table
 from .registry import query
@@ -290,31 +291,59 @@ def x23(spark, sf):
     return extract.standardize_tickets(spread(d), PAIRS, NAMES, NAMES).select("order_id", "extracted_subject", "extracted_event", "extracted_area")
 
 
-# sentences that every ticket gets one of, and what the Chinese rules find in each
-SAID = ["市民张先生反映大良街道高黎市场3栋旁的明日花园（地址：新桂中路）很吵，噪音", "李女士反映容桂街道振华夜市附近烧烤店油烟扰民，请处理", "王师傅在顺达五金有限公司工作，被拖欠工资", "陈村镇合成社区大都村幸福路12号楼占道经营", "希望维修路灯"]
+# parts that the tickets' sentences are made of, by their number
+PARTS = {
+    "surname": "张李王陈刘黄", "title": ["先生", "女士", "师傅", "老师"], "town": zh.TOWNS, "estate": ["金域", "碧水", "南国", "龙光", "新桂", "海骏", "君兰"], "kind": ["小区", "花园", "公寓", "社区"],
+    "road": ["延年", "凤翔", "环城"], "firm": ["顺达", "宏兴", "恒达", "美佳", "嘉联"], "trade": ["五金", "电器", "装饰"], "fair": ["振华", "东乐", "锦龙", "文秀"],
+    "trouble": ["夜间施工噪音", "垃圾堆放", "电梯停运，请维修"],
+}
+#: What each of the troubles is, what happened, and what is asked for.
+TROUBLES = {"event_type": ["噪音扰民", "环境卫生", "消费纠纷"], "action": ["施工", "乱丢垃圾", ""], "wanted": ["", "", "修复市政设施"]}
+
+
+def _part_sql() -> str:
+    """Tickets with the number k of their sentence, its parts, and two numbers."""
+    cols = [f"([{', '.join(f"'{w}'" for w in words)}])[_seq // 4 % {len(words)} + 1] AS {name}" for name, words in (PARTS | TROUBLES).items()]
+    return f"p AS (SELECT order_id, _seq, t.town AS own_town, t.subject AS own_subject, _seq % 4 AS k, CAST(_seq % 97 + 1 AS VARCHAR) AS n, CAST(_seq % 13 + 1 AS VARCHAR) AS m, {', '.join(cols)} FROM t)"
+
+
+# what the rules find in each of the four sentences of _said
 FOUND = {
-    "person": ["市民张先生", "李女士", "王师傅", "", ""],
-    "town": ["大良街道", "容桂街道", "", "陈村镇", ""],
-    "community": ["3栋旁的明日花园", "", "", "合成社区", ""],
-    "road": ["新桂中路", "", "", "成社区大都村幸福路", "维修路"],
-    "building": ["3栋", "", "", "12号楼", ""],
-    "organization": ["栋旁的明日花园", "振华夜市", "顺达五金有限公司", "陈村镇合成社区大都村", ""],
-    "kind": ["小区", "场所", "企业", "小区", ""],
-    "subject": ["栋旁的明日花园", "李女士反映容桂街道振华夜市", "王师傅在顺达五金有限公司", "陈村镇合成社区大都村", ""],
-    "venue": ["高黎市场", "振华夜市", "", "", ""],
-    "event_type": ["噪音扰民", "噪音扰民", "拖欠工资", "占道经营", "消费纠纷"],
-    "action": ["产生噪音", "产生噪音", "拖欠薪资", "占道经营", ""],
-    "request": ["", "介入处理", "", "", "修复市政设施"],
+    "person": ["surname || title", "surname || title", "surname || title", "''"],
+    "town": ["p.town", "''", "''", "p.town"],
+    "community": ["estate || kind", "''", "''", "''"],
+    "road": ["road || '路'", "''", "''", "road || '大道'"],
+    "building": ["n || '号' || m || '栋'", "''", "''", "n || '号'"],
+    "organization": ["estate || kind", "firm || trade || '有限公司'", "fair || '夜市'", "p.town"],
+    "kind": ["'小区'", "'企业'", "'场所'", "'部门'"],
+    "subject": ["estate || kind", "surname || title || '在' || firm || trade || '有限公司'", "fair || '夜市'", "p.town"],
+    "venue": ["''", "''", "fair || '夜市'", "''"],
+    "event_type": ["event_type", "'拖欠工资'", "'噪音扰民'", "'占道经营'"],
+    "action": ["action", "'拖欠薪资'", "'产生噪音'", "'占道经营'"],
+    "request": ["wanted", "''", "'介入处理'", "''"],
 }
 
 
+def _found(name: str) -> str:
+    return "CASE k " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(FOUND[name])) + " END"
+
+
 def _found_sql(*names: str) -> str:
-    lists = ", ".join("([" + ", ".join(f"'{v}'" for v in FOUND[n]) + f"])[_seq % 5 + 1] AS {n}" for n in names)
-    return f"WITH {T} SELECT order_id, {lists} FROM t"
+    return f"WITH {T}, {_part_sql()} SELECT order_id, {', '.join(f'{_found(n)} AS {n}' for n in names)} FROM p"
 
 
 def _said(spark, sf):
-    return event_tickets(spark, sf).select("order_id", F.get(F.array(*map(F.lit, SAID)), (F.col("_seq") % 5).cast("int")).alias("said"), "_seq")
+    """Event tickets with a sentence each, made of parts that vary with the ticket's number."""
+    t = event_tickets(spark, sf).select("order_id", "_seq")
+    of = lambda name: F.element_at(F.array(*map(F.lit, PARTS[name])), (F.floor(F.col("_seq") / 4) % len(PARTS[name]) + 1).cast("int"))
+    n, m = (F.col("_seq") % 97 + 1).cast("string"), (F.col("_seq") % 13 + 1).cast("string")
+    sentences = [
+        F.concat(of("surname"), of("title"), F.lit("反映，"), of("town"), F.lit("，"), of("estate"), of("kind"), F.lit("，"), of("road"), F.lit("路"), n, F.lit("号"), m, F.lit("栋，"), of("trouble")),
+        F.concat(of("surname"), of("title"), F.lit("在"), of("firm"), of("trade"), F.lit("有限公司工作，被拖欠工资")),
+        F.concat(of("surname"), of("title"), F.lit("反映，"), of("fair"), F.lit("夜市，油烟扰民，请处理")),
+        F.concat(of("town"), F.lit("，"), of("road"), F.lit("大道"), n, F.lit("号占道经营")),
+    ]
+    return t.select("order_id", F.element_at(F.array(*sentences), (F.col("_seq") % 4 + 1).cast("int")).alias("said"), "_seq")
 
 
 @query("x3_extract_subject", _found_sql("subject"))
@@ -368,7 +397,7 @@ def x20(spark, sf):
     return _said(spark, sf).select("order_id", extract.best_venue(F.col("said")).alias("venue"))
 
 
-@query("g2_subject_key", f"WITH {T} SELECT order_id, CASE _seq % 5 WHEN 0 THEN '高黎市场' WHEN 1 THEN '振华夜市' WHEN 2 THEN town WHEN 3 THEN town ELSE subject END AS key FROM t")
+@query("g2_subject_key", f"WITH {T}, {_part_sql()} SELECT order_id, CASE WHEN _seq % 5 = 4 THEN own_subject WHEN k = 2 THEN fair || '夜市' ELSE own_town END AS key FROM p")
 def g2(spark, sf):
     from ..operators.grouping import subject_key
 
