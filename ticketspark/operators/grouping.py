@@ -136,6 +136,19 @@ def merge_candidates(df: DataFrame, max_pairs: int = 30) -> DataFrame:
     return pairs.orderBy("subject", "area", F.desc("n"), "cluster_id").limit(max_pairs).select("subject", "area", "big", F.col("cluster_id").alias("small"), F.col("n").alias("small_size"))
 
 
+def first_contents(df: DataFrame, n: int = 2) -> DataFrame:
+    """(cluster_id, place, content): the first n contents of each group by _seq, which a judge of merges is shown."""
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("_seq"))
+    return df.where("cluster_id >= 0").withColumn("place", place).where(F.col("place") <= n).select("cluster_id", "place", "content")
+
+
+def candidate_contents(pairs: DataFrame, df: DataFrame, n: int = 2) -> DataFrame:
+    """merge_candidates with the first contents of both groups as lists."""
+    lists = first_contents(df, n).groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "content"))), lambda x: x["content"]).alias("contents"))
+    side = lambda k: lists.select(F.col("cluster_id").alias(k), F.col("contents").alias(f"{k}_contents"))
+    return pairs.join(side("big"), "big").join(side("small"), "small")
+
+
 def merge_by_verdict(df: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Merge small into big where a verdict (small, big, same, _seq) says same; the last verdict on a small counts, and chains are followed.
 

@@ -99,6 +99,13 @@ def _grouped(df: DataFrame, keys: list[str], min_count: int, limit: int) -> Data
     return ids.select(*keys, F.col("n").alias("ticket_count"), "ticket_nos")
 
 
+def group_members(df: DataFrame, keys: list[str], min_count: int = 1, limit: int = 200) -> DataFrame:
+    """The same groups as rows (keys, ticket_count, ticket_no), so that no group becomes one value however many tickets it has."""
+    full = df.where(" and ".join(f"coalesce({k}, '') <> ''" for k in keys))
+    best = full.groupBy(*keys).agg(F.count("*").alias("ticket_count")).where(F.col("ticket_count") >= min_count).orderBy(F.desc("ticket_count"), *keys).limit(limit)
+    return full.join(best, keys).select(*keys, "ticket_count", "ticket_no")
+
+
 def town_tree(df: DataFrame, min_count: int = 1) -> DataFrame:
     """Towns with at least min_count tickets, each with its communities: array<struct<name, n>> by size, then name."""
     full = df.where("coalesce(town, '') <> ''")

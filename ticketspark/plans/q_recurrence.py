@@ -85,6 +85,19 @@ def g20(spark, sf):
     return grouping.merge_candidates(_segment_groups(spark, sf))
 
 
+@query("w8_first_contents", f"WITH {G}, r AS (SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY _seq) AS INTEGER) AS place, content FROM g) SELECT * FROM r WHERE place <= 2")
+def w8(spark, sf):
+    return grouping.first_contents(grouped(spark, sf))
+
+
+@query("w8_candidate_contents", CAND + """, f AS (SELECT q.cluster_id, content, row_number() OVER (PARTITION BY q.cluster_id ORDER BY _seq) AS place FROM t JOIN q ON q.s = segment AND q.a = t.area AND q.title = t.title),
+l AS (SELECT cluster_id, list(content ORDER BY place) AS x FROM f WHERE place <= 2 GROUP BY cluster_id), c AS (SELECT s AS subject, a AS area, big, cluster_id AS small, n AS small_size FROM r WHERE p > 1 ORDER BY s, a, n DESC, cluster_id LIMIT 30)
+SELECT c.*, lb.x AS big_contents, ls.x AS small_contents FROM c JOIN l AS lb ON lb.cluster_id = big JOIN l AS ls ON ls.cluster_id = small""")
+def w8_pairs(spark, sf):
+    df = _segment_groups(spark, sf)
+    return grouping.candidate_contents(grouping.merge_candidates(df), df)
+
+
 @query("g21_merge_by_verdict", CAND + """, v AS (SELECT cluster_id AS small, big FROM r WHERE p > 1 AND cluster_id % 2 = 0)
 SELECT order_id, coalesce(v.big, q.cluster_id) AS cluster_id FROM t JOIN q ON q.s = segment AND q.a = t.area AND q.title = t.title LEFT JOIN v ON v.small = q.cluster_id""")
 def g21(spark, sf):
@@ -114,6 +127,28 @@ def a3(spark, sf):
     return classified(spark, sf).select("order_id", "cluster_size", "is_multi_freq", "cluster_subject", "cluster_event", "cluster_area")
 
 
+@query("f6_without_noise", f"WITH {T}, k AS (SELECT *, CASE WHEN value > 30 THEN -1 ELSE submitter END AS cid FROM t) SELECT order_id, cid <> -1 AND count(*) OVER (PARTITION BY cid) >= 3 AS is_multi_freq, count(*) OVER (PARTITION BY cid) AS cluster_size FROM k")
+def f6(spark, sf):
+    t = event_tickets(spark, sf).withColumn("cluster_id", F.when(F.col("value") > 30, -1).otherwise(F.col("submitter")).cast("long"))
+    return recurrence.classify_recurring(t).select("order_id", "is_multi_freq", "cluster_size")
+
+
+@query("w3_first_samples", f"WITH {E}, r AS (SELECT cluster_id, order_id, row_number() OVER (PARTITION BY cluster_id ORDER BY _seq) AS r FROM c) SELECT event_id, order_id FROM e JOIN r USING (cluster_id) WHERE r <= 8")
+def w3(spark, sf):
+    return profiles(spark, sf).select("event_id", F.explode("sample_orders.order_id").alias("order_id"))
+
+
+@query("w4_event_numbers", f"WITH {E} SELECT event_id, cluster_id, frequency FROM e")
+def w4(spark, sf):
+    return profiles(spark, sf).select("event_id", "cluster_id", "frequency")
+
+
+@query("w9_first_appearance", f"WITH {T}, k AS (SELECT area, segment, row_number() OVER (ORDER BY min(_seq)) - 1 AS cluster_id FROM t GROUP BY ALL) SELECT order_id, cluster_id FROM t JOIN k USING (area, segment)")
+def w9(spark, sf):
+    t = event_tickets(spark, sf)
+    return grouping.number_groups(t, F.concat_ws("|", "area", "segment")).select("order_id", "cluster_id")
+
+
 @query("a5_recurrence_metrics", METRICS_SQL)
 def a5(spark, sf):
     return recurrence.recurrence_metrics(classified(spark, sf).where("is_multi_freq"))
@@ -185,6 +220,16 @@ def a17(spark, sf):
     return rollups.group_by_address(cleaned(spark, sf), "community", min_count=20)
 
 
+@query("a16_group_members", f"WITH {K}, b AS (SELECT organization, count(*) AS ticket_count FROM k GROUP BY organization ORDER BY ticket_count DESC, organization LIMIT 200) SELECT organization, ticket_count, ticket_no FROM k JOIN b USING (organization)")
+def a16_members(spark, sf):
+    return rollups.group_members(cleaned(spark, sf), ["organization"])
+
+
+@query("a17_group_members", f"WITH {K}, b AS (SELECT town, community, count(*) AS ticket_count FROM k GROUP BY ALL HAVING count(*) >= 20 ORDER BY ticket_count DESC, town, community LIMIT 200) SELECT town, community, ticket_count, ticket_no FROM k JOIN b USING (town, community)")
+def a17_members(spark, sf):
+    return rollups.group_members(cleaned(spark, sf), ["town", "community"], min_count=20)
+
+
 @query("a18_town_tree", f"""WITH {K}, i AS (SELECT town, community, count(*) AS n FROM k GROUP BY ALL), o AS (SELECT town, count(*) AS ticket_count FROM k GROUP BY town)
 SELECT town, any_value(ticket_count) AS ticket_count, list({{'name': community, 'n': n}} ORDER BY n DESC, community) AS children FROM o JOIN i USING (town) GROUP BY town""")
 def a18(spark, sf):

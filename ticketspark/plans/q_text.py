@@ -298,7 +298,9 @@ PARTS = {
     "trouble": ["夜间施工噪音", "垃圾堆放", "电梯停运，请维修"],
 }
 #: What each of the troubles is, what happened, and what is asked for.
-TROUBLES = {"event_type": ["噪音扰民", "环境卫生", "消费纠纷"], "action": ["施工", "乱丢垃圾", ""], "wanted": ["", "", "修复市政设施"]}
+TROUBLES = {
+    "event_type": ["噪音扰民", "环境卫生", "消费纠纷"], "action": ["施工", "乱丢垃圾", ""], "wanted": ["", "", "修复市政设施"], "where_to": ["offline", "offline", "unknown"], "sort": ["complaint", "unknown", "unknown"],
+}
 
 
 def _part_sql() -> str:
@@ -321,6 +323,9 @@ FOUND = {
     "event_type": ["event_type", "'拖欠工资'", "'噪音扰民'", "'占道经营'"],
     "action": ["action", "'拖欠薪资'", "'产生噪音'", "'占道经营'"],
     "request": ["wanted", "''", "'介入处理'", "''"],
+    "channel": ["where_to", "'unknown'", "'offline'", "'offline'"],
+    "nature": ["sort", "'unknown'", "'complaint'", "'unknown'"],
+    "address_normalized": ["p.town || estate || kind || road || '路' || n || '号' || m || '栋'", "''", "''", "p.town || road || '大道' || n || '号'"],
 }
 
 
@@ -421,8 +426,16 @@ def s6(spark, sf):
     return read_parquet_cache(spark, f"{sf}/events.parquet", lambda: None).select("event_id", "event_type")
 
 
-@query("x24_to_pipeline_columns")
+@query("x22_cleaned_sentences", _found_sql("person", "organization", "address_normalized", "event_type", "action", "channel", "nature", "request"))
+def x22_said(spark, sf):
+    t = _said(spark, sf).select(F.col("order_id").alias("ticket_no"), F.lit("").alias("title"), F.col("said").alias("content"), F.lit("").alias("caller_phone"), "_seq")
+    c = extract.clean_tickets(t)
+    return c.select(F.col("ticket_no").alias("order_id"), F.col("person.name").alias("person"), F.col("organization.name").alias("organization"), "address_normalized", "event_type", F.col("event_action").alias("action"), "channel", "nature", F.col("request.request").alias("request"))
+
+
+@query("x24_to_pipeline_columns", f"""WITH {T}, {_part_sql()}, f AS (SELECT order_id, {_found('organization')} AS organization, {_found('town')} AS found_town, {_found('event_type')} AS event_type, {_found('address_normalized')} AS address FROM p)
+SELECT order_id, organization AS extracted_subject, event_type AS extracted_event, coalesce(nullif(found_town, ''), area) AS extracted_area, address AS addr_norm FROM f JOIN t USING (order_id)""")
 def x24(spark, sf):
-    t = event_tickets(spark, sf)
+    t = event_tickets(spark, sf).drop("content").join(_said(spark, sf).select("order_id", F.col("said").alias("content")), "order_id")
     c = extract.clean_tickets(t.select(F.col("order_id").alias("ticket_no"), "title", "content", F.lit("").alias("caller_phone"), "_seq"))
     return extract.to_pipeline_columns(c, t.select("order_id", "title", "content", "subject", "area")).select("order_id", "extracted_subject", "extracted_event", "extracted_area", "addr_norm")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import scope_last_days, time_from_id, to_datetime
@@ -35,6 +35,18 @@ def s3(spark, sf):
     return src.load_tickets(_orders(spark, sf)).select("order_id", "content", "title", "subject", "area", F.date_format("submit_time", "yyyy-MM-dd HH:mm").alias("submit_time"))
 
 
+@query("f1_non_empty_content", "SELECT CAST(o_orderkey AS VARCHAR) AS order_id, o_orderpriority AS content FROM orders WHERE o_orderkey % 3 > 0")
+def f1(spark, sf):
+    o = table(spark, sf, "orders")
+    content = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit(" "), "o_orderpriority")).when(F.col("o_orderkey") % 2 > 0, "  ")
+    return src.load_tickets(o.select(F.col("o_orderkey").cast("string").alias("工单编号"), content.alias("内容"), F.col("o_orderkey").alias("_seq"))).select("order_id", "content")
+
+
+@query("w1_keep_first", f"WITH {T} SELECT order_id, title, area FROM t QUALIFY row_number() OVER (PARTITION BY title, area ORDER BY _seq) = 1")
+def w1(spark, sf):
+    return src.dedup_keep_first(event_tickets(spark, sf), ["title", "area"]).select("order_id", "title", "area")
+
+
 @query("s4_read_ticket_records", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS INTEGER) ELSE 0 END AS source_seq, 'seq-' || CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE 0 END AS VARCHAR) AS source_record_id, CAST(o_custkey AS VARCHAR) AS ticket_no, o_orderpriority AS title, o_orderstatus AS content FROM orders")
 def s4(spark, sf):
     o = table(spark, sf, "orders")
@@ -193,11 +205,13 @@ def j11(spark, sf):
     return related.match_basis(classified(spark, sf), profiles(spark, sf)).drop("cluster_id")
 
 
-@query("t9_ticket_detail", f"WITH {E}, o AS (SELECT a.event_id, b.event_id AS x, row_number() OVER (PARTITION BY a.event_id ORDER BY b.event_id) AS r FROM e AS a JOIN e AS b ON a.event_type = b.event_type AND a.event_id <> b.event_id), s AS (SELECT event_id, list(x ORDER BY x) AS similar_events FROM o WHERE r <= 3 GROUP BY event_id) SELECT order_id, e.event_id, frequency, similar_events FROM c LEFT JOIN e USING (cluster_id) LEFT JOIN s USING (event_id)")
+@query("t9_ticket_detail", f"WITH {E}, o AS (SELECT a.event_id, b.event_id AS x, row_number() OVER (PARTITION BY a.event_id ORDER BY b.event_id) AS r FROM e AS a JOIN e AS b ON a.event_type = b.event_type AND a.event_id <> b.event_id), s AS (SELECT event_id, list(x ORDER BY x) AS similar_events FROM o WHERE r <= 3 GROUP BY event_id), n AS (SELECT order_id, CAST((row_number() OVER w > 1)::INT + (lead(order_id) OVER w IS NOT NULL)::INT AS BIGINT) AS n_related FROM c WINDOW w AS (PARTITION BY cluster_id ORDER BY _seq)) SELECT order_id, e.event_id, frequency, similar_events, n_related FROM c LEFT JOIN e USING (cluster_id) LEFT JOIN s USING (event_id) JOIN n USING (order_id)")
 def t9(spark, sf):
     c, e = classified(spark, sf), profiles(spark, sf)
-    none = spark.createDataFrame([], "a string, b string")
-    return related.ticket_detail(c, e, none).select("order_id", "event_id", "frequency", "similar_events")
+    # each ticket's mate is the next one of its group
+    after = F.lead("order_id").over(Window.partitionBy("cluster_id").orderBy("_seq"))
+    pairs = c.select(F.col("order_id").alias("a"), after.alias("b")).where("b is not null")
+    return related.ticket_detail(c, e, pairs).select("order_id", "event_id", "frequency", "similar_events", "n_related")
 
 
 @query("t1_results_table", f"WITH {E} SELECT order_id AS 工单编号, content AS 原始诉求, subject AS 涉及主体, c.area AS 事发区域, strftime(submit_time, '%Y-%m-%d %H:%M') AS 提交时间, normalized_content AS 标准化内容, extracted_subject AS 核心主体, extracted_event AS 核心事件, cluster_id AS 聚类ID, cluster_size AS 聚类频次, CASE WHEN is_multi_freq THEN '是' ELSE '否' END AS 是否多频, coalesce(event_id, '') AS 事件编号 FROM c LEFT JOIN e USING (cluster_id)")
@@ -332,6 +346,12 @@ def g14(spark, sf):
     return similarity.dedup_requests(e, "event_id", "event_type")
 
 
+@query("u2_merged_and_untouched", f"WITH {TURNS}, k AS (SELECT *, id % 3 > 0 AS named FROM r) SELECT id, CASE WHEN named THEN count(*) OVER (PARTITION BY named, person, request) ELSE 1 END AS n FROM k")
+def u2(spark, sf):
+    r = _requests(spark, sf).withColumn("person", F.when(F.col("id") % 3 > 0, F.col("person")).otherwise(""))
+    return similarity.merge_same_person_request(r, "id", "person", "request").select(F.explode("ids").alias("id"), "n")
+
+
 @query("g17_exact_duplicates", "SELECT md5(text) AS fingerprint, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY ALL HAVING count(*) > 1")
 def g17(spark, sf):
     return similarity.exact_duplicates(table(spark, sf, "documents"), "doc_id", F.md5("text"))
