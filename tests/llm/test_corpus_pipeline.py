@@ -1,6 +1,9 @@
+import itertools
 import random
+import re
 
 import corpus_pipeline as pipeline
+from compare import SF
 from pyspark.sql import functions as F
 
 from ticketspark.llm.near_duplicates import Plan, near_duplicates
@@ -59,6 +62,36 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert pipeline.packing(spark, docs, str(tmp_path)).count() == max(0, n - 1)
 
 
+def test_pipeline_against_brute_force(spark):
+    """The documents of sf0.001 that all stages keep, and their numbers of words, by plain loops over whole texts."""
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    rows = {i: t for i, t in rows.items() if t and any(c.isalpha() for c in t)}
+    lower = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for i, t in rows.items()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in words.items()}
+    head = {i: i for i in rows}
+
+    def find(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(rows), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            head[y] = x
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = word.findall(lower(r.text or ""))
+        windows |= {tuple(w[j : j + 10]) for j in range(max(1, len(w) - 9)) if w}
+    sizes = {len(x) for x in windows}
+    hit = lambda w: any(tuple(w[j : j + n]) in windows for n in sizes for j in range(len(w) - n + 1))
+    want = {i: len(words[i]) for i in rows if find(i) == i and not hit(word.findall(lower(rows[i])))}
+    assert 0 < len(want) < len(rows)
+    assert {r.doc_id: r.n_words for r in pipeline.run(spark, str(SF)).collect()} == want
+
+
 def test_language_id_drops_only_documents_without_letters(spark):
     schema = SCHEMA
     rows = [(i, "some words of a long enough text", "en", "s", 0) for i in range(30)]

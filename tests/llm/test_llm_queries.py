@@ -62,7 +62,7 @@ def test_pseudonyms_of_all_documents(spark):
     for r in QUERIES["op7_pii"](spark, str(SF)).collect():
         was = docs[r.doc_id]
         found = [m for m in plain.findall(was or "") if len(m) != 16 or luhn(m)]
-        assert not any(re.search(rf"(?<!\w){re.escape(m)}(?!\w)", r.text) for m in found) and len(r.text or "") == len(was or "")
+        assert not any(re.search(rf"(?<!\w){re.escape(m)}(?!\w)", r.text) for m in found)
         assert r.n_pii >= len(found) and (r.text == was) == (r.n_pii == 0)
         changed += r.n_pii > 0
         letters = re.compile(r"[^\d\w@]")
