@@ -182,6 +182,25 @@ def test_svd(spark):
     assert dot(0, 1) > 0.9 > dot(0, 2) and set(v[3]) == {0.0}
 
 
+def test_svd_against_numpy(spark):
+    rng = random.Random(10)
+    kinds = [[f"w{rng.randrange(300)}" for _ in range(25)] for _ in range(6)]
+    rows = [(i, " ".join(rng.choices(kinds[i % 6], k=20) + [f"w{rng.randrange(300)}" for _ in range(6)])) for i in range(90)] + [(90, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    tokens = F.filter(F.split("text", " "), lambda x: x != "")
+    terms, weights = {}, {}
+    for r in similarity.tfidf(df, "id", tokens).collect():
+        weights[r.id, terms.setdefault(r.term, len(terms))] = r.w
+    a = np.zeros((91, len(terms)))
+    for at, w in weights.items():
+        a[at] = w
+    u, s, _ = np.linalg.svd(a, full_matrices=False)
+    want = u[:, :5] * s[:5]
+    want /= np.maximum(1e-12, np.linalg.norm(want, axis=1, keepdims=True))
+    got = np.array([r.vector for r in similarity.svd_embed(df, "id", tokens, 5, width=1 << 16, rounds=12).orderBy("id").collect()])
+    assert got.shape == (91, 5) and np.abs(got @ got.T - want @ want.T)[:90, :90].max() < 0.02 and not got[90].any()
+
+
 def test_places_of_many_addresses(spark):
     rng = random.Random(5)
     pick = lambda *x: rng.choice(x)
@@ -235,3 +254,36 @@ def test_recall_of_similar_pairs_at_the_threshold(spark):
     two = similarity.similar_pairs(spark.createDataFrame(rows, "id int, v array<double>"), "id", "v", 0.85, top_k=2, max_pairs=None).collect()
     best = lambda x: sorted(((-r.similarity, r.a, r.b) for r in pairs if x in (r.a, r.b)))[:2]
     assert {(r.a, r.b) for r in two} == {(a, b) for x in range(609) for _, a, b in best(x)}
+
+
+def test_leaders_of_requests_against_a_plain_loop(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(9)
+    base = ["退款", "请求退款处理", "refund the order", "repair street lamp", "x", "夜间噪音扰民请处理", "ab"]
+    texts = []
+    for _ in range(250):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.choice([0, 1])] = rng.choice(["a", "退", "e ", "", "处理"])
+        texts.append("".join(w))
+    rows = [(i, t, i * 7 % 250) for i, t in enumerate(texts)] + [(900, None, 900), (901, " ", 901)]
+    df = spark.createDataFrame(rows, "id int, request string, _seq long")
+    plain = {r.id: r.v for r in df.select("id", similarity.normalize_request(F.coalesce("request", F.lit(""))).alias("v")).collect()}
+    for threshold in (0.85, 0.95):
+        heads, of = [], {}
+        for i, _, _ in sorted(rows, key=lambda r: r[2]):
+            v = plain[i]
+            if v == "":
+                of[i] = f"#{i}"
+            elif v not in of:
+                fits = lambda h: 0.9 >= threshold if v in h or h in v else SequenceMatcher(None, h, v).ratio() >= threshold  # noqa: B023, E731
+                of[v] = next((h for h in heads if fits(h)), v)
+                if of[v] == v:
+                    heads.append(v)
+        want = {}
+        for i, _, _ in rows:
+            want.setdefault(of[i] if plain[i] == "" else of[plain[i]], []).append(i)
+        got = {r.leader: r.ids for r in similarity.dedup_requests(df, "id", "request", threshold).collect()}
+        assert got == {k: sorted(v) for k, v in want.items()} and len(heads) > 20

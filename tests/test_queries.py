@@ -18,3 +18,13 @@ def test_query(spark, con, name):
         assert same_rows(df, con, ORACLE_SQL[name])
     else:
         assert df.columns and df.count() >= 0
+
+
+def test_request_similarity_of_parts(spark):
+    from difflib import SequenceMatcher
+
+    rows = QUERIES["g12_request_similarity"](spark, str(SF)).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/part.parquet").count() - 1
+    for r in rows:
+        a, b = r.p_name.strip().lower(), r.other.strip().lower()
+        assert abs(r.s - (1.0 if a == b else 0.9 if a in b or b in a else SequenceMatcher(None, a, b).ratio())) < 1e-9

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -150,36 +151,65 @@ def request_similarity(a: Column, b: Column, cosine_ab: Column | None = None, we
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.9).otherwise(mixed)
 
 
-def _leaders(threshold: float):
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads: list[str] = []
-        out = []
-        for value in pdf.sort_values("_seq")["value"]:
-            fits = lambda h: 0.9 >= threshold if value in h or h in value else SequenceMatcher(None, h, value).ratio() >= threshold  # noqa: B023, E731
-            head = next((h for h in heads if fits(h)), None)
-            if head is None:
-                heads.append(value)
-                head = value
-            out.append(head)
-        return pd.DataFrame({"value": pdf.sort_values("_seq")["value"].to_numpy(), "leader": out})
+def _request_links(values: DataFrame, threshold: float) -> DataFrame:
+    """(head, value) of different requests (block, value, _seq) of a block that are similar enough, the earlier one first.
 
-    return assign
+    A request that another holds has its rarest pair of signs there. Two whose
+    ratio reaches the threshold leave so few pairs of either unmatched that their
+    rarest common pair is among the rarest of both. So requests meet at rare pairs alone.
+    """
+    pairs = lambda v: F.when(F.length(v) < 2, F.array(v)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(v) - 1), lambda i: F.substr(v, i, F.lit(2)))))
+    each = written(values.withColumn("gram", F.explode(pairs(F.col("value")))))
+    often = each.groupBy("gram").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("block", "value").orderBy("often", "gram"))
+    each = written(each.join(often, "gram").withColumn("rank", rank).select("block", "value", "_seq", "gram", "rank"))
+    # of n signs, so many pairs at most stay unmatched at the threshold
+    missing = F.length("value") * min(1.0, 1 - max(0.0, 1.5 * threshold - 1) * 2 / (2 - threshold))
+    some = each.where(F.col("rank") <= F.floor(missing) + 1)
+    side = lambda df, x: df.select("block", "gram", F.col("value").alias(f"{x}_value"), F.col("_seq").alias(f"{x}_seq"))
+    met = side(some, "a").join(side(some, "b"), ["block", "gram"]).where("a_seq < b_seq")
+    single = each.withColumn("gram", F.explode(F.when(F.length("value") < 2, F.array("gram")).otherwise(F.array("gram", F.substring("gram", 1, 1), F.substring("gram", 2, 1)))))
+    rarest = side(each.where("rank = 1"), "a").join(side(single, "b"), ["block", "gram"]).where("a_value <> b_value and contains(b_value, a_value)")
+    order = lambda x: F.when(F.col("a_seq") < F.col("b_seq"), F.col(f"{x[0]}_value")).otherwise(F.col(f"{x[1]}_value"))
+    both = met.unionByName(rarest).select(order("ab").alias("head"), order("ba").alias("value")).distinct()
+    held = F.contains("head", "value") | F.contains("value", "head")
+    return both.withColumn("held", held).where(F.when(F.col("held"), F.lit(threshold <= 0.9)).otherwise(sequence_ratio(F.col("head"), F.col("value")) >= threshold)).select("head", "value")
+
+
+def _led(values: DataFrame, threshold: float) -> DataFrame:
+    """(value, leader): in order of _seq, each request joins the first leader it is similar to, or leads.
+
+    In each round those are decided whose earlier similar ones all are.
+    """
+    links = written(_request_links(values, threshold))
+    seq = values.select(F.col("value").alias("head"), F.col("_seq").alias("head_seq"))
+    links = written(links.join(seq, "head"))
+    # those that nothing is similar to before them lead at once
+    open_ = written(links.select("value").distinct())
+    leads = values.join(open_, "value", "left_anti").select("value", F.col("value").alias("leader"))
+    while True:
+        leads = written(leads)
+        if not open_.limit(1).count():
+            return leads
+        waiting = links.join(open_.select(F.col("value").alias("head")), "head", "left_semi").select("value").distinct()
+        ready = written(open_.join(waiting, "value", "left_anti"))
+        first = links.join(leads.where("leader = value").select(F.col("value").alias("head")), "head", "left_semi").groupBy("value").agg(F.min_by("head", "head_seq").alias("leader"))
+        leads = leads.union(ready.join(first, "value", "left").select("value", F.coalesce("leader", "value").alias("leader")))
+        open_ = written(open_.join(ready, "value", "left_anti"))
 
 
 def dedup_requests(df: DataFrame, key: str, request: str, threshold: float = 0.85, block: Column | None = None) -> DataFrame:
     """Groups of similar requests in order of _seq: leader, n, member ids and the longest request.
 
     A request joins the first leader that is similar enough; a blank one stands
-    alone. Only different normalised requests go through the pass, which is
-    one task for each value of block (an expression over them): without a block all
-    of them, which suits short lists of request kinds alone.
+    alone. Only different normalised requests are compared, those of one value of
+    block (an expression over the column value) if it is given.
     """
     value = normalize_request(F.coalesce(F.col(request), F.lit("")))
     named = df.withColumn("value", value)
     values = named.where("value <> ''").groupBy("value").agg(F.min("_seq").alias("_seq"))
-    values = values.withColumn("block", F.lit(0) if block is None else block)
-    led = values.groupBy("block").applyInPandas(_leaders(threshold), "value string, leader string")
-    out = named.join(led, "value", "left").withColumn("leader", F.coalesce("leader", F.concat(F.lit("#"), F.col(key).cast("string"))))
+    values = written(values.withColumn("block", F.lit(0) if block is None else block))
+    out = named.join(_led(values, threshold), "value", "left").withColumn("leader", F.coalesce("leader", F.concat(F.lit("#"), F.col(key).cast("string"))))
     return _merged(out, "leader", key, request)
 
 
@@ -219,25 +249,68 @@ def tfidf(df: DataFrame, key: str, tokens: Column, max_df: float = 0.95, subline
     return weighted.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def svd_embed(df: DataFrame, key: str, tokens: Column, dim: int = 256) -> DataFrame:
+def _term_lists(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row number, columns and weights of rows (id, cols, ws)."""
+    cols, ws = (batch.column(i).to_pylist() for i in (1, 2))
+    for i, (c, w) in enumerate(zip(cols, ws, strict=True)):
+        yield i, np.array(c, np.int64), np.array(w)
+
+
+def _times_gram(shared: Broadcast, width: int):
+    """The task's part of A'A V, for the rows A it sees, as rows (col, part)."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        total = np.zeros((width, v.shape[1]))
+        for batch in batches:
+            for _, c, w in _term_lists(batch):
+                total[c] += np.outer(w, w @ v[c])  # a row's columns are distinct
+        used = np.flatnonzero(total.any(1))
+        yield pa.record_batch([pa.array(used), pa.array([x.tobytes() for x in total[used]], pa.binary())], ["col", "part"])
+
+    return multiply
+
+
+def _sum_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"col": pdf["col"].iloc[:1], "part": [np.sum([np.frombuffer(x) for x in pdf["part"]], axis=0).tobytes()]})
+
+
+def svd_embed(df: DataFrame, key: str, tokens: Column, dim: int = 256, width: int = 4096, rounds: int = 6) -> DataFrame:
     """(id, vector): TF-IDF reduced by a truncated SVD to length-1 arrays; rows without terms get zeros.
 
-    The number of terms must fit the driver's square of it (RowMatrix), so this
-    suits character pairs of a bounded alphabet; the sparse form has no such limit.
+    Terms are hashed to width columns, so the driver holds width * (dim + 8)
+    numbers however many terms there are; up to some hundred terms seldom share one.
+    The largest directions come from a subspace iteration, each round of which is
+    one pass over the rows.
     """
-    rows = tfidf(df, key, tokens)
-    terms = {r["term"]: i for i, r in enumerate(rows.select("term").distinct().orderBy("term").collect())}
-    n = df.count()
-    k = max(1, min(dim, len(terms) - 1, n - 1))
-    lists = rows.groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("x"))
-    sparse = lists.rdd.map(lambda r: (r["id"], OldVectors.sparse(len(terms), sorted((terms[t], w) for t, w in r["x"])))).cache()
-    model = RowMatrix(sparse.values()).computeSVD(k, computeU=False)
-    v = model.V.toArray()
     spark = df.sparkSession
-    reduced = spark.createDataFrame(sparse.map(lambda r: (r[0], [float(x) for x in r[1].dot(v)])), f"id {dict(rows.dtypes)['id']}, vector array<double>")
+    hashed = tfidf(df, key, tokens).groupBy("id", F.pmod(F.xxhash64("term"), F.lit(width)).alias("col")).agg(F.sum("w").alias("w"))
+    lists = written(hashed.groupBy("id").agg(F.collect_list(F.struct("col", "w")).alias("x")).select("id", F.col("x.col").alias("cols"), F.col("x.w").alias("ws")))
+    columns, n = hashed.select("col").distinct().count(), df.count()
+    k = max(1, min(dim, columns - 1, n - 1))
+    v = np.linalg.qr(np.random.default_rng(42).normal(size=(width, min(width, k + 8))))[0]
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(v)
+        parts = lists.mapInArrow(_times_gram(shared, width), "col long, part binary").groupBy("col").applyInPandas(_sum_parts, "col long, part binary").collect()
+        product = np.zeros_like(v)
+        for row in parts:
+            product[row["col"]] = np.frombuffer(row["part"])
+        shared.destroy()
+        size, turn = np.linalg.eigh(v.T @ product)
+        best = v @ turn[:, ::-1][:, :k]
+        v = np.linalg.qr(product)[0]
+    # each direction's sign is that of its largest part, so that runs agree
+    best = best * np.sign(best[np.abs(best).argmax(0), np.arange(best.shape[1])])
+    shared = spark.sparkContext.broadcast(best)
+
+    def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.stack([w @ shared.value[c] for _, c, w in _term_lists(batch)]) if batch.num_rows else np.zeros((0, k))
+            yield pa.record_batch([batch.column(0), pa.array(list(out), pa.list_(pa.float64()))], ["id", "vector"])
+
+    reduced = lists.mapInArrow(reduce_rows, f"id {dict(lists.dtypes)['id']}, vector array<double>")
     out = df.select(F.col(key).alias("id")).join(reduced, "id", "left")
-    zeros = F.array_repeat(F.lit(0.0), v.shape[1])
-    return out.select("id", unit(F.coalesce("vector", zeros)).alias("vector"))
+    return out.select("id", unit(F.coalesce("vector", F.array_repeat(F.lit(0.0), k))).alias("vector"))
 
 
 def sparse_pairs(vectors: DataFrame, min_cosine: float) -> DataFrame:

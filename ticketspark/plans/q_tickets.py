@@ -346,6 +346,13 @@ def g14(spark, sf):
     return similarity.dedup_requests(e, "event_id", "event_type")
 
 
+@query("g14_similar_names")
+def g14_names(spark, sf):
+    """Part names, many of them different; leaders depend on order, so tests compare them with a plain loop."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name", F.col("p_partkey").alias("_seq"))
+    return similarity.dedup_requests(p, "p_partkey", "p_name").select("leader", "n", "request")
+
+
 @query("u2_merged_and_untouched", f"WITH {TURNS}, k AS (SELECT *, id % 3 > 0 AS named FROM r) SELECT id, CASE WHEN named THEN count(*) OVER (PARTITION BY named, person, request) ELSE 1 END AS n FROM k")
 def u2(spark, sf):
     r = _requests(spark, sf).withColumn("person", F.when(F.col("id") % 3 > 0, F.col("person")).otherwise(""))
@@ -386,13 +393,12 @@ def g18(spark, sf):
 
 @query("g10_svd_embed")
 def g10(spark, sf):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]"), F.lit(0))
-    return similarity.svd_embed(table(spark, sf, "documents"), "doc_id", F.transform(words, lambda c: c), 16).select(F.col("id").alias("doc_id"), "vector")
+    return similarity.svd_embed(table(spark, sf, "documents"), "doc_id", similarity.text_tokens(F.col("text")), 16).select(F.col("id").alias("doc_id"), "vector")
 
 
-@query("g12_request_similarity", "SELECT a.event_id, 1e0 AS s FROM events AS a JOIN events AS b ON b.event_id = a.event_id + 1 WHERE a.event_type = b.event_type")
+@query("g12_request_similarity")
 def g12(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "event_type")
-    pairs = e.join(e.select((F.col("event_id") - 1).alias("event_id"), F.col("event_type").alias("other")), "event_id")
-    kinds = pairs.select("event_type", "other").distinct().withColumn("s", similarity.request_similarity(F.col("event_type"), F.col("other")))
-    return pairs.join(F.broadcast(kinds), ["event_type", "other"]).where("event_type = other").select("event_id", "s")
+    """Neighbouring parts by name; the ratio has no form in SQL, so tests compare it with a plain loop."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name")
+    pairs = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey")
+    return pairs.select("p_partkey", "p_name", "other", similarity.request_similarity(F.col("p_name"), F.col("other")).alias("s"))
