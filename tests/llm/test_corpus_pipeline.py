@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ticketspark.llm.near_duplicates import Plan, near_duplicates
 from ticketspark.llm.packing import count_words
+from ticketspark.llm.scratch import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -89,7 +90,9 @@ def test_pipeline_against_brute_force(spark):
     hit = lambda w: any(tuple(w[j : j + n]) in windows for n in sizes for j in range(len(w) - n + 1))
     want = {i: len(words[i]) for i in rows if find(i) == i and not hit(word.findall(lower(rows[i])))}
     assert 0 < len(want) < len(rows)
+    before = len(written())
     assert {r.doc_id: r.n_words for r in pipeline.run(spark, str(SF)).collect()} == want
+    assert len(written()) - before <= 3  # the documents before the last stage, and what that writes
 
 
 def test_language_id_drops_only_documents_without_letters(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +35,20 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete what keep() wrote in this process, once the results that read it are stored."""
+def written() -> list[str]:
+    """Folders that keep() wrote in this process and that are still there, the latest last."""
+    return list(_written)
+
+
+def drop(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders of written(), once nothing reads them any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _written:
-        path = hadoop(_written.pop())
+    for path in set(paths):
+        _written.remove(path)
+        path = hadoop(path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that keep() wrote in this process, once the results that read it are stored."""
+    drop(spark, written())
