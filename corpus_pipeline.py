@@ -15,7 +15,7 @@ from ticketspark.llm.language_id import fit, predict
 from ticketspark.llm.near_duplicates import Plan, near_duplicates
 from ticketspark.llm.packing import count_words, pack
 from ticketspark.llm.pii import pseudonymise, session_key
-from ticketspark.llm.scratch import keep
+from ticketspark.llm.scratch import drop, keep, written
 
 BATCH_WORDS, BUCKETS = 16_384, 16
 
@@ -101,8 +101,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the table documents. Of what they write, only what the last one reads stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(written())
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)
+        drop(spark, [p for p in written()[:-1] if p not in before])
     return STAGES[-1][1](spark, docs, sf_dir)
