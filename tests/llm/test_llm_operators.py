@@ -330,11 +330,11 @@ def test_matcher_finds_every_window():
             assert set(found) == set(want) and items == set().union(*want.values())
 
 
-def test_automaton_needs_one_node_for_each_word():
+def test_automaton_needs_three_nodes_for_each_word():
     rng = random.Random(18)
     text = " ".join(f"w{rng.randrange(30_000)}" for _ in range(100_000))
     matcher = decontamination.Matcher([(1, text)], 10)
-    assert matcher.automaton.get_stats()["nodes_count"] <= 100_001
+    assert matcher.automaton.get_stats()["nodes_count"] <= 300_001 and len(matcher.codes) == len(set(text.split()))
 
 
 def test_cascade_is_exact():

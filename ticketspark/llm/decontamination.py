@@ -22,8 +22,10 @@ WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
 #: One byte to one byte: A-Z lower-cased, every separator a space. Offsets stay those of the UTF-8 text.
 NORMAL = bytes(b if b in WORD_BYTES else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
-#: Item texts of at most so many bytes go into one automaton: so few that each different word can be one character of it.
+#: Item texts of at most so many bytes go into one automaton.
 AUTOMATON_BYTES = 4 << 20
+#: A word is three signs, each of its own alphabet of so many: no node has many children, and a match begins where a word does.
+SIGNS, ALPHABET = 3, 128
 #: Automata that a scan runs one after another. With more, rows are written with their hits, and scanned again.
 CHAINED = 4
 
@@ -42,63 +44,70 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Matcher:
-    """An Aho-Corasick automaton over the words of items, each different word being one character.
+    """An Aho-Corasick automaton over the words of items, each different word being a number of three signs.
 
     Any window of size words holds a block of size // 2 words that begins at a
     multiple of that in its item (a block of one word where size is below 4). So
-    the automaton takes an item's blocks, one node for each word at most, and
+    the automaton takes an item's blocks, three nodes for each word at most, and
     around a found block the text's windows are looked up among those of the
     items. An item of fewer words than size, but not none, is one window and
-    goes into the automaton whole. Its items may have 1,112,063 different words
+    goes into the automaton whole. Its items may have 2,097,152 different words
     in all, more than AUTOMATON_BYTES can hold.
     """
 
     def __init__(self, items: list[tuple[int, str | None]], size: int):
         self.size, self.block = size, max(1, size // 2)
-        self.letters: dict[bytes, str] = {}
+        self.codes: dict[bytes, str] = {}
         short, whole = defaultdict(set), []
         for item, text in items:
-            word = "".join([self._letter(w) for w in words_of(text)])
-            if len(word) >= size:
-                whole.append((item, word))
-            elif word:
-                short[word].add(item)
-        #: The items' texts one after another, and where each window first stands; owners of a window by its number.
+            coded = "".join([self._code(w) for w in words_of(text)])
+            if len(coded) >= SIGNS * size:
+                whole.append((item, coded))
+            elif coded:
+                short[coded].add(item)
+        #: The items' texts one after another, and the word at which each window first stands; owners of a window by its number.
         self.text = "".join(w for _, w in whole)
         self.at, self.owners, self.key = self._windows(whole)
-        blocks = {w[i : i + self.block] for _, w in whole for i in range(0, len(w) - self.block + 1, self.block)}
+        n = SIGNS * self.block
+        blocks = {w[i : i + n] for _, w in whole for i in range(0, len(w) - n + 1, n)}
         self.short = [sorted(x) for x in short.values()]
         number = {w: n for n, w in enumerate(short)}
         self.automaton = ahocorasick.Automaton()
         for w in blocks | short.keys():
-            self.automaton.add_word(w, (len(w), number.get(w, -1), w in blocks))
+            self.automaton.add_word(w, (len(w) // SIGNS, number.get(w, -1), w in blocks))
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def _letter(self, word: bytes) -> str:
-        found = self.letters.get(word)
+    def _code(self, word: bytes) -> str:
+        found = self.codes.get(word)
         if found is None:
-            n = 1 + len(self.letters)
-            # surrogates are no characters of their own
-            self.letters[word] = found = chr(n if n < 0xD800 else n + 0x800)
+            n = len(self.codes)
+            # 0 is left for words of no item
+            signs = (1 + n // ALPHABET**2, ALPHABET + 1 + n // ALPHABET % ALPHABET, 2 * ALPHABET + 1 + n % ALPHABET)
+            self.codes[word] = found = "".join(map(chr, signs))
         return found
 
-    def _hashes(self, word: str) -> np.ndarray:
-        """A hash of each window of a text of one-character words."""
-        x = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    def _hashes(self, coded: str) -> np.ndarray:
+        """A hash of each window of a coded text."""
+        signs = np.frombuffer(coded.encode("utf-16-le"), np.uint16).astype(np.uint64).reshape(-1, SIGNS)
+        x = (signs[:, 0] << np.uint64(32)) | (signs[:, 1] << np.uint64(16)) | signs[:, 2]
         h = np.zeros(max(0, len(x) - self.size + 1), np.uint64)
         for j in range(self.size):
             h = (h ^ x[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         return h
 
+    def _same(self, coded: str, start: int, at: int) -> bool:
+        """Whether the window from word start of a coded text is that from word at of the items."""
+        n = SIGNS * self.size
+        return coded[SIGNS * start : SIGNS * start + n] == self.text[SIGNS * at : SIGNS * at + n]
+
     def _windows(self, whole: list[tuple[int, str]]) -> tuple[np.ndarray, list, np.ndarray]:
-        """Place in self.text of each different window, its items (edges and ids), and its hash, ascending by that."""
-        hashes = np.concatenate([np.zeros(0, np.uint64), *(self._hashes(w) for _, w in whole)])
-        counts = np.array([len(w) - self.size + 1 for _, w in whole], np.int64)
-        begins = np.concatenate(([0], np.cumsum([len(w) for _, w in whole])))[:-1].astype(np.int64)
-        place = np.arange(len(hashes)) + np.repeat(begins - np.concatenate(([0], np.cumsum(counts)))[:-1].astype(np.int64), counts)
-        item = np.repeat(np.array([i for i, _ in whole], np.int64), counts)
+        """First word in self.text of each different window, its items (edges and ids), and its hash, ascending by that."""
+        text = np.repeat(np.arange(len(whole)), [len(w) // SIGNS for _, w in whole])
+        place = np.flatnonzero(text[: max(0, len(text) - self.size + 1)] == text[self.size - 1 :])
+        hashes = self._hashes(self.text)[place]
+        item = np.array([i for i, _ in whole], np.int64)[text[place]]
         order = np.lexsort((item, hashes))
         hashes, place, item = hashes[order], place[order], item[order]
         new = np.ones(len(hashes), bool)
@@ -106,32 +115,31 @@ class Matcher:
         edges = np.append(np.flatnonzero(new), len(hashes))
         return place[new], [edges, item], hashes[new]
 
-    def _look_up(self, text: str, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _look_up(self, coded: str, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Those of starts at which a window of the items stands, with its items."""
-        hashes = self._hashes(text)[starts]
+        hashes = self._hashes(coded)[starts]
         at = np.searchsorted(self.key, hashes)
         for start, h, i in zip(starts, hashes, at, strict=True):
-            if i < len(self.key) and self.key[i] == h and self.text[self.at[i] : self.at[i] + self.size] == text[start : start + self.size]:
+            if i < len(self.key) and self.key[i] == h and self._same(coded, start, self.at[i]):
                 edges, item = self.owners
                 yield int(start), item[edges[i] : edges[i + 1]]
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """First and last word (exclusive) of each occurrence of a window in a text, and the items that have one there."""
-        get = self.letters.get
-        text = "".join([get(w, "\0") for w in words])
+        get, unknown = self.codes.get, "\0" * SIGNS
+        coded = "".join([get(w, unknown) for w in words])
         found: list[tuple[int, int]] = []
         items: set[int] = set()
         starts: set[int] = set()
-        for last, (n, short, block) in self.automaton.iter(text):
+        for last, (n, short, block) in self.automaton.iter(coded):
+            end = (last + 1) // SIGNS
             if short >= 0:
-                found.append((last + 1 - n, last + 1))
+                found.append((end - n, end))
                 items.update(self.short[short])
             if block:
-                starts.update(range(max(0, last + 1 - self.size), min(last + 2 - n, len(text) - self.size + 1)))
+                starts.update(range(max(0, end - self.size), min(end - n + 1, len(words) - self.size + 1)))
         if starts:
-            # a character of its own stands for words that no item has
-            asked = np.array([a for a in sorted(starts) if "\0" not in text[a : a + self.size]], np.int64)
-            for start, owners in self._look_up(text, asked) if len(asked) else ():
+            for start, owners in self._look_up(coded, np.array(sorted(starts), np.int64)):
                 found.append((start, start + self.size))
                 items.update(owners.tolist())
         return found, items
