@@ -26,7 +26,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 #: Bytes of text handled at once; temporaries take about 60 times as much.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
