@@ -17,8 +17,8 @@ from .textops import LOWER, chunks, small_batches
 WORD_TABLE = np.zeros(256, bool)
 WORD_TABLE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-#: Words whose features are hashed at once, and bytes of one two-dimensional array.
-SLICE_WORDS, MATRIX_BYTES = 1 << 15, 4 << 20
+#: Bytes of text and words whose features are hashed at once, and bytes of one two-dimensional array.
+SLICE_BYTES, SLICE_WORDS, MATRIX_BYTES = 1 << 20, 1 << 18, 1 << 20
 #: Words of the longest feature.
 LONGEST = 3
 
@@ -33,42 +33,58 @@ def _crc_table() -> np.ndarray:
     return table
 
 
-CRC_TABLE = _crc_table()
+CRC_TABLE = _crc_table().astype(np.int64)
 
 
 def crc_columns(matrix: np.ndarray) -> np.ndarray:
     """CRC-32 of each column of a uint8 array (length, n), all of them one byte further at each step."""
-    crc = np.full(matrix.shape[1], 0xFFFFFFFF, np.uint32)
+    crc = np.full(matrix.shape[1], 0xFFFFFFFF, np.int64)
+    low, add = np.empty_like(crc), np.empty_like(crc)
     for byte in matrix:
-        crc = CRC_TABLE[(crc ^ byte) & 0xFF] ^ (crc >> np.uint32(8))
-    return ~crc
-
-
-def _distinct(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First place of each different column, and for each column which of those it equals."""
-    signs = np.zeros(matrix.shape[1], np.uint64)
-    for byte in matrix:
-        signs = (signs ^ byte) * MULTIPLIER
+        np.bitwise_xor(crc, byte, out=low)
+        low &= 0xFF
+        CRC_TABLE.take(low, out=add, mode="clip")
+        crc >>= 8
+        crc ^= add
+    return (crc ^ 0xFFFFFFFF).astype(np.uint32)
+
+
+def _distinct(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each different row of a uint64 array, and for each row which of those it equals."""
+    signs = np.zeros(len(words), np.uint64)
+    for word in words.T:
+        signs ^= word
+        signs *= MULTIPLIER
         signs ^= signs >> np.uint64(29)
-    _, first, which = np.unique(signs, return_index=True, return_inverse=True)
-    if not np.array_equal(matrix[:, first[which]], matrix):  # two different columns have one sign
-        rows = np.ascontiguousarray(matrix.T).view(f"V{matrix.shape[0]}").ravel()
-        _, first, which = np.unique(rows, return_index=True, return_inverse=True)
-    return first, which
+    order = np.argsort(signs)
+    found = signs[order]
+    new = np.concatenate(([True], found[1:] != found[:-1]))
+    first, which = order[new], np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    if not np.array_equal(words[first][which], words):  # two different rows have one sign
+        _, first, which = np.unique(words, axis=0, return_index=True, return_inverse=True)
+    return first, which.ravel()
 
 
 def crc_ranges(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """CRC-32 of raw[start : start + length] for each pair: ranges of equal length form arrays, whose different columns are worked out once."""
+    """CRC-32 of raw[start : start + length] for each pair: ranges of equal length form arrays, whose different rows are worked out once."""
     out = np.empty(len(start), np.uint32)
-    order = np.argsort(length, kind="stable")
+    if not len(start):
+        return out
+    longest = int(length.max())
+    order = np.argsort(length.astype(np.uint16) if longest < 1 << 16 else length, kind="stable")
     sizes, begin = np.unique(length[order], return_index=True)
+    raw = np.concatenate((raw, np.zeros(8, np.uint8)))
     for size, lo, hi in zip(sizes.tolist(), begin, np.append(begin[1:], len(order)), strict=True):
-        step = max(1, MATRIX_BYTES // max(1, size))
+        wide = max(8, -(-size // 8) * 8)
+        windows = np.lib.stride_tricks.sliding_window_view(raw, wide)
+        step = max(1, MATRIX_BYTES // wide)
         for i in range(lo, hi, step):
             some = order[i : min(i + step, hi)]
-            matrix = raw[start[some] + np.arange(size)[:, None]]
-            first, which = _distinct(matrix)
-            out[some] = crc_columns(matrix[:, first])[which]
+            matrix = windows[start[some]]
+            matrix[:, size:] = 0
+            first, which = _distinct(matrix.view(np.uint64))
+            out[some] = crc_columns(np.ascontiguousarray(matrix[first, :size].T))[which]
     return out
 
 
@@ -110,7 +126,7 @@ def text_features(raw: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.nda
 def _features(buckets: int):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, raw, at in chunks(batch.column(1)):
+            for lo, hi, raw, at in chunks(batch.column(1), SLICE_BYTES):
                 counts, found = text_features(raw, at, buckets)
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(counts.astype(np.int64)), pa.array(found, pa.binary())], ["id", "n_words", "features"])
 
