@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.written import checked
 from . import pack_zh as zh
+from .containment import contained
 from .dates import extract_time
 from .rules import count_words, first_label, leftmost_term, longest_term, most_words
 from .text import CJK, any_of, blank, clean_phone, clean_text, clean_ticket_no, content_hash, extract_phone, filled, first_filled, first_found, has_any, has_chinese, holds_any, let, normalize_address, normalize_text, remove_boilerplate, semantic_content, strip
@@ -294,19 +294,29 @@ def to_pipeline_columns(cleaned: DataFrame, raw: DataFrame) -> DataFrame:
     return out.withColumns({"extracted_subject": pick_subject(F.col("__org"), F.col("title"), F.col("subject")), "extracted_area": first_filled(F.col("__town"), blank(F.col("area")))}).drop("__org", "__town")
 
 
+def held_names(names: DataFrame, aliases: DataFrame, min_length: int = 3) -> DataFrame:
+    """Pairs (name, alias) of different names and aliases of which one, of at least min_length signs, is in the other."""
+    named = lambda df, c: df.select(F.col(c).alias("id"), F.col(c).alias("text")).distinct()
+    wanted = lambda df, c: df.where(F.length(c) >= min_length).select(F.col(c).alias("name"))
+    inside = contained(named(names, "name"), wanted(aliases, "alias"))
+    around = contained(named(aliases, "alias"), wanted(names, "name"))
+    return inside.select(F.col("id").alias("name"), F.col("name").alias("alias")).union(around.select("name", F.col("id").alias("alias"))).distinct()
+
+
 def normalize_entity(df: DataFrame, key: str, name: str, aliases: DataFrame, min_length: int = 3) -> DataFrame:
     """Add canonical and confidence by aliases (canonical, alias): equal names first, then names that hold one another.
 
-    The table of aliases must have so few rows that every name can be held against
-    each (sources.written.SMALL_ROWS). The canonical name itself scores 1.0, another alias 0.9; containment either
+    The canonical name itself scores 1.0, another alias 0.9; containment either
     way, by names of at least min_length, takes the first (canonical, alias) and
-    scores 0.7; others keep their name at 0.3, empty ones at 0.
+    scores 0.7; others keep their name at 0.3, empty ones at 0. Different names
+    and aliases meet through an index of rare parts (containment.contained), so either table may be large.
     """
     exact = aliases.groupBy(F.col("alias").alias(name)).agg(F.min("canonical").alias("__c"))
     hit = df.join(exact, name, "left")
-    misses = hit.where(F.col("__c").isNull() & filled(F.col(name)).isNotNull()).select(name).distinct()
-    near = (F.contains(F.col(name), F.col("alias")) & (F.length("alias") >= min_length)) | (F.contains(F.col("alias"), F.col(name)) & (F.length(name) >= min_length))
-    fuzzy = misses.join(checked(aliases), near).groupBy(name).agg(F.min_by("canonical", F.struct("canonical", "alias")).alias("__f"))
+    misses = hit.where(F.col("__c").isNull() & filled(F.col(name)).isNotNull()).select(F.col(name).alias("name")).distinct()
+    first = aliases.where(F.col("canonical").isNotNull()).groupBy("alias").agg(F.min("canonical").alias("canonical"))
+    near = held_names(misses, first, min_length).join(first, "alias")
+    fuzzy = near.groupBy(F.col("name").alias(name)).agg(F.min_by("canonical", F.struct("canonical", "alias")).alias("__f"))
     out = hit.join(fuzzy, name, "left")
     sure = F.when(F.col("__c") == F.col(name), 1.0).when(F.col("__c").isNotNull(), 0.9).when(F.col("__f").isNotNull(), 0.7).when(filled(F.col(name)).isNotNull(), 0.3).otherwise(0.0)
     return out.withColumns({"canonical": F.coalesce("__c", "__f", F.col(name), F.lit("")), "confidence": sure}).drop("__c", "__f")

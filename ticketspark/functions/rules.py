@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.written import checked
+from .containment import contained
 from .text import any_of, has_any, holds_any, let
 
 
@@ -46,10 +46,13 @@ def leftmost_term(c: Column, terms: Sequence[str]) -> Column:
 def label_by_table(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
     """(key, label) of the first rule of a table (priority, label, pattern) whose pattern a text holds; texts without one are left out.
 
-    For rule tables that are data, of at most sources.written.SMALL_ROWS rows: a containment join with one aggregate.
+    For rule tables that are data, of any size: texts and patterns meet
+    through an index of the patterns' rare parts (containment.contained).
     """
-    hits = df.join(checked(rules), F.contains(F.col(text), F.col("pattern")))
-    return hits.groupBy(key).agg(F.min_by("label", "priority").alias("label"))
+    first = rules.groupBy("pattern").agg(F.min(F.struct("priority", "label")).alias("rule"))
+    patterns = first.select(F.col("pattern").alias("name"), "rule")
+    hits = contained(df.select(F.col(key).alias("id"), F.col(text).alias("text")), patterns.select("name")).join(patterns, "name")
+    return hits.groupBy(F.col("id").alias(key)).agg(F.min("rule").alias("rule")).select(key, F.col("rule.label").alias("label"))
 
 
 def is_blacklisted(c: Column, words: Sequence[str]) -> Column:

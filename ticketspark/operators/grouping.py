@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pack_zh as zh
 from ..functions.extract import best_venue
 from ..functions.text import any_of, apply_synonyms, blank, clean_title, filled, first_filled, has_any
-from .recurrence import mode_of
+from ..sources.written import drop, paths, written
+from .recurrence import modes
 
 MIN_COVERAGE = 0.3
 
@@ -77,36 +77,24 @@ def rule_groups(df: DataFrame) -> DataFrame:
 
 def cluster_modes(df: DataFrame) -> DataFrame:
     """(cluster_id, subject, event, area): commonest values of each group, '' if blank; -1 is left out."""
-    modes = [F.coalesce(mode_of(f"extracted_{x}"), F.lit("")).alias(x) for x in ("subject", "event", "area")]
-    return df.where("cluster_id <> -1").groupBy("cluster_id").agg(*modes)
-
-
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a subject's groups by number: each group not merged yet takes all later ones whose event is equal or blank, or all if its own is blank."""
-    ids, events = pdf.sort_values("cluster_id")[["cluster_id", "event"]].T.to_numpy()
-    into: dict[int, int] = {}
-    heads: dict[str, int] = {}  # the one open head of each event
-    for cid, event in zip(ids, events, strict=True):
-        head = min((heads[e] for e in (heads if event == "" else (event, "")) if e in heads), default=None)
-        if head is None:
-            heads[event] = head = cid
-        into[cid] = head
-    return pd.DataFrame({"cluster_id": list(into), "head": list(into.values())})
+    inside = df.where("cluster_id <> -1")
+    names = {x: F.col(f"extracted_{x}") for x in ("subject", "event", "area")}
+    found = inside.select("cluster_id").distinct().join(modes(inside, "cluster_id", names), "cluster_id", "left")
+    return found.select("cluster_id", *[F.coalesce(x, F.lit("")).alias(x) for x in names])
 
 
 def consolidate_subjects(df: DataFrame) -> DataFrame:
-    """Merge groups with equal commonest subject and compatible event into the lowest, by one pass in order of number.
+    """Merge groups with equal commonest subject and compatible event into the lowest, as one pass in order of number would.
 
-    Only the table of groups goes through the pass, a subject at a time. A subject
-    whose groups all have an event needs no pass: the lowest number of each event.
+    In that pass each group not merged yet takes all later ones whose event is equal or
+    blank, or all if its own is blank. So if a subject's lowest group has no event, all
+    join it; else blank ones join the lowest, and others the lowest of their event.
     """
-    modes = cluster_modes(df).where("subject <> ''").select("cluster_id", "subject", "event")
-    mixed = modes.groupBy("subject").agg(F.bool_or(F.col("event") == "").alias("mixed"))
-    modes = modes.join(mixed, "subject")
-    plain = modes.where("not mixed").groupBy("subject", "event").agg(F.min("cluster_id").alias("head"))
-    plain = modes.where("not mixed").join(plain, ["subject", "event"]).select("cluster_id", "head")
-    greedy = modes.where("mixed").groupBy("subject").applyInPandas(_greedy, "cluster_id long, head long")
-    heads = plain.unionByName(greedy).where("head <> cluster_id")
+    groups = cluster_modes(df).where("subject <> ''").select("cluster_id", "subject", "event")
+    lowest = groups.groupBy("subject").agg(F.min("cluster_id").alias("lowest"), F.min_by("event", "cluster_id").alias("first"))
+    by_event = groups.groupBy("subject", "event").agg(F.min("cluster_id").alias("of_event"))
+    head = F.when((F.col("first") == "") | (F.col("event") == ""), F.col("lowest")).otherwise(F.col("of_event"))
+    heads = groups.join(lowest, "subject").join(by_event, ["subject", "event"]).select("cluster_id", head.alias("head")).where("head <> cluster_id")
     return df.join(heads, "cluster_id", "left").withColumn("cluster_id", F.coalesce("head", "cluster_id")).drop("head")
 
 
@@ -149,19 +137,40 @@ def candidate_contents(pairs: DataFrame, df: DataFrame, n: int = 2) -> DataFrame
     return pairs.join(side("big"), "big").join(side("small"), "small")
 
 
+def ends_of(links: DataFrame) -> DataFrame:
+    """(node, head) of links (node, to), one for each node: where the chain ends, or the least node of the cycle it ends in.
+
+    Each round doubles how far a node sees and is written, so a chain of n links
+    takes about log2(n) rounds, each with a plan of the same size. It ends when a
+    round neither lets fewer different nodes be seen, which then are ends or
+    lie on cycles, nor lowers the least node seen on the way.
+    """
+    spark = links.sparkSession
+    links = written(links.select("node", "to").where("node <> to"))
+    hops = written(links.select("node", "to", F.least("node", "to").alias("low"), F.lit(True).alias("lower")))
+    seen = hops.select("to").distinct().count()
+    while seen:
+        nxt = hops.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
+        low = F.least("low", F.coalesce("low2", "low"))
+        further = hops.join(nxt, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), low.alias("low"), (low < F.col("low")).alias("lower"))
+        earlier, hops = paths()[-1], written(further)
+        drop(spark, [earlier])
+        now, lower = hops.agg(F.count_distinct("to"), F.coalesce(F.bool_or("lower"), F.lit(False))).first()
+        if now == seen and not lower:
+            break
+        seen = now
+    # a node that is still linked on lies on a cycle, and has seen all of it
+    cycle = hops.select(F.col("node").alias("to"), F.col("low").alias("cycle_low"))
+    return hops.join(cycle, "to", "left").select("node", F.coalesce("cycle_low", "to").alias("head"))
+
+
 def merge_by_verdict(df: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Merge small into big where a verdict (small, big, same, _seq) says same; the last verdict on a small counts, and chains are followed.
 
-    Labels are doubled until none changes; a cycle ends at its lowest group.
+    A cycle, and what leads into it, ends at the cycle's lowest group.
     """
-    step = verdicts.where("same").groupBy("small").agg(F.max_by("big", "_seq").alias("big")).where("small <> big")
-    hops = step.select(F.col("small").alias("node"), F.col("big").alias("to"), F.least("small", "big").alias("low"))
-    rounds = max(1, (hops.count() + 1).bit_length())
-    for _ in range(rounds):
-        nxt = hops.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        hops = hops.join(nxt, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), F.least("low", F.coalesce("low2", "low")).alias("low"))
-    ends = hops.join(step.select(F.col("small").alias("to"), F.lit(True).alias("cycle")), "to", "left")
-    heads = ends.select(F.col("node").alias("cluster_id"), F.when(F.col("cycle"), F.col("low")).otherwise(F.col("to")).alias("head"))
+    step = verdicts.where("same").groupBy(F.col("small").alias("node")).agg(F.max_by("big", "_seq").alias("to"))
+    heads = ends_of(step).withColumnRenamed("node", "cluster_id")
     return df.join(heads, "cluster_id", "left").withColumn("cluster_id", F.coalesce("head", "cluster_id")).drop("head")
 
 

@@ -16,22 +16,29 @@ def cluster_size(df: DataFrame) -> DataFrame:
     return df.join(df.groupBy("cluster_id").agg(F.count("*").alias("cluster_size")), "cluster_id")
 
 
-def mode_of(c: Column | str) -> Column:
-    """Aggregate: the commonest value that isn't blank, of equals the smallest."""
-    return F.mode(filled(F.col(c) if isinstance(c, str) else c), True)
+def modes(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
+    """(key, fields...): the commonest value of each field that isn't blank, of equals the smallest; null without one. A key has a row if any field has a value.
+
+    Values are counted by key, field and value first, so that a large group is
+    counted by many tasks, and what is left of it in one task is its best value so far.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), filled(c).alias("v")) for i, c in enumerate(fields.values())]))
+    counts = df.select(key, each.alias("f")).select(key, "f.i", "f.v").where("v is not null").groupBy(key, "i", "v").agg(F.count("*").alias("n"))
+    best = [F.min(F.when(F.col("i") == i, F.struct((-F.col("n")).alias("n"), "v")))["v"].alias(name) for i, name in enumerate(fields)]
+    return counts.groupBy(key).agg(*best)
 
 
 def group_mode(df: DataFrame, key: str, field: str) -> DataFrame:
     """(key, mode) for each key; '' if all values are blank."""
-    return df.groupBy(key).agg(F.coalesce(mode_of(field), F.lit("")).alias("mode"))
+    return df.select(key).distinct().join(modes(df, key, {"mode": F.col(field)}), key, "left").withColumn("mode", F.coalesce("mode", F.lit("")))
 
 
 def classify_recurring(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Add cluster_size, is_multi_freq and the modes cluster_subject, cluster_event, cluster_area ('' for no group)."""
-    groups = df.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"), *[mode_of(f"extracted_{x}").alias(f"cluster_{x}") for x in ("subject", "event", "area")])
-    none = F.col("cluster_id") == -1
-    groups = groups.withColumns({c: F.when(none, "").otherwise(F.coalesce(c, F.lit(""))) for c in ("cluster_subject", "cluster_event", "cluster_area")})
-    groups = groups.withColumn("is_multi_freq", ~none & (F.col("cluster_size") >= threshold))
+    names = {f"cluster_{x}": F.col(f"extracted_{x}") for x in ("subject", "event", "area")}
+    groups = df.groupBy("cluster_id").agg(F.count("*").alias("cluster_size")).join(modes(df.where("cluster_id <> -1"), "cluster_id", names), "cluster_id", "left")
+    groups = groups.withColumns({c: F.coalesce(c, F.lit("")) for c in names})
+    groups = groups.withColumn("is_multi_freq", (F.col("cluster_id") != -1) & (F.col("cluster_size") >= threshold))
     return df.join(groups, "cluster_id")
 
 
@@ -67,16 +74,14 @@ def event_profiles(df: DataFrame, max_events: int = MAX_EVENTS) -> DataFrame:
     found by one aggregate; their tickets alone are written and measured.
     """
     multi = df.where("is_multi_freq")
-    groups = multi.groupBy("cluster_id").agg(
-        F.count("*").alias("frequency"), F.count_distinct(filled(F.col("extracted_subject"))).alias("__subjects"),
-        mode_of("extracted_subject").alias("__subject"), mode_of("extracted_event").alias("__event"), mode_of("extracted_area").alias("__area"),
-        F.min("submit_time").alias("__first"), F.max("submit_time").alias("__last"),
-    )
-    groups = groups.orderBy(F.desc("frequency"), "cluster_id").limit(max_events)
+    groups = multi.groupBy("cluster_id").agg(F.count("*").alias("frequency")).orderBy(F.desc("frequency"), "cluster_id").limit(max_events)
     # at most max_events rows from here on, so numbering them in one task is bounded
     groups = written(groups.withColumn("__n", F.row_number().over(Window.orderBy(F.desc("frequency"), "cluster_id"))))
     needed = [c for c in ("cluster_id", "_seq", "order_id", "content", "submit_time", "submitter", "extracted_subject", "extracted_event", "extracted_area") if c in multi.columns]
     shown = written(multi.join(F.broadcast(groups.select("cluster_id")), "cluster_id", "left_semi").select(*needed))
+    about = shown.groupBy("cluster_id").agg(F.count_distinct(filled(F.col("extracted_subject"))).alias("__subjects"), F.min("submit_time").alias("__first"), F.max("submit_time").alias("__last"))
+    names = {f"__{x}": F.col(f"extracted_{x}") for x in ("subject", "event", "area")}
+    groups = groups.join(about, "cluster_id").join(modes(shown, "cluster_id", names), "cluster_id", "left")
     ranked = shown.withColumn("__r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("_seq"))).where(F.col("__r") <= SAMPLES)
     one = F.struct("__r", "order_id", truncate(F.col("content"), SAMPLE_CHARS).alias("content"))
     samples = ranked.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: F.struct(x["order_id"].alias("order_id"), x["content"].alias("content"))).alias("sample_orders"))
@@ -101,7 +106,8 @@ def peak_day(df: DataFrame) -> DataFrame:
 def area_spread(df: DataFrame) -> DataFrame:
     """Different areas of each cluster, and the commonest."""
     area = filled(F.col("extracted_area"))
-    return df.groupBy("cluster_id").agg(F.count_distinct(area).alias("area_count"), F.coalesce(mode_of("extracted_area"), F.lit("")).alias("area_top_name"))
+    counts = df.groupBy("cluster_id").agg(F.count_distinct(area).alias("area_count"))
+    return counts.join(modes(df, "cluster_id", {"area_top_name": F.col("extracted_area")}), "cluster_id", "left").withColumn("area_top_name", F.coalesce("area_top_name", F.lit("")))
 
 
 def recent_counts(df: DataFrame) -> DataFrame:

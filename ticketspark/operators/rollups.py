@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import event_name, filled
-from .recurrence import mode_of
+from .recurrence import modes
 
 LEVELS = {"town": ["town"], "community": ["town", "community"], "address": ["address_normalized"]}
 
@@ -175,5 +175,8 @@ def top_clusters(df: DataFrame, n: int = 12) -> DataFrame:
 
     -1 counts as a group here, as in a plain count of values.
     """
-    modes = [F.coalesce(mode_of(c), F.lit("")).alias(x) for x, c in (("event", "extracted_event"), ("subject", "extracted_subject"), ("title", "title"))]
-    return df.groupBy("cluster_id").agg(F.count("*").alias("n"), *modes).orderBy(F.desc("n"), "cluster_id").limit(n)
+    sizes = df.groupBy("cluster_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster_id").limit(n)
+    names = {"event": F.col("extracted_event"), "subject": F.col("extracted_subject"), "title": F.col("title")}
+    inside = df.join(F.broadcast(sizes.select("cluster_id")), "cluster_id", "left_semi")  # n rows at most
+    out = sizes.join(modes(inside, "cluster_id", names), "cluster_id", "left")
+    return out.withColumns({x: F.coalesce(x, F.lit("")) for x in names}).orderBy(F.desc("n"), "cluster_id")

@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.text import char_ngrams, filled, normalize_request
 from ..sources.written import written
+from .vector_join import close_pairs, nearest
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -32,56 +33,60 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm == 0, 0.0).otherwise(x.cast("double") / norm))
 
 
-def _sign_bands(bits: int, tables: int):
-    """For each of tables sets of random planes, on which sides of them a vector lies, as one number."""
+def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v) of vectors that have a direction, at length 1.
 
-    @F.pandas_udf("array<long>")
-    def bands(v: pd.Series) -> pd.Series:
-        out: list = [None] * len(v)
-        sizes = v.map(len).to_numpy()
-        for dim in np.unique(sizes):
-            planes = np.random.default_rng([dim, bits, tables]).normal(size=(dim, tables * bits))
-            at = np.flatnonzero(sizes == dim)
-            side = (np.stack([np.asarray(v.iloc[i], np.float64) for i in at]) @ planes > 0).reshape(len(at), tables, bits)
-            keys = side @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << bits)
-            for i, row in zip(at, keys, strict=True):
-                out[i] = row
-        return pd.Series(out)
-
-    return bands
+    None that is null, empty, all zeros or holds a null or non-finite component; rows
+    without a key are left out, and a key that occurs more than once has its least vector.
+    """
+    x = F.col(vector)
+    bad = F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))
+    rows = df.where(F.col(key).isNotNull() & (F.size(x) > 0)).where(~F.coalesce(bad, F.lit(True)) & F.exists(x, lambda e: e != 0))
+    return rows.groupBy(F.col(key).alias("id")).agg(F.min(x).alias("v")).select("id", unit(F.col("v")).alias("v"))
 
 
-def band_bits(threshold: float, tables: int, recall: float) -> int:
-    """The most planes for each table at which a pair of that cosine shares one of the tables with probability recall."""
-    side = 1 - np.arccos(threshold) / np.pi
-    return max(1, min(40, int(np.log(1 - (1 - recall) ** (1 / tables)) / np.log(side))))
+def _first_members(rows: DataFrame, classes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(rep, id) of all rows by their class of equal vectors, and the first n of each class."""
+    members = rows.join(classes.select(F.col("id").alias("rep"), "v"), "v").select("rep", "id")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
+    return members, members.withColumn("place", place).where(F.col("place") <= n).drop("place")
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float = 0.85, top_k: int = 100, max_pairs: int | None = 1000, tables: int = 100, recall: float = 0.99) -> DataFrame:
-    """Pairs (a, b, similarity), a < b, with cosine of at least threshold, top_k for each, best first.
+def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float = 0.85, top_k: int | None = 100, max_pairs: int | None = 1000) -> DataFrame:
+    """Pairs (a, b, similarity), a < b, with cosine of at least threshold (over 0), top_k for each, best first; exact.
 
-    Vectors that lie on the same sides of all planes of one table are compared; a
-    pair at the threshold is with probability recall, closer ones more surely. The
-    lower the threshold, the fewer planes a table can have, and the more are
-    compared. Equal vectors are one candidate, so copies don't fill tables; of
-    copies, each is paired with the first top_k + 1 ids alone, as no other can be among its best.
+    Equal vectors are one class that is joined once (vector_join.close_pairs); of
+    copies, each is paired with the first top_k + 1 ids alone, as no other can be
+    among its best. Without top_k all pairs of copies are given too. Rows as unit_vectors takes them.
     """
-    rows = df.where((F.size(vector) > 0) & F.col(key).isNotNull()).select(F.col(key).alias("id"), unit(F.col(vector)).alias("v"))
-    classes = written(rows.groupBy("v").agg(F.min("id").alias("rep")))
-    banded = classes.select("rep", F.explode(_sign_bands(band_bits(threshold, tables, recall), tables)("v")).alias("band"), F.size("v").alias("dim"))
-    x, y = banded.alias("x"), banded.alias("y")
-    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("ra"), F.col("y.rep").alias("rb")).distinct()
-    side = lambda r, v: classes.select(F.col("rep").alias(r), F.col("v").alias(v))
-    near = near.join(side("ra", "va"), "ra").join(side("rb", "vb"), "rb").select("ra", "rb", cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= threshold)
-    near = near.union(near.select("rb", "ra", "similarity")).union(classes.select("rep", "rep", F.lit(1.0)))
-    members = rows.join(classes, "v").select("rep", "id")
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
-    first = members.withColumn("place", place).where(F.col("place") <= top_k + 1).select(F.col("rep").alias("rb"), F.col("id").alias("y"))
-    both = near.join(members.select(F.col("rep").alias("ra"), F.col("id").alias("x")), "ra").join(first, "rb").where("x <> y")
+    if threshold <= 0:
+        raise ValueError("a threshold of 0 or less asks for pairs without any likeness")
+    rows = written(unit_vectors(df, key, vector))
+    classes = written(rows.groupBy("v").agg(F.min("id").alias("id")))
+    near = close_pairs(classes, threshold, top_k)
+    near = near.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "similarity")
+    near = near.union(near.select("rb", "ra", "similarity")).union(classes.select("id", "id", F.lit(1.0)))
+    members, first = _first_members(rows, classes, (1 << 31) - 1 if top_k is None else top_k + 1)
+    both = near.join(members.select(F.col("rep").alias("ra"), F.col("id").alias("x")), "ra").join(first.select(F.col("rep").alias("rb"), F.col("id").alias("y")), "rb").where("x <> y")
     both = both.select("x", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    best = both.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("similarity"), "a", "b"))).where(F.col("r") <= top_k).select("a", "b", "similarity").distinct()
-    best = best.orderBy(F.desc("similarity"), "a", "b")
-    return best if max_pairs is None else best.limit(max_pairs)
+    if top_k is not None:
+        both = both.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("similarity"), "a", "b"))).where(F.col("r") <= top_k)
+    best = both.select("a", "b", "similarity").distinct()
+    return best if max_pairs is None else best.orderBy(F.desc("similarity"), "a", "b").limit(max_pairs)
+
+
+def nearest_rows(df: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
+    """The k rows of largest cosine for each row, without itself: id, rank, other, similarity; ties to the smaller id; exact.
+
+    Equal vectors are one class that is searched once. Rows as unit_vectors takes them; with fewer than k others all are given.
+    """
+    rows = written(unit_vectors(df, key, vector))
+    classes = written(rows.groupBy("v").agg(F.min("id").alias("id")))
+    near = nearest(classes, k).select(F.col("id").alias("ra"), F.col("other").alias("rb"), "similarity").union(classes.select("id", "id", F.lit(1.0)))
+    members, first = _first_members(rows, classes, k + 1)
+    both = near.join(members.select(F.col("rep").alias("ra"), "id"), "ra").join(first.select(F.col("rep").alias("rb"), F.col("id").alias("other")), "rb").where("id <> other")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
+    return both.withColumn("rank", nth).where(F.col("rank") <= k).select("id", "rank", "other", "similarity")
 
 
 FEATURES = [("organization", 3, "主体相同"), ("address", 3, "地点相同"), ("event_type", 2, "事件相同"), ("request", 1, "诉求相同"), ("time_start", 1, "时间相同")]
@@ -101,17 +106,15 @@ def judge_duplicates(pairs: DataFrame, rows: DataFrame, key: str, threshold: flo
 
 
 def duplicate_candidates(rows: DataFrame, key: str, vector: str, threshold: float = 0.85) -> DataFrame:
-    """Pairs (a, b, similarity) that can be duplicates: an equal organisation or address, and the cosine.
+    """Pairs (a, b, similarity) that can be duplicates: close vectors, then an equal organisation or address.
 
-    Without either the other fields reach five tenths at most, so no duplicate is missed.
+    Without either the other fields reach five tenths at most, so no duplicate is
+    missed. The close pairs come first, so a frequent organisation costs no pairs of its own.
     """
-    full = lambda c: rows.where(filled(F.col(c).cast("string")).isNotNull() & F.col(vector).isNotNull())
-
-    def by(column: str) -> DataFrame:
-        side = lambda x: full(column).select(F.col(column).alias("k"), F.col(key).alias(x), F.col(vector).alias(f"v{x}"))
-        return side("a").join(side("b"), "k").where("a < b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= threshold)
-
-    return by("organization").union(by("address")).distinct()
+    pairs = similar_pairs(rows, key, vector, threshold, top_k=None, max_pairs=None)
+    side = lambda x: rows.select(F.col(key).alias(x), *[filled(F.col(c).cast("string")).alias(f"{c}_{x}") for c in ("organization", "address")])
+    same = (F.col("organization_a") == F.col("organization_b")) | (F.col("address_a") == F.col("address_b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(same).select("a", "b", "similarity")
 
 
 def likely_duplicates(rows: DataFrame, key: str, vector: str, threshold: float = 0.85, score: float = 0.7) -> DataFrame:
@@ -360,5 +363,14 @@ def density_cluster(ids: DataFrame, key: str, pairs: DataFrame, min_samples: int
     return ids.select(key).join(grouped.unionByName(border).withColumnsRenamed({"node": key, "component": "cluster_id"}), key, "left")
 
 
+def dense_groups(df: DataFrame, key: str, vector: str, min_cosine: float, min_samples: int = 2) -> DataFrame:
+    """DBSCAN over vectors: density_cluster on all pairs of at least min_cosine; rows that have no direction are noise.
+
+    Copies of a vector count as points of their own: a class of min_samples copies is core by itself.
+    """
+    pairs = written(similar_pairs(df, key, vector, min_cosine, top_k=None, max_pairs=None).select("a", "b"))
+    return density_cluster(df, key, pairs, min_samples)
+
+
 def text_tokens(c: Column) -> Column:
     return char_ngrams(F.coalesce(c, F.lit("")))

@@ -107,6 +107,16 @@ def g21(spark, sf):
     return grouping.merge_by_verdict(df, verdicts).select("order_id", "cluster_id")
 
 
+# each event group is said to be the same as the next lower one of its subject, as W7's judge may say: one chain for each subject
+@query("w7_verdict_chains", CAND + """, v AS (SELECT s, a, cluster_id, first_value(cluster_id) OVER (PARTITION BY s ORDER BY cluster_id) AS head FROM q) SELECT order_id, v.head AS cluster_id FROM t JOIN v ON v.s = segment AND v.a = t.area JOIN q ON q.cluster_id = v.cluster_id AND q.title = t.title""")
+def w7_chains(spark, sf):
+    df = _segment_groups(spark, sf)
+    groups = df.select("segment", "cluster_id").distinct()
+    lower = groups.withColumn("big", F.lag("cluster_id").over(Window.partitionBy("segment").orderBy("cluster_id"))).where("big is not null")
+    verdicts = lower.select(F.col("cluster_id").alias("small"), "big", F.lit(True).alias("same"), F.col("cluster_id").alias("_seq"))
+    return grouping.merge_by_verdict(df, verdicts).select("order_id", "cluster_id")
+
+
 @query("g22_cluster_tickets", f"WITH {G} SELECT order_id, cluster_id FROM g")
 def g22(spark, sf):
     return grouping.cluster_tickets(event_tickets(spark, sf).drop("content", "extracted_area", "community", "town"))[0].select("order_id", "cluster_id")

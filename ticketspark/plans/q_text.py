@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, extract, rules, text
 from ..functions import pack_zh as zh
+from ..functions.containment import contained
 from ..sources.written import spread
 from .bindings import T, event_tickets, table
 from .registry import query
@@ -249,6 +250,40 @@ def x16(spark, sf):
     return extract.normalize_entity(named, "c_custkey", "name", aliases).select("c_custkey", "canonical", "confidence")
 
 
+# every third word pair of the benchmark as an alias of its item, and the documents that hold it: names of any number, whole texts
+PHRASES = r"""w AS (SELECT item_id, regexp_extract_all(text, '[^ ]+') AS w FROM benchmark), p AS (SELECT item_id, w[i] || ' ' || w[i + 1] AS alias FROM (SELECT item_id, w, unnest(range(1, len(w), 3)) AS i FROM w)),
+a AS (SELECT alias, min(item_id) AS canonical FROM p GROUP BY alias)"""
+
+
+def _phrases(spark, sf):
+    w = table(spark, sf, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)).alias("w"))
+    at = w.where(F.size("w") >= 2).select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1, F.lit(3))).alias("i"))
+    pairs = at.select("item_id", F.concat_ws(" ", F.element_at("w", F.col("i")), F.element_at("w", F.col("i") + 1)).alias("alias"))
+    return pairs.groupBy("alias").agg(F.min("item_id").alias("canonical"))
+
+
+@query("j3_alias_containment", f"WITH {PHRASES} SELECT doc_id, alias, canonical FROM documents JOIN a ON contains(text, alias)")
+def j3(spark, sf):
+    aliases = _phrases(spark, sf)
+    hits = contained(_docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), aliases.select(F.col("alias").alias("name")))
+    return hits.join(aliases, hits["name"] == aliases["alias"]).select(F.col("id").alias("doc_id"), "alias", "canonical")
+
+
+# customers' names with a sign cut off at the end, the beginning or neither, or with words around them, against all customers
+CUT = "CASE c_custkey % 4 WHEN 0 THEN substr(c_name, 1, length(c_name) - 1) WHEN 1 THEN 'Messrs ' || c_name || ' & Co' WHEN 2 THEN substr(c_name, 10) ELSE c_name || '?' END"
+
+
+@query("x16_names_of_customers", f"""WITH c AS (SELECT c_custkey, {CUT} AS name FROM customer), a AS (SELECT 'C' || c_custkey AS canonical, c_name AS alias FROM customer), e AS (SELECT alias, min(canonical) AS canonical FROM a GROUP BY alias),
+f AS (SELECT name, min((canonical, alias)) AS m FROM (SELECT DISTINCT name FROM c) JOIN a ON contains(name, alias) OR contains(alias, name) GROUP BY name)
+SELECT c_custkey, coalesce(e.canonical, m[1], name) AS canonical, CASE WHEN e.canonical IS NOT NULL THEN 0.9::DOUBLE WHEN m IS NOT NULL THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM c LEFT JOIN e ON e.alias = name LEFT JOIN f USING (name)""")
+def x16_customers(spark, sf):
+    c = table(spark, sf, "customer")
+    k, name = F.col("c_custkey") % 4, F.col("c_name")
+    cut = F.when(k == 0, F.substr(name, F.lit(1), F.length(name) - 1)).when(k == 1, F.concat(F.lit("Messrs "), name, F.lit(" & Co"))).when(k == 2, F.substr(name, F.lit(10))).otherwise(F.concat(name, F.lit("?")))
+    aliases = c.select(F.concat(F.lit("C"), F.col("c_custkey")).alias("canonical"), name.alias("alias"))
+    return extract.normalize_entity(c.select("c_custkey", cut.alias("name")), "c_custkey", "name", aliases).select("c_custkey", "canonical", "confidence")
+
+
 @query("x17_verify_entities", "SELECT s_suppkey, s_suppkey % 3 = 0 AS verified FROM supplier")
 def x17(spark, sf):
     s = table(spark, sf, "supplier")

@@ -317,9 +317,41 @@ def g13_likely(spark, sf):
     return similarity.likely_duplicates(_vectors(spark, sf), "vec_id", "embedding", 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("j7_similar_pairs")
+# all embeddings, and a near copy of each: itself and half of the next one (the last: of the first)
+DOUBLED = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, v, coalesce(lead(v) OVER (ORDER BY vec_id), first_value(v) OVER (ORDER BY vec_id)) AS w FROM e),
+d AS (SELECT 2 * vec_id AS id, v FROM n UNION ALL SELECT 2 * vec_id + 1, list_transform(range(1, len(v) + 1), lambda i: v[i] + 0.5 * w[i]) FROM n)"""
+
+
+def _doubled(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    last = e.agg(F.max("vec_id").alias("last"), F.min("vec_id").alias("first"))
+    nxt = e.crossJoin(F.broadcast(last)).select(F.when(F.col("vec_id") == F.col("first"), F.col("last")).otherwise(F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    near = e.join(nxt, "vec_id").select((2 * F.col("vec_id") + 1).alias("id"), F.zip_with("v", "w", lambda x, y: x + 0.5 * y).alias("v"))
+    return e.select((2 * F.col("vec_id")).alias("id"), "v").unionByName(near)
+
+
+def _pairs_sql(threshold):
+    return f"{DOUBLED} SELECT a.id AS a, b.id AS b, round({COSINE}, 6) AS similarity FROM d AS a JOIN d AS b ON a.id < b.id AND {COSINE} >= {threshold}"
+
+
+@query("j7_similar_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round({COSINE}, 6) AS similarity FROM (SELECT vec_id, embedding AS v FROM embeddings) AS a JOIN (SELECT vec_id, embedding AS v FROM embeddings) AS b ON a.vec_id < b.vec_id AND {COSINE} >= 0.5")
 def j7(spark, sf):
-    return similarity.similar_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.5, max_pairs=None)
+    return similarity.similar_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.5, max_pairs=None).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("j7_close_copies", _pairs_sql(0.85))
+def j7_copies(spark, sf):
+    return similarity.similar_pairs(_doubled(spark, sf), "id", "v", 0.85, max_pairs=None).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("u4_distinct_pairs", _pairs_sql(0.5))
+def u4(spark, sf):
+    return similarity.similar_pairs(_doubled(spark, sf), "id", "v", 0.5, top_k=None, max_pairs=None).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("w6_nearest_rows", f"{DOUBLED}, s AS (SELECT a.id, b.id AS other, {COSINE} AS s FROM d AS a JOIN d AS b ON a.id <> b.id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS INTEGER) AS rank FROM s) SELECT id, rank, other, round(s, 6) AS similarity FROM r WHERE rank <= 5")
+def w6(spark, sf):
+    return similarity.nearest_rows(_doubled(spark, sf), "id", "v", 5).withColumn("similarity", F.round("similarity", 6))
 
 
 TURNS = "r AS (SELECT conv_id * 100 + turn AS id, CAST(conv_id % 50 AS VARCHAR) AS person, role AS request, conv_id, turn FROM conversations)"
@@ -391,6 +423,15 @@ def g18(spark, sf):
     return similarity.density_cluster(table(spark, sf, "benchmark"), "item_id", pairs)
 
 
+@query("g18_dense_vectors", f"""WITH RECURSIVE e AS (SELECT vec_id, embedding AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id AND {COSINE} >= 0.32), core AS (SELECT a FROM p GROUP BY a HAVING count(*) >= 3),
+i AS (SELECT p.a, p.b FROM p JOIN core AS x ON x.a = p.a JOIN core AS y ON y.a = p.b), r(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, i.b FROM r JOIN i ON i.a = r.b), g AS (SELECT a, min(b) AS g FROM r GROUP BY a),
+o AS (SELECT p.a, min(g) AS g FROM p JOIN g ON g.a = p.b WHERE p.a NOT IN (SELECT a FROM core) GROUP BY p.a)
+SELECT vec_id, coalesce(g.g, o.g) AS cluster_id FROM e LEFT JOIN g ON g.a = vec_id LEFT JOIN o ON o.a = vec_id""")
+def g18_dense(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return similarity.dense_groups(e, "vec_id", "embedding", 0.32, 4)
+
+
 @query("g10_svd_embed")
 def g10(spark, sf):
     return similarity.svd_embed(table(spark, sf, "documents"), "doc_id", similarity.text_tokens(F.col("text")), 16).select(F.col("id").alias("doc_id"), "vector")

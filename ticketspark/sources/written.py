@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of a table that every row of another may be held against.
-SMALL_ROWS = 10_000
+_paths: list[str] = []
 
 
-def checked(df: DataFrame) -> DataFrame:
-    """df for a broadcast that no equi-join can replace, once it is known to be small."""
-    if df.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
-        raise ValueError(f"a table to compare all rows with must have at most {SMALL_ROWS} rows")
-    return F.broadcast(df)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Only a local session without that setting gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-ticketspark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing else uses; clear() deletes what is there."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -25,11 +36,26 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df read back from the folder in spark.checkpoint.dir, which all executors share; without that setting df is cached."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        return df.cache()
-    path = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"
+    """df read back from the shared folder: a lost executor then costs the stages after this point only."""
+    path = new_folder(df.sparkSession, "written")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def paths() -> list[str]:
+    """Folders written in this process that are still there, the latest last."""
+    return list(_paths)
+
+
+def drop(spark: SparkSession, some: Iterable[str]) -> None:
+    """Delete folders of paths(), once nothing reads them any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in set(some):
+        _paths.remove(path)
+        path = hadoop(path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that was written in this process, once the results that read it are stored."""
+    drop(spark, paths())
