@@ -1,8 +1,9 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from ticketspark.streaming.incremental import clean_incremental, clean_stream, newest, recurrence_stream
+from ticketspark.streaming.incremental import clean_incremental, clean_stream, file_stream, newest, recurrence_stream
+from ticketspark.streaming.recurrence_alerts import ALERT, write_alerts
 
 SCHEMA = "ticket_no string, job_id string, content string"
 
@@ -36,3 +37,24 @@ def test_recurrence_stream(spark, tmp_path):
     stream.writeStream.format("memory").queryName("days").outputMode("update").trigger(availableNow=True).start().awaitTermination(120)
     last = {r.k: (r.n, r.recurring) for r in spark.table("days").collect()}
     assert last["k"] == (3, True) and last["m"] == (2, False)
+
+
+def _alerts(spark, source, table, point):
+    stream = file_stream(spark, source, "k string, t timestamp", maxFilesPerTrigger="1")
+    write_alerts(stream, table, point, key="k", time="t", threshold=3, gap=timedelta(hours=2), late="1 hour").awaitTermination(300)
+    return sorted(((r.key, r.first_time.hour, r.reached_time.hour) for r in spark.read.schema(ALERT).parquet(table).collect()), key=str)
+
+
+def test_alerts_are_told_once_over_a_restart(spark, tmp_path):
+    source, table, point = (str(tmp_path / x) for x in ("in", "out", "point"))
+    at = lambda *rows: spark.createDataFrame([(k, datetime(2025, 1, 1, h, m)) for k, h, m in rows], "k string, t timestamp").coalesce(1).write.mode("append").parquet(source)
+    at(("a", 1, 0), ("b", 1, 0), ("a", 2, 0), (None, 1, 0))
+    assert _alerts(spark, source, table, point) == []
+    # the state is read again after a restart: a's third comes now, and b's second comes too late for one run
+    at(("a", 3, 0), ("a", 3, 30), ("b", 6, 0))
+    assert _alerts(spark, source, table, point) == [("a", 1, 3)]
+    # a is silent for over two hours, so its next run is told again; rows before the watermark change nothing
+    at(("a", 9, 0), ("a", 9, 0), ("a", 9, 0), ("a", 10, 0), ("b", 7, 0), ("b", 8, 0))
+    assert _alerts(spark, source, table, point) == [("a", 1, 3), ("a", 9, 9), ("b", 6, 8)]
+    at(("c", 23, 0))
+    assert _alerts(spark, source, table, point) == [("a", 1, 3), ("a", 9, 9), ("b", 6, 8)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.written import drop, paths, written
+from ..sources.written import drop, paths, spread, written
 
 #: So few names are looked for in every text at once.
 AT_ONCE = 64
@@ -42,7 +42,7 @@ def contained(texts: DataFrame, names: DataFrame, at_once: int = AT_ONCE, few: i
     texts = texts.select("id", "text").where("text <> '' and id is not null")
     if names.count() <= at_once:
         return texts.join(F.broadcast(names), F.contains("text", "name")).select("id", "name").distinct()
-    texts = written(texts)
+    texts = written(spread(texts))
     found = texts.select("id", F.lit("").alias("name")).limit(0)
     for least in (1, 2, 3):
         size = least

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import scope_last_days, time_from_id, to_datetime
 from ..operators import related, rollups, search, similarity
 from ..sources import tickets as src
-from ..streaming.incremental import clean_incremental
+from ..sources.keyed_table import KeyedTable
+from ..sources.written import new_folder
+from ..streaming.incremental import clean_incremental, clean_stream, file_stream, newest
+from ..streaming.recurrence_alerts import ALERT, write_alerts
 from .bindings import C, E, K, T, X, classified, cleaned, coords, event_tickets, profiles, table
 from .registry import query
 
@@ -67,6 +72,18 @@ def s9(spark, sf):
     return src.upsert_cleaned(old, new)
 
 
+# three batches over a table in files, each of which touches some buckets; the second says some versions again
+@query("u1_keyed_table", f"WITH {K}, n AS (SELECT ticket_no, job_id, organization, 1 AS version, 0 AS b FROM k WHERE _seq % 10 < 8 UNION ALL SELECT ticket_no, job_id, 'new ' || organization, 2 - _seq % 2, 1 FROM k WHERE _seq % 10 > 5 UNION ALL SELECT ticket_no, job_id, 'late', 0, 2 FROM k WHERE _seq % 10 = 3) SELECT ticket_no, job_id, organization, CAST(version AS INTEGER) AS version FROM n QUALIFY row_number() OVER (PARTITION BY ticket_no, job_id ORDER BY version DESC, b DESC) = 1")
+def u1(spark, sf):
+    k = cleaned(spark, sf)
+    row = lambda df, organization, version: df.select("ticket_no", "job_id", organization.alias("organization"), version.cast("int").alias("version"))
+    rows = KeyedTable(spark, new_folder(spark, "cleaned"), ["ticket_no", "job_id"], buckets=8)
+    rows.upsert(row(k.where("_seq % 10 < 8"), F.col("organization"), F.lit(1)))
+    rows.upsert(row(k.where("_seq % 10 > 5"), F.concat(F.lit("new "), "organization"), 2 - F.col("_seq") % 2))
+    rows.upsert(row(k.where("_seq % 10 = 3"), F.lit("late"), F.lit(0)))
+    return rows.read()
+
+
 @query("s10_get_cleaned", f"WITH {K} SELECT ticket_no, organization FROM k WHERE job_id = 'job1' ORDER BY _seq LIMIT 100 OFFSET 50")
 def s10(spark, sf):
     return src.get_cleaned(cleaned(spark, sf), "job1", 100, 50).select("ticket_no", "organization")
@@ -276,6 +293,28 @@ def i1(spark, sf):
     return clean_incremental(k, done, make).select("ticket_no", "made")
 
 
+@query("i2_clean_stream", "SELECT o_orderkey, trim(o_orderpriority) AS priority, o_orderstatus AS status FROM orders")
+def i2(spark, sf):
+    """Orders as a stream of files, cleaned into a table and read back: the newest row of each."""
+    o = table(spark, sf, "orders")
+    make = lambda df: df.select(F.col("o_orderkey").cast("string").alias("ticket_no"), F.lit("stream").alias("job_id"), F.trim("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    rows, point = new_folder(spark, "stream-rows"), new_folder(spark, "stream-point")
+    clean_stream(file_stream(spark, f"{sf}/orders.parquet", o.schema), rows, point, make).awaitTermination()
+    return newest(spark.read.parquet(rows)).select(F.col("ticket_no").cast("long").alias("o_orderkey"), "priority", "status")
+
+
+@query("i3_recurrence_alerts", """WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 8 HOURS, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+r AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM e), n AS (SELECT user_id, ts, min(ts) OVER (PARTITION BY user_id, run) AS first_time, row_number() OVER (PARTITION BY user_id, run ORDER BY ts) AS n FROM r)
+SELECT user_id, first_time, ts AS reached_time FROM n WHERE n = 3""")
+def i3(spark, sf):
+    """Users with three events none of which is over eight hours after the one before, told once for each such run."""
+    e = table(spark, sf, "events")
+    rows, point = new_folder(spark, "alert-rows"), new_folder(spark, "alert-point")
+    write_alerts(file_stream(spark, f"{sf}/events.parquet", e.schema), rows, point, key="user_id", time="ts", gap=timedelta(hours=8)).awaitTermination()
+    found = spark.read.schema(ALERT).parquet(rows)
+    return found.select(F.col("key").cast("long").alias("user_id"), F.col("first_time").cast("timestamp_ntz").alias("first_time"), F.col("reached_time").cast("timestamp_ntz").alias("reached_time"))
+
+
 @query("j8_split_by_cache", "SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)")
 def j8(spark, sf):
     from ..streaming.incremental import split_by_cache

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import time_from_id, to_datetime
+from .keyed_table import newest_rows
 from ..functions.pack_zh import FIELD_ALIASES
 from ..functions.text import filled, strip
 
@@ -109,9 +110,9 @@ def write_report(results: DataFrame, events: DataFrame, path: str, rows: int = R
 
 
 def upsert_cleaned(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("ticket_no", "job_id"), version: str = "version") -> DataFrame:
-    """Both tables with the newest row of each key."""
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))
-    return existing.unionByName(new, allowMissingColumns=True).withColumn("__n", newest).where("__n = 1").drop("__n")
+    """Both tables with the newest row of each key; of equal versions the new one. KeyedTable keeps such a table in files."""
+    both = existing.withColumn("__later", F.lit(0)).unionByName(new.withColumn("__later", F.lit(1)), allowMissingColumns=True)
+    return newest_rows(both, keys, version, "__later")
 
 
 def get_cleaned(df: DataFrame, job_id: str, limit: int = 100, offset: int = 0, order: str = "_seq") -> DataFrame:
