@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, fmt_seen, mask_pii, truncate
+from ..sources.written import written
+from .pages import deep_page
 
 MAX_PAGE = 200
+#: From this row on a page is found by counts of ranges; before it, by the best rows of each task.
+DEEP = 10_000
 
 
 def search_orders(df: DataFrame, q: str = "", area: str = "", subject: str = "", multi: str = "", category: str = "", event: str = "", events: DataFrame | None = None) -> DataFrame:
@@ -82,8 +86,14 @@ def orders_page(df: DataFrame, events: DataFrame, page: int = 1, size: int = 50,
     """A page of the tickets found (search_orders), by group size or time, and a row with the number of all."""
     found = search_orders(df, events=events, **search)
     size, page = min(max(1, size), MAX_PAGE), max(1, page)
-    order = [F.desc_nulls_last("submit_time"), "order_id"] if sort == "time" else [F.desc("cluster_size"), "order_id"]
-    rows = attach_events(found.orderBy(*order).offset((page - 1) * size).limit(size), events)
+    order = [("submit_time" if sort == "time" else "cluster_size", True), ("order_id", False)]
+    offset = (page - 1) * size
+    if offset > DEEP:
+        found = written(found)
+        rows = attach_events(deep_page(found, order, offset, size), events)
+    else:
+        first = F.desc_nulls_last("submit_time") if sort == "time" else F.desc("cluster_size")
+        rows = attach_events(found.orderBy(first, "order_id").offset(offset).limit(size), events)
     shown = rows.select(
         "order_id", F.substring(F.coalesce("title", F.lit("")), 1, 60).alias("title"), mask_pii(truncate(F.col("content"), 60)).alias("content"), F.col("extracted_area").alias("area"),
         F.col("extracted_subject").alias("subject"), F.col("event_type").alias("event"), "event_id", F.col("cluster_size").alias("size"), F.col("is_multi_freq").alias("multi"), fmt_seen(F.col("submit_time")).alias("time"),

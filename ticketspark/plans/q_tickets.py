@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import scope_last_days, time_from_id, to_datetime
 from ..operators import related, rollups, search, similarity
+from ..operators.keyword_index import KeywordIndex
+from ..operators.pages import deep_page
 from ..sources import tickets as src
 from ..sources.keyed_table import KeyedTable
-from ..sources.written import new_folder
+from ..sources.written import new_folder, written
 from ..streaming.incremental import clean_incremental, clean_stream, file_stream, newest
 from ..streaming.recurrence_alerts import ALERT, write_alerts
 from .bindings import C, E, K, T, X, classified, cleaned, coords, event_tickets, profiles, table
@@ -145,6 +147,22 @@ def f3_total(spark, sf):
     return search.search_cleaned(cleaned(spark, sf), organization="BUILDING", keyword="7")[1]
 
 
+def _index(spark, sf):
+    index = KeywordIndex(spark, new_folder(spark, "keywords"), "ticket_no", F.col("clean_content"))
+    index.add(cleaned(spark, sf).select("ticket_no", "organization", "clean_content"))
+    return index
+
+
+@query("f3_indexed_search", f"WITH {K} SELECT ticket_no, organization FROM k WHERE contains(clean_content, 'customer#000000011 in')")
+def f3_index(spark, sf):
+    return _index(spark, sf).search("customer#000000011 in").select("ticket_no", "organization")
+
+
+@query("f3_indexed_total", f"""WITH {K} SELECT count(*) AS total FROM k WHERE contains(clean_content, '{{"k": 7}}')""")
+def f3_index_total(spark, sf):
+    return _index(spark, sf).search('{"k": 7}').agg(F.count("*").alias("total"))
+
+
 @query("f4_usable", f"WITH {K} SELECT ticket_no FROM k WHERE is_usable")
 def f4(spark, sf):
     return search.usable(cleaned(spark, sf)).select("ticket_no")
@@ -250,6 +268,17 @@ def t3(spark, sf):
     return search.orders_page(classified(spark, sf), profiles(spark, sf), page=2, category="click")[0]
 
 
+@query("t3_deep_page", "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 6 OFFSET 5400")
+def t3_deep(spark, sf):
+    order = [("l_shipdate", True), ("l_orderkey", False), ("l_linenumber", False)]
+    return deep_page(table(spark, sf, "lineitem"), order, 5400, 6, sort_rows=1000).select("l_orderkey", "l_linenumber", "l_shipdate")
+
+
+@query("s10_deep_page", f"WITH {K} SELECT ticket_no, organization FROM k WHERE job_id = 'job1' ORDER BY organization, _seq LIMIT 20 OFFSET 300")
+def s10_deep(spark, sf):
+    return deep_page(written(cleaned(spark, sf)).where("job_id = 'job1'"), [("organization", False), ("_seq", False)], 300, 20, sort_rows=100).select("ticket_no", "organization")
+
+
 @query("t4_dashboard_orders", f"WITH {C} SELECT order_id, {MASKED} AS content, extracted_subject AS subject, extracted_event AS event, extracted_area AS area, {SEEN} AS time, cluster_size AS size, is_multi_freq AS multi FROM c ORDER BY is_multi_freq DESC, cluster_size DESC, order_id LIMIT 2000")
 def t4(spark, sf):
     return search.dashboard_orders(classified(spark, sf))
