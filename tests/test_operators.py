@@ -37,6 +37,25 @@ def test_csv_encodings(spark, tmp_path):
         assert df.columns == ["编号", "内容"] and df.first()["内容"] == "噪音很大"
 
 
+def test_each_file_has_its_own_encoding(spark, tmp_path):
+    texts = {"a b.csv": ("utf-8-sig", "噪音很大"), "b.csv": ("gbk", "垃圾清理"), "c.csv": ("gb18030", "𠮷路"), "d.csv": ("utf-8", "été"), "e.csv": ("iso-8859-1", "caf\xe9 \xff")}
+    for n, (name, (encoding, text)) in enumerate(texts.items()):
+        head = "编号,内容" if encoding not in ("iso-8859-1",) else "id,text"
+        (tmp_path / name).write_bytes(f"{head}\n{n},{text}\n{n},\n".encode(encoding))
+    (tmp_path / "f.csv").write_bytes(b"")
+    df = src.read_tickets_csv(spark, str(tmp_path))
+    assert df.columns == ["编号", "内容", "id", "text"]
+    got = {(r["编号"] or r["id"]): (r["内容"] or r["text"]) for r in df.collect() if r["内容"] or r["text"]}
+    assert got == {str(n): text for n, (_, text) in enumerate(texts.values())} and df.count() == 10
+
+
+def test_results_begin_with_a_mark(spark, tickets, tmp_path):
+    src.write_results_csv(tickets.select("order_id", "content").repartition(2), str(tmp_path / "r"))
+    files = [p.read_bytes() for p in (tmp_path / "r").glob("part-*.csv")]
+    assert files and all(f.startswith("\ufefforder_id,content\n".encode()) for f in files)
+    assert src.read_tickets_csv(spark, str(tmp_path / "r")).columns == ["order_id", "content"]
+
+
 def test_writers(spark, tickets, tmp_path):
     src.write_results_csv(tickets.select("order_id"), str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 10

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,25 +20,52 @@ ENCODINGS = ["utf-8", "gbk", "gb18030", "iso-8859-1"]
 REPORT_ROWS = 20_000
 
 
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, encoding): for each file of a path the first of ENCODINGS that reads every line of it; an empty file is in the first.
+
+    Lines are looked at as bytes, in ranges of a file, so a large file is no single value;
+    a line break is no part of a sign in any of the encodings.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
+    bad = lambda e: F.expr("try_validate_utf8(raw) is null") if e == "utf-8" else F.contains(F.decode("raw", e), F.lit("�"))
+    flags = lines.groupBy("file").agg(*[F.bool_or(bad(e)).alias(e) for e in ENCODINGS[:-1]])
+    first = F.coalesce(*[F.when(~F.col(f"`{e}`"), F.lit(e)) for e in ENCODINGS[:-1]], F.lit(ENCODINGS[-1]))
+    return flags.select("file", first.alias("encoding"))
+
+
 def read_tickets_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A CSV file with a header. Without an encoding the first of ENCODINGS that reads every line is taken.
+    """CSV files with a header. Without an encoding each file is read in its own (file_encodings).
 
-    The encodings beyond Java's standard ones need spark.sql.legacy.javaCharsets.
-    A byte-order mark before the first header is dropped.
+    Files of one encoding are read together, by the header of their first; columns that another encoding's files lack are null there. A
+    byte-order mark before the first header is dropped. The encodings beyond Java's standard ones need
+    spark.sql.legacy.javaCharsets, which is left on where a file has one of them.
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-    if encoding is None:
-        lines = spark.read.format("binaryFile").load(path).select(F.col("content"))
-        for encoding in ENCODINGS[:-1]:
-            if encoding != "utf-8":
-                spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-            bad = lines.where(F.expr("try_validate_utf8(content) is null") if encoding == "utf-8" else F.contains(F.decode("content", encoding), F.lit("�")))
-            if not bad.limit(1).count():
-                break
-        else:
-            encoding = ENCODINGS[-1]
-    df = reader.option("encoding", encoding).csv(path)
-    return df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("﻿")) if df.columns else df
+
+    def read(files: list[str] | str, encoding: str) -> DataFrame:
+        df = reader.option("encoding", encoding).csv(files)
+        return df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("\ufeff")) if df.columns else df
+
+    if encoding is not None:
+        return read(path, encoding)
+    # while files are tried, what an encoding can't read is a sign and no error
+    settings = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+    before = {k: spark.conf.get(k, "false") for k in settings}
+    try:
+        for k in settings:
+            spark.conf.set(k, "true")
+        found = file_encodings(spark, path).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    if any(r.encoding != "utf-8" for r in found):
+        spark.conf.set(settings[0], "true")
+    kinds = sorted({r.encoding for r in found}, key=ENCODINGS.index)
+    if len(kinds) < 2:
+        return read(path, kinds[0] if kinds else ENCODINGS[0])
+    # as many parts as encodings; the metadata gives names as parts of an address
+    parts = [read([unquote(r.file) for r in sorted(found) if r.encoding == e], e) for e in kinds]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 def conform(df: DataFrame, aliases: Mapping[str, Sequence[str]] = FIELD_ALIASES) -> tuple[DataFrame, dict[str, str | None]]:
@@ -99,8 +128,9 @@ def read_parquet_cache(spark: SparkSession, path: str, pull) -> DataFrame:
 
 
 def write_results_csv(results: DataFrame, path: str) -> None:
-    """Results as CSV files with a header."""
-    results.write.option("header", True).mode("overwrite").csv(path)
+    """Results as CSV files with a header, each behind a byte-order mark, by which spreadsheets know UTF-8."""
+    marked = results.toDF(*[f"\ufeff{c}" if i == 0 else c for i, c in enumerate(results.columns)])
+    marked.write.option("header", True).mode("overwrite").csv(path)
 
 
 def write_report(results: DataFrame, events: DataFrame, path: str, rows: int = REPORT_ROWS) -> None:
