@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grouping, recurrence, rollups, search
 from .bindings import C, E, G, K, T, X, classified, cleaned, coords, event_tickets, grouped, profiles, table
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 PROFILE = ["event_id", "cluster_id", "event_subject", "event_type", "area", "frequency", "first_seen", "last_seen"]
 DAYS = "greatest(CAST(floor(epoch(max(submit_time) - min(submit_time)) / 86400) AS BIGINT), 1)"
@@ -220,6 +220,18 @@ def a15(spark, sf):
     return rollups.top_categories(event_tickets(spark, sf))
 
 
+def _overview_part(name: str, part: str, sql: str) -> None:
+    """One of the tables of the overview, which must be that of the query for it alone."""
+
+    @query(name, sql)
+    def run(spark, sf):
+        return rollups.overview(classified(spark, sf), profiles(spark, sf), coords(spark, sf))[part]
+
+
+for _part, _alone in (("areas", "a12_area_overview"), ("daily", "a8_daily_counts"), ("daily_by_area", "a9_daily_counts_by_area"), ("subjects", "a14_top_subjects"), ("categories", "a15_top_categories")):
+    _overview_part(f"a13_overview_{_part}", _part, ORACLE_SQL[_alone])
+
+
 @query("a16_group_by_organization", f"WITH {K} SELECT organization, count(*) AS ticket_count, list(ticket_no ORDER BY ticket_no) AS ticket_nos FROM k GROUP BY organization ORDER BY ticket_count DESC, organization LIMIT 200")
 def a16(spark, sf):
     return rollups.group_by_organization(cleaned(spark, sf))

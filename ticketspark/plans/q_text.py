@@ -9,7 +9,7 @@ from ..functions import pack_zh as zh
 from ..functions.containment import contained
 from ..sources.written import spread
 from .bindings import T, event_tickets, table
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 HALF = "".join(map(chr, range(0x21, 0x7F))) + " "
@@ -251,7 +251,7 @@ def x16(spark, sf):
 
 
 # every third word pair of the benchmark as an alias of its item, and the documents that hold it: names of any number, whole texts
-PHRASES = r"""w AS (SELECT item_id, regexp_extract_all(text, '[^ ]+') AS w FROM benchmark), p AS (SELECT item_id, w[i] || ' ' || w[i + 1] AS alias FROM (SELECT item_id, w, unnest(range(1, len(w), 3)) AS i FROM w)),
+WORD_PAIRS = r"""w AS (SELECT item_id, regexp_extract_all(text, '[^ ]+') AS w FROM benchmark), p AS (SELECT item_id, w[i] || ' ' || w[i + 1] AS alias FROM (SELECT item_id, w, unnest(range(1, len(w), 3)) AS i FROM w)),
 a AS (SELECT alias, min(item_id) AS canonical FROM p GROUP BY alias)"""
 
 
@@ -262,7 +262,7 @@ def _phrases(spark, sf):
     return pairs.groupBy("alias").agg(F.min("item_id").alias("canonical"))
 
 
-@query("j3_alias_containment", f"WITH {PHRASES} SELECT doc_id, alias, canonical FROM documents JOIN a ON contains(text, alias)")
+@query("j3_alias_containment", f"WITH {WORD_PAIRS} SELECT doc_id, alias, canonical FROM documents JOIN a ON contains(text, alias)")
 def j3(spark, sf):
     aliases = _phrases(spark, sf)
     hits = contained(_docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), aliases.select(F.col("alias").alias("name")))
@@ -454,6 +454,17 @@ def g19(spark, sf):
     return out.agg(F.count_distinct("cluster_id").alias("groups"))
 
 
+# groups that are good enough to be kept: G7's, which the gate only consolidates
+@query("g19_kept_groups", ORACLE_SQL["g7_recover_noise"])
+def g19_kept(spark, sf):
+    from ..operators.grouping import quality_gate
+
+    out, kept = quality_gate(event_tickets(spark, sf).withColumn("cluster_id", F.when(F.col("value") > 30, -1).otherwise(F.col("submitter")).cast("long")))
+    if not kept:
+        raise ValueError("the groups were to be kept")
+    return out.select("order_id", "cluster_id")
+
+
 @query("s6_parquet_cache", "SELECT event_id, event_type FROM events")
 def s6(spark, sf):
     from ..sources.tickets import read_parquet_cache
