@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.grouping import event_subject_groups
 from ..operators.recurrence import classify_recurring, event_profiles
+from ..sources.written import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +34,14 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_recurring(grouped(spark, sf_dir))
 
 
+def classified_profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Classified tickets and their profiles; the tickets are worked out once and written."""
+    c = written(classified(spark, sf_dir))
+    return c, event_profiles(c)
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_profiles(classified(spark, sf_dir))
+    return classified_profiles(spark, sf_dir)[1]
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import grouping, recurrence, rollups, search
-from .bindings import C, E, G, K, T, X, classified, cleaned, coords, event_tickets, grouped, profiles, table
+from .bindings import C, E, G, K, T, X, classified, classified_profiles, cleaned, coords, event_tickets, grouped, profiles, table
 from .registry import ORACLE_SQL, query
 
 PROFILE = ["event_id", "cluster_id", "event_subject", "event_type", "area", "frequency", "first_seen", "last_seen"]
@@ -194,7 +194,7 @@ def a10(spark, sf):
 @query("a11_kpis", f"""WITH {E} SELECT count(*) AS total_orders, count(DISTINCT CASE WHEN is_multi_freq THEN cluster_id END) AS multi_events, count(DISTINCT extracted_subject) AS total_subjects,
 count(DISTINCT extracted_event) AS total_events, (SELECT event_subject FROM e ORDER BY frequency DESC, cluster_id LIMIT 1) AS biggest_event FROM c""")
 def a11(spark, sf):
-    return rollups.kpis(classified(spark, sf), profiles(spark, sf))
+    return rollups.kpis(*classified_profiles(spark, sf))
 
 
 @query("a12_area_overview", f"""WITH {E}, {X}, l AS (SELECT c.area, cluster_id, count(*) AS f FROM c WHERE is_multi_freq GROUP BY ALL),
@@ -202,12 +202,12 @@ n AS (SELECT l.area, event_id, event_subject || ' · ' || event_type AS name, f,
 b AS (SELECT area, list({{'event_id': event_id, 'name': name, 'frequency': f}} ORDER BY r) AS top_events FROM n WHERE r <= 5 GROUP BY area)
 SELECT c.area, count(*) AS total, count_if(is_multi_freq) AS multi, lat, lon, any_value(top_events) AS top_events FROM c JOIN x USING (area) LEFT JOIN b USING (area) GROUP BY c.area, lat, lon""")
 def a12(spark, sf):
-    return rollups.area_overview(classified(spark, sf), profiles(spark, sf), coords(spark, sf))
+    return rollups.area_overview(*classified_profiles(spark, sf), coords(spark, sf))
 
 
 @query("a13_overview", f"WITH {C} SELECT count(*) AS n_rows, strftime(min(submit_time), '%Y-%m-%d') AS time_min, strftime(max(submit_time), '%Y-%m-%d') AS time_max, count_if(is_multi_freq) AS multi_orders FROM c")
 def a13(spark, sf):
-    return rollups.overview(classified(spark, sf), profiles(spark, sf), coords(spark, sf))["source"]
+    return rollups.overview(*classified_profiles(spark, sf), coords(spark, sf))["source"]
 
 
 @query("a14_top_subjects", f"WITH {T} SELECT subject, count(*) AS n FROM t GROUP BY subject ORDER BY n DESC, subject LIMIT 30")
@@ -225,7 +225,7 @@ def _overview_part(name: str, part: str, sql: str) -> None:
 
     @query(name, sql)
     def run(spark, sf):
-        return rollups.overview(classified(spark, sf), profiles(spark, sf), coords(spark, sf))[part]
+        return rollups.overview(*classified_profiles(spark, sf), coords(spark, sf))[part]
 
 
 for _part, _alone in (("areas", "a12_area_overview"), ("daily", "a8_daily_counts"), ("daily_by_area", "a9_daily_counts_by_area"), ("subjects", "a14_top_subjects"), ("categories", "a15_top_categories")):

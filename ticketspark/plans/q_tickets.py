@@ -16,7 +16,7 @@ from ..sources.keyed_table import KeyedTable
 from ..sources.written import new_folder, written
 from ..streaming.incremental import clean_incremental, clean_stream, file_stream, newest
 from ..streaming.recurrence_alerts import ALERT, write_alerts
-from .bindings import C, E, K, T, X, classified, cleaned, coords, event_tickets, profiles, table
+from .bindings import C, E, K, T, X, classified, classified_profiles, cleaned, coords, event_tickets, profiles, table
 from .registry import query
 
 TAGGED = T + ", o AS (SELECT strftime(o_orderdate, '%y%m%d') || CAST(o_orderkey AS VARCHAR) AS id, o_orderkey, o_orderpriority, o_orderdate FROM orders)"
@@ -180,7 +180,7 @@ def f7_failed(spark, sf):
 
 @query("j1_attach_events", f"WITH {E} SELECT order_id, coalesce(event_id, '') AS event_id, coalesce(e.event_type, '') AS event_type, coalesce(frequency, 0) AS event_frequency FROM c LEFT JOIN e USING (cluster_id)")
 def j1(spark, sf):
-    return search.attach_events(classified(spark, sf), profiles(spark, sf)).select("order_id", "event_id", "event_type", "event_frequency")
+    return search.attach_events(*classified_profiles(spark, sf)).select("order_id", "event_id", "event_type", "event_frequency")
 
 
 @query("j2_attach_coords", f"WITH {X} SELECT n_name AS area, lat, lon FROM nation LEFT JOIN x ON area = n_name")
@@ -237,12 +237,12 @@ def j10(spark, sf):
 
 @query("j11_match_basis", f"WITH {E} SELECT order_id, '一致' AS label_basis, CASE WHEN c.extracted_area = e.area THEN '一致' ELSE '不一致' END AS area_basis, '一致' AS subject_basis FROM c JOIN e USING (cluster_id)")
 def j11(spark, sf):
-    return related.match_basis(classified(spark, sf), profiles(spark, sf)).drop("cluster_id")
+    return related.match_basis(*classified_profiles(spark, sf)).drop("cluster_id")
 
 
 @query("t9_ticket_detail", f"WITH {E}, o AS (SELECT a.event_id, b.event_id AS x, row_number() OVER (PARTITION BY a.event_id ORDER BY b.event_id) AS r FROM e AS a JOIN e AS b ON a.event_type = b.event_type AND a.event_id <> b.event_id), s AS (SELECT event_id, list(x ORDER BY x) AS similar_events FROM o WHERE r <= 3 GROUP BY event_id), n AS (SELECT order_id, CAST((row_number() OVER w > 1)::INT + (lead(order_id) OVER w IS NOT NULL)::INT AS BIGINT) AS n_related FROM c WINDOW w AS (PARTITION BY cluster_id ORDER BY _seq)) SELECT order_id, e.event_id, frequency, similar_events, n_related FROM c LEFT JOIN e USING (cluster_id) LEFT JOIN s USING (event_id) JOIN n USING (order_id)")
 def t9(spark, sf):
-    c, e = classified(spark, sf), profiles(spark, sf)
+    c, e = classified_profiles(spark, sf)
     # each ticket's mate is the next one of its group
     after = F.lead("order_id").over(Window.partitionBy("cluster_id").orderBy("_seq"))
     pairs = c.select(F.col("order_id").alias("a"), after.alias("b")).where("b is not null")
@@ -251,7 +251,7 @@ def t9(spark, sf):
 
 @query("t1_results_table", f"WITH {E} SELECT order_id AS 工单编号, content AS 原始诉求, subject AS 涉及主体, c.area AS 事发区域, strftime(submit_time, '%Y-%m-%d %H:%M') AS 提交时间, normalized_content AS 标准化内容, extracted_subject AS 核心主体, extracted_event AS 核心事件, cluster_id AS 聚类ID, cluster_size AS 聚类频次, CASE WHEN is_multi_freq THEN '是' ELSE '否' END AS 是否多频, coalesce(event_id, '') AS 事件编号 FROM c LEFT JOIN e USING (cluster_id)")
 def t1(spark, sf):
-    return search.results_table(classified(spark, sf), profiles(spark, sf))
+    return search.results_table(*classified_profiles(spark, sf))
 
 
 @query("t2_event_summary", f"WITH {E} SELECT event_id AS 事件编号, event_subject AS 核心主体, event_type AS 事件类型, area AS 区域, frequency AS 频次, first_seen AS 首次出现, last_seen AS 最近出现 FROM e")
@@ -265,7 +265,7 @@ SEEN = "CASE WHEN hour(submit_time) = 0 AND minute(submit_time) = 0 THEN strftim
 
 @query("t3_orders_page", f"WITH {E} SELECT order_id, title[1:60] AS title, {MASKED} AS content, extracted_area AS area, extracted_subject AS subject, coalesce(e.event_type, '') AS event, coalesce(event_id, '') AS event_id, cluster_size AS size, is_multi_freq AS multi, {SEEN} AS time FROM c LEFT JOIN e USING (cluster_id) WHERE c.extracted_event = 'click' ORDER BY cluster_size DESC, order_id LIMIT 50 OFFSET 50")
 def t3(spark, sf):
-    return search.orders_page(classified(spark, sf), profiles(spark, sf), page=2, category="click")[0]
+    return search.orders_page(*classified_profiles(spark, sf), page=2, category="click")[0]
 
 
 @query("t3_deep_page", "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 6 OFFSET 5400")
