@@ -30,9 +30,9 @@ class Plan:
     stands beside it: its XOR counts at most as many elements as the sets differ
     in, so a pair it drops is surely not similar. rounds says how often buckets
     are thinned before their remaining pairs are compared, and tries how many
-    comparisons a member gets in a round. What is left of a bucket and would take
-    over crowded comparisons is split by second bands: a pair of 0.8 shares two
-    bands with probability 0.99995.
+    comparisons a member gets in a round. What is left of a bucket is compared in
+    tiles of tile members a side, whatever its size: a size decides where a
+    pair is compared, never whether.
     """
 
     shingle: int = 5
@@ -43,7 +43,7 @@ class Plan:
     sketch_floor: float = 0.62
     rounds: int = 2
     tries: int = 6
-    crowded: int = 1 << 20
+    tile: int = 2048
 
     @property
     def samples(self) -> int:
@@ -205,31 +205,28 @@ def _apart(outside: DataFrame, mixed: DataFrame, classes: DataFrame, plan: Plan)
 
     Sizes of a pair are at most a factor of 100 / plan.similar apart, so a bucket
     is cut into classes of sizes by powers of that, and an outsider meets its own
-    class and the two beside it. A cut that would still need over plan.crowded
-    comparisons is split by the members' other bands: there, only pairs that
-    share a second band are compared.
+    class and the two beside it. Both sides of a cut are dealt into groups of
+    about plan.tile members, and each group of the one meets each of the other in
+    a tile of its own: so a tile takes about plan.tile ** 2 comparisons however
+    large the cut is, tiles of a cut spread over tasks, and no pair is left out.
     """
     size_class = F.floor(F.log("n") / F.log(F.lit(100.0 / plan.similar))).cast("int")
     x = outside.withColumn("c", F.explode(F.array(size_class - 1, size_class, size_class + 1)))
     y = mixed.withColumn("c", size_class)
     met = x.groupBy("bucket", "c").agg(F.count("*").alias("nx")).join(y.groupBy("bucket", "c").agg(F.count("*").alias("ny")), ["bucket", "c"])
-    met = keep(met.select("bucket", "c", (F.col("nx") * F.col("ny") > plan.crowded).alias("crowded")), "met")
-    any_crowded = met.where("crowded").limit(1).count()
-
-    def cut(side: DataFrame) -> DataFrame:
-        side = side.join(met, ["bucket", "c"])
-        plain = side.withColumn("other", F.lit(0).cast("long"))
-        if any_crowded:
-            deep = side.where("crowded").join(classes.select("rep", "bands"), "rep")
-            deep = deep.withColumn("other", F.explode(F.filter("bands", lambda k: k != F.col("bucket")))).drop("bands")
-            plain = plain.where("not crowded").unionByName(deep)
-        return plain
-
-    x, y = cut(x).alias("x"), cut(y).join(classes.select("rep", "sketch"), "rep").alias("y")
-    at = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("bucket", "c", "other")]
+    groups = lambda n: F.ceil(F.col(n) / plan.tile).cast("long")
+    met = keep(met.select("bucket", "c", groups("nx").alias("gx"), groups("ny").alias("gy")), "met")
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        """A row for each tile (bucket, c, gx, gy) that a member is in."""
+        side = side.join(met, ["bucket", "c"]).withColumn("i", F.pmod(F.xxhash64("rep", F.lit(own)), F.col(own)))
+        return side.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).drop("gx", "gy").withColumnsRenamed({"i": own, "j": other})
+
+    x, y = dealt(x, "gx", "gy").alias("x"), dealt(y.join(classes.select("rep", "sketch"), "rep"), "gy", "gx").alias("y")
+    same_tile = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("bucket", "c", "gx", "gy")]
     # of two outsiders the smaller one asks
     asks = (F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
-    return x.join(y, at[0] & at[1] & at[2] & (F.col("x.component") != F.col("y.component")) & asks & _room(plan)).select(*_pair()).distinct()
+    return x.join(y, [*same_tile, F.col("x.component") != F.col("y.component"), asks, _room(plan)]).select(*_pair()).distinct()
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -248,12 +245,14 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
        compared with one member of that, picked by hash, and components are
        taken again. This is repeated while it finds links, plan.rounds times at most.
     4. In buckets that still have several, members outside the largest are
-       compared with all members of other components that are near them in size;
-       crowded buckets are split by the members' other bands first.
+       compared with all members of other components that are near them in size,
+       in tiles that spread over tasks.
 
     So of the pairs that share a bucket only those are skipped that are connected
     already, and a bucket of one group never yields all its pairs. Pairs are
-    first judged by their odd sketches, then confirmed on full sets.
+    first judged by their odd sketches, then confirmed on full sets. Step 4 takes
+    the square of a crowd of unlike texts that share a band, as comparisons of 128
+    bytes each in the JVM; only pairs that pass them are written.
 
     A null or text without words has an empty set and links with nothing. A row
     with a null doc_id links with nothing, has a null component_id and is kept.
