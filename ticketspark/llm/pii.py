@@ -11,16 +11,30 @@ ROUNDS = 8
 #: The session's setting that holds the key of the pseudonyms.
 KEY_SETTING = "spark.ticketspark.pii.key"
 
+#: Letters beside A-Z that names in addresses are written with, as (first code point, letters, step): Latin, Greek, Cyrillic, Armenian,
+#: Hebrew and Arabic. A letter moves within its row; the rows of small and capital letters of one alphabet are equally long.
+LETTERS = [
+    *((0xC0, 23, 1), (0xE0, 23, 1), (0xD8, 7, 1), (0xF8, 7, 1), (0xDF, 2, 32)),
+    *((0x100, 28, 2), (0x101, 28, 2), (0x139, 8, 2), (0x13A, 8, 2), (0x14A, 23, 2), (0x14B, 23, 2)),
+    *((0x391, 17, 1), (0x3B1, 17, 1), (0x3A3, 7, 1), (0x3C3, 7, 1), (0x3C2, 1, 1)),
+    *((0x410, 32, 1), (0x430, 32, 1), (0x400, 16, 1), (0x450, 16, 1)),
+    *((0x531, 38, 1), (0x561, 38, 1), (0x5D0, 27, 1), (0x621, 26, 1), (0x641, 10, 1)),
+]
+# other letters end an address as spaces do, as texts in Han, Kana and Thai have no spaces there; combining accents are taken along
+_ALPHA = "A-Za-z" + "".join(rf"\u{first:04X}-\u{first + (n - 1) * step:04X}" for first, n, step in LETTERS)
+_LETTER = _ALPHA + "0-9"
+_LOCAL = rf"{_LETTER}\u0300-\u036F._%+-"
+
 #: What may be personal data, first match first. Each is validated before it is changed.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+(?![A-Za-z0-9])",
+    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++@[{_LETTER}-]++(?:\.[{_LETTER}-]++)*\.[{_ALPHA}]{{2,}}+(?![{_LETTER}])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
     "date": r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?:(?=T\d{2}:?\d{2})|(?!\w|[./-]\d))",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d)",
-    # +1 or brackets mark a number with any area code, others need one that is in use
-    "phone": r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}|(?:1[ .-]?)?(?:\(\d{3}\)[ .-]?|[2-9]\d{2}[ .-])\d{3}[ .-]\d{4})(?!\w|-\d)",
+    # +1 or brackets mark a number with any area code, others need one that is in use; an extension may follow and stays
+    "phone": r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}|(?:1[ .-]?)?(?:\(\d{3}\)[ .-]?|[2-9]\d{2}[ .-])\d{3}[ .-]\d{4})(?:(?!\w|-\d)|(?=(?:x|ext\.?) ?\d{1,6}(?!\w)))",
     # unbroken up to 15 digits, else up to 13, so that the next number seldom counts as a part
-    "international": r"(?<![\w+])\+[2-9](?:\d{7,14}|(?:[ .-]?\d){7,12})(?!\w|-\d)",
+    "international": r"(?<![\w+])\+[2-9](?:\d{7,14}|(?:[ .-]?\d){7,12})(?:(?!\w|-\d)|(?=(?:x|ext\.?) ?\d{1,6}(?!\w)))",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
 }
 # only the pattern of dates has groups, so their numbers hold in the alternation too
@@ -180,14 +194,24 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    """Letters and digits before the @ move within their class; the domain and other signs stay."""
+    """Letters and digits before the @ move within their class, other alphabets' as LETTERS says; the domain and other signs stay."""
     local, domain = F.substring_index(m, "@", 1), F.lower(F.substring_index(m, "@", -1))
     half = F.floor(F.length(local) / 2).cast("int")
 
     def move(text: Column, other: Column, i: Column) -> Column:
         stream = F.sha2(F.concat_ws("|", F.lit(key), domain, i.cast("string"), F.lower(other)), 512)
-        shifted = lambda c, at, first, n: F.char(first + F.pmod(F.ascii(c) - first + F.conv(F.substr(stream, 3 * (at % 42) + 1, F.lit(3)), 16, 10).cast("int"), F.lit(n)))
-        one = lambda c, at: F.when(c.rlike("[a-z]"), shifted(c, at, 97, 26)).when(c.rlike("[A-Z]"), shifted(c, at, 65, 26)).when(c.rlike("[0-9]"), shifted(c, at, 48, 10)).otherwise(c)
+        moved = lambda c, at, first, n, step=1: first + step * F.pmod(F.floor((F.ascii(c) - first) / step).cast("int") + F.conv(F.substr(stream, 3 * (at % 42) + 1, F.lit(3)), 16, 10).cast("int"), F.lit(n))
+        sign = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+        def one(c: Column, at: Column) -> Column:
+            code, foreign = F.ascii(c), c
+            for first, n, step in LETTERS:
+                inside = code.between(first, first + (n - 1) * step) & ((code - first) % step == 0)
+                foreign = F.when(inside, sign(moved(c, at, first, n, step))).otherwise(foreign)
+            for kind, first, n in (("[0-9]", 48, 10), ("[A-Z]", 65, 26), ("[a-z]", 97, 26)):
+                foreign = F.when(c.rlike(kind), F.char(moved(c, at, first, n))).otherwise(foreign)
+            return foreign
+
         return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
 
     out = F.aggregate(
@@ -245,7 +269,12 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     value of its own format, permuted by a Feistel network under key: equal
     values get equal pseudonyms in all documents, different values different
     ones, however a number's digits are separated. A card's or an IBAN's new
-    number has a right check sum too. The key is part of the plan, so keep
+    number has a right check sum too. Addresses may have letters of LETTERS
+    before the @ and in the domain; the domain, and the extension after a phone
+    number (x12, ext. 12), stay as they are. Left alone are names, dates with
+    two-digit years or month names, IPv6 addresses, numbers that begin with 00,
+    numbers of ten digits without any separator, other long numbers and secrets.
+    The key is part of the plan, so keep
     plans and event logs as private as the key.
 
     A null text stays null, with n_pii 0; other columns may hold nulls, rows may
