@@ -592,6 +592,35 @@ def test_quoted_terms_are_no_abuse(spark):
     assert all((out[i] < 0.3) == (i < len(quoted)) for i in out) and out[len(quoted)] == out[len(out) - 1]
 
 
+def test_marks_are_paired_and_words_around_tell_attacks():
+    plain, quoted, attacked = 1, toxicity.QUOTED, toxicity.ATTACKED
+    texts = {
+        "you idiot": plain,
+        '"hello" you idiot "bye"': plain,
+        '"you idiot" and "bye': quoted,
+        'a " b idiot c': plain,
+        'a "\nidiot " c': plain,
+        "‘you idiot’": quoted,
+        "'you idiot'": quoted,
+        "don't be an idiot, it isn't nice": plain,
+        "the dogs' idiot 'tis": plain,
+        "‘he isn’t an idiot’ she says": quoted,
+        "é'idiot' and ”’idiot": plain,
+        "»idiot« „ab“ ‚c‘": quoted,
+        "„ab“ idiot „cd“": plain,
+        'he shouted "you idiot" at her': attacked,
+        'er schrie „du idiot“ und ging': attacked,
+        '"he shouted idiot" is a line of the play': quoted,
+        'idiot, noun: from "idiot" of old': plain,
+        'entry "idiot" in the dictionary': quoted,
+        'he shouted once and ' + "a " * toxicity.WINDOW + '"idiot"': quoted,
+        '"' + "a " * toxicity.QUOTE_BYTES + 'idiot"': plain,
+    }
+    raw, at = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    x = toxicity.Model(words=["idiot"]).judge().features(raw, at)
+    assert dict(zip(texts, np.expm1(x[:, 2]).round(6).tolist(), strict=True)) == texts
+
+
 def test_typographic_punctuation_parts_words():
     texts = ["so “idiot” there", "go—idiot…", "«idiot»", "ümläut’idiot", "a ª\xadb"]
     raw, at = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))

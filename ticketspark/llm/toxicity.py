@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,16 +30,38 @@ STEM_GAIN = 1.5
 #: A family is a beginning that marks a text by several different words with it. Two toxic training texts or more have two such words, and
 #: so many times as often as others; such words are so many times as frequent in toxic texts; and chance makes none so frequent among all.
 FAMILY_TEXTS, FAMILY_RATIO, FAMILY_RATE = 2, 8.0, 5.0
-#: Terms that are kept, those in most toxic texts first, and families, the surest first.
-MAX_TERMS = 2000
-#: Words on each side of a hit in which quotation marks are looked for, and what a hit between such counts, where others count 1.
-WINDOW, QUOTED = 8, 0.1
+#: What a quoted hit counts, where others count 1; and what it counts if one of the words of ATTACKS stands among so many words on each side
+#: of the quotation. The labels show no quoted abuse to learn these from.
+QUOTED, WINDOW, ATTACKED = 0.1, 8, 0.5
+#: Words that tell of abuse being spoken at someone.
+ATTACKS = frozenset(
+    "shouted shouts yelled yells screamed screams hissed spat insulted insults jeered taunted schrie schreit brüllte brüllt beschimpfte beschimpft "
+    "pöbelte zischte cria crie hurla hurle insulta insulte injuria traita traite gritó grita chilló chilla insultó increpó espetó".split()
+)
 #: Judged words that a worker remembers.
 REMEMBERED = 1 << 20
 
 WORD_TABLE = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
-#: Quotation marks, as UTF-8 bytes: " and the last bytes of typographic ones after their common beginnings.
-QUOTES = [b'"', "«".encode(), "»".encode(), "“".encode(), "”".encode(), "„".encode()]
+#: Quotation marks, opening and closing; a single one that closes may be an apostrophe, so it counts at a word's edge alone.
+MARKS = [('"', '"'), ("“", "”"), ("„", "“"), ("„", "”"), ("«", "»"), ("»", "«"), ("‚", "‘")]
+SINGLE = [("‘", "’"), ("'", "'")]
+#: Bytes of a line that a quotation has at most.
+QUOTE_BYTES = 1000
+
+
+def _quotations() -> re.Pattern[bytes]:
+    """Quotations in UTF-8 bytes: an opening mark and its next closing one in the same line. A mark without its partner is none."""
+    spans = []
+    for first, last in MARKS:
+        spans.append(b"%b(?:(?!%b)[^\n]){0,%d}%b" % (first.encode(), last.encode(), QUOTE_BYTES, last.encode()))
+    # a letter before, of one, two or three bytes, or after; beginnings of typographic marks are not letters
+    before, after = rb"(?<![0-9A-Za-z])(?<![\xc3-\xdf].)(?<![\xe1\xe3-\xef]..)", rb"(?![0-9A-Za-z\xc3-\xdf\xe1\xe3-\xf4])"
+    for first, last in SINGLE:
+        spans.append(rb"%b%b(?=\S)[^\n]{0,%d}?(?<=\S)%b%b" % (before, first.encode(), QUOTE_BYTES, last.encode(), after))
+    return re.compile(b"|".join(spans), re.DOTALL)
+
+
+QUOTATIONS = _quotations()
 FEATURES = 6
 
 
@@ -149,6 +173,24 @@ class Model:
         return Judge(self)
 
 
+def _weight(words: Words, i: int, spans: list[tuple[int, int]]) -> float:
+    """What the hit at word i counts, given the quotations of its text in order."""
+    at = bisect_right(spans, (int(words.starts[i]), 1 << 62)) - 1
+    if at < 0 or words.ends[i] > spans[at][1]:
+        return 1.0
+    begin, end = spans[at]
+    text = words.text[i]
+    for step, last in ((-1, words.offsets[text] - 1), (1, words.offsets[text + 1])):
+        # the nearest words outside the quotation
+        j = i
+        while j != last and begin <= words.starts[j] < end:
+            j += step
+        for k in range(j, max(last, j - WINDOW) if step < 0 else min(last, j + WINDOW), step):
+            if words.raw[words.starts[k] : words.ends[k]].tobytes().decode("utf-8", "replace") in ATTACKS:
+                return ATTACKED
+    return QUOTED
+
+
 class Judge:
     """Scores texts; remembers the words it has judged."""
 
@@ -177,20 +219,20 @@ class Judge:
 
     def features(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Logarithms of the numbers of terms, of near misses and of different ones of both, of their share of all words, and of family words
-        beyond the first and their share. A hit between quotation marks counts little: who quotes a word seldom means it."""
+        beyond the first and their share. A hit in a quotation counts little, as who quotes a word seldom means it, and more if the
+        words around tell of an attack."""
         words = split_words(raw, at)
         kinds = self._kinds(words) if len(words) else np.zeros(0, np.int8)
         n = len(at) - 1
         counts = np.zeros((n, 3))
         # the most that an occurrence of each different word counts
         different: list[tuple[dict, dict]] = [({}, {}) for _ in range(n)]
+        spans: dict[int, list[tuple[int, int]]] = {}
         for i in np.flatnonzero(kinds):
             text, kind = words.text[i], kinds[i]
-            lo, hi = max(i - WINDOW, words.offsets[text]), min(i + WINDOW, words.offsets[text + 1] - 1)
-            begin = at[text] if lo == words.offsets[text] else words.starts[lo]
-            end = at[text + 1] if hi == words.offsets[text + 1] - 1 else words.ends[hi]
-            before, after = raw[begin : words.starts[i]].tobytes(), raw[words.ends[i] : end].tobytes()
-            weight = QUOTED if any(q in before for q in QUOTES) and any(q in after for q in QUOTES) else 1.0
+            if text not in spans:
+                spans[text] = [(int(at[text]) + m.start(), int(at[text]) + m.end()) for m in QUOTATIONS.finditer(raw[at[text] : at[text + 1]].tobytes())]
+            weight = _weight(words, i, spans[text])
             counts[text, kind - 1] += weight
             own = different[text][int(kind == 3)]
             own[words.hash[i]] = max(weight, own.get(words.hash[i], 0))
@@ -316,19 +358,26 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
         sure = _surprise(c["toxic_words"], c["other_words"], (words_of[0] + 1) / (sum(words_of) + 2))
         family = F.col("stem") & (c["toxic_twice"] >= FAMILY_TEXTS) & (_ratio(c["toxic_twice"], c["other_twice"], toxic, other) >= FAMILY_RATIO)
         family &= (_ratio(c["toxic_words"], c["other_words"], *words_of) >= FAMILY_RATE) & (sure >= math.log(max(1, told[1])))
-        for row in counts.where(family).select("term", sure.alias("sure")).orderBy(F.desc("sure"), F.length("term"), "term").limit(MAX_TERMS).collect():
-            if not any(row["term"].startswith(x) or x.startswith(row["term"]) for x in model.families):
+        beginnings: set[str] = set()
+        for row in counts.where(family).select("term", sure.alias("sure")).orderBy(F.desc("sure"), F.length("term"), "term").collect():
+            begun = {row["term"][:n] for n in range(1, len(row["term"]) + 1)}
+            if begun.isdisjoint(model.families) and row["term"] not in beginnings:
                 model.families.append(row["term"])
+                beginnings |= begun
         apart = lambda w: not w.startswith(tuple(model.families))
 
         ratio = _ratio(c["toxic"], c["other"], toxic, other)
         enough = (c["toxic"] >= math.ceil(MIN_SHARE * toxic)) | (_surprise(c["toxic"], c["other"], toxic / (toxic + other)) >= math.log(max(1, told[0])))
         often = counts.where((c["toxic"] >= MIN_TEXTS) & enough & (ratio >= MIN_RATIO))
-        found = often.orderBy(F.desc("toxic"), "term", "stem").limit(MAX_TERMS).toPandas()
+        found = often.toPandas()
         words = dict(zip(found["term"][~found["stem"]], found["toxic"][~found["stem"]], strict=True))
+        most: dict[str, int] = {}
+        for w, n in words.items():
+            for size in range(1, len(w) + 1):
+                most[w[:size]] = max(n, most.get(w[:size], 0))
         stems: list[str] = []
         for stem, n in sorted(zip(found["term"][found["stem"]], found["toxic"][found["stem"]], strict=True), key=lambda x: (len(x[0]), x[0])):
-            if apart(stem) and not stem.startswith(tuple(stems)) and n >= STEM_GAIN * max([x for w, x in words.items() if w.startswith(stem)], default=0):
+            if apart(stem) and not stem.startswith(tuple(stems)) and n >= STEM_GAIN * most.get(stem, 0):
                 stems.append(stem)
         model.words, model.stems = sorted(w for w in words if apart(w) and not w.startswith(tuple(stems))), stems
         near = counts.where(~F.col("stem") & (F.col("other") > 0) & (ratio < MIN_RATIO)).select("term").mapInArrow(_near(model.words, stems), "term string")
