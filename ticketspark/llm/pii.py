@@ -20,10 +20,11 @@ LETTERS = [
     *((0x410, 32, 1), (0x430, 32, 1), (0x400, 16, 1), (0x450, 16, 1)),
     *((0x531, 38, 1), (0x561, 38, 1), (0x5D0, 27, 1), (0x621, 26, 1), (0x641, 10, 1)),
 ]
-# other letters end an address as spaces do, as texts in Han, Kana and Thai have no spaces there; combining accents are taken along
-_ALPHA = "A-Za-z" + "".join(rf"\u{first:04X}-\u{first + (n - 1) * step:04X}" for first, n, step in LETTERS)
+# the alphabets of LETTERS in few ranges, as a pattern tries each of them at every sign. Their other signs stay, combining accents among them;
+# other letters end an address as spaces do, for texts in Han, Kana and Thai have no spaces there
+_ALPHA = r"A-Za-z\u00C0-\u0386\u0388-\u0559\u0561-\u0587\u05D0-\u05EA\u0620-\u064A"
 _LETTER = _ALPHA + "0-9"
-_LOCAL = rf"{_LETTER}\u0300-\u036F._%+-"
+_LOCAL = _LETTER + "._%+-"
 
 #: What may be personal data, first match first. Each is validated before it is changed.
 PATTERNS = {
@@ -39,6 +40,7 @@ PATTERNS = {
 }
 # only the pattern of dates has groups, so their numbers hold in the alternation too
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_NO_EMAIL = "|".join(f"(?:{p})" for name, p in PATTERNS.items() if name != "email")
 
 #: Usual shapes of card numbers, of equal beginnings the longest first. One with a right Luhn sum is a card whatever numbers stand beside it.
 CARDS = [
@@ -293,7 +295,9 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         # a lambda's argument, so that the runs are looked for once
         return F.when(s.rlike(RUN), F.flatten(F.transform(F.array(cards), lambda x: F.when(F.size(x) > 0, _cut_out(s, x, key)).otherwise(F.array(_same(s)))))).otherwise(F.array(_same(s)))
 
-    rest = lambda s: _between(F.split(s, _ANY, -1), F.transform(F.regexp_extract_all(s, F.lit(_ANY), F.lit(0)), lambda m: _moved(m, pseudonym(m, key))))
+    # addresses are looked for where there is an @ alone
+    kinds = lambda s: F.when(s.contains("@"), _ANY).otherwise(_NO_EMAIL)
+    rest = lambda s: _between(F.split(s, kinds(s), -1), F.transform(F.regexp_extract_all(s, kinds(s), F.lit(0)), lambda m: _moved(m, pseudonym(m, key))))
     held = held.withColumn("__parts", _further(_further(parts, rest), runs))
     count = F.coalesce(F.size(F.filter("__parts", lambda x: x["new"].isNotNull())), F.lit(0)).cast("long")
     whole = F.array_join(F.transform("__parts", lambda x: F.coalesce(x["new"], x["old"])), "")
