@@ -193,3 +193,17 @@ def test_modes_of_a_hot_group(spark):
     assert {r.k: r["mode"] for r in recurrence.group_mode(df, "k", "w").collect()} == dict.fromkeys([*range(7), -5, 99], "")
     expected = Counter(i % 7 for i in range(0, 200_000, 1000))
     assert set(got) == {-5, *expected}
+
+
+def test_measures_of_spans_next_to_whole_days_and_of_ties(spark):
+    """Fractions of a second count, and hundredths are rounded as the double is, not as it is shown."""
+    from datetime import datetime, timedelta
+
+    began = datetime(2024, 1, 1, 10, 0, 0, 900_000)
+    # (rows, span): a tenth of a second short of two days, two days, and 23 rows in 40 days (0.575, a little less as a double)
+    groups = {1: (4, timedelta(days=2) - timedelta(seconds=0.8)), 2: (4, timedelta(days=2)), 3: (23, timedelta(days=40)), 4: (3, timedelta(0))}
+    rows = [(k, began + (span if i else timedelta(0)), "s", "a") for k, (n, span) in groups.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "cluster_id long, t timestamp, extracted_subject string, extracted_area string")
+    for kind in ("timestamp", "timestamp_ntz"):
+        got = {r.cluster_id: (r.span_days, r.daily_avg) for r in recurrence.recurrence_metrics(df.withColumn("submit_time", F.col("t").cast(kind))).collect()}
+        assert got == {1: ("1 天", 4.0), 2: ("2 天", 2.0), 3: ("40 天", round(23 / 40 * 100) / 100), 4: ("1 天", 3.0)}

@@ -51,10 +51,12 @@ def recurrence_metrics(df: DataFrame) -> DataFrame:
         return counts.groupBy("cluster_id").agg(F.max("n").alias(f"{name}_top_count"), F.sum("n").alias(f"__{name}_n"))
 
     submitters = F.count_distinct("submitter") if "submitter" in df.columns else F.lit(None).cast("long")
-    days = F.floor((F.unix_timestamp(F.max("submit_time")) - F.unix_timestamp(F.min("submit_time"))) / 86400)
+    # whole days between the times as they are: seconds cut off before the difference could count a day too many
+    days = F.timestamp_diff("DAY", F.min("submit_time"), F.max("submit_time"))
     groups = df.groupBy("cluster_id").agg(F.count("*").alias("frequency"), F.greatest(days, F.when(days.isNotNull(), 1)).alias("span_days"), submitters.alias("unique_submitters"))
     out = groups.join(top("subject", subject), "cluster_id", "left").join(top("area", area), "cluster_id", "left")
-    daily = F.coalesce(F.round(F.col("frequency") / F.col("span_days"), 2), F.lit(0.0))
+    # hundredths of the double as it is; F.round takes the decimal it is shown as, so 1.005 would go up
+    daily = F.coalesce(F.round(100 * (F.col("frequency") / F.col("span_days"))) / 100, F.lit(0.0))
     out = out.withColumn("daily_avg", daily)
     share = lambda x: F.coalesce(F.bround(100 * F.col(f"{x}_top_count") / F.col(f"__{x}_n")).cast("int"), F.lit(0))
     kind = F.when((F.col("unique_submitters") <= 2) & (F.col("frequency") >= 5), "同一人反复").when(F.col("unique_submitters") >= 10, "群体反映").when(F.col("unique_submitters").isNotNull(), "少数人")
