@@ -207,3 +207,46 @@ def test_measures_of_spans_next_to_whole_days_and_of_ties(spark):
     for kind in ("timestamp", "timestamp_ntz"):
         got = {r.cluster_id: (r.span_days, r.daily_avg) for r in recurrence.recurrence_metrics(df.withColumn("submit_time", F.col("t").cast(kind))).collect()}
         assert got == {1: ("1 天", 4.0), 2: ("2 天", 2.0), 3: ("40 天", round(23 / 40 * 100) / 100), 4: ("1 天", 3.0)}
+
+
+def test_noise_is_copied_a_few_times_however_many_vectors_there_are(spark):
+    """Where every cell is asked, there are few cells: copies of a vector don't grow with the table."""
+    v = np.random.default_rng(8).normal(size=(40_000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    cells = vector_join.Cells(spark.createDataFrame(list(enumerate(v.tolist())), "id long, v array<double>"), 1.0)
+    assert cells.visits(cells.homes.withColumn("radius", F.lit(1.0)), False).count() < 8 * 40_000
+
+
+def test_pieces_are_smaller_where_more_pairs_are_close(spark):
+    v = np.random.default_rng(9).normal(size=(4500, 8)) * 0.01 + 1
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    cells = vector_join.Cells(spark.createDataFrame(list(enumerate(v.tolist())), "id long, v array<double>"), 0.3, threshold=0.9)
+    assert cells.most_rows <= vector_join.PIECE_PAIRS**0.5
+
+
+def test_dense_groups_make_no_pairs(spark, small_cells, monkeypatch):
+    monkeypatch.setattr(similarity, "similar_pairs", None)
+    rows = [(i, [1.0, 0.0] if i < 3000 else [0.0, 1.0] if i < 3002 else [-1.0, 0.0]) for i in range(3003)]
+    got = {r.id: r.cluster_id for r in similarity.dense_groups(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.9, 3).collect()}
+    assert got == {i: 0 if i < 3000 else None for i in range(3003)}
+
+
+def test_duplicates_by_fields_that_go_with_the_vectors(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "alike_pairs", lambda *a: vector_join.alike_pairs(*a, cell_rows=25, piece_bytes=3000))
+    rng = random.Random(5)
+    pick = lambda *x: rng.choice(x)
+    rows = [(i, v, pick("A", "B", "", " A ", None), pick("x", "y", None), pick(1, 2, None), pick("r", ""), "") for i, v in clusters(150, 12, 11)]
+    df = spark.createDataFrame(rows + [(i, v, "A", "x", 1, "r", "") for i, v in ODD], "id long, v array<double>, organization string, address string, event_type int, request string, time_start string").repartition(3)
+    field = lambda r, n: (str(r[n]).strip() or None) if r[n] is not None else None
+    same = lambda a, b, n: field(rows[a], n) is not None and field(rows[a], n) == field(rows[b], n)
+    expected = {}
+    for (a, b), s in plain_pairs([(r[0], r[1]) for r in rows], 0.5).items():
+        expected[a, b] = s, sum(w for n, w in ((2, 3), (3, 3), (4, 2), (5, 1)) if same(a, b, n)), same(a, b, 2) or same(a, b, 3)
+    pairs = similarity.duplicate_candidates(df, "id", "v", 0.5)
+    assert {"organization_same", "time_start_same"} <= set(pairs.columns)
+    got = {(r.a, r.b): round(10 * r.score) for r in similarity.judge_duplicates(pairs, df, "id", close=2.0).collect()}
+    assert got == {p: tenths for p, (_, tenths, some) in expected.items() if some} and got
+    plain = {(r.a, r.b): round(10 * r.score) for r in similarity.judge_duplicates(pairs.select("a", "b", "similarity"), df, "id", close=2.0).collect()}
+    assert plain == got
+    likely = {(r.a, r.b) for r in similarity.likely_duplicates(df, "id", "v", 0.5).collect()}
+    assert likely == {p for p, (_, tenths, _) in expected.items() if tenths >= 6} and likely
