@@ -91,3 +91,18 @@ def test_clean_tickets_makes_one_row_each(spark):
     out = {r["ticket_no"]: r for r in extract.clean_tickets(spark.createDataFrame(rows, "ticket_no string, title string, content string, caller_phone string, _seq long")).collect()}
     assert out["A1"]["event_type"] == "噪音扰民" and out["A1"]["phone"]["masked"] == "138****5678" and out["A1"]["quality"]["usable"]
     assert out["A2"]["quality"]["status"] == "failed" and out["A2"]["address_normalized"] == ""
+
+
+def test_nfkc_of_every_sign_alone_and_after_others(spark):
+    """Texts of ASCII stay in the JVM, others go to Python a few at a time; null stays null."""
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from ticketspark.functions import text
+
+    assert text.AT_ONCE < 100
+    signs = [chr(i) for i in range(1, 0x30000) if not 0xD800 <= i <= 0xDFFF]
+    texts = [None, ""] + [a + s for s in signs[:8000] + signs[-3000:] for a in ("", "e", "か")]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", text.nfkc(F.col("t")).alias("n")).collect()
+    assert len(got) == len(texts) and all(r.n == (None if texts[r.i] is None else unicodedata.normalize("NFKC", texts[r.i])) for r in got)

@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -70,10 +70,19 @@ def first_found(*columns: Column) -> Column:
     return F.coalesce(*[let(c, lambda x: F.when(x != "", x)) for c in columns], F.lit(""))
 
 
-@F.pandas_udf(StringType())
-def nfkc(c: pd.Series) -> pd.Series:
-    """Unicode NFKC; Spark has no built-in function for it."""
-    return c.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+#: Texts that Python holds as strings at once; a batch is kept as bytes.
+AT_ONCE = 32
+
+
+@F.arrow_udf(StringType())
+def _nfkc(c: pa.Array) -> pa.Array:
+    some = lambda i: pa.array([None if s is None else unicodedata.normalize("NFKC", s) for s in c.slice(i, AT_ONCE).to_pylist()], c.type)
+    return pa.concat_arrays([some(i) for i in range(0, len(c), AT_ONCE)] or [c])
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode NFKC; Spark has no built-in function for it. Texts of ASCII alone, as many bytes as signs, don't go to Python."""
+    return F.coalesce(_nfkc(F.when(F.octet_length(c) > F.length(c), c)), c)
 
 
 def fold_fullwidth(c: Column) -> Column:
