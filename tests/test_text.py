@@ -106,3 +106,11 @@ def test_nfkc_of_every_sign_alone_and_after_others(spark):
     texts = [None, ""] + [a + s for s in signs[:8000] + signs[-3000:] for a in ("", "e", "か")]
     got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", text.nfkc(F.col("t")).alias("n")).collect()
     assert len(got) == len(texts) and all(r.n == (None if texts[r.i] is None else unicodedata.normalize("NFKC", texts[r.i])) for r in got)
+
+
+def test_a_date_pattern_is_looked_for_once(spark):
+    for said, iso in (("2025年2月30日 7:05", "2025-02-30 07:05:00"), ("2025/13/1，3月4日 23:59:60，5月6日", "--03-04"), ("2025-1-2 24:00", "2025-01-02 00:00:00"), ("12月0日", "")):
+        assert spark.range(1).select(dates.parse_datetime(F.lit(said)).alias("d")).first().d.iso == iso
+    # each pattern is evaluated as often as it stands in the plan: not once for each of its groups
+    plan = spark.range(1).select(dates.parse_datetime(F.col("id").cast("string")).alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") <= len(dates.DATE_PATTERNS)

@@ -40,14 +40,19 @@ def parse_datetime(c: Column) -> Column:
 
 def _datetime(c: Column) -> Column:
     def found(pattern: str, year: bool, time: bool, confidence: float) -> Column:
-        part = lambda i: F.coalesce(F.regexp_extract(c, pattern, i).try_cast("int"), F.lit(0))
-        ok = F.regexp_extract(c, pattern, 0) != ""
-        ok &= part(2).between(1, 12) & part(3).between(1, 31)
-        if time:
-            ok &= part(4).between(0, 23) & part(5).between(0, 59) & part(6).between(0, 59)
-        day = F.format_string("%04d-%02d-%02d", part(1), part(2), part(3)) if year else F.format_string("--%02d-%02d", part(2), part(3))
-        clock = F.format_string(" %02d:%02d:%02d", part(4), part(5), part(6)) if time else F.lit(" 00:00:00" if year else "")
-        return F.when(ok, F.struct(F.concat(day, clock).alias("iso"), F.regexp_extract(c, pattern, 0).alias("raw"), F.lit(confidence).alias("confidence")))
+        # the groups are the runs of digits of the match, so a pattern is looked for once, and none where it can't be
+        def read(raw: Column, digits: Column) -> Column:
+            part = lambda i: F.get(digits, i - 1 if year else i - 2)
+            two = lambda i: F.lpad(F.coalesce(part(i), F.lit("0")), 2, "0")
+            ok = two(2).between("01", "12") & two(3).between("01", "31")
+            if time:
+                ok &= two(4).between("00", "23") & two(5).between("00", "59") & two(6).between("00", "59")
+            day = F.concat(*([part(1), F.lit("-")] if year else [F.lit("--")]), two(2), F.lit("-"), two(3))
+            clock = F.concat(F.lit(" "), two(4), F.lit(":"), two(5), F.lit(":"), two(6)) if time else F.lit(" 00:00:00" if year else "")
+            return F.when(ok, F.struct(F.concat(day, clock).alias("iso"), raw.alias("raw"), F.lit(confidence).alias("confidence")))
+
+        match = let(F.regexp_extract(c, pattern, 0), lambda raw: F.when(raw != "", let(F.split(raw, "[^0-9]+"), lambda digits: read(raw, digits))))
+        return F.when(F.contains(c, F.lit("月")) if "月" in pattern else c.rlike(r"\d[-/]\d{1,2}[-/]\d"), match)
 
     none = F.struct(F.lit("").alias("iso"), F.coalesce(strip(c), F.lit("")).alias("raw"), F.lit(0.0).alias("confidence"))
     return F.coalesce(*[found(*p) for p in DATE_PATTERNS], none)
@@ -71,7 +76,7 @@ def _time(c: Column) -> Column:
             sure = F.greatest(a["confidence"], b["confidence"]) * factor
             return F.when((a["iso"] != "") & (b["iso"] != ""), F.struct(a["iso"].alias("start"), b["iso"].alias("end"), F.lit("").alias("pattern"), sure.alias("confidence")))
 
-        return let(both, of)
+        return F.when(F.contains(c, F.lit("月")) & c.rlike(pattern), let(both, of))
 
     single = let(parse_datetime(c), lambda one: F.when(one["iso"] != "", F.struct(one["iso"].alias("start"), F.lit("").alias("end"), F.lit("").alias("pattern"), one["confidence"].alias("confidence"))))
     word = F.coalesce(*[F.when(F.contains(c, F.lit(w)), F.lit(p)) for w, p in zh.TIME_WORDS])
