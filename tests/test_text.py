@@ -114,3 +114,18 @@ def test_a_date_pattern_is_looked_for_once(spark):
     # each pattern is evaluated as often as it stands in the plan: not once for each of its groups
     plan = spark.range(1).select(dates.parse_datetime(F.col("id").cast("string")).alias("d"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract(") <= len(dates.DATE_PATTERNS)
+
+
+def test_words_of_another_script_are_not_asked_for(spark, one):
+    def asked(make):
+        plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(make(F.col("t")).alias("x"))
+        return plan._jdf.queryExecution().analyzed().toString()
+
+    # all lists stand behind a look for a Chinese sign; APP is asked for without one
+    for make in (extract.classify_channel, extract.classify_nature, lambda c: extract.extract_request(c, F.lit(""))):
+        assert f"[{text.CJK}]" in asked(make)
+    assert [one(extract.classify_channel, x) for x in ("the APP", "网店", "工地", "x", "APP 工地 垃圾", None)] == ["online", "online", "offline", "unknown", "offline", "offline"]
+    assert [one(extract.classify_nature, x) for x in ("请问", "ask", "投诉建议")] == ["consultation", "unknown", "complaint"]
+    request = lambda c: extract.extract_request(c, F.lit("k"))
+    assert [one(request, x) for x in ("退款", "please", "请来", "")] == [{"request": "退还费用", "issue": "费用"}, {"request": "", "issue": "k"}, {"request": "介入处理", "issue": "k"}, {"request": "", "issue": ""}]
+    assert one(text.clean_text, "a!!b！！。。c") == "a!b!。c" and one(extract.extract_time, "每天")["pattern"] == "daily" and one(extract.extract_time, None)["start"] == ""

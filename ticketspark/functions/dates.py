@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pack_zh as zh
-from .text import let, strip
+from .text import has_chinese, let, strip
 
 #: Formats of submit times, tried in turn.
 FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "yyyy-MM-dd'T'HH:mm:ss"]
@@ -39,6 +39,13 @@ def parse_datetime(c: Column) -> Column:
 
 
 def _datetime(c: Column) -> Column:
+    none = F.struct(F.lit("").alias("iso"), F.coalesce(strip(c), F.lit("")).alias("raw"), F.lit(0.0).alias("confidence"))
+    return F.coalesce(_first_date(c), none)
+
+
+def _first_date(c: Column) -> Column:
+    """What parse_datetime finds, or null."""
+
     def found(pattern: str, year: bool, time: bool, confidence: float) -> Column:
         # the groups are the runs of digits of the match, so a pattern is looked for once, and none where it can't be
         def read(raw: Column, digits: Column) -> Column:
@@ -54,8 +61,7 @@ def _datetime(c: Column) -> Column:
         match = let(F.regexp_extract(c, pattern, 0), lambda raw: F.when(raw != "", let(F.split(raw, "[^0-9]+"), lambda digits: read(raw, digits))))
         return F.when(F.contains(c, F.lit("月")) if "月" in pattern else c.rlike(r"\d[-/]\d{1,2}[-/]\d"), match)
 
-    none = F.struct(F.lit("").alias("iso"), F.coalesce(strip(c), F.lit("")).alias("raw"), F.lit(0.0).alias("confidence"))
-    return F.coalesce(*[found(*p) for p in DATE_PATTERNS], none)
+    return F.coalesce(*[found(*p) for p in DATE_PATTERNS])
 
 
 def extract_time(c: Column) -> Column:
@@ -78,8 +84,8 @@ def _time(c: Column) -> Column:
 
         return F.when(F.contains(c, F.lit("月")) & c.rlike(pattern), let(both, of))
 
-    single = let(parse_datetime(c), lambda one: F.when(one["iso"] != "", F.struct(one["iso"].alias("start"), F.lit("").alias("end"), F.lit("").alias("pattern"), one["confidence"].alias("confidence"))))
-    word = F.coalesce(*[F.when(F.contains(c, F.lit(w)), F.lit(p)) for w, p in zh.TIME_WORDS])
+    single = let(_first_date(c), lambda one: F.when(one.isNotNull(), F.struct(one["iso"].alias("start"), F.lit("").alias("end"), F.lit("").alias("pattern"), one["confidence"].alias("confidence"))))
+    word = F.when(has_chinese(c), F.coalesce(*[F.when(F.contains(c, F.lit(w)), F.lit(p)) for w, p in zh.TIME_WORDS]))
     again = F.when(word.isNotNull(), F.struct(F.lit("").alias("start"), F.lit("").alias("end"), word.alias("pattern"), F.lit(0.5).alias("confidence")))
     none = F.struct(F.lit("").alias("start"), F.lit("").alias("end"), F.lit("").alias("pattern"), F.lit(0.0).alias("confidence"))
     return F.coalesce(span(r"\d{4}年\d{1,2}月\d{1,2}", 1.0), span(r"\d{1,2}月\d{1,2}", 0.7), single, again, none)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import pack_zh as zh
 from .containment import contained
 from .dates import extract_time
-from .rules import count_words, first_label, leftmost_term, longest_term, most_words
+from .rules import by_script, count_words, first_label, leftmost_term, longest_term, most_words
 from .text import CJK, any_of, blank, clean_phone, clean_text, clean_ticket_no, content_hash, extract_phone, filled, first_filled, first_found, has_any, has_chinese, holds_any, let, normalize_address, normalize_text, remove_boilerplate, semantic_content, strip
 
 NO_ADDRESS = "struct<town:string,community:string,road:string,building:string>"
@@ -72,7 +72,7 @@ def valid_organisation(x: Column) -> Column:
 def labour_company(c: Column) -> Column:
     """Company of a text about wages, else null."""
     valid = lambda x: valid_organisation(x) & ~x.rlike(f"(?:{any_of(zh.GENERIC_SUFFIX)})$") & ~has_any(x, zh.LABOUR_NAME_MUST_NOT_HOLD)
-    return F.when(has_any(c, zh.LABOUR_WORDS), _first_valid(c, zh.LABOUR_COMPANIES, valid))
+    return F.when(has_chinese(c) & has_any(c, zh.LABOUR_WORDS), _first_valid(c, zh.LABOUR_COMPANIES, valid))
 
 
 def extract_organization(c: Column) -> Column:
@@ -181,7 +181,7 @@ def event_detail(address: Column, subject: Column, action: Column, content: Colu
 
 def classify_channel(c: Column, online: Sequence[str] = tuple(zh.ONLINE_WORDS), offline: Sequence[str] = tuple(zh.OFFLINE_WORDS)) -> Column:
     """online or offline by the larger number of words, offline if equal, unknown without any."""
-    counts = let(c, lambda x: F.struct(count_words(x, online).alias("a"), count_words(x, offline).alias("b")))
+    counts = let(c, lambda x: by_script(x, [online, offline], lambda lists: F.struct(*[count_words(x, words).alias(n) for n, words in zip("ab", lists, strict=True)])))
     return let(counts, lambda n: F.when((n["a"] == 0) & (n["b"] == 0), "unknown").when(n["a"] > n["b"], "online").otherwise("offline"))
 
 
@@ -191,11 +191,18 @@ def classify_nature(c: Column, rules: Sequence[tuple[str, Sequence[str]]] = tupl
 
 def extract_request(c: Column, kind: Column, rules: Sequence[tuple[str, str | Sequence[str]]] = tuple(zh.REQUESTS), verbs: Sequence[str] = tuple(zh.REQUEST_VERBS), fallback: tuple[Sequence[str], str] = zh.REQUEST_FALLBACK) -> Column:
     """struct<request, issue>: the first request with a keyword; the issue is it without verbs, else the event type."""
-    return let(F.struct(c.alias("text"), first_label(c, rules).alias("found"), kind.alias("kind")), lambda x: _request(x["text"], x["found"], x["kind"], verbs, fallback))
+    patterns = any(isinstance(words, str) for _, words in rules)
+
+    def found(x: Column) -> Column:
+        labels = lambda lists: first_label(x, [(label, words) for (label, _), words in zip(rules, lists, strict=True)])
+        return first_label(x, rules) if patterns else by_script(x, [words for _, words in rules], labels)
+
+    of = lambda x: F.struct(x["text"].alias("text"), found(x["text"]).alias("found"), x["kind"].alias("kind"))
+    return let(let(F.struct(c.alias("text"), kind.alias("kind")), of), lambda x: _request(x["text"], x["found"], x["kind"], verbs, fallback))
 
 
 def _request(c: Column, found: Column, kind: Column, verbs: Sequence[str], fallback: tuple[Sequence[str], str]) -> Column:
-    request = F.when(found != "", found).when(has_any(c, fallback[0]), fallback[1]).otherwise("")
+    request = F.when(found != "", found).when(by_script(c, [fallback[0]], lambda lists: has_any(c, lists[0]) if lists[0] else F.lit(False)), fallback[1]).otherwise("")
     issue = found
     for verb in verbs:
         issue = F.replace(issue, F.lit(verb), F.lit(""))

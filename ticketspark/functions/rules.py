@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .containment import contained
-from .text import any_of, has_any, holds_any, let
+from .text import CJK, any_of, has_any, has_chinese, holds_any, let
 
 
 def first_label(c: Column, rules: Sequence[tuple[str, str | Sequence[str]]], otherwise: str = "") -> Column:
@@ -22,6 +23,14 @@ def count_words(c: Column, words: Sequence[str]) -> Column:
     return sum((F.contains(c, F.lit(w)).cast("int") for w in words), F.lit(0))
 
 
+def by_script(c: Column, lists: Sequence[Sequence[str]], use: Callable[[list[list[str]]], Column]) -> Column:
+    """use(lists) of words; a text without a Chinese sign is asked for the words without one alone, as it can hold no other."""
+    plain = [[w for w in words if not re.search(f"[{CJK}]", w)] for words in lists]
+    if plain == [list(words) for words in lists]:
+        return use(plain)
+    return F.when(c.isNull() | has_chinese(c), use([list(words) for words in lists])).otherwise(use(plain))
+
+
 def most_words(c: Column, rules: Sequence[tuple[str, Sequence[str]]], none: str = "unknown") -> Column:
     """Label with the most of its words in the text, of equals the first."""
 
@@ -29,7 +38,7 @@ def most_words(c: Column, rules: Sequence[tuple[str, Sequence[str]]], none: str
         most = F.array_max(counts)
         return F.when(most == 0, none).otherwise(F.element_at(F.array(*[F.lit(name) for name, _ in rules]), F.array_position(counts, most).cast("int")))
 
-    return let(F.array(*[count_words(c, words) for _, words in rules]), label)
+    return let(by_script(c, [words for _, words in rules], lambda lists: F.array(*[count_words(c, words) for words in lists])), label)
 
 
 def longest_term(c: Column, terms: Sequence[str]) -> Column:

@@ -106,7 +106,8 @@ def clean_text(c: Column) -> Column:
     c = fold_fullwidth(F.regexp_replace(c, "&[a-zA-Z#0-9]+;", " "))
     c = F.regexp_replace(F.replace(c, F.lit("\t"), F.lit(" ")), "\r\n|\r", "\n")
     c = F.regexp_replace(F.regexp_replace(c, "\n{2,}", "\n"), " {2,}", " ")
-    c = F.regexp_replace(c, r"([!？。，、；：])\1+", "$1")
+    # the search for equal marks goes back at each mark, so it is left to texts that have two beside each other
+    c = let(c, lambda x: F.when(x.rlike("[!？。，、；：]{2}"), F.regexp_replace(x, r"([!？。，、；：])\1+", "$1")).otherwise(x))
     return F.trim(F.regexp_replace(c, " *\n *", "\n"), F.lit(" \n"))
 
 
