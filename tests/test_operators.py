@@ -306,3 +306,27 @@ def test_leaders_of_requests_against_a_plain_loop(spark):
             want.setdefault(of[i] if plain[i] == "" else of[plain[i]], []).append(i)
         got = {r.leader: r.ids for r in similarity.dedup_requests(df, "id", "request", threshold).collect()}
         assert got == {k: sorted(v) for k, v in want.items()} and len(heads) > 20
+
+
+def test_svd_counts_terms_in_their_rows(spark, monkeypatch):
+    from ticketspark.functions.text import char_ngrams
+
+    texts = [("停车难停车", "垃圾多", "停车很难", "", None, "ab ba", "ab")[i % 7] for i in range(70)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    rows = {r.id: dict(zip(r.cols, r.ws, strict=True)) for r in similarity._hashed_terms(df, "id", char_ngrams(F.col("text")), 1 << 16).collect()}
+    want = {}
+    for r in similarity.tfidf(df, "id", char_ngrams(F.col("text"))).select("id", F.pmod(F.xxhash64("term"), F.lit(1 << 16)).alias("col"), "w").collect():
+        want.setdefault(r.id, {}).setdefault(r.col, []).append(r.w)
+    assert set(rows) == set(range(70)) and all({c: pytest.approx(sum(w)) for c, w in want.get(i, {}).items()} == rows[i] for i in rows)
+    # with more terms than tasks may know, the join gives the same
+    monkeypatch.setattr(similarity, "VOCABULARY", 2)
+    joined = {r.id: dict(zip(r.cols, r.ws, strict=True)) for r in similarity._hashed_terms(df, "id", char_ngrams(F.col("text")), 1 << 16).collect()}
+    assert all(joined[i] == pytest.approx(rows[i]) for i in rows)
+
+
+def test_text_tokens_are_the_terms_of_char_ngrams(spark):
+    from ticketspark.functions.text import char_ngrams
+
+    df = spark.createDataFrame([(t,) for t in ("停车 X1!é𝄞a街道b", "ÀB c\nde..", "", None, "7")], "t string")
+    for r in df.select(F.sort_array(similarity.text_tokens(F.col("t"))).alias("a"), F.sort_array(char_ngrams(F.coalesce("t", F.lit("")))).alias("b")).collect():
+        assert r.a == r.b
