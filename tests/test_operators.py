@@ -330,3 +330,17 @@ def test_text_tokens_are_the_terms_of_char_ngrams(spark):
     df = spark.createDataFrame([(t,) for t in ("停车 X1!é𝄞a街道b", "ÀB c\nde..", "", None, "7")], "t string")
     for r in df.select(F.sort_array(similarity.text_tokens(F.col("t"))).alias("a"), F.sort_array(char_ngrams(F.coalesce("t", F.lit("")))).alias("b")).collect():
         assert r.a == r.b
+
+
+def test_pairs_at_several_places_come_once_without_a_shuffle_of_pairs(spark):
+    rng = random.Random(8)
+    rows = [(f"o{i}", f"p{rng.randrange(4)}", rng.random() < 0.5) for i in range(60) for _ in range(3)]
+    members = spark.createDataFrame(rows, "order_id string, place string, core boolean")
+    want = {(min(a, b), max(a, b)) for a, p, x in rows for b, q, y in rows if a != b and p == q and (x or y)}
+    for tile in (1000, 7):
+        out = related._pairs_once(members, tile)
+        got = [tuple(r) for r in out.collect()]
+        assert set(got) == want and len(got) == len(want)
+    # the join is the last step: nothing is grouped or dealt after it
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Repartition") and "Aggregate" not in plan

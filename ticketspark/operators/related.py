@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.pack_zh import DISTRICT
 from ..functions.text import addr_contains, blank, has_landmark, norm_subject
+from ..sources.written import written
+
+#: Tickets of a place that are one side of a tile of pairs.
+TILE_ROWS = 4096
 
 FIELDS = ["addr_norm", "addr_community", "addr_building", "extracted_subject", "extracted_area"]
 
@@ -82,16 +86,40 @@ def same_place(a: str, b: str) -> Column:
     )
 
 
+def _pairs_once(members: DataFrame, tile_rows: int | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of tickets that share a place of which one is a core, each made once.
+
+    A row says which places before its own its ticket has, so a pair is passed over at all
+    but its first place. The tickets of a place are cut into pieces of about tile_rows, which meet two by two.
+    """
+    spark, rows = members.sparkSession, tile_rows or TILE_ROWS
+    members = written(members.groupBy("order_id", "place").agg(F.max("core").alias("core")))
+    sizes = members.groupBy("place").agg(F.ceil(F.count("*") / rows).cast("int").alias("pieces"))
+    of = members.groupBy("order_id").agg(F.sort_array(F.collect_list(F.struct("place", "core"))).alias("all"))
+    at = of.select("order_id", "all", F.posexplode("all").alias("nth", "at")).withColumn("before", F.slice("all", 1, F.col("nth")))
+    cores = F.transform(F.filter("before", lambda p: p["core"]), lambda p: p["place"])
+    at = at.select("order_id", "at.place", "at.core", F.col("before.place").alias("before"), cores.alias("cores")).join(sizes, "place")
+    at = written(at.withColumn("piece", F.pmod(F.xxhash64("order_id"), F.col("pieces")).cast("int")))
+    # by number, so that few bytes that make many pairs are not put into one task
+    deal = lambda d: d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "place", "i", "j")
+    x = deal(at.withColumn("i", F.col("piece")).withColumn("j", F.explode(F.sequence("piece", F.col("pieces") - 1)))).alias("x")
+    y = deal(at.withColumn("j", F.col("piece")).withColumn("i", F.explode(F.sequence(F.lit(0), "piece")))).alias("y")
+    c = F.col
+    earlier = F.arrays_overlap("x.cores", "y.before") | F.arrays_overlap("x.before", "y.cores")
+    pairs = x.join(y, [c(f"x.{k}") == c(f"y.{k}") for k in ("place", "i", "j")]).where((c("x.core") | c("y.core")) & ((c("x.i") < c("x.j")) | (c("x.order_id") < c("y.order_id"))) & ~earlier)
+    return pairs.select(F.least("x.order_id", "y.order_id").alias("a"), F.greatest("x.order_id", "y.order_id").alias("b"))
+
+
 def same_place_pairs(df: DataFrame, similar: DataFrame | None = None, min_similarity: float = 0.65) -> DataFrame:
     """Pairs (a, b), a < b, of tickets at one place.
 
     For tables of which all pairs are wanted; place_members says the same in as
-    many rows as tickets have places. similar (a, b, similarity) adds pairs of one
+    many rows as tickets have places. A pair is made at the first of its places
+    alone, so pairs are not shuffled, and large places are dealt to tasks in
+    tiles. similar (a, b, similarity) adds pairs of one
     cluster that both have no place fields at all.
     """
-    x, y = place_members(df).alias("x"), place_members(df).alias("y")
-    pairs = x.join(y, (F.col("x.place") == F.col("y.place")) & (F.col("x.order_id") < F.col("y.order_id")) & (F.col("x.core") | F.col("y.core")))
-    out = pairs.select(F.col("x.order_id").alias("a"), F.col("y.order_id").alias("b")).distinct()
+    out = _pairs_once(place_members(df))
     if similar is not None:
         empty = _places(df).where("addr = '' and comm = '' and bld = ''")
         side = lambda x: empty.select(F.col("order_id").alias(x), F.col("cluster_id").alias(f"c{x}"))
