@@ -80,3 +80,13 @@ def test_the_index_finds_what_a_scan_finds(spark, tmp_path):
     assert len(index.pieces_of("quixotic")) == 1 and index.pieces_of("zzz") == [] and len(index.pieces_of("a")) == 16
     plan = index.search("quixotic")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(piece" in plan or "PartitionFilters: [piece" in plan or "piece" in plan.split("PartitionFilters")[1][:200]
+
+
+def test_parts_name_rows_of_a_block_together(spark, tmp_path):
+    df = spark.range(2000).select("id", F.concat(F.lit("ticket "), F.col("id") % 10).alias("t"))
+    index = KeywordIndex(spark, str(tmp_path / "index"), "id", F.col("t"), pieces=4)
+    index.add(df)
+    parts = spark.read.parquet(str(tmp_path / "index" / "parts"))
+    # far fewer rows than the 2,000 texts have parts, and each part names a row once
+    assert parts.count() < 2000 and parts.where("size(ats) <> size(array_distinct(ats))").count() == 0
+    assert index.search("et 7").columns == ["id", "t"] and sorted(r.id for r in index.search("et 7").collect()) == list(range(7, 2000, 10))
