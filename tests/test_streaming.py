@@ -58,3 +58,38 @@ def test_alerts_are_told_once_over_a_restart(spark, tmp_path):
     assert _alerts(spark, source, table, point) == [("a", 1, 3), ("a", 9, 9), ("b", 6, 8)]
     at(("c", 23, 0))
     assert _alerts(spark, source, table, point) == [("a", 1, 3), ("a", 9, 9), ("b", 6, 8)]
+
+
+def test_a_key_calls_its_state_few_times():
+    import pandas as pd
+
+    from ticketspark.streaming.recurrence_alerts import RunCounter
+
+    calls, kept = [], {}
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return kept.get("run")
+
+        def update(self, value):
+            calls.append("update")
+            kept["run"] = value
+
+    class Handle:
+        def registerTimer(self, at):
+            calls.append("register")
+            kept["timer"] = at
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+            assert at == kept["timer"]
+
+    counter = RunCounter(3, timedelta(hours=2))
+    counter.run, counter.handle = State(), Handle()
+    at = lambda *hours: iter([pd.DataFrame({"time": [pd.Timestamp(2025, 1, 1, h) for h in hours], "n": 1})])
+    told = lambda *hours: [tuple(r) for x in counter.handleInputRows(("a",), at(*hours), None) for r in x.itertuples(index=False)]
+    assert told(3, 1) == [] and calls == ["get", "update", "register"]
+    calls.clear()
+    assert told(2) == [("a", pd.Timestamp(2025, 1, 1, 1), pd.Timestamp(2025, 1, 1, 2), 3)] and calls == ["get", "update"]
+    assert told(9, 9, 10) == [("a", pd.Timestamp(2025, 1, 1, 9), pd.Timestamp(2025, 1, 1, 10), 3)] and calls[-1] == "register"

@@ -33,11 +33,16 @@ class RunCounter(StatefulProcessor):
         self.run = handle.getValueState("run", StructType([StructField("first", TimestampType()), StructField("last", TimestampType()), StructField("n", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # counts of equal times, which the stream brings summed up; a key's times of one batch are put in order
-        times = pd.concat([x[["time", "n"]] for x in rows]).groupby("time", sort=True)["n"].sum()
-        first, last, n = self.run.get() if self.run.exists() else (None, None, 0)
+        # counts of equal times; a key's times of one batch are put in order. Each call of the state goes to the JVM and back, so there are few
+        times = {}
+        for x in rows:
+            for time, more in zip(x["time"].tolist(), x["n"].tolist(), strict=True):
+                times[time] = times.get(time, 0) + more
+        known = self.run.get()
+        first, last, n = (pd.Timestamp(known[0]), pd.Timestamp(known[1]), known[2]) if known else (None, None, 0)
+        timer = None if last is None else self._timer(last)
         told = []
-        for time, more in times.items():
+        for time, more in sorted(times.items()):
             if last is None or time - last > self.gap:
                 first, n = time, 0
             # a row that comes late belongs to the run that is open
@@ -47,14 +52,20 @@ class RunCounter(StatefulProcessor):
                 told.append((key[0], first, time, self.threshold))
             n += more
         self.run.update((first, last, int(n)))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(int((last + self.gap).timestamp() * 1000) + 1)
-        yield pd.DataFrame(told, columns=["key", "first_time", "reached_time", "n"])
+        if timer != self._timer(last):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(self._timer(last))
+        if told:
+            yield pd.DataFrame(told, columns=["key", "first_time", "reached_time", "n"])
+
+    def _timer(self, last: pd.Timestamp) -> int:
+        """When a run is over that was last heard then: the one timer of its key."""
+        return int((last + self.gap).timestamp() * 1000) + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.run.clear()
-        yield pd.DataFrame({"key": pd.Series([], dtype=str), "first_time": pd.Series([], dtype="datetime64[ns]"), "reached_time": pd.Series([], dtype="datetime64[ns]"), "n": pd.Series([], dtype="int64")})
+        return iter(())
 
     def close(self) -> None:
         pass
