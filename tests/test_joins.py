@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ticketspark.functions import containment
 from ticketspark.functions.containment import contained
 from ticketspark.functions.extract import normalize_entity
 from ticketspark.operators import grouping, recurrence, similarity, vector_join
@@ -38,6 +41,46 @@ def test_contained_names_equal_a_nested_loop(spark, few, split_rows):
     assert {tuple(r) for r in contained(t, few_names).collect()} == {p for p in expected if p[1] in set(names[:20])}
 
 
+def test_names_in_several_scans_and_by_ids_of_another_kind(spark):
+    texts, names = strings(200, 5) + ["x" * 300_000 + "middle" + "y" * 300_000], strings(120, 6, 5) + ["xxmid", "middley", "y" * 200_000]
+    t = spark.createDataFrame([(f"t{i}", x) for i, x in enumerate(texts)], "id string, text string").repartition(3)
+    n = spark.createDataFrame([(x,) for x in names], "name string")
+    got = [tuple(r) for r in contained(t, n, scan_names=40).collect()]
+    expected = {(f"t{i}", x) for i, t in enumerate(texts) for x in set(names) if x and x in t}
+    assert set(got) == expected and len(got) == len(expected)
+
+
+def test_what_is_written_grows_with_the_pairs_and_not_with_the_parts_of_texts(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(containment, "written", lambda df, plain=written.written: (lambda out: rows.append(out.count()) or out)(plain(df)))
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aeinrst") for _ in range(rng.randint(4, 7))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(500)) for _ in range(300)]
+    names = {" ".join(rng.choice(texts).split()[k : k + 2]) for k in range(0, 498, 3)}
+    found = contained(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame([(x,) for x in names], "name string"))
+    expected = {(i, x) for i, t in enumerate(texts) for x in names if x in t}
+    assert {tuple(r) for r in found.collect()} == expected
+    assert sum(rows) < 3 * (len(expected) + len(names))
+
+
+def test_places_in_the_map_lose_no_name(monkeypatch):
+    """Chunks, blocks and pieces of a few bytes, a map with hardly a free bit, and names of every length."""
+    for at, size in (("CHUNK", 64), ("TRIED", 32), ("GIVEN", 50), ("LONG", 9)):
+        monkeypatch.setattr(containment, at, size)
+    texts = [t.encode() for t in strings(60, 8, 60) if t]
+    names = sorted({t[a : a + n] for i, t in enumerate(texts) for a, n in [(i % 7, 1 + i % 50)] if t[a : a + n]} | {b"ab", b"c", b"\x97"})
+    batch = lambda *columns: [pa.RecordBatch.from_arrays(list(columns), names=[str(i) for i in range(len(columns))])]
+    for bits, most in ((16, 1.05), (8, 1e9)):
+        marks = np.zeros(1 << bits, bool)
+        for b in containment._slots_of_names(bits)(iter(batch(pa.array(names, pa.binary())))):
+            marks[b.column(0).to_numpy()] = True
+        shared = SimpleNamespace(value=(bits, np.unique([len(n) for n in names]), np.packbits(marks, bitorder="little")))
+        got = [(i, n) for b in containment._hits(shared)(iter(batch(pa.array(range(len(texts))), pa.array(texts, pa.binary())))) for i, n in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        expected = {(i, n) for i, t in enumerate(texts) for n in names if n in t}
+        assert expected <= set(got) and len(set(got)) <= most * len(expected)
+        assert all(n in texts[i] for i, n in got)
+
+
 def test_no_names_and_no_texts(spark):
     none = spark.createDataFrame([], "id long, text string")
     names = spark.createDataFrame([(f"name {i}",) for i in range(100)], "name string")
