@@ -63,6 +63,18 @@ def test_what_is_written_grows_with_the_pairs_and_not_with_the_parts_of_texts(sp
     assert sum(rows) < 3 * (len(expected) + len(names))
 
 
+def test_names_that_begin_alike_write_rows_for_pairs_not_for_parts(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(containment, "written", lambda df, plain=written.written: (lambda out: rows.append(out.count()) or out)(plain(df)))
+    aliases = [f"Customer#{i:09d}" for i in range(1500)]
+    names = [(a[:-1], f"Messrs {a} & Co", a[9:], f"{a}?")[i % 4] for i, a in enumerate(aliases)]
+    a = spark.createDataFrame([(f"C{i}", x) for i, x in enumerate(aliases)], "canonical string, alias string")
+    got = {r.k: (r.canonical, r.confidence) for r in normalize_entity(spark.createDataFrame(list(enumerate(names)), "k long, name string"), "k", "name", a).collect()}
+    assert got == {i: (min(f"C{j}" for j, x in enumerate(aliases) if x in n or n in x), 0.7) for i, n in enumerate(names)}
+    pairs = sum(x in n or n in x for n in set(names) for x in aliases)
+    assert sum(rows) < 3 * (len(names) + len(aliases) + pairs)
+
+
 def test_places_in_the_map_lose_no_name(monkeypatch):
     """Chunks, blocks and pieces of a few bytes, a map with hardly a free bit, and names of every length."""
     for at, size in (("CHUNK", 64), ("TRIED", 32), ("GIVEN", 50), ("LONG", 9)):

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.written import written
 from . import pack_zh as zh
 from .containment import contained
 from .dates import extract_time
@@ -320,7 +321,8 @@ def normalize_entity(df: DataFrame, key: str, name: str, aliases: DataFrame, min
     """
     exact = aliases.groupBy(F.col("alias").alias(name)).agg(F.min("canonical").alias("__c"))
     hit = df.join(exact, name, "left")
-    misses = hit.where(F.col("__c").isNull() & filled(F.col(name)).isNotNull()).select(F.col(name).alias("name")).distinct()
+    # read four times, so worked out once
+    misses = written(hit.where(F.col("__c").isNull() & filled(F.col(name)).isNotNull()).select(F.col(name).alias("name")).distinct())
     first = aliases.where(F.col("canonical").isNotNull()).groupBy("alias").agg(F.min("canonical").alias("canonical"))
     near = held_names(misses, first, min_length).join(first, "alias")
     fuzzy = near.groupBy(F.col("name").alias(name)).agg(F.min_by("canonical", F.struct("canonical", "alias")).alias("__f"))
