@@ -148,6 +148,22 @@ def test_close_pairs_are_exact_over_cells_and_pieces(spark, small_cells):
         similarity.similar_pairs(df, "key", "v", 0.0)
 
 
+def test_all_pairs_of_tight_copies_in_tiles(spark, small_cells, monkeypatch):
+    """A vector with more than 100 close partners keeps all of them; copies meet in pieces, close ones a few at a time."""
+    monkeypatch.setattr(similarity, "COPIES", 7)
+    monkeypatch.setattr(vector_join, "DOTS", 10)
+    monkeypatch.setattr(vector_join, "CHUNK", 20)
+    rng = np.random.default_rng(13)
+    v = np.ones(6) + 0.01 * rng.normal(size=(240, 6))
+    v[:40], v[60:63], v[200:] = v[0], v[60], rng.normal(size=(40, 6))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows + [(300, [0.0] * 6)], "key long, v array<double>").repartition(3)
+    got = similarity.similar_pairs(df, "key", "v", 0.9, top_k=None, max_pairs=None).collect()
+    expected = plain_pairs(rows, 0.9)
+    assert len(got) == len(expected) > 19_000 and {(r.a, r.b) for r in got} == expected.keys()
+    assert all(abs(r.similarity - expected[r.a, r.b]) < 1e-9 for r in got)
+
+
 def test_nearest_rows_are_exact_over_cells_and_pieces(spark, small_cells):
     rows = clusters(220, 12, 3) + [(1000 + i, v) for i, v in clusters(4, 5, 4)]
     df = spark.createDataFrame(rows + ODD, "key long, v array<double>").repartition(4)

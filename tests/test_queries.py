@@ -86,3 +86,26 @@ def test_requests_of_odd_texts(spark, tmp_path):
     df = QUERIES["x15_extract_request"](spark, str(tmp_path))
     assert same_rows(df, con, ORACLE_SQL["x15_extract_request"])
     assert {r.doc_id: r.issue for r in df.collect()}[1] == "none"
+
+
+def _crowded(spark, folder):
+    """130 close vectors, copies among them, and some far ones; ids with gaps."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = np.concatenate([np.ones((130, 8)) + 0.02 * rng.normal(size=(130, 8)), rng.normal(size=(20, 8))])
+    v[3:6] = v[3]
+    rows = [(int(i), [float(x) for x in row], 0) for i, row in zip(rng.permutation(1000)[:150], v, strict=True)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+
+
+def test_close_copies_of_crowded_vectors(spark, tmp_path):
+    """More than 100 partners each: no pair is left out, and a copy is made of the next id, however far that is."""
+    import duckdb
+
+    _crowded(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    df = QUERIES["j7_close_copies"](spark, str(tmp_path))
+    assert df.count() > 130 * 129 / 2
+    assert same_rows(df, con, ORACLE_SQL["j7_close_copies"])

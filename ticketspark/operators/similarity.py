@@ -19,6 +19,10 @@ from ..sources.written import spread, written
 from .vector_join import alike_pairs, close_pairs, dense_components, nearest
 
 
+#: Rows with equal vectors that are one side of a tile of pairs.
+COPIES = 1024
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 if one is all zeros."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -49,6 +53,29 @@ def _members(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes.select(F.col("id").alias("rep"), "v"), "v").select("rep", "id")
 
 
+def _of_copies(near: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b, similarity) of all rows by pairs of classes (a, b, similarity), and those inside each class.
+
+    Only classes of several rows (n) are taken apart, in pieces of about COPIES rows that meet two by two, so
+    that the pairs of a frequent vector are not made in one task.
+    """
+    several = classes.where("n > 1").select(F.col("id").alias("rep"), "v", F.ceil(F.col("n") / COPIES).cast("int").alias("pieces"))
+    if several.isEmpty():
+        return near
+    members = written(rows.join(several, "v").select("rep", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"), "id"))
+    pairs = near.unionByName(several.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity")))
+    for x in ("a", "b"):
+        pairs = pairs.join(several.select(F.col("rep").alias(x), F.col("pieces").alias(f"{x}_pieces")), x, "left")
+    for x in ("a", "b"):
+        pairs = pairs.withColumn(f"{x}_piece", F.explode(F.sequence(F.lit(0), F.coalesce(f"{x}_pieces", F.lit(1)) - 1)))
+    pairs = pairs.withColumn("inside", F.col("a") == F.col("b"))
+    for x in ("a", "b"):
+        side = members.select(F.col("rep").alias(x), F.col("piece").alias(f"{x}_piece"), F.col("id").alias(f"{x}_id"))
+        # a piece may have got no row
+        pairs = pairs.join(side, [x, f"{x}_piece"], "left").withColumn(f"{x}_id", F.when(F.col(f"{x}_pieces").isNull(), F.col(x)).otherwise(F.col(f"{x}_id"))).where(f"{x}_id is not null")
+    return pairs.where("not inside or a_id < b_id").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity")
+
+
 def _first_members(rows: DataFrame, classes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(rep, id) of all rows by their class of equal vectors, and the first n of each class."""
     members = _members(rows, classes)
@@ -66,17 +93,12 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float = 0.85,
     if threshold <= 0:
         raise ValueError("a threshold of 0 or less asks for pairs without any likeness")
     rows = written(unit_vectors(df, key, vector))
-    classes = written(rows.groupBy("v").agg(F.min("id").alias("id")))
+    classes = written(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     near = close_pairs(classes, threshold, top_k)
-    near = near.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "similarity")
     if top_k is None:
-        # each pair of classes gives each pair of their members once, and a class those of its own
-        members = _members(rows, classes)
-        side = lambda r, x: members.select(F.col("rep").alias(r), F.col("id").alias(x))
-        between = near.join(side("ra", "x"), "ra").join(side("rb", "y"), "rb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-        inside = side("ra", "a").join(side("ra", "b"), "ra").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
-        best = between.unionByName(inside)
+        best = _of_copies(near, rows, classes)
         return best if max_pairs is None else best.orderBy(F.desc("similarity"), "a", "b").limit(max_pairs)
+    near = near.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "similarity")
     near = near.union(near.select("rb", "ra", "similarity")).union(classes.select("id", "id", F.lit(1.0)))
     members, first = _first_members(rows, classes, top_k + 1)
     both = near.join(members.select(F.col("rep").alias("ra"), F.col("id").alias("x")), "ra").join(first.select(F.col("rep").alias("rb"), F.col("id").alias("y")), "rb").where("x <> y")

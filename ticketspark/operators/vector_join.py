@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ PIECE_BYTES = 64 << 20
 PIECE_PAIRS = 4_000_000
 #: Rows and columns of one product.
 TILE = 1024
+#: Pairs whose vectors are copied at once, and pairs that are given at once.
+DOTS, CHUNK = 1 << 15, 1 << 18
 #: What rounding can add to a distance or a product of vectors of length 1.
 SLACK = 1e-7
 
@@ -154,13 +157,14 @@ class Cells:
         vectors = written(vectors)
         n = vectors.count()
         self.pivots: Pivots = {}
-        self.piece_bytes, self.most_rows = piece_bytes, 1 << 30
+        # twice as many pairs of pieces as cores at least, where all vectors meet
+        self.piece_bytes, self.most_rows = piece_bytes, max(2 * cell_rows, ceil(n / ceil((2 * vectors.sparkSession.sparkContext.defaultParallelism) ** 0.5)))
         if n >= 2 * cell_rows:
             sample = vectors.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
             by_length = {dim: np.array([r.v for r in sample if len(r.v) == dim]) for dim in {len(r.v) for r in sample}}
             dim, most = max(by_length.items(), key=lambda x: len(x[1]))
             if threshold is not None:
-                self.most_rows = _rows_for(most, most[:1], threshold)
+                self.most_rows = min(self.most_rows, _rows_for(most, most[:1], threshold))
             cells = _cells_for(most, n, radius, max_cells, _piece_rows(dim, piece_bytes, self.most_rows), COPY * cell_rows)
             if cells > 1:
                 self.pivots = {dim: v[: -(-cells * len(v) // len(sample)) if len(by_length) > 1 else cells] for dim, v in by_length.items()}
@@ -230,6 +234,13 @@ def _dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
+def _dots(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_dot of rows a of x and b of y, of which only so many are copied at once."""
+    if len(a) <= DOTS:
+        return _dot(x[a], y[b])
+    return np.concatenate([_dot(x[a[i : i + DOTS]], y[b[i : i + DOTS]]) for i in range(0, len(a), DOTS)])
+
+
 def _best(group: np.ndarray, other: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
     """Places of each group's k largest s, of equals the smallest other."""
     order = np.lexsort((other, -s, group))
@@ -257,7 +268,7 @@ def _pairs(homes: pa.Table, asking: pa.Table, threshold: float, once: bool = Tru
             some &= alike(a, b)
         a, b, sure = a[some], b[some], sure[some]
         near = np.flatnonzero(~sure)
-        sure[near] = _dot(x[a[near]], y[b[near]]) >= threshold
+        sure[near] = _dots(x, y, a[near], b[near]) >= threshold
         yield a[sure], b[sure], same, x, y
 
 
@@ -270,18 +281,30 @@ def _close(threshold: float, top_k: int | None, fields: list[str], sets: list[li
         def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return np.logical_or.reduce([np.logical_and.reduce([equal(f, a, b) for f in some]) for some in sets])
 
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for a, b, _, x, y in _pairs(homes, asking, threshold, True, alike if sets else None):
-            found.append((a, b, _dot(x[a], y[b])))
-        a, b, s = (np.concatenate(z) for z in zip(*found, strict=True))
-        if top_k is not None and len(a):
+        def rows(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.Table:
+            one, two = ids[a], others[b]
+            low = one < two
+            out = {"a": pa.array(np.where(low, one, two), homes.schema.field("id").type), "b": pa.array(np.where(low, two, one), homes.schema.field("id").type), "similarity": s}
+            return pa.table(out | {f"{f}_same": pa.array(equal(f, a, b)) for f in fields})
+
+        def found(most: float) -> Iterator[tuple[np.ndarray, ...]]:
+            """The pairs of some tiles at a time, of one more once there are most."""
+            some = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for a, b, _, x, y in _pairs(homes, asking, threshold, True, alike if sets else None):
+                some.append((a, b, _dots(x, y, a, b)))
+                if sum(len(z[0]) for z in some) >= most:
+                    yield tuple(np.concatenate(z) for z in zip(*some, strict=True))
+                    some = some[:1]
+            yield tuple(np.concatenate(z) for z in zip(*some, strict=True))
+
+        if top_k is None:
+            return pa.concat_tables([rows(*z) for z in found(CHUNK)])
+        a, b, s = next(found(np.inf))
+        if len(a):
             # no pair is among either side's best overall that isn't here
             some = np.union1d(_best(a, others[b], s, top_k), _best(b, ids[a], s, top_k))
             a, b, s = a[some], b[some], s[some]
-        one, two = ids[a], others[b]
-        low = one < two
-        out = {"a": pa.array(np.where(low, one, two), homes.schema.field("id").type), "b": pa.array(np.where(low, two, one), homes.schema.field("id").type), "similarity": s}
-        return pa.table(out | {f"{f}_same": pa.array(equal(f, a, b)) for f in fields})
+        return rows(a, b, s)
 
     return close
 
