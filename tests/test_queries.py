@@ -109,3 +109,17 @@ def test_close_copies_of_crowded_vectors(spark, tmp_path):
     df = QUERIES["j7_close_copies"](spark, str(tmp_path))
     assert df.count() > 130 * 129 / 2
     assert same_rows(df, con, ORACLE_SQL["j7_close_copies"])
+
+
+def test_similar_pairs_of_crowded_vectors(spark, tmp_path):
+    """The query and the operator as it is called without limits give each of a vector's 129 partners."""
+    import duckdb
+
+    from ticketspark.operators.similarity import similar_pairs
+
+    _crowded(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    df = QUERIES["j7_similar_pairs"](spark, str(tmp_path))
+    assert same_rows(df, con, ORACLE_SQL["j7_similar_pairs"])
+    assert similar_pairs(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), "vec_id", "embedding").count() >= 130 * 129 / 2

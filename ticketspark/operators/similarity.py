@@ -83,12 +83,13 @@ def _first_members(rows: DataFrame, classes: DataFrame, n: int) -> tuple[DataFra
     return members, members.withColumn("place", place).where(F.col("place") <= n).drop("place")
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float = 0.85, top_k: int | None = 100, max_pairs: int | None = 1000) -> DataFrame:
-    """Pairs (a, b, similarity), a < b, with cosine of at least threshold (over 0), top_k for each, best first; exact.
+def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float = 0.85, top_k: int | None = None, max_pairs: int | None = None) -> DataFrame:
+    """All pairs (a, b, similarity), a < b, with cosine of at least threshold (over 0); exact.
 
-    Equal vectors are one class that is joined once (vector_join.close_pairs); of
-    copies, each is paired with the first top_k + 1 ids alone, as no other can be
-    among its best. Without top_k all pairs of copies are given too. Rows as unit_vectors takes them.
+    Equal vectors are one class that is joined once (vector_join.close_pairs), then
+    taken apart to all pairs of their rows. Callers that want only the best ask for them: top_k
+    for each row, where of copies each is paired with the first top_k + 1 ids alone, as no other
+    can be among its best; max_pairs of all, best first. Rows as unit_vectors takes them.
     """
     if threshold <= 0:
         raise ValueError("a threshold of 0 or less asks for pairs without any likeness")
